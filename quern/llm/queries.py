@@ -6,12 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm import chat_perspectives, exact_topk
+from quern.llm.chat_perspectives import op3_chat_perspectives
+from quern.llm.exact_topk import op6_exact_topk
+from quern.llm.main_text import op2_main_text
 from quern.llm.media_columns import op10_media_columns
+from quern.llm.sentence_pieces import op7_sentence_pieces
 from quern.llm.source_mix import op5_source_mix
+from quern.llm.toxicity_chain import op8_toxicity_chain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_main_text": op2_main_text,
+    "op3_chat_perspectives": op3_chat_perspectives,
     "op5_source_mix": op5_source_mix,
+    "op6_exact_topk": op6_exact_topk,
+    "op7_sentence_pieces": op7_sentence_pieces,
+    "op8_toxicity_chain": op8_toxicity_chain,
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_perspectives": chat_perspectives.ORACLE_SQL,
+    "op6_exact_topk": exact_topk.ORACLE_SQL,
+}
