@@ -11,11 +11,13 @@ from quern.llm.chat_perspectives import op3_chat_perspectives
 from quern.llm.exact_topk import op6_exact_topk
 from quern.llm.main_text import op2_main_text
 from quern.llm.media_columns import op10_media_columns
+from quern.llm.ngram_join import op1_ngram_join
 from quern.llm.sentence_pieces import op7_sentence_pieces
 from quern.llm.source_mix import op5_source_mix
 from quern.llm.toxicity_chain import op8_toxicity_chain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_main_text": op2_main_text,
     "op3_chat_perspectives": op3_chat_perspectives,
     "op5_source_mix": op5_source_mix,
