@@ -12,6 +12,7 @@ from quern.llm.exact_topk import op6_exact_topk
 from quern.llm.main_text import op2_main_text
 from quern.llm.media_columns import op10_media_columns
 from quern.llm.ngram_join import op1_ngram_join
+from quern.llm.repeated_bytes import op9_repeated_bytes
 from quern.llm.sentence_pieces import op7_sentence_pieces
 from quern.llm.source_mix import op5_source_mix
 from quern.llm.toxicity_chain import op8_toxicity_chain
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_topk": op6_exact_topk,
     "op7_sentence_pieces": op7_sentence_pieces,
     "op8_toxicity_chain": op8_toxicity_chain,
+    "op9_repeated_bytes": op9_repeated_bytes,
     "op10_media_columns": op10_media_columns,
 }
 
