@@ -36,13 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quern.llm.blocks import gathered
-from quern.llm.bytetext import mix, shingle_sets, string_slices
+from quern.llm.bytetext import shingle_sets, string_slices
 from quern.llm.common import by_batch, staged, table
 from quern.llm.components import components
+from quern.llm.spots import key_filter
 
 SIZE, PERCENT = 4, 85
-#: Counters of how many documents hold a shingle (4 MB), and bits that tell which classes share one (8 MB).
-COUNTERS, FILTER_BITS = 1 << 20, 1 << 26
+#: Counters of how many documents hold a shingle (4 MB, whatever the input).
+COUNTERS = 1 << 20
 RANGES = 512
 NEXT_BY_SIZE, NEXT_BY_HASH = 3, 4
 
@@ -107,46 +108,24 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the classes in wanted(node, rep), from the documents' whole texts.
+    """(node, shingles) of the classes in wanted(node), from the documents' whole texts.
 
     Documents pass a fixed-size filter of bits; what passes it wrongly is
     dropped by the joins that follow.
     """
 
-    def spot(node: np.ndarray, rep: np.ndarray) -> np.ndarray:
-        return (mix(node.view(np.uint64) ^ mix(rep.view(np.uint64) + np.uint64(1))) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-    def fill(cells: np.ndarray, batch: pa.RecordBatch) -> None:
-        at = spot(*(np.array(c, np.int64) for c in batch.columns))
-        np.bitwise_or.at(cells, at >> 3, (1 << (at & 7)).astype(np.uint8))
-
-    ids = wanted.select("node", F.coalesce("rep", F.lit(-1)).cast("long").alias("rep")).repartition(8)
-    bits = docs.sparkSession.sparkContext.broadcast(_either(ids, fill))
+    known = key_filter(wanted.select("node"))
 
     def step(batch: pa.RecordBatch):
         nodes, found = [], []
-        reps = batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-        for row, x in sets_of(batch.column(1), size):
-            if len(x):
-                node = np.array([int.from_bytes(class_key(x)[:8], "little", signed=True)], np.int64)
-                at = int(spot(node, reps[row : row + 1])[0])
-                if bits.value[at >> 3] >> (at & 7) & 1:
-                    nodes.append(int(node[0]))
-                    found.append(x.tobytes())
+        for _, x in sets_of(batch.column(0), size):
+            node = int.from_bytes(class_key(x)[:8], "little", signed=True)
+            if len(x) and known(np.array([node]))[0]:
+                nodes.append(node)
+                found.append(x.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], ["node", "shingles"])
 
-    return by_batch(docs.select("doc_id", "text"), step, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
-
-
-def _either(df: DataFrame, fill) -> np.ndarray:
-    """Bits set by any task: bits are sent as cells of their own and come back as 0 or more."""
-
-    def bits(cells: np.ndarray, batch: pa.RecordBatch) -> None:
-        packed = np.zeros(FILTER_BITS // 8, np.uint8)
-        fill(packed, batch)
-        np.bitwise_or(cells, np.unpackbits(packed, bitorder="little"), out=cells)
-
-    return np.packbits(gathered(df, bits, FILTER_BITS, "uint8", 1), bitorder="little")
+    return by_batch(docs.select("text"), step, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
