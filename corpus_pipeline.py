@@ -1,8 +1,109 @@
-"""The training-data pipeline: stages of documents to documents."""
+"""The training-data pipeline, a part of the subpackage `llm`.
 
-STAGES = []
+Each stage takes all that its predecessor kept as `docs` (the columns of
+`documents`), and all but the last give the same columns. Stages: documents
+that the language model rejects go; one document of each near-duplicate class
+stays; passages that stand elsewhere are cut out, and a document left without a
+word goes; sources are mixed to their targets, where a document taken twice is
+two rows; the last stage gives token ids.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import ngram_join, quality_lm, repeated_bytes, sentence_pieces, source_mix
+from quern.llm.common import by_batch, shared_dir, staged, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near duplicates: words of a shingle and percent of similarity. Repeated passages: bytes, about 40 words.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+PASSAGE_BYTES = 240
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a key `row` of its own for each row, kept in a table, so that repeated and null ids stay apart."""
+    return staged(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def as_documents(rows: DataFrame) -> DataFrame:
+    return rows.select("row", F.col("row").alias("doc_id"), "text", "lang", "source")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = numbered(docs)
+    labels = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    trusted = rows.select("row", "doc_id").join(labels, "doc_id", "left_semi").select(F.col("row").alias("doc_id"), F.lit(1).alias("quality"))
+    judged = quality_lm.judge(quality_lm.score_documents(as_documents(rows), trusted))
+    return rows.join(judged.where("keep").select(F.col("doc_id").alias("row")), "row", "left_semi").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = numbered(docs)
+    classes = ngram_join.ngram_components(as_documents(rows), SHINGLE_WORDS, SIMILAR_PERCENT)
+    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("row"))
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
+
+
+def whole_characters(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without the byte ranges, each shortened to whole characters."""
+    data, out, at = text.encode(), [], 0
+    for first, last in spans:
+        while first < last and data[first] & 0xC0 == 0x80:
+            first += 1
+        while last > first and last < len(data) and data[last] & 0xC0 == 0x80:
+            last -= 1
+        out.append(data[at:first])
+        at = last
+    return b"".join([*out, data[at:]]).decode()
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = numbered(docs)
+    keyed, cuts, _ = repeated_bytes.repeated_spans(as_documents(rows), PASSAGE_BYTES)
+    spans = keyed.join(staged(cuts, "cuts"), "node").select(F.col("doc_id").alias("row"), "whole", "spans")
+    cut = rows.join(spans, "row", "left").where("whole IS NULL OR NOT whole").select(*COLUMNS, "spans")
+
+    def step(batch: pa.RecordBatch):
+        texts = [x if s is None or x is None else whole_characters(x, [(y["first"], y["last"]) for y in s]) for x, s in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+        n = [None if x is None else len(x) for x in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string()), batch.column(2), batch.column(3), pa.array(n, pa.int64())], list(COLUMNS))
+
+    kept = by_batch(cut, step, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return kept.where(source_mix.token_count() > 0)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = numbered(docs)
+    mixed = source_mix.mix_sources(as_documents(rows)).where("copies > 0").select(F.col("doc_id").alias("row"), "copies")
+    return rows.join(mixed, "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_documents(docs.select(*COLUMNS))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("mixing sources to target weights", mix),
+    ("SentencePiece encoding and decoding", tokens),
+]
+
+#: No stage but the last can be told in SQL; tests compare them with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    home = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}-stage"
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        docs.write.parquet(f"{home}-{k}")
+        docs = spark.read.parquet(f"{home}-{k}")
+    return docs

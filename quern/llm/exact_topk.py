@@ -32,8 +32,8 @@ BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 QUERY_STEP = 50
 BEST = 5
-FEW = 32
-SHIFT = 3
+FEW = 256
+SHIFT, STRIDE = 3, 4
 NULL_ID = np.iinfo(np.int64).max
 BLOCK = "dims int, ids binary, vectors binary"
 
@@ -76,46 +76,44 @@ class Index:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        low, high = vectors.min(0), vectors.max(0)
-        self.sides = []
-        for gain in (vectors - low, high - vectors):
+        n, dims = vectors.shape
+        sides = []
+        for gain in (vectors - vectors.min(0), vectors.max(0) - vectors):
             level = gain >> SHIFT
-            order = np.argsort(-level, axis=0, kind="stable").astype(np.int32)
-            ranked = np.take_along_axis(level, order, 0)
-            top = int(ranked.max(initial=0))
-            # starts[j][l]: how many rows have at least level l
-            starts = np.stack([np.searchsorted(-ranked[:, j], -np.arange(top + 2), "right") for j in range(vectors.shape[1])]) if vectors.shape[1] else np.zeros((0, top + 2), int)
-            self.sides.append((order, ranked << SHIFT, starts, top))
+            order = np.argsort(-level, axis=0, kind="stable")
+            sides.append((order, np.take_along_axis(level, order, 0)))
+        self.top = max(int(x.max(initial=0)) for _, x in sides)
+        # postings of component j lie at j * n; starts[j, l] says how many rows have at least level l
+        self.postings = [(order.T.astype(np.int32).ravel(), (ranked << SHIFT).T.ravel()) for order, ranked in sides]
+        levels = -np.arange(self.top + 2)
+        self.starts = [np.stack([np.searchsorted(-ranked[:, j], levels, "right") for j in range(dims)]) if dims else np.zeros((0, 1), int) for _, ranked in sides]
 
     def best(self, own: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(score, id) of the k best rows but those with id `own`."""
-        lower = np.zeros(len(self.ids), np.float64)
-        lower[self.ids == own] = -np.inf
+        n = len(self.ids)
+        lower = np.where(self.ids == own, -np.inf, 0.0)
         possible = np.flatnonzero(np.isfinite(lower))
-        if len(possible) > max(k, FEW):
-            weight = np.abs(q)
-            parts = [(w, *self.sides[0 if v > 0 else 1], j) for j, (v, w) in enumerate(zip(q.tolist(), weight.tolist(), strict=True)) if w]
-            read = [top + 1 for *_, top, _ in parts]
-            impact = max((w * (top << SHIFT) for w, _, _, _, top, _ in parts), default=0) / 2
-            while parts:
-                last = impact < (1 << SHIFT)
-                rest, rows, gains = 0, [], []
-                for at, (w, order, gain, starts, top, j) in enumerate(parts):
-                    level = 0 if last else min(read[at], -int(-impact // (w << SHIFT)))
-                    a, b = starts[j][min(read[at], top + 1)], starts[j][min(level, top + 1)]
-                    if b > a:
-                        rows.append(order[a:b, j])
-                        gains.append(gain[a:b, j] * w)
-                    read[at] = level
-                    rest += w * (max(level << SHIFT, 1 << SHIFT) - 1)
-                if rows:
-                    lower += np.bincount(np.concatenate(rows), np.concatenate(gains), len(lower))
-                bound = np.partition(lower, len(lower) - k)[len(lower) - k]
-                possible = np.flatnonzero(lower + rest >= bound)
-                possible = possible[np.isfinite(lower[possible])]
+        js = np.flatnonzero(q)
+        if len(possible) > max(k, FEW) and len(js):
+            weight, side = np.abs(q[js]), (q[js] < 0).astype(int)
+            starts = np.where(side[:, None] == 0, self.starts[0][js], self.starts[1][js])
+            own_row = np.arange(len(js))
+            level, done = np.full(len(js), self.top + 1), np.zeros(len(js), int)
+            impact = float(weight.max() * (self.top << SHIFT)) / STRIDE
+            while True:
+                last = impact < 1 << SHIFT
+                level = np.zeros(len(js), int) if last else np.minimum(level, np.ceil(impact / (weight << SHIFT)).astype(int))
+                ends = starts[own_row, level]
+                parts = [(self.postings[s], j * n + a, j * n + b, w) for s, j, a, b, w in zip(side.tolist(), js.tolist(), done.tolist(), ends.tolist(), weight.tolist(), strict=True) if b > a]
+                if parts:
+                    lower += np.bincount(np.concatenate([rows[a:b] for (rows, _), a, b, _ in parts]), np.concatenate([gain[a:b] * w for (_, gain), a, b, w in parts]), n)
+                done = ends
+                rest = int((weight * (np.maximum(level << SHIFT, 1 << SHIFT) - 1)).sum())
+                bound = np.partition(lower, n - k)[n - k]
+                possible = np.flatnonzero((lower + rest >= bound) & np.isfinite(lower))
                 if len(possible) <= max(k, FEW) or last:
                     break
-                impact /= 2
+                impact /= STRIDE
         scores = self.vectors[possible] @ q
         order = np.lexsort((self.ids[possible], -scores))[:k]
         return [(int(scores[i]), int(self.ids[possible[i]])) for i in order]

@@ -12,6 +12,7 @@ from quern.llm.exact_topk import op6_exact_topk
 from quern.llm.main_text import op2_main_text
 from quern.llm.media_columns import op10_media_columns
 from quern.llm.ngram_join import op1_ngram_join
+from quern.llm.quality_lm import op4_quality_lm
 from quern.llm.repeated_bytes import op9_repeated_bytes
 from quern.llm.sentence_pieces import op7_sentence_pieces
 from quern.llm.source_mix import op5_source_mix
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_main_text": op2_main_text,
     "op3_chat_perspectives": op3_chat_perspectives,
+    "op4_quality_lm": op4_quality_lm,
     "op5_source_mix": op5_source_mix,
     "op6_exact_topk": op6_exact_topk,
     "op7_sentence_pieces": op7_sentence_pieces,
