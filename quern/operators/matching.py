@@ -24,9 +24,10 @@ def detect(texts: DataFrame, forms: DataFrame, key_tokens: int = KEY_TOKENS) ->
         return texts.select("id").limit(0).crossJoin(forms.select("form_id"))
     n = int(size.n)
     run = lambda words, i: F.xxhash64(F.array_join(F.slice(words, i, n), " "))
-    words = F.split("norm", " ")
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    keys = texts.select("id", F.explode(F.array_distinct(F.transform(starts, lambda i: run(words, i)))).alias("key"))
+    # a column of its own, used more than once: inside a lambda an expression would be evaluated for each element
+    split = texts.select("id", F.split("norm", " ").alias("words")).where(F.size("words") >= n)
+    starts = F.sequence(F.lit(1), F.size("words") - n + 1)
+    keys = split.select("id", F.explode(F.array_distinct(F.transform(starts, lambda i: run(F.col("words"), i)))).alias("key"))
     wanted = forms.select("form_id", "form", run(F.col("_w"), F.lit(1)).alias("key"))
     small = size.c <= BROADCAST_FORMS
     found = keys.join(F.broadcast(wanted) if small else wanted, "key").select("id", "form_id", "form").distinct()

@@ -27,10 +27,10 @@ r AS (SELECT *, txt <> base AS changed, contains(' ' || base || ' ', ' ' || form
 verdicts AS (SELECT *, CASE WHEN NOT changed THEN 'UNCHANGED' WHEN NOT before AND after THEN 'HELPED' WHEN before AND NOT after THEN 'HARMED' WHEN before AND after THEN 'EXPECTED_KEPT' ELSE 'NEITHER' END AS verdict FROM r)"""
 FOUND = """hit AS (SELECT v.doc_id, cfg, i.item_id FROM verdicts v JOIN items i ON contains(' ' || txt || ' ', ' ' || i.form || ' ')),
 sets AS (SELECT v.doc_id, v.cfg, list(h.item_id ORDER BY h.item_id) FILTER (WHERE h.item_id IS NOT NULL) AS found FROM verdicts v LEFT JOIN hit h ON h.doc_id = v.doc_id AND h.cfg = v.cfg GROUP BY v.doc_id, v.cfg),
-both AS (SELECT v.*, coalesce(a.found, []) AS found, coalesce(b.found, []) AS base_found FROM verdicts v JOIN sets a ON a.doc_id = v.doc_id AND a.cfg = v.cfg JOIN sets b ON b.doc_id = v.doc_id AND b.cfg = 'same'),
+compared AS (SELECT v.*, coalesce(a.found, []) AS found, coalesce(b.found, []) AS base_found FROM verdicts v JOIN sets a ON a.doc_id = v.doc_id AND a.cfg = v.cfg JOIN sets b ON b.doc_id = v.doc_id AND b.cfg = 'same'),
 moves AS (SELECT doc_id, cfg, CASE WHEN NOT changed THEN 'UNCHANGED' WHEN len(added) > 0 AND len(base_found) = 0 THEN 'STREET_INTRODUCED' WHEN len(removed) > 0 AND len(found) = 0 THEN 'STREET_LOST'
  WHEN len(added) > 0 AND len(removed) > 0 THEN 'STREET_REPLACED' WHEN len(added) > 0 THEN 'STREET_EXTENDED' WHEN len(removed) > 0 THEN 'STREET_NARROWED' WHEN len(base_found) > 0 AND len(found) > 0 THEN 'SAME_STREET_KEPT' ELSE 'NO_STREET_CHANGED' END AS move,
- verdict, item_id, found, base_found, changed, before, after FROM (SELECT *, list_filter(found, lambda z: NOT list_contains(base_found, z)) AS added, list_filter(base_found, lambda z: NOT list_contains(found, z)) AS removed FROM both))"""
+ verdict, item_id, found, base_found, changed, before, after FROM (SELECT *, list_filter(found, lambda z: NOT list_contains(base_found, z)) AS added, list_filter(base_found, lambda z: NOT list_contains(found, z)) AS removed FROM compared))"""
 
 
 def configs(spark, sf):

@@ -60,11 +60,12 @@ def structure_variants(spark, sf):
     return matching.structures(names, ["united"])
 
 
-@PLANS.query("dict_longest_match", f"WITH f AS (SELECT * FROM {FORMS} UNION ALL SELECT * FROM {SHORT}), h AS (SELECT d.doc_id, f.item_id, length(f.form) AS n FROM {TEXTS} d JOIN f ON {IN}), b AS (SELECT h.doc_id, min(item_id) AS a, max(item_id) AS z FROM h JOIN (SELECT doc_id, max(n) AS n FROM h GROUP BY doc_id) m USING (doc_id, n) GROUP BY h.doc_id) SELECT doc_id, CASE WHEN a = z THEN a END AS street, coalesce(a <> z, false) AS ambiguous FROM documents LEFT JOIN b USING (doc_id)")
+@PLANS.query("dict_longest_match", f"WITH f AS (SELECT * FROM {FORMS} UNION ALL SELECT * FROM {SHORT}), h AS (SELECT d.doc_id, f.item_id, length(f.form) AS n FROM {TEXTS} d JOIN f ON {IN}), b AS (SELECT h.doc_id, min(item_id) AS a, max(item_id) AS z FROM h JOIN (SELECT doc_id, max(n) AS n FROM h GROUP BY doc_id) m USING (doc_id, n) GROUP BY h.doc_id) SELECT doc_id, coalesce(CASE WHEN a = z THEN a END, -1) AS street, coalesce(a <> z, false) AS ambiguous FROM documents LEFT JOIN b USING (doc_id)")
 def dict_longest_match(spark, sf):
     whole = forms(spark, sf).withColumn("street", F.col("form_id"))
     short = forms(spark, sf, 2).withColumn("street", F.col("form_id")).withColumn("form_id", -1 - F.col("form_id"))
-    return matching.longest_match(texts(spark, sf), whole.unionAll(short)).withColumnRenamed("id", "doc_id")
+    found = matching.longest_match(texts(spark, sf), whole.unionAll(short))
+    return found.select(F.col("id").alias("doc_id"), F.coalesce("street", F.lit(-1).cast("long")).alias("street"), "ambiguous")
 
 
 @PLANS.query("partial_candidates", f"WITH w AS (SELECT item_id, form, string_split(form, ' ') AS t FROM {FORMS}), k AS (SELECT item_id, form, list_filter(t, lambda x: length(x) = list_max(list_transform(t, lambda y: length(y))))[1] AS word FROM w), u AS (SELECT DISTINCT doc_id, norm, unnest(string_split(norm, ' ')) AS word FROM {TEXTS}) SELECT d.doc_id, f.item_id FROM u d JOIN k f ON d.word = f.word WHERE length(f.word) >= 4 AND NOT ({IN})")
@@ -94,10 +95,11 @@ PLACES = "(SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN lower(n_na
 h AS (SELECT id, street, 1 AS tier FROM i JOIN n ON norm = form UNION ALL SELECT id, street, 2 FROM i JOIN n ON core = form UNION ALL
  SELECT id, street, 3 FROM i JOIN n ON len(string_split(core, ' ')) = len(string_split(form, ' ')) AND len(list_filter(list_zip(string_split(core, ' '), string_split(form, ' ')), lambda p: NOT ({MATCH.format(a='p[1]', b='p[2]')}))) = 0),
 t AS (SELECT id, tier, min(street) AS street FROM h GROUP BY id, tier HAVING count(DISTINCT street) = 1), b AS (SELECT id, min(tier) AS tier FROM t GROUP BY id)
-SELECT i.id, t.street, CAST(t.tier AS INTEGER) AS tier FROM i LEFT JOIN b USING (id) LEFT JOIN t ON t.id = b.id AND t.tier = b.tier""",
+SELECT i.id, t.street, CAST(coalesce(t.tier, 0) AS INTEGER) AS tier FROM i LEFT JOIN b USING (id) LEFT JOIN t ON t.id = b.id AND t.tier = b.tier""",
 )
 def resolve_entity(spark, sf):
     nation = load(spark, sf, "nation")
     low, k = F.lower("n_name"), F.col("n_nationkey") % 4
     norm = F.when(k == 0, low).when(k == 1, F.concat(F.lit("the "), low)).when(k == 2, F.concat(F.left(low, F.length(low) - 1), F.lit("x"))).otherwise("nowhere")
-    return matching.resolve(nation.select(F.col("n_nationkey").alias("id"), norm.alias("norm")), nation.select(F.col("n_name").alias("street"), low.alias("form")), ["the"])
+    found = matching.resolve(nation.select(F.col("n_nationkey").alias("id"), norm.alias("norm")), nation.select(F.col("n_name").alias("street"), low.alias("form")), ["the"])
+    return found.select("id", "street", F.coalesce("tier", F.lit(0)).alias("tier"))

@@ -60,16 +60,22 @@ def series_summary(spark, sf):
     return v.agg(F.count(F.lit(1)).alias("modes"), F.sum("ok").alias("ok"), F.sum("failed").alias("failed"), F.min_by("l_returnflag", F.struct("wall_rtf", "l_returnflag")).alias("fastest"), F.max_by("l_returnflag", F.struct("throughput", "l_returnflag")).alias("most_throughput"), verdicts.alias("verdicts"))
 
 
+def micros(ts: str):
+    """Microseconds since 1970 of a time without a zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
+
+
 @PLANS.query("sampler_deltas", "WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0 AS t, value FROM events), r AS (SELECT user_id, event_id, t, value, (value - lag(value) OVER w) / nullif(t - lag(t) OVER w, 0) AS rate FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)) SELECT user_id, CAST(count(rate) AS BIGINT) AS n, round(avg(rate), 9) AS mean_rate, round(max(rate), 9) AS peak_rate, max_by(value, (t, event_id)) AS last_value FROM r GROUP BY user_id")
 def sampler_deltas(spark, sf):
-    e = load(spark, sf, "events").withColumn("t", F.unix_micros("ts") / 1000000.0)
+    e = load(spark, sf, "events").withColumn("t", micros("ts") / 1000000.0)
     rates = metrics.deltas(e, "user_id", ["t", "event_id"], F.col("t"), "value")
     return rates.groupBy("user_id").agg(F.count("rate").alias("n"), F.round(F.avg("rate"), 9).alias("mean_rate"), F.round(F.max("rate"), 9).alias("peak_rate"), F.max_by("value", F.struct("t", "event_id")).alias("last_value"))
 
 
-@PLANS.query("sessionize", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS first, max(ts) AS last, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k")
+@PLANS.query("sessionize", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k")
 def sessionize(spark, sf):
-    return metrics.sessions(load(spark, sf, "events"), "user_id", "ts", "30 minutes")
+    found = metrics.sessions(load(spark, sf, "events"), "user_id", "ts", "30 minutes")
+    return found.select("user_id", micros("first").alias("first_us"), micros("last").alias("last_us"), "n")
 
 
 @PLANS.query("array_signal_stats", "SELECT vec_id, round(list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))), 6) AS peak, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / len(embedding)), 6) AS rms, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) >= 0.005 AS valid FROM embeddings")
@@ -83,13 +89,14 @@ def array_pcm16(spark, sf):
 
 
 def answer_pairs(spark, sf):
-    """A document's normal form against itself without every seventh token."""
-    t = tx.tokens("text", tx.ANY_LETTER)
+    """Each sentence of each document, an utterance, against itself without every seventh token."""
+    said = docs(spark, sf).select("doc_id", "lang", F.posexplode(F.split("text", r"[.\n]")).alias("place", "said"))
     kept = F.filter(F.col("t"), lambda w, i: i % 7 != 6)
-    return docs(spark, sf).select("doc_id", "lang", t.alias("t")).where(F.size("t") > 0).select("doc_id", "lang", F.array_join("t", " ").alias("reference"), F.array_join(kept, " ").alias("hypothesis"))
+    rows = said.select("doc_id", "lang", "place", tx.tokens("said", tx.ANY_LETTER).alias("t")).where(F.size("t") > 0)
+    return rows.select("doc_id", "lang", "place", F.array_join("t", " ").alias("reference"), F.array_join(kept, " ").alias("hypothesis"))
 
 
-@PLANS.query("asr_metrics", r"WITH d AS (SELECT lang, regexp_extract_all(lower(text), '\p{L}+') AS t FROM documents), k AS (SELECT lang, t, list_filter(t, lambda w, i: i % 7 <> 0) AS h FROM d WHERE len(t) > 0) SELECT lang, CAST(count(*) AS BIGINT) AS n, CAST(sum(len(t) - len(h)) AS BIGINT) AS word_edits, round(sum(len(t) - len(h)) / sum(len(t)), 6) AS wer, round(sum(length(array_to_string(t, ' ')) - length(array_to_string(h, ' '))) / sum(length(array_to_string(t, ' '))), 6) AS cer, CAST(count(*) FILTER (WHERE len(t) = len(h)) AS BIGINT) AS exact FROM k GROUP BY lang")
+@PLANS.query("asr_metrics", r"WITH u AS (SELECT lang, unnest(regexp_split_to_array(text, '[.\n]')) AS said FROM documents), d AS (SELECT lang, regexp_extract_all(lower(said), '\p{L}+') AS t FROM u), k AS (SELECT lang, t, list_filter(t, lambda w, i: i % 7 <> 0) AS h FROM d WHERE len(t) > 0) SELECT lang, CAST(count(*) AS BIGINT) AS n, CAST(sum(len(t) - len(h)) AS BIGINT) AS word_edits, round(sum(len(t) - len(h)) / sum(len(t)), 6) AS wer, round(sum(length(array_to_string(t, ' ')) - length(array_to_string(h, ' '))) / sum(length(array_to_string(t, ' '))), 6) AS cer, CAST(count(*) FILTER (WHERE len(t) = len(h)) AS BIGINT) AS exact FROM k GROUP BY lang")
 def asr_metrics(spark, sf):
     """The SQL knows the answer in closed form: dropping tokens costs exactly what was dropped."""
     return metrics.error_rates(answer_pairs(spark, sf), ["lang"])
@@ -97,4 +104,4 @@ def asr_metrics(spark, sf):
 
 @PLANS.query("token_change_ratio")
 def token_change_ratio(spark, sf):
-    return answer_pairs(spark, sf).select("doc_id", F.round(metrics.change_ratio("reference", "hypothesis"), 6).alias("changed"))
+    return answer_pairs(spark, sf).select("doc_id", "place", F.round(metrics.change_ratio("reference", "hypothesis"), 6).alias("changed"))

@@ -109,21 +109,21 @@ def config_labels(spark, sf):
     return both.select(label.alias("label"), F.regexp_replace("event_type", "_", " ").alias("display"))
 
 
-@PLANS.query("mode_names", "SELECT DISTINCT event_type, t AS threads, CASE WHEN event_type = 'view' THEN 'sequential_default' WHEN t IS NULL THEN event_type || '_default' ELSE event_type || '_threads_' || t END AS mode, CASE WHEN event_type = 'view' THEN 'sequential' ELSE event_type || '/' || coalesce(CAST(t AS VARCHAR), 'default') END AS subdir FROM events CROSS JOIN (VALUES (NULL), (1), (4)) v(t)")
+@PLANS.query("mode_names", "SELECT DISTINCT event_type, coalesce(t, 0) AS threads, CASE WHEN event_type = 'view' THEN 'sequential_default' WHEN t IS NULL THEN event_type || '_default' ELSE event_type || '_threads_' || t END AS mode, CASE WHEN event_type = 'view' THEN 'sequential' ELSE event_type || '/' || coalesce(CAST(t AS VARCHAR), 'default') END AS subdir FROM events CROSS JOIN (VALUES (NULL), (1), (4)) v(t)")
 def mode_names(spark, sf):
     kinds = load(spark, sf, "events").select("event_type").distinct().withColumn("threads", F.explode(F.array(F.lit(None).cast("int"), F.lit(1), F.lit(4))))
     kind, threads = F.col("event_type"), F.col("threads")
     mode = F.when(kind == "view", "sequential_default").when(threads.isNull(), F.concat(kind, F.lit("_default"))).otherwise(F.concat(kind, F.lit("_threads_"), threads.cast("string")))
-    return kinds.select("event_type", "threads", mode.alias("mode"), F.when(kind == "view", "sequential").otherwise(F.concat(kind, F.lit("/"), F.coalesce(threads.cast("string"), F.lit("default")))).alias("subdir"))
+    return kinds.select("event_type", F.coalesce("threads", F.lit(0)).alias("threads"), mode.alias("mode"), F.when(kind == "view", "sequential").otherwise(F.concat(kind, F.lit("/"), F.coalesce(threads.cast("string"), F.lit("default")))).alias("subdir"))
 
 
-@PLANS.query("nest_phrase_record", "SELECT conv_id, CAST(count(*) AS BIGINT) AS n_configs, CAST(count(*) FILTER (WHERE role = 'assistant') AS BIGINT) AS n_assistant, arg_min(text, turn) AS first_text, CASE WHEN count(*) FILTER (WHERE role = 'system') > 0 THEN max(length(text)) FILTER (WHERE role = 'system') END AS system_length FROM conversations GROUP BY conv_id")
+@PLANS.query("nest_phrase_record", "SELECT conv_id, CAST(count(*) AS BIGINT) AS n_configs, CAST(count(*) FILTER (WHERE role = 'assistant') AS BIGINT) AS n_assistant, arg_min(text, turn) AS first_text, coalesce(max(length(text)) FILTER (WHERE role = 'system'), -1) AS system_length FROM conversations GROUP BY conv_id")
 def nest_phrase_record(spark, sf):
     """A conversation as one nested record, read through its map and array."""
     records = nested_records(load(spark, sf, "conversations"))
     system = F.filter("configs", lambda c: c.kind == "system")
     first = F.element_at("decoded", F.element_at("configs", 1).label)
-    return records.select("conv_id", F.size("configs").cast("long").alias("n_configs"), F.size(F.filter("configs", lambda c: c.kind == "assistant")).cast("long").alias("n_assistant"), first.alias("first_text"), F.array_max(F.transform(system, lambda c: F.length(F.element_at(F.col("decoded"), c.label)).cast("long"))).alias("system_length"))
+    return records.select("conv_id", F.size("configs").cast("long").alias("n_configs"), F.size(F.filter("configs", lambda c: c.kind == "assistant")).cast("long").alias("n_assistant"), first.alias("first_text"), F.coalesce(F.array_max(F.transform(system, lambda c: F.length(F.element_at(F.col("decoded"), c.label)).cast("long"))), F.lit(-1).cast("long")).alias("system_length"))
 
 
 def nested_records(turns: DataFrame) -> DataFrame:
@@ -139,10 +139,10 @@ def unnest_phrase_record(spark, sf):
     return flat.select("conv_id", F.col("c.label").cast("bigint").alias("turn"), "c.kind", F.element_at("decoded", F.col("c.label")).alias("text"))
 
 
-@PLANS.query("file_row_metrics", "SELECT l_orderkey, l_linenumber, round(l_extendedprice + l_discount + l_tax, 6) AS total, CASE WHEN l_quantity > 0 THEN round((l_extendedprice + l_discount + l_tax) / l_quantity, 6) END AS rtf, l_returnflag = 'R' AS verdict FROM lineitem")
+@PLANS.query("file_row_metrics", "SELECT l_orderkey, l_linenumber, round(l_extendedprice + l_discount + l_tax, 6) AS total, CASE WHEN l_quantity > 0 THEN round((l_extendedprice + l_discount + l_tax) / l_quantity, 8) END AS rtf, l_returnflag = 'R' AS verdict FROM lineitem")
 def file_row_metrics(spark, sf):
     total = F.col("l_extendedprice") + F.col("l_discount") + F.col("l_tax")
-    rtf = F.when(F.col("l_quantity") > 0, F.round(total / F.col("l_quantity"), 6))
+    rtf = F.when(F.col("l_quantity") > 0, F.round(total / F.col("l_quantity"), 8))
     return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(total, 6).alias("total"), rtf.alias("rtf"), (F.col("l_returnflag") == "R").alias("verdict"))
 
 
