@@ -6,7 +6,9 @@ impact, once for positive and once for negative query weights. A query reads
 posting segments of all components by descending impact, adds lower bounds up,
 and keeps an upper bound of what is unread. It stops only when no more than
 FEW rows can still be members, which the bounds prove, or at the end; the
-possible members are rescored exactly.
+possible members are rescored exactly. Impacts fall by STRIDE from one reading
+to the next, and the components of a reading are cut at once, so a query costs
+a few array steps a block.
 
 The query set is stated (ids divisible by QUERY_STEP) and goes block by block
 against all blocks. Vectors that are null or hold null or non-finite values
