@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no from 1, line). A file is one record, as its order means something: files of names, not corpora."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line_no", "line"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line_no", "line"))
     return files.withColumn("line_no", F.col("line_no") + 1)
 
 
@@ -32,7 +32,7 @@ def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def form_dictionary(spark: SparkSession, path: str, column: str = "additional_forms") -> DataFrame:
     """(street, form) of a JSON object of lists; a file without that object raises."""
-    maps = spark.read.option("wholetext", True).text(path).select(F.from_json("value", f"{column} map<string, array<string>>")[column].alias("m"))
+    maps = spark.read.text(path, wholetext=True).select(F.from_json("value", f"{column} map<string, array<string>>")[column].alias("m"))
     checked = maps.select(F.when(F.col("m").isNull(), F.raise_error(F.lit(f"no object {column}"))).otherwise(F.col("m")).alias("m"))
     return checked.select(F.explode("m").alias("street", "forms")).select("street", F.explode("forms").alias("form"))
 
