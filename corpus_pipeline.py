@@ -10,6 +10,7 @@ two rows; the last stage gives token ids.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import ngram_join, quality_lm, repeated_bytes, sentence_pieces, source_mix
-from quern.llm.common import by_batch, shared_dir, staged, table
+from quern.llm.common import STAGED, by_batch, drop_staged, shared_dir, staged, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: words of a shingle and percent of similarity. Repeated passages: bytes, about 40 words.
@@ -25,6 +26,24 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 PASSAGE_BYTES = 240
 
 
+#: What the stage before has staged. Its result is written by now, and goes on from there.
+_LEFT: list[str] = []
+
+
+def stage(function):
+    """A stage that drops its predecessor's scratch tables first."""
+
+    @functools.wraps(function)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_staged(spark, _LEFT)
+        before = len(STAGED)
+        result = function(spark, docs, sf_dir)
+        _LEFT.extend(STAGED[before:])
+        return result
+
+    return begin
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with a key `row` of its own for each row, kept in a table, so that repeated and null ids stay apart."""
     return staged(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
@@ -34,6 +53,7 @@ def as_documents(rows: DataFrame) -> DataFrame:
     return rows.select("row", F.col("row").alias("doc_id"), "text", "lang", "source")
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(docs)
     labels = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
@@ -42,6 +62,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(judged.where("keep").select(F.col("doc_id").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(docs)
     classes = ngram_join.ngram_components(as_documents(rows), SHINGLE_WORDS, SIMILAR_PERCENT)
@@ -62,6 +83,7 @@ def whole_characters(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(docs)
     keyed, cuts, _ = repeated_bytes.repeated_spans(as_documents(rows), PASSAGE_BYTES)
@@ -77,12 +99,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.where(source_mix.token_count() > 0)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(docs)
     mixed = source_mix.mix_sources(as_documents(rows)).where("copies > 0").select(F.col("doc_id").alias("row"), "copies")
     return rows.join(mixed, "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
+@stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_documents(docs.select(*COLUMNS))
 
@@ -102,8 +126,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     home = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}-stage"
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         docs.write.parquet(f"{home}-{k}")
         docs = spark.read.parquet(f"{home}-{k}")
     return docs

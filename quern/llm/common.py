@@ -31,13 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Paths of the tables staged so far.
+STAGED: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once as a table in the shared folder and read back, so that lost executors cost no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/quern-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables and forgets them; nothing that reads them may be run any more."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        name = paths.pop()
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(hadoop).delete(path, True)
+        if name in STAGED:
+            STAGED.remove(name)
+
+
 def by_batch(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Arrow batches through `step`, which may give any number of batches for each."""
 

@@ -46,6 +46,8 @@ SIZE, PERCENT = 4, 85
 COUNTERS = 1 << 20
 RANGES = 512
 NEXT_BY_SIZE, NEXT_BY_HASH = 3, 4
+#: 8 MB of ids.
+BROADCAST_PAIRS = 500_000
 
 
 def sets_of(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -129,8 +131,17 @@ def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    """The pairs (a, b) whose sets link.
+
+    Up to BROADCAST_PAIRS pairs go to the sets, so that only sets in a pair
+    move; more are joined by shuffle.
+    """
+    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    if pairs.count() <= BROADCAST_PAIRS:
+        few = F.broadcast(pairs)
+        both = x.join(few, "a").join(y.join(few, "b"), ["a", "b"])
+    else:
+        both = pairs.join(x, "a").join(y, "b")
 
     def step(batch: pa.RecordBatch):
         kept = []
@@ -149,19 +160,24 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     docs = docs.select("doc_id", "text")
     signed = staged(signed_documents(docs, size, percent, count_shingles(docs, size)), "signed")
     classes = signed.where("n > 0").groupBy("key", "node", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
-    tokens = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    by_size = W.partitionBy("token").orderBy("n", "node")
-    here = F.struct("node", "n", "pos")
-    near = F.filter(F.array(*[F.lead(here, k).over(by_size) for k in range(1, NEXT_BY_SIZE + 1)]), lambda x: x.isNotNull())
-    shared = tokens.withColumn("near", near).withColumn("alone", (F.size("near") == 0) & F.lag("node").over(by_size).isNull())
-    shared = staged(shared.where("NOT alone").drop("alone"), "shared")
-    wanted = staged(shared.select("node").distinct().join(classes.select("node", "rep", "parity"), "node"), "wanted")
-    sets = staged(class_sets(docs, wanted, size), "sets")
-
-    met = shared.select(here.alias("l"), F.explode("near").alias("r"))
+    tokens = classes.select("node", F.posexplode("prefix").alias("pos", "token"), "n")
+    tokens = tokens.select("token", "node", (F.shiftleft(F.col("n"), 31) + F.col("pos")).alias("size"))
+    by_size = W.partitionBy("token").orderBy("size", "node")
+    place = F.struct("node", "size")
+    near = F.filter(F.array(*[F.lead(place, k).over(by_size) for k in range(1, NEXT_BY_SIZE + 1)]), lambda x: x.isNotNull())
+    sharing = tokens.withColumn("sharing", F.count(F.lit(1)).over(by_size.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).withColumn("near", near).where("sharing > 1")
+    size_of = lambda x: F.struct(x.node.alias("node"), F.shiftright(x["size"], 31).alias("n"), x["size"].bitwiseAND(F.lit((1 << 31) - 1)).alias("pos"))
+    spread = sharing.select("token", size_of(F.struct("node", "size")).alias("own"), F.transform("near", size_of).alias("near"), (F.col("sharing") > NEXT_BY_SIZE + 1).alias("large"))
+    spread = staged(spread, "shared")
+
+    # the tests by size are all there is for a shingle of few classes; the later rounds see the others
+    met = spread.select(F.col("own").alias("l"), F.explode("near").alias("r"))
     tried = staged(_pairs(met.where(_may_link("l", "r", percent)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))), "pairs")
+    shared = spread.where("large").select("token", "own.*")
+    nodes = shared.select("node").unionAll(tried.select("a")).unionAll(tried.select("b")).distinct()
+    wanted = staged(nodes.join(classes.select("node", "parity"), "node"), "wanted")
+    sets = staged(class_sets(docs, wanted, size), "sets")
     links = staged(verified(tried, sets, percent), "links")
-    shared = shared.drop("near")
 
     def split_tokens(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Components so far, and the shared shingles that still meet more than one of them."""
