@@ -29,6 +29,8 @@ from quern.llm.common import by_batch, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
+#: Words whose pieces the encoder remembers.
+WORDS_CACHED = 1 << 18
 SPACE = "▁"
 #: Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -93,7 +95,7 @@ def build_tokenizer(model: Model):
         scored = {piece: score for piece, score, kind in model.pieces if kind in (NORMAL, USER_DEFINED)}
         merges = [(-score, ids[whole], k, whole) for whole, score in scored.items() for k in range(1, len(whole)) if whole[:k] in scored and whole[k:] in scored]
         merges = [(whole[:k], whole[k:]) for _, _, k, whole in sorted(merges)]
-        core = models.BPE(ids, merges, unk_token=model.pieces[unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback)
+        core = models.BPE(ids, merges, unk_token=model.pieces[unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=WORDS_CACHED)
     else:
         core = models.Unigram([(piece, score) for piece, score, _ in model.pieces], unknown, model.byte_fallback)
     out = Tokenizer(core)
