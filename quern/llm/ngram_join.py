@@ -42,8 +42,8 @@ from quern.llm.components import components
 from quern.llm.spots import key_filter
 
 SIZE, PERCENT = 4, 85
-#: Counters of how many documents hold a shingle (4 MB, whatever the input).
-COUNTERS = 1 << 20
+#: Counters of how many documents hold a shingle (16 MB, whatever the input).
+COUNTERS = 1 << 22
 RANGES = 512
 NEXT_BY_SIZE, NEXT_BY_HASH = 3, 4
 #: 8 MB of ids.
