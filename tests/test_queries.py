@@ -42,3 +42,12 @@ def test_entry_gives_rows(spark):
 def test_change_ratio(spark):
     rows = registry.QUERIES["token_change_ratio"](spark, SF).where("changed IS NULL OR changed < 0 OR changed > 0.2").count()
     assert rows == 0
+
+
+def test_determinism_check_compares_every_user(spark):
+    """1,500 users a mode, more than any small table has."""
+    sf = "/root/testdata/sf0.1"
+    sql = f"WITH m AS (SELECT user_id AS id, event_type AS mode, max(floor(value / 40)) AS hyp FROM '{sf}/events.parquet' GROUP BY 1, 2), b AS (SELECT id, hyp FROM m WHERE mode = 'view') SELECT mode, count(*) AS compared, count(*) FILTER (WHERE m.hyp <> b.hyp) AS different, coalesce(array_to_string(list_slice(list(m.id ORDER BY m.id) FILTER (WHERE m.hyp <> b.hyp), 1, 20), ';'), '') AS first_ids FROM m JOIN b USING (id) WHERE mode <> 'view' GROUP BY mode"
+    mine, theirs = registry.QUERIES["determinism_check"](spark, sf).toPandas(), duckdb.sql(sql).df()
+    assert min(mine["compared"]) > 500
+    assert plain(mine) == plain(theirs)
