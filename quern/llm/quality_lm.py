@@ -6,19 +6,23 @@ the QUANTILE of the trusted documents of its language. There are two models,
 each of one half of the trusted documents (by a hash of the id); a document is
 scored by the model of the other half, so trusted and other documents compare.
 
-Words are hashed to 2**20 cells; the 2**15 - 2 cells in most documents of the
-half are its vocabulary, the rest is one unknown class whose words are spelled at a flat
-UNKNOWN_BITS more. A bigram is an exact 30-bit key,
-the half one bit more. Counts are kept in shards
-by key, and so are the questions of the documents: each batch of documents asks
-each shard with three bytes a token and gets back a sum for each document. The
-HOT most frequent bigrams are answered where they are asked and do not travel,
-so no frequent word makes a hot shard.
+Every word of a trusted document has counts of its own: a word is 31 bits of its
+hash, a bigram an exact 62-bit key of two words, the half one bit more. A word
+that the half never saw costs UNKNOWN_BITS more than its share of what the
+continuation counts leave.
+
+The cost of a token is a sum of three values, each under its own key: the backoff
+weight of the word before, the lower order of the word, and what the bigram gains
+over both. All are kept in shards by key that grow with the input. The sums of each
+word are made in the shards of the words from what each shard of bigrams has, and
+go back to it for the gains. The questions of the documents are sharded, too: each
+batch of documents asks each shard with five bytes a question and gets back a sum
+for each document. The HOT most frequent bigrams and words are answered where they
+are asked and do not travel, so no frequent word makes a hot shard.
 
 Broadcast are the trusted ids (at most TRUSTED_ROWS, those of smallest hash; the
-only bound on training), the vocabularies (8 MB), the unigram tables and the
-hot bigrams (6 MB together): all of fixed size. Counts and scores travel in shards
-that grow with the input.
+only bound on training) and the hot values (6 MB together) and a bitmap of hashed words (4 MB), so that no question is
+asked about words that were never seen: all of fixed size.
 
 Null, empty and blank texts have no tokens and no bits and are rejected. Labels
 that are null trust nothing; without trusted text nothing can be judged and all
@@ -41,17 +45,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quern.llm.blocks import gathered
+from quern.llm.blocks import BLOCK_CELLS, gathered
 from quern.llm.bytetext import find_words, mix, string_slices, word_hashes
-from quern.llm.common import by_batch, staged, table
+from quern.llm.common import STAGED, by_batch, drop_staged, staged, table
 
-CELLS, WORD_BITS = 1 << 20, 15
+WORD_BITS = 31
 WORDS = 1 << WORD_BITS
 START, UNKNOWN = 0, 1
 HALVES = 2
 KEY_BITS = 2 * WORD_BITS
 KEY_MASK = (1 << KEY_BITS) - 1
-SCRAMBLE = 0x2F0B4C47 & KEY_MASK | 1
+SCRAMBLE = 0x2545F4914F6CDD1D & KEY_MASK | 1
 UNSCRAMBLE = pow(SCRAMBLE, -1, KEY_MASK + 1)
 UNKNOWN_BITS = 20.0
 HOT = 1 << 18
@@ -60,18 +64,27 @@ QUANTILE, PRIOR_TOKENS = 0.999, 10
 BATCH_BYTES = 8 << 20
 BUCKETS = 1 << 16
 TABLE = HALVES * WORDS
-TYPES_AT = 5 * TABLE
+KEY_BYTES, DIGEST_BYTES, WORD_BYTES = 7, 5, 4
+SIEVE_BITS = 24
+COARSE = 1 << 8
 
 
-class Model(NamedTuple):
-    """Both halves' tables, one after the other: per first word its occurrences and the weight of what is unseen after it, per second word its lower order."""
+class Lower(NamedTuple):
+    """What the lower order of each half needs besides a word's own continuations."""
 
-    contexts: np.ndarray
-    backoff: np.ndarray
-    lower: np.ndarray
     discounts: np.ndarray
+    total: np.ndarray
+    flat: np.ndarray
+    unknown: np.ndarray
+
+
+class Model(NamedTuple):
+    """Values of the hot keys, the bits of an unknown word in each half, and a bitmap of the words that may be known."""
+
     hot_keys: np.ndarray
-    hot_gain: np.ndarray
+    hot_values: np.ndarray
+    unknown: np.ndarray
+    sieve: np.ndarray
 
 
 def half_of(ids: pa.Array) -> np.ndarray:
@@ -80,19 +93,18 @@ def half_of(ids: pa.Array) -> np.ndarray:
 
 
 def hashed_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cell of each word of all rows, and the first word of each row."""
+    """Each word of all rows, none START or UNKNOWN, and the first word of each row."""
     starts, ends, first = find_words(buf, offsets)
-    return (word_hashes(buf, starts, ends) >> np.uint64(44)).astype(np.int64), first
+    return np.maximum(word_hashes(buf, starts, ends) >> np.uint64(64 - WORD_BITS), np.uint64(UNKNOWN + 1)).astype(np.int64), first
 
 
-def bigrams(cells: np.ndarray, first: np.ndarray, vocabularies: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(previous word, word) of each token in the vocabulary of its row's `half`; a row's first word follows START. Words of the second half count on from WORDS."""
+def bigrams(words: np.ndarray, first: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(previous word, word) of each token in the half of its row; a row's first word follows START. Words of the second half count on from WORDS."""
     rows = np.repeat(half, np.diff(first))
-    word = vocabularies[rows, cells].astype(np.int64)
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[first[:-1][first[:-1] < len(word)]] = START
-    return before + rows * WORDS, word + rows * WORDS
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[first[:-1][first[:-1] < len(words)]] = START
+    return before + rows * WORDS, words + rows * WORDS
 
 
 def scramble(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -105,14 +117,29 @@ def unscramble(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (plain >> WORD_BITS) + base, (plain & (WORDS - 1)) + base
 
 
-def pack(residues: np.ndarray) -> bytes:
-    return residues.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+def context_keys(before: np.ndarray) -> np.ndarray:
+    """Keys of words as contexts; no bigram has them."""
+    return scramble(before, np.full_like(before, UNKNOWN))
+
+
+def lower_keys(word: np.ndarray) -> np.ndarray:
+    """Keys of words in the lower order; no bigram has them."""
+    return scramble((word & ~np.int64(WORDS - 1)) + UNKNOWN, word)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    rows = np.zeros((len(data) // 3, 4), np.uint8)
-    rows[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
-    return rows.view("<u4").ravel().astype(np.int64)
+def pack(residues: np.ndarray, width: int = 3) -> bytes:
+    return residues.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(data: bytes, width: int = 3) -> np.ndarray:
+    rows = np.zeros((len(data) // width, 8), np.uint8)
+    rows[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return rows.view("<i8").ravel().astype(np.int64)
+
+
+def digests(residues: np.ndarray, shift: int) -> np.ndarray:
+    """The upper bits of keys in their shard, by which they are asked."""
+    return residues >> (shift - 8 * DIGEST_BYTES)
 
 
 def squeezed(values: np.ndarray, kind: str) -> bytes:
@@ -142,21 +169,12 @@ def _trusted(batch: pa.RecordBatch, known: np.ndarray) -> tuple[pa.Array, np.nda
     return batch.column(1).filter(kept), half_of(batch.column(0).filter(kept))
 
 
-def choose_vocabulary(counts: np.ndarray) -> np.ndarray:
-    """Class of each cell: those in most documents from 2 up, all others UNKNOWN."""
-    order = np.lexsort((np.arange(len(counts)), -counts.astype(np.int64)))[: WORDS - 2]
-    order = order[counts[order] > 0]
-    out = np.full(len(counts), UNKNOWN, np.int32)
-    out[order] = np.arange(2, 2 + len(order))
-    return out
-
-
 def shard_shift(shards: int) -> int:
     """`shards` is a power of two, half of them for each half."""
     return KEY_BITS + 1 - (shards.bit_length() - 1)
 
 
-def count_shards(docs: DataFrame, known, vocabulary, shards: int) -> DataFrame:
+def count_shards(docs: DataFrame, known, shards: int) -> DataFrame:
     """(shard, keys, counts): the bigrams of the trusted documents, merged shard by shard."""
     shift = shard_shift(shards)
     schema = "shard int, keys binary, counts binary"
@@ -167,14 +185,14 @@ def count_shards(docs: DataFrame, known, vocabulary, shards: int) -> DataFrame:
         found = [s for s in range(shards) if borders[s + 1] > borders[s]]
         low = keys & ((1 << shift) - 1)
         parts = [slice(borders[s], borders[s + 1]) for s in found]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([pack(low[p]) for p in parts], pa.binary()), pa.array([squeezed(counts[p], "<u4") for p in parts], pa.binary())], ["shard", "keys", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([pack(low[p], KEY_BYTES) for p in parts], pa.binary()), pa.array([squeezed(counts[p], "<u4") for p in parts], pa.binary())], ["shard", "keys", "counts"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             texts, half = _trusted(batch, known.value)
             for start, count, buf, offsets in string_slices(texts):
-                held.append(scramble(*bigrams(*hashed_words(buf, offsets), vocabulary.value, half[start : start + count])))
+                held.append(scramble(*bigrams(*hashed_words(buf, offsets), half[start : start + count])))
                 size += len(held[-1])
                 if size > 1 << 22:
                     yield from rows(*np.unique(np.concatenate(held), return_counts=True))
@@ -183,17 +201,20 @@ def count_shards(docs: DataFrame, known, vocabulary, shards: int) -> DataFrame:
             yield from rows(*np.unique(np.concatenate(held), return_counts=True))
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        keys, inverse = np.unique(np.concatenate([unpack(x) for x in group["keys"]]), return_inverse=True)
+        keys, inverse = np.unique(np.concatenate([unpack(x, KEY_BYTES) for x in group["keys"]]), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([expanded(x, "<u4") for x in group["counts"]])).astype(np.int64)
-        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "keys": [pack(keys)], "counts": [squeezed(counts, "<u4")]})
+        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "keys": [pack(keys, KEY_BYTES)], "counts": [squeezed(counts, "<u4")]})
 
     return docs.select("doc_id", "text").mapInArrow(run, schema).groupBy("shard").applyInPandas(merge, schema)
 
 
+def _whole_keys(keys: bytes, shard: int, shift: int) -> np.ndarray:
+    return unpack(keys, KEY_BYTES) | int(shard) << shift
+
+
 def _decoded(batch: pa.RecordBatch, shift: int):
     for shard, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        whole = unpack(keys) | shard << shift
-        yield whole, expanded(counts, "<u4").astype(np.int64)
+        yield _whole_keys(keys, shard, shift), expanded(counts, "<u4").astype(np.int64)
 
 
 def _size_bucket(counts: np.ndarray) -> np.ndarray:
@@ -210,65 +231,210 @@ def discounts_of(types: np.ndarray) -> np.ndarray:
     return np.clip(np.array(d), [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95])
 
 
-def fit_model(merged: DataFrame, shards: int) -> tuple[DataFrame, Model]:
-    """The merged shards as a table, and unigram tables, discounts and hot bigrams from them."""
+def types_of(tables: DataFrame, shift: int) -> np.ndarray:
+    """How many bigrams have a count in each bucket."""
+
+    def fill(cells: np.ndarray, batch: pa.RecordBatch) -> None:
+        for _, counts in _decoded(batch, shift):
+            cells += np.bincount(_size_bucket(counts), minlength=BUCKETS)
+
+    return gathered(tables, fill, BUCKETS, "int64")
+
+
+def hot_limit(types: np.ndarray) -> int:
+    """The bucket from which at most HOT are counted."""
+    fits = np.flatnonzero(np.cumsum(types[::-1])[::-1] <= HOT)
+    return int(fits[0]) if len(fits) else BUCKETS
+
+
+def word_keys(before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of all contexts and words of a shard of bigrams, which of them are contexts, and where each bigram's two are."""
+    contexts, at = np.unique(before, return_inverse=True)
+    words, to = np.unique(word, return_inverse=True)
+    keys = np.concatenate([context_keys(contexts), lower_keys(words)])
+    order = np.argsort(keys)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return keys[order], order < len(contexts), place[at], place[len(contexts) + to]
+
+
+def word_sums(tables: DataFrame, discounts: np.ndarray, shards: int) -> DataFrame:
+    """(shard, part, keys, sums, weights) of words: where part is -1, occurrences and backoff weights of contexts and continuations of words; else the same for the words of a shard of bigrams, in the order of word_keys."""
+    shift, coarse = shard_shift(shards), min(shards, COARSE)
+    wide = shard_shift(coarse)
+    schema = "shard int, part int, keys binary, sums binary, weights binary"
+
+    def ask(batch: pa.RecordBatch):
+        for source, (whole, counts) in zip(batch.column(0).to_pylist(), _decoded(batch, shift), strict=True):
+            keys, _, at, to = word_keys(*unscramble(whole))
+            sums = np.bincount(at, counts, len(keys)) + np.bincount(to, minlength=len(keys))
+            weights = np.bincount(at, discounts[np.minimum(counts, 3)], len(keys))
+            borders = np.searchsorted(keys >> wide, np.arange(coarse + 1))
+            found = [k for k in range(coarse) if borders[k + 1] > borders[k]]
+            parts = [slice(borders[k], borders[k + 1]) for k in found]
+            before, word = unscramble(keys)
+            context = _is_context(keys)
+            own = np.where(context, before, word) & (WORDS - 1) | context.astype(np.int64) << WORD_BITS
+            columns = [(found, pa.int32()), ([source] * len(found), pa.int32()), ([pack(own[p], WORD_BYTES) for p in parts], pa.binary()), ([squeezed(sums[p], "<u4") for p in parts], pa.binary()), ([squeezed(weights[p], "<f4") for p in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in columns], ["shard", "part", "keys", "sums", "weights"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        first = int(group["shard"].iloc[0])
+        base = (first << wide >> KEY_BITS) * WORDS
+        each = []
+        for x in group["keys"]:
+            own = unpack(x, WORD_BYTES)
+            word = (own & (WORDS - 1)) + base
+            each.append(np.where(own >> WORD_BITS, context_keys(word), lower_keys(word)))
+        keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
+        sums = np.bincount(inverse, np.concatenate([expanded(x, "<u4") for x in group["sums"]]))
+        weights = np.bincount(inverse, np.concatenate([expanded(x, "<f4") for x in group["weights"]]))
+        weights = weights / np.maximum(sums, 1)
+        out, end = [], 0
+        for source, x in zip(group["part"], each, strict=True):
+            own = inverse[end : end + len(x)]
+            end += len(x)
+            out.append((source, first, None, squeezed(sums[own], "<u4"), squeezed(weights[own], "<f4")))
+        fine = keys >> shift
+        for shard in np.unique(fine):
+            p = slice(*np.searchsorted(fine, [shard, shard + 1]))
+            out.append((shard, -1, pack(keys[p] & ((1 << shift) - 1), KEY_BYTES), squeezed(sums[p], "<u4"), squeezed(weights[p], "<f4")))
+        return pd.DataFrame(out, columns=["shard", "part", "keys", "sums", "weights"])
+
+    return by_batch(tables, ask, schema).groupBy("shard").applyInPandas(add, schema)
+
+
+def _is_context(keys: np.ndarray) -> np.ndarray:
+    return unscramble(keys)[1] & (WORDS - 1) == UNKNOWN
+
+
+def _sieve_cells(word: np.ndarray) -> np.ndarray:
+    return word >> (WORD_BITS - SIEVE_BITS)
+
+
+def word_sieve(sums: DataFrame, shards: int) -> np.ndarray:
+    """A bit for each cell of words with any counts: about what is in none nothing need be asked. START's cell is set."""
     shift = shard_shift(shards)
-    tables = staged(merged, "bigrams")
 
     def fill(cells: np.ndarray, batch: pa.RecordBatch) -> None:
-        for keys, counts in _decoded(batch, shift):
+        for shard, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys = _whole_keys(keys, shard, shift)
             before, word = unscramble(keys)
-            for k, weight in enumerate((counts, counts == 1, counts == 2, counts > 2)):
-                cells[k * TABLE : (k + 1) * TABLE] += np.bincount(before, weight, TABLE).astype(np.int64)
-            cells[4 * TABLE : 5 * TABLE] += np.bincount(word, minlength=TABLE)
-            cells[TYPES_AT : TYPES_AT + BUCKETS] += np.bincount(_size_bucket(counts), minlength=BUCKETS)
-
-    cells = gathered(tables, fill, TYPES_AT + BUCKETS, "int64")
-    total, n1, n2, n3, left = cells[:TYPES_AT].reshape(5, TABLE).astype(float)
-    types = cells[TYPES_AT:]
-    d = discounts_of(types[_size_bucket(np.array([1, 2, 3, 4]))])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        backoff = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / total, 1.0)
-
-    def lower(left: np.ndarray) -> np.ndarray:
-        low = discounts_of(np.bincount(np.minimum(left, 5).astype(int), minlength=6)[1:5])
-        cut = np.minimum(low[np.minimum(left, 3).astype(int)], left)
-        flat = cut.sum() / left.sum() if left.sum() else 1.0
-        p = (left - cut) / max(left.sum(), 1.0) + flat / WORDS
-        p[UNKNOWN] *= 2.0**-UNKNOWN_BITS
-        return p
-
-    most = np.cumsum(types[::-1])[::-1]
-    fits = np.flatnonzero(most <= HOT)
-    limit = int(fits[0]) if len(fits) else BUCKETS
-
-    def pick(batch: pa.RecordBatch):
-        keys, counts = [], []
-        for k, c in _decoded(batch, shift):
-            kept = _size_bucket(c) >= limit
-            keys.append(k[kept].astype("<i8").tobytes())
-            counts.append(c[kept].astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["keys", "counts"])
-
-    got = by_batch(tables, pick, "keys binary, counts binary").collect()
-    keys, counts = (np.concatenate([np.frombuffer(r[k], "<i8") for r in got] or [np.zeros(0, np.int64)]) for k in (0, 1))
-    order = np.argsort(keys, kind="stable")
-    model = Model(total, backoff, np.concatenate([lower(x) for x in left.reshape(HALVES, WORDS)]), d, keys[order], np.zeros(0))
-    return tables, model._replace(hot_gain=gain(model, keys[order], counts[order]))
+            cells[_sieve_cells(np.where(_is_context(keys), before, word))] = 1
 
+    return np.packbits(gathered(sums.where("part < 0").select("shard", "keys"), fill, HALVES << SIEVE_BITS, "uint8", 1))
+
+
+def may_be_known(sieve: np.ndarray, word: np.ndarray) -> np.ndarray:
+    cells = _sieve_cells(word)
+    return sieve[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1 > 0
+
+
+def lower_order(sums: DataFrame, shards: int) -> tuple[Lower, int]:
+    """What all words' continuations give, and the bucket of the least frequent hot words."""
+    shift = shard_shift(shards)
+
+    def fill(cells: np.ndarray, batch: pa.RecordBatch) -> None:
+        for shard, keys, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys, n = _whole_keys(keys, shard, shift), expanded(found, "<u4").astype(np.int64)
+            cells[:BUCKETS] += np.bincount(_size_bucket(n), minlength=BUCKETS)
+            low = ~_is_context(keys)
+            half = (keys[low] >> KEY_BITS) * 8
+            cells[BUCKETS : BUCKETS + 16] += np.bincount(half + np.minimum(n[low], 5), minlength=16)
+            cells[BUCKETS + 16 : BUCKETS + 32] += np.bincount(half, n[low], 16).astype(np.int64)
 
-def gain(model: Model, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    cells = gathered(sums.where("part < 0").select("shard", "keys", "sums"), fill, BUCKETS + BLOCK_CELLS, "int64")
+    counts = cells[BUCKETS : BUCKETS + 16].reshape(HALVES, 8)
+    total = cells[BUCKETS + 16 : BUCKETS + 32 : 8].astype(float)
+    low = np.stack([discounts_of(x[1:5]) for x in counts])
+    cut = low[:, 1] * counts[:, 1] + low[:, 2] * counts[:, 2] + low[:, 3] * counts[:, 3:].sum(axis=1)
+    left_over = np.where(total > 0, cut / np.maximum(total, 1), 1.0)
+    flat = left_over / (counts.sum(axis=1) + 1)
+    return Lower(low, np.maximum(total, 1), flat, UNKNOWN_BITS - np.log2(flat)), hot_limit(cells[:BUCKETS])
+
+
+def lower_of(low: Lower, half: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Lower-order probability of words with `left` continuations."""
+    return (left - low.discounts[half, np.minimum(left, 3)]) / low.total[half] + low.flat[half]
+
+
+VALUES = "shard int, keys binary, cost binary, hot_keys binary, hot_cost binary"
+
+
+def _values_row(shard: int, shift: int, keys: np.ndarray, cost: np.ndarray, hot: np.ndarray) -> tuple:
+    low = digests(keys & ((1 << shift) - 1), shift)
+    return int(shard), pack(low, DIGEST_BYTES), cost.astype("<f4").tobytes(), keys[hot].astype("<i8").tobytes(), cost[hot].astype("<f4").tobytes()
+
+
+def word_values(sums: DataFrame, low: Lower, limit: int, shards: int) -> DataFrame:
+    """Bits of each context's backoff weight, and of each word beyond those of an unknown one."""
+    shift = shard_shift(shards)
+
+    def step(batch: pa.RecordBatch):
+        out = []
+        for shard, keys, n, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys, n = _whole_keys(keys, shard, shift), expanded(n, "<u4").astype(np.int64)
+            half = keys >> KEY_BITS
+            cost = np.where(_is_context(keys), -np.log2(np.maximum(expanded(weights, "<f4"), 1e-30)), -np.log2(lower_of(low, half, n)) - low.unknown[half])
+            out.append(_values_row(shard, shift, keys, cost, _size_bucket(n) >= limit))
+        yield pa.RecordBatch.from_pylist([dict(zip(VALUE_NAMES, x, strict=True)) for x in out], pa.schema(VALUE_KINDS))
+
+    return by_batch(sums.where("part < 0").select("shard", "keys", "sums", "weights"), step, VALUES)
+
+
+VALUE_NAMES = [f.split()[0] for f in VALUES.split(", ")]
+VALUE_KINDS = [(name, pa.binary() if k else pa.int32()) for k, name in enumerate(VALUE_NAMES)]
+
+
+def bigram_values(tables: DataFrame, sums: DataFrame, discounts: np.ndarray, low: Lower, limit: int, shards: int) -> DataFrame:
+    """What each bigram gains over its backoff, negative."""
+    shift = shard_shift(shards)
+
+    def run(own: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        shard = int(own["shard"].iloc[0])
+        whole, counts = _whole_keys(own["keys"].iloc[0], shard, shift), expanded(own["counts"].iloc[0], "<u4").astype(np.int64)
+        keys, _, at, to = word_keys(*unscramble(whole))
+        words = words.sort_values("part")
+        n = np.concatenate([expanded(x, "<u4") for x in words["sums"]]).astype(np.int64)
+        weights = np.concatenate([expanded(x, "<f4") for x in words["weights"]]).astype(float)
+        if len(n) != len(keys):
+            raise ValueError("a shard of bigrams got back another number of words than it asked for")
+        seen = gain(counts, discounts, n[at], weights[at], lower_of(low, whole >> KEY_BITS, n[to]))
+        return pd.DataFrame([_values_row(shard, shift, whole, -seen, _size_bucket(counts) >= limit)], columns=VALUE_NAMES)
+
+    return tables.groupBy("shard").cogroup(sums.where("part >= 0").groupBy("shard")).applyInPandas(run, VALUES)
+
+
+def gain(counts: np.ndarray, discounts: np.ndarray, contexts: np.ndarray, backoff: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """How many bits a bigram seen `counts` times is better than one never seen after the same word."""
-    before, word = unscramble(keys)
-    seen = np.maximum(counts - model.discounts[np.minimum(counts, 3)], 0) / np.maximum(model.contexts[before], 1)
-    seen[word & (WORDS - 1) == UNKNOWN] *= 2.0**-UNKNOWN_BITS
-    return np.log2(1 + seen / (model.backoff[before] * model.lower[word]))
+    seen = np.maximum(counts - discounts[np.minimum(counts, 3)], 0) / np.maximum(contexts, 1)
+    return np.log2(1 + seen / (backoff * lower))
+
+
+def fit_model(merged: DataFrame, shards: int) -> tuple[DataFrame, Model]:
+    """The values of all keys in shards, and those of the hot keys."""
+    at = len(STAGED)
+    tables = staged(merged, "bigrams")
+    types = types_of(tables, shard_shift(shards))
+    discounts = discounts_of(types[_size_bucket(np.array([1, 2, 3, 4]))])
+    sums = staged(word_sums(tables, discounts, shards), "words")
+    scratch = STAGED[at:]
+    low, limit = lower_order(sums, shards)
+    values = staged(word_values(sums, low, limit, shards).unionAll(bigram_values(tables, sums, discounts, low, hot_limit(types), shards)), "values")
+    sieve = word_sieve(sums, shards)
+    # the values are all that goes on; scratch tables go now, and shuffles with the collection of their plans
+    drop_staged(tables.sparkSession, scratch)
+    tables.sparkSession.sparkContext._jvm.System.gc()
+    got = values.select("hot_keys", "hot_cost").collect()
+    keys, cost = (np.concatenate([np.frombuffer(r[k], kind) for r in got] or [np.zeros(0, kind)]) for k, kind in (("hot_keys", "<i8"), ("hot_cost", "<f4")))
+    order = np.argsort(keys, kind="stable")
+    return values.select("shard", "keys", "cost"), Model(keys[order], cost[order], low.unknown, sieve)
 
 
 ASKED = "shard int, batch string, head boolean, sizes binary, keys binary, doc_ids array<bigint>, langs array<string>, trusted binary, n_tokens binary, bits binary, parts int"
 
 
-def ask_shards(docs: DataFrame, known, vocabulary, model, shards: int) -> DataFrame:
+def ask_shards(docs: DataFrame, known, model, shards: int) -> DataFrame:
     """Per batch of documents a head with what is known already, and one row of questions for each shard."""
     shift = shard_shift(shards)
 
@@ -276,29 +442,30 @@ def ask_shards(docs: DataFrame, known, vocabulary, model, shards: int) -> DataFr
         trusted, other = _is_in(ids, known.value), HALVES - 1 - half_of(ids)
         m, keys, owners, tokens, bits, base = model.value, [], [], [], [], 0
         for _, count, buf, offsets in string_slices(texts):
-            cells, first = hashed_words(buf, offsets)
+            words, first = hashed_words(buf, offsets)
             owner = np.repeat(np.arange(count), np.diff(first)) + base
-            before, word = bigrams(cells, first, vocabulary.value, other[base : base + count])
-            cost = -np.log2(m.backoff[before] * m.lower[word])
-            key = scramble(before, word)
-            at = np.minimum(np.searchsorted(m.hot_keys, key), max(0, len(m.hot_keys) - 1))
-            hot = m.hot_keys[at] == key if len(m.hot_keys) else np.zeros(len(key), bool)
-            cost[hot] -= m.hot_gain[at[hot]]
+            half = other[base : base + count]
+            before, word = bigrams(words, first, half)
             tokens.append(np.diff(first))
-            bits.append(np.bincount(owner - base, cost, count))
-            sent = ~hot & (m.contexts[before] > 0)
-            keys.append(key[sent])
-            owners.append(owner[sent])
+            whole = m.unknown[half] * np.diff(first)
+            first_known, known_word = may_be_known(m.sieve, before), may_be_known(m.sieve, word)
+            for asked, key in ((first_known, context_keys(before)), (known_word, lower_keys(word)), (first_known & known_word, scramble(before, word))):
+                at = np.minimum(np.searchsorted(m.hot_keys, key), max(0, len(m.hot_keys) - 1))
+                hot = m.hot_keys[at] == key if len(m.hot_keys) else np.zeros(len(key), bool)
+                whole += np.bincount(owner[hot] - base, m.hot_values[at[hot]], count)
+                keys.append(key[asked & ~hot])
+                owners.append(owner[asked & ~hot])
+            bits.append(whole)
             base += count
         keys, owners = np.concatenate(keys), np.concatenate(owners)
         shard = keys >> shift
-        order = np.argsort(shard, kind="stable")
-        keys, owners = keys[order] & ((1 << shift) - 1), owners[order]
+        order = np.lexsort((owners, shard))
+        keys, owners = digests(keys[order] & ((1 << shift) - 1), shift), owners[order]
         borders = np.searchsorted(shard[order], np.arange(shards + 1))
         found = [s for s in range(shards) if borders[s + 1] > borders[s]]
         name = f"{TaskContext.get().partitionId()}-{serial}-{zlib.crc32(b''.join(x.tobytes() for x in bits)):08x}"
         sizes = [squeezed(np.bincount(owners[borders[s] : borders[s + 1]], minlength=base), "<u4") for s in found]
-        parts = [pack(keys[borders[s] : borders[s + 1]]) for s in found]
+        parts = [pack(keys[borders[s] : borders[s + 1]], DIGEST_BYTES) for s in found]
         n, none = len(found), lambda kind: pa.nulls(len(found), kind)
         home = zlib.crc32(name.encode()) % shards
         columns = [
@@ -331,26 +498,24 @@ def ask_shards(docs: DataFrame, known, vocabulary, model, shards: int) -> DataFr
 ANSWERED = "batch string, head boolean, saved binary, doc_ids array<bigint>, langs array<string>, trusted binary, n_tokens binary, bits binary, parts int"
 
 
-def answer(asked: DataFrame, tables: DataFrame, model, shards: int) -> DataFrame:
+def answer(asked: DataFrame, tables: DataFrame) -> DataFrame:
     """Each shard's sums for the documents of each batch."""
-    shift = shard_shift(shards)
 
     def run(known: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        m = model.value
-        low, counts = (unpack(known["keys"].iloc[0]), expanded(known["counts"].iloc[0], "<u4").astype(np.int64)) if len(known) else (np.zeros(0, np.int64),) * 2
+        low = np.concatenate([unpack(x, DIGEST_BYTES) for x in known["keys"]] or [np.zeros(0, np.int64)])
+        cost = np.concatenate([np.frombuffer(x, "<f4") for x in known["cost"]] or [np.zeros(0, "<f4")])
+        order = np.argsort(low)
+        low, cost = low[order], cost[order]
         saved = []
         for head, sizes, keys in zip(questions["head"], questions["sizes"], questions["keys"], strict=True):
             if head:
                 saved.append(None)
                 continue
-            sizes, keys = expanded(sizes, "<u4"), unpack(keys)
+            sizes, keys = expanded(sizes, "<u4"), unpack(keys, DIGEST_BYTES)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             at = np.minimum(np.searchsorted(low, keys), max(0, len(low) - 1))
-            seen = np.where(low[at] == keys, counts[at], 0) if len(low) else np.zeros(len(keys), np.int64)
-            hit = seen > 0
-            better = np.zeros(len(keys))
-            better[hit] = gain(m, keys[hit] | int(questions["shard"].iloc[0]) << shift, seen[hit])
-            saved.append(np.bincount(owner, better, len(sizes)).astype("<f4").tobytes())
+            more = np.where(low[at] == keys, cost[at], 0) if len(low) else np.zeros(len(keys))
+            saved.append(squeezed(np.bincount(owner, more, len(sizes)), "<f4"))
         return questions.assign(saved=saved)[[f.split()[0] for f in ANSWERED.split(", ")]]
 
     return tables.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(run, ANSWERED)
@@ -367,7 +532,7 @@ def add_up(answers: DataFrame) -> DataFrame:
         head = heads.iloc[0]
         bits = np.frombuffer(head["bits"], "<f8").copy()
         for x in rest["saved"]:
-            bits -= np.frombuffer(x, "<f4")
+            bits += expanded(x, "<f4")
         n = len(bits)
         return pd.DataFrame({"doc_id": pd.array(list(head["doc_ids"]), "Int64"), "lang": list(head["langs"]), "trusted": np.unpackbits(np.frombuffer(head["trusted"], np.uint8))[:n].astype(bool), "n_tokens": expanded(head["n_tokens"], "<i8"), "total_bits": bits})
 
@@ -380,19 +545,13 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = sc.broadcast(trusted_ids(labels))
 
     def fill(cells: np.ndarray, batch: pa.RecordBatch) -> None:
-        texts, half = _trusted(batch, known.value)
-        for start, count, buf, offsets in string_slices(texts):
-            found, first = hashed_words(buf, offsets)
-            rows = np.repeat(np.arange(count), np.diff(first))
-            own = np.unique(rows << 20 | found)
-            np.add.at(cells, half[start + (own >> 20)] * CELLS + (own & (CELLS - 1)), 1)
-
-    counts = gathered(docs.select("doc_id", "text"), fill, HALVES * CELLS, "int64")
-    shards = 1 << max(7, min(13, int(counts.sum() >> 19).bit_length() + 1))
-    vocabulary = sc.broadcast(np.stack([choose_vocabulary(x) for x in counts.reshape(HALVES, CELLS)]))
-    tables, model = fit_model(count_shards(docs, known, vocabulary, shards), shards)
+        cells[0] += sum(len(buf) for _, _, buf, _ in string_slices(_trusted(batch, known.value)[0]))
+
+    size = int(gathered(docs.select("doc_id", "text"), fill, BLOCK_CELLS, "int64")[0])
+    shards = 1 << max(7, min(13, (size >> 22).bit_length() + 1))
+    tables, model = fit_model(count_shards(docs, known, shards), shards)
     model = sc.broadcast(model)
-    return add_up(answer(ask_shards(docs, known, vocabulary, model, shards), tables, model, shards))
+    return add_up(answer(ask_shards(docs, known, model, shards), tables))
 
 
 def judge(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -70,3 +70,26 @@ def removal(rows, length=400):
         spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
         out.append((i, len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
     return sorted(out, key=str)
+
+
+def kneser_ney(rows, trusted, half, discounts_of, unknown_bits):
+    """{id: total bits} by the model of the other half, of rows with unique ids."""
+    words = {i: WORD.findall(text or "") for i, text in rows}
+    counts = [Counter(), Counter()]
+    for i in trusted:
+        counts[half[i]].update(zip(["", *words[i]], words[i], strict=False))
+    sizes = Counter(n for c in counts for n in c.values())
+    d, bits = discounts_of(np.array([sizes[k] for k in (1, 2, 3, 4)])), {i: 0.0 for i in words}
+    for h, c in enumerate(counts):
+        left, total, spare = Counter(w for _, w in c), Counter(), Counter()
+        for (v, _), n in c.items():
+            total[v] += n
+            spare[v] += d[min(n, 3)]
+        low = discounts_of(np.array([sum(n == k for n in left.values()) for k in (1, 2, 3, 4)]))
+        flat = (sum(low[min(n, 3)] for n in left.values()) / len(c) if c else 1.0) / (len(left) + 1)
+        for i in (i for i in words if half[i] != h):
+            for v, w in zip(["", *words[i]], words[i], strict=False):
+                lower = (left[w] - low[min(left[w], 3)]) / len(c) + flat if left[w] else flat * 2.0**-unknown_bits
+                seen = max(c[v, w] - d[min(c[v, w], 3)], 0) / max(total[v], 1)
+                bits[i] -= np.log2(seen + (spare[v] / total[v] if total[v] else 1.0) * lower)
+    return bits

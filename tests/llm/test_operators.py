@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -215,6 +216,33 @@ def test_quality_lm(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.2
 
 
+def halves(ids):
+    return dict(zip(ids, quality_lm.half_of(pa.array(ids, pa.int64())).tolist(), strict=True))
+
+
+@pytest.mark.parametrize("hot", [quality_lm.HOT, 50])
+def test_quality_lm_is_kneser_ney(spark, monkeypatch, hot):
+    """With few hot keys nearly all is asked of the shards."""
+    monkeypatch.setattr(quality_lm, "HOT", hot)
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    trusted = {r.doc_id for r in labels.where("quality = 1").collect()} & {i for i, _ in rows}
+    want = cases.kneser_ney(rows, trusted, halves([i for i, _ in rows]), quality_lm.discounts_of, quality_lm.UNKNOWN_BITS)
+    got = {r.doc_id: r.total_bits for r in quality_lm.score_documents(docs, labels).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) <= 1e-4 * (1 + want[i]) for i in want)
+
+
+def test_quality_lm_counts_every_word(spark):
+    """80,000 words, each in both halves."""
+    half, rows = halves(list(range(1000))), []
+    for h in (0, 1):
+        ids = [i for i, x in half.items() if x == h][:80]
+        rows += [(i, " ".join(f"w{k}x{n}" for n in range(1000)), "en", "a") for k, i in enumerate(ids)]
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    scored = quality_lm.score_documents(cases.documents(spark, rows), labels).collect()
+    assert len(scored) == 160 and max(r.total_bits / r.n_tokens for r in scored) < 5
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.Generator(np.random.PCG64(1))
     counts = np.zeros((quality_lm.HALVES, 4, 4), int)
