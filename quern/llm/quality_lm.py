@@ -20,8 +20,8 @@ batch of documents asks each shard with five bytes a question and gets back a su
 for each document. The HOT most frequent bigrams and words are answered where they
 are asked and do not travel, so no frequent word makes a hot shard.
 
-Broadcast are the trusted ids (at most TRUSTED_ROWS, those of smallest hash; the
-only bound on training) and the hot values (6 MB together) and a bitmap of hashed words (4 MB), so that no question is
+Trusted documents are found by joins on the id, without a bound. Broadcast are the
+hot values (6 MB together) and a bitmap of hashed words (4 MB), so that no question is
 asked about words that were never seen: all of fixed size.
 
 Null, empty and blank texts have no tokens and no bits and are rejected. Labels
@@ -59,7 +59,6 @@ SCRAMBLE = 0x2545F4914F6CDD1D & KEY_MASK | 1
 UNSCRAMBLE = pow(SCRAMBLE, -1, KEY_MASK + 1)
 UNKNOWN_BITS = 20.0
 HOT = 1 << 18
-TRUSTED_ROWS = 4_000_000
 QUANTILE, PRIOR_TOKENS = 0.999, 10
 BATCH_BYTES = 8 << 20
 BUCKETS = 1 << 16
@@ -150,23 +149,9 @@ def expanded(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), kind)
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> np.ndarray:
-    """Sorted ids of the documents labelled good, at most `most`."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return np.sort(good.toPandas()["doc_id"].to_numpy(np.int64))
-
-
-def _is_in(ids: pa.Array, known: np.ndarray) -> np.ndarray:
-    values = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-    at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
-    valid = np.asarray(ids.is_valid())
-    return valid & (known[at] == values) if len(known) else np.zeros(len(values), bool)
-
-
-def _trusted(batch: pa.RecordBatch, known: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Texts of the trusted documents, and their halves."""
-    kept = pa.array(_is_in(batch.column(0), known))
-    return batch.column(1).filter(kept), half_of(batch.column(0).filter(kept))
+def good_ids(labels: DataFrame) -> DataFrame:
+    """Ids of the documents labelled good."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def shard_shift(shards: int) -> int:
@@ -174,8 +159,8 @@ def shard_shift(shards: int) -> int:
     return KEY_BITS + 1 - (shards.bit_length() - 1)
 
 
-def count_shards(docs: DataFrame, known, shards: int) -> DataFrame:
-    """(shard, keys, counts): the bigrams of the trusted documents, merged shard by shard."""
+def count_shards(docs: DataFrame, shards: int) -> DataFrame:
+    """(shard, keys, counts): the bigrams of trusted documents, merged shard by shard."""
     shift = shard_shift(shards)
     schema = "shard int, keys binary, counts binary"
 
@@ -190,8 +175,8 @@ def count_shards(docs: DataFrame, known, shards: int) -> DataFrame:
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            texts, half = _trusted(batch, known.value)
-            for start, count, buf, offsets in string_slices(texts):
+            half = half_of(batch.column(0))
+            for start, count, buf, offsets in string_slices(batch.column(1)):
                 held.append(scramble(*bigrams(*hashed_words(buf, offsets), half[start : start + count])))
                 size += len(held[-1])
                 if size > 1 << 22:
@@ -434,12 +419,12 @@ def fit_model(merged: DataFrame, shards: int) -> tuple[DataFrame, Model]:
 ASKED = "shard int, batch string, head boolean, sizes binary, keys binary, doc_ids array<bigint>, langs array<string>, trusted binary, n_tokens binary, bits binary, parts int"
 
 
-def ask_shards(docs: DataFrame, known, model, shards: int) -> DataFrame:
+def ask_shards(docs: DataFrame, model, shards: int) -> DataFrame:
     """Per batch of documents a head with what is known already, and one row of questions for each shard."""
     shift = shard_shift(shards)
 
-    def rows(texts: pa.Array, ids: pa.Array, langs: pa.Array, serial: int):
-        trusted, other = _is_in(ids, known.value), HALVES - 1 - half_of(ids)
+    def rows(texts: pa.Array, ids: pa.Array, langs: pa.Array, trusted: pa.Array, serial: int):
+        trusted, other = trusted.to_numpy(zero_copy_only=False), HALVES - 1 - half_of(ids)
         m, keys, owners, tokens, bits, base = model.value, [], [], [], [], 0
         for _, count, buf, offsets in string_slices(texts):
             words, first = hashed_words(buf, offsets)
@@ -490,9 +475,9 @@ def ask_shards(docs: DataFrame, known, model, shards: int) -> DataFrame:
 
     def flush(held, serial):
         whole = pa.Table.from_batches(held).combine_chunks()
-        yield from rows(*(whole.column(k).combine_chunks() for k in (1, 0, 2)), serial)
+        yield from rows(*(whole.column(k).combine_chunks() for k in (1, 0, 2, 3)), serial)
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, ASKED)
+    return docs.select("doc_id", "text", "lang", "trusted").mapInArrow(run, ASKED)
 
 
 ANSWERED = "batch string, head boolean, saved binary, doc_ids array<bigint>, langs array<string>, trusted binary, n_tokens binary, bits binary, parts int"
@@ -541,17 +526,18 @@ def add_up(answers: DataFrame) -> DataFrame:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs(doc_id, text, lang) to (doc_id, lang, trusted, n_tokens, total_bits)."""
-    sc = docs.sparkSession.sparkContext
-    known = sc.broadcast(trusted_ids(labels))
+    docs, good = docs.select("doc_id", "text", "lang"), good_ids(labels)
+    trusted = docs.join(good, "doc_id", "left_semi").select("doc_id", "text")
+    marked = docs.join(good.withColumn("good", F.lit(True)), "doc_id", "left").withColumn("trusted", F.col("good").isNotNull())
 
     def fill(cells: np.ndarray, batch: pa.RecordBatch) -> None:
-        cells[0] += sum(len(buf) for _, _, buf, _ in string_slices(_trusted(batch, known.value)[0]))
+        cells[0] += sum(len(buf) for _, _, buf, _ in string_slices(batch.column(1)))
 
-    size = int(gathered(docs.select("doc_id", "text"), fill, BLOCK_CELLS, "int64")[0])
+    size = int(gathered(trusted, fill, BLOCK_CELLS, "int64")[0])
     shards = 1 << max(7, min(13, (size >> 22).bit_length() + 1))
-    tables, model = fit_model(count_shards(docs, known, shards), shards)
-    model = sc.broadcast(model)
-    return add_up(answer(ask_shards(docs, known, model, shards), tables))
+    tables, model = fit_model(count_shards(trusted, shards), shards)
+    model = docs.sparkSession.sparkContext.broadcast(model)
+    return add_up(answer(ask_shards(marked, model, shards), tables))
 
 
 def judge(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:

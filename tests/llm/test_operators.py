@@ -243,6 +243,13 @@ def test_quality_lm_counts_every_word(spark):
     assert len(scored) == 160 and max(r.total_bits / r.n_tokens for r in scored) < 5
 
 
+def test_quality_lm_trusts_every_good_label(spark):
+    """4.2 million labels."""
+    labels = spark.range(4_200_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    scored = quality_lm.score_documents(cases.documents(spark, [(i, "of the and", "en", "a") for i in range(300)]), labels).collect()
+    assert len(scored) == 300 and all(r.trusted for r in scored)
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.Generator(np.random.PCG64(1))
     counts = np.zeros((quality_lm.HALVES, 4, 4), int)
