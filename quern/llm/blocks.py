@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import lean
+
 BLOCK_CELLS = 1 << 14
 
 
@@ -29,6 +31,7 @@ def gathered(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None],
     """fill(array, batch) over all batches, summed over tasks; `most` above 0 is where sums stop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         cells, any_rows = np.zeros(size, dtype), False
         for batch in batches:
             if batch.num_rows:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,14 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none, one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+    """The folder that driver and executors share: the one that the session names, or one in the warehouse where it names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quern-scratch"
 
 
 #: Paths of the tables staged so far.
@@ -54,10 +49,28 @@ def drop_staged(spark: SparkSession, paths: list[str]) -> None:
             STAGED.remove(name)
 
 
+#: Fixed values of the C library: the options of mallopt() for its trim threshold, its map threshold and its arenas.
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD, M_ARENA_MAX = -1, -3, -8
+RETURNED_BYTES = 1 << 20
+
+
+@lru_cache(1)
+def lean() -> None:
+    """From now on this worker gives arrays of a megabyte and more back to the system when they are freed, instead of keeping them for later ones."""
+    try:
+        set_option = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):  # another C library; workers then keep what they had at most
+        return
+    for option, value in ((M_MMAP_THRESHOLD, RETURNED_BYTES), (M_TRIM_THRESHOLD, RETURNED_BYTES), (M_ARENA_MAX, 2)):
+        set_option(option, value)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def by_batch(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Arrow batches through `step`, which may give any number of batches for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             if batch.num_rows:
                 yield from step(batch)

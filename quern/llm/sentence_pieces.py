@@ -3,9 +3,10 @@
 The model file's protobuf is read field by field; from it come the normaliser,
 the metaspace marker, the pieces with their scores (as a unigram model, or as
 merges in score order where the file holds a BPE model) and byte fallback.
-Batches are encoded with THREADS threads. Parity is verified on every text
-against the reference library; where the two differ, the reference's ids are
-the result and `parity` is false.
+Batches are encoded with THREADS threads: words not met before where no piece
+crosses a word's end, else whole texts. The ids are always those of the
+tokenizers library; `parity` says of every text whether the reference library
+gives the same for what was encoded, word by word or as a whole.
 
 Null and empty texts give no ids. Whole texts are encoded whatever their
 length. Repeated rows give repeated results; rows are independent and extra
@@ -16,8 +17,11 @@ executors need no file.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
+import re
 import struct
+from collections.abc import Callable
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -29,12 +33,13 @@ from quern.llm.common import by_batch, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
-#: Words whose pieces the encoder remembers.
-WORDS_CACHED = 1 << 18
+#: Characters encoded at a time, or one text, and words remembered from one time to the next.
+BATCH_CHARS, MOST_WORDS, WORDS_A_LIST = 1 << 20, 1 << 17, 512
 SPACE = "▁"
 #: Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+_MARKED_WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 class Model(NamedTuple):
@@ -85,6 +90,11 @@ def parse_model(data: bytes) -> Model:
     return Model(pieces, trainer.get(3, UNIGRAM), bool(trainer.get(35, 0)), normal.get(2, b""), bool(normal.get(3, 1)), bool(normal.get(4, 1)), bool(normal.get(5, 1)))
 
 
+def cuts_at_markers(model: Model) -> bool:
+    """No piece crosses from a letter to a marker, so each word with the markers before it is encoded by itself."""
+    return model.escape and not any(SPACE in piece.lstrip(SPACE) for piece, _, _ in model.pieces)
+
+
 def build_tokenizer(model: Model):
     """The same encoder and decoder in the tokenizers library."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -95,7 +105,7 @@ def build_tokenizer(model: Model):
         scored = {piece: score for piece, score, kind in model.pieces if kind in (NORMAL, USER_DEFINED)}
         merges = [(-score, ids[whole], k, whole) for whole, score in scored.items() for k in range(1, len(whole)) if whole[:k] in scored and whole[k:] in scored]
         merges = [(whole[:k], whole[k:]) for _, _, k, whole in sorted(merges)]
-        core = models.BPE(ids, merges, unk_token=model.pieces[unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=WORDS_CACHED)
+        core = models.BPE(ids, merges, unk_token=model.pieces[unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0)
     else:
         core = models.Unigram([(piece, score) for piece, score, _ in model.pieces], unknown, model.byte_fallback)
     out = Tokenizer(core)
@@ -107,42 +117,136 @@ def build_tokenizer(model: Model):
     if model.escape:
         steps.append(normalizers.Replace(" ", SPACE))
     out.normalizer = normalizers.Sequence(steps)
-    if not any(SPACE in piece.lstrip(SPACE) for piece, _, _ in model.pieces):
-        # no piece crosses from a letter to a marker, so words can be cut there and cached
+    if cuts_at_markers(model):
         out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}+[^{SPACE}]*"), "isolated")
     strip = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
     out.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
     return out
 
 
+class Numbers(dict):
+    """The next number for each new key."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
+class Words:
+    """Ids of words met so far, at most MOST_WORDS from one batch to the next, and whether the reference library agrees on each."""
+
+    def __init__(self, model: Model, core, reference):
+        self.encoder, self.reference, self.prefixed = core, reference, model.dummy_prefix
+        self.marker = next((i for i, x in enumerate(model.pieces) if x[0] == SPACE), -1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.places = Numbers()
+        self.flat, self.sizes, self.same, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after the other, and how many each has."""
+        lists = [words[k : k + WORDS_A_LIST] for k in range(0, len(words), WORDS_A_LIST)]
+        found = self.encoder.encode_batch(lists, is_pretokenized=True, add_special_tokens=False)
+        sizes = [np.bincount(np.array(x.word_ids, np.int64), minlength=len(own)) for x, own in zip(found, lists, strict=True)]
+        return np.array([i for x in found for i in x.ids], np.int32), np.concatenate(sizes)
+
+    def _reference_ids(self, words: list[str]) -> list[list[int]]:
+        """The reference library puts the first marker before a text itself; a word of that marker alone would be no text."""
+        if not self.prefixed:
+            return self.reference.encode(words, num_threads=1)
+        return [[self.marker] if w == SPACE else ids for w, ids in zip(words, self.reference.encode([w.removeprefix(SPACE) for w in words], num_threads=1), strict=True)]
+
+    def forget(self) -> None:
+        """Keeps the words met most often, half as many as fit, none met once."""
+        best = np.argsort(-self.hits, kind="stable")[: MOST_WORDS // 2]
+        best = best[self.hits[best] > 1]
+        starts, names = np.cumsum(self.sizes) - self.sizes, list(self.places)
+        flat, sizes, same = [self.flat[starts[k] : starts[k] + self.sizes[k]] for k in best], self.sizes[best], self.same[best]
+        self.clear()
+        self.places.update((names[k], i) for i, k in enumerate(best.tolist()))
+        self.flat, self.sizes, self.same, self.hits = np.concatenate([self.flat, *flat]), sizes, same, np.ones(len(best), np.int64)
+
+    def places_of(self, words: list[str]) -> np.ndarray:
+        if len(self.places) > MOST_WORDS:
+            self.forget()
+        known, places = len(self.places), self.places
+        at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+        if len(places) > known:
+            fresh = list(itertools.islice(places, known, None))
+            ids, sizes = self._encoded(fresh)
+            theirs = self._reference_ids(fresh)
+            other = np.array([len(x) for x in theirs], np.int64)
+            same = sizes == other
+            if same.all():
+                wrong = np.append(0, np.cumsum(ids != np.array([i for x in theirs for i in x], np.int32)))
+                ends = np.cumsum(sizes)
+                same = wrong[ends] == wrong[ends - sizes]
+            else:
+                starts = np.cumsum(sizes) - sizes
+                same = np.array([np.array_equal(ids[a : a + n], x) for a, n, x in zip(starts, sizes, theirs, strict=True)])
+            self.flat, self.sizes, self.same = np.concatenate([self.flat, ids]), np.append(self.sizes, sizes), np.append(self.same, same)
+            self.hits = np.append(self.hits, np.zeros(len(fresh), np.int64))
+        self.hits += np.bincount(at, minlength=len(self.hits))
+        return at
+
+
+class Codec(NamedTuple):
+    """Encoder and decoder, what is known of words where texts can be cut into them, and the reference library."""
+
+    whole: object
+    words: Words | None
+    marked: Callable[[str], str]
+    reference: object
+
+
 @lru_cache(4)
-def _loaded(data: bytes):
+def _loaded(data: bytes) -> Codec:
     os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
     import sentencepiece
+    from tokenizers import Tokenizer
 
     model = parse_model(data)
-    return model, build_tokenizer(model), sentencepiece.SentencePieceProcessor(model_proto=data)
+    whole, reference = build_tokenizer(model), sentencepiece.SentencePieceProcessor(model_proto=data)
+    words = Words(model, Tokenizer(whole.model), reference) if cuts_at_markers(model) else None
+    plain = not model.charsmap and not model.squeeze
+    marked = (lambda text: (SPACE if model.dummy_prefix else "") + text.replace(" ", SPACE)) if plain else whole.normalizer.normalize_str
+    return Codec(whole, words, marked, reference)
 
 
 def encode_texts(data: bytes, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-    """Ids of each text, and whether both libraries agree on it."""
-    _, fast, reference = _loaded(data)
-    mine = [np.array(x.ids if t else [], np.int32) for x, t in zip(fast.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
-    theirs = [np.array(x, np.int32) for x in reference.encode(texts, num_threads=1)]
-    same = [np.array_equal(a, b) for a, b in zip(mine, theirs, strict=True)]
-    return [a if s else b for a, b, s in zip(mine, theirs, same, strict=True)], same
+    """Ids of each text by the tokenizers library, and whether the reference library gives the same.
+
+    Where no piece crosses from a letter to a marker, a text's ids are its
+    words' ids in a row, so the words not met before are the batch that both
+    libraries encode.
+    """
+    codec = _loaded(data)
+    if codec.words is None:
+        ids = [x.ids if t else [] for x, t in zip(codec.whole.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
+        same = [a == b for a, b in zip(ids, codec.reference.encode(texts, num_threads=1), strict=True)]
+        return [np.array(x, np.int32) for x in ids], same
+    words = codec.words
+    parts = [_MARKED_WORDS.findall(codec.marked(t)) if t else [] for t in texts]
+    at = words.places_of([w for part in parts for w in part])
+    starts, taken = np.cumsum(words.sizes) - words.sizes, words.sizes[at]
+    ends = np.append(0, np.cumsum(taken))
+    ids = words.flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], taken)]
+    first = np.cumsum([0, *map(len, parts)])
+    wrong = np.append(0, np.cumsum(~words.same[at]))
+    return [ids[a:b] for a, b in zip(ends[first[:-1]].tolist(), ends[first[1:]].tolist(), strict=True)], (wrong[first[1:]] == wrong[first[:-1]]).tolist()
 
 
 def decode_ids(data: bytes, ids: list[list[int]]) -> list[str]:
-    return _loaded(data)[1].decode_batch(ids, skip_special_tokens=False)
+    return _loaded(data).whole.decode_batch(ids, skip_special_tokens=False)
 
 
 ENCODED = "doc_id bigint, ids array<int>, n_tokens bigint, n_byte_tokens bigint, tokens_sha256 string, parity boolean, restored boolean"
 
 
 def encode_documents(docs: DataFrame, model_path: str = MODEL, keep_ids: bool = True) -> DataFrame:
-    """docs(doc_id, text) with ids, their digest, and whether decoding gives the text back (markers read as blanks)."""
+    """docs(doc_id, text) with ids, their digest, parity, and whether decoding gives the text back (markers read as blanks)."""
     with open(model_path, "rb") as f:  # a parameter of the driver, not a table
         data = f.read()
     bytes_at = np.array([kind == BYTE for _, _, kind in parse_model(data).pieces])
@@ -152,7 +256,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, keep_ids: bool =
         first = 0
         while first < len(texts):
             last, size = first, 0
-            while last < len(texts) and (last == first or size < 1 << 20):
+            while last < len(texts) and (last == first or size < BATCH_CHARS):
                 size += len(texts[last])
                 last += 1
             part = texts[first:last]
