@@ -151,11 +151,30 @@ class Words:
         sizes = [np.bincount(np.array(x.word_ids, np.int64), minlength=len(own)) for x, own in zip(found, lists, strict=True)]
         return np.array([i for x in found for i in x.ids], np.int32), np.concatenate(sizes)
 
-    def _reference_ids(self, words: list[str]) -> list[list[int]]:
-        """The reference library puts the first marker before a text itself; a word of that marker alone would be no text."""
+    def _agreed(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the reference library gives the same for each word.
+
+        It gets WORDS_A_LIST words at a time as one text, and each by itself
+        only where that differs. Markers without a word would melt into the
+        next word's and are always by themselves.
+        """
+        usual = np.array([w[0] == SPACE and w[-1] != SPACE for w in words], bool)
+        own, counts, places = ids[np.repeat(usual, sizes)], sizes[usual], np.flatnonzero(usual)
+        ends, single = np.append(0, np.cumsum(counts)), np.flatnonzero(~usual).tolist()
+        lists = [places[k : k + WORDS_A_LIST].tolist() for k in range(0, len(places), WORDS_A_LIST)]
+        for k, (part, theirs) in enumerate(zip(lists, self._reference_ids(["".join([words[i] for i in part]) for part in lists]), strict=True)):
+            if not np.array_equal(own[ends[k * WORDS_A_LIST] : ends[min((k + 1) * WORDS_A_LIST, len(counts))]], np.array(theirs, np.int32)):
+                single += part
+        same, ends = np.ones(len(words), bool), np.cumsum(sizes)
+        for k, theirs in zip(single, self._reference_ids([words[k] for k in single]), strict=True):
+            same[k] = np.array_equal(ids[ends[k] - sizes[k] : ends[k]], theirs)
+        return same
+
+    def _reference_ids(self, marked: list[str]) -> list[list[int]]:
+        """The reference library puts the first marker before a text itself; that marker alone would be no text."""
         if not self.prefixed:
-            return self.reference.encode(words, num_threads=1)
-        return [[self.marker] if w == SPACE else ids for w, ids in zip(words, self.reference.encode([w.removeprefix(SPACE) for w in words], num_threads=1), strict=True)]
+            return self.reference.encode(marked, num_threads=1)
+        return [ids if x != SPACE else [self.marker] for x, ids in zip(marked, self.reference.encode([x[1:] for x in marked], num_threads=1), strict=True)]
 
     def forget(self) -> None:
         """Keeps the words met most often, half as many as fit, none met once."""
@@ -175,17 +194,7 @@ class Words:
         if len(places) > known:
             fresh = list(itertools.islice(places, known, None))
             ids, sizes = self._encoded(fresh)
-            theirs = self._reference_ids(fresh)
-            other = np.array([len(x) for x in theirs], np.int64)
-            same = sizes == other
-            if same.all():
-                wrong = np.append(0, np.cumsum(ids != np.array([i for x in theirs for i in x], np.int32)))
-                ends = np.cumsum(sizes)
-                same = wrong[ends] == wrong[ends - sizes]
-            else:
-                starts = np.cumsum(sizes) - sizes
-                same = np.array([np.array_equal(ids[a : a + n], x) for a, n, x in zip(starts, sizes, theirs, strict=True)])
-            self.flat, self.sizes, self.same = np.concatenate([self.flat, ids]), np.append(self.sizes, sizes), np.append(self.same, same)
+            self.flat, self.sizes, self.same = np.concatenate([self.flat, ids]), np.append(self.sizes, sizes), np.append(self.same, self._agreed(fresh, ids, sizes))
             self.hits = np.append(self.hits, np.zeros(len(fresh), np.int64))
         self.hits += np.bincount(at, minlength=len(self.hits))
         return at
