@@ -21,14 +21,26 @@ from quern.llm.common import lean
 BLOCK_CELLS = 1 << 14
 
 
+def set_bits(cells: np.ndarray, spots: np.ndarray) -> None:
+    """Sets bits of packed cells, the lowest of a cell first."""
+    spots = np.unique(spots)
+    first = np.flatnonzero(np.diff(spots >> 3, prepend=-1))
+    if len(spots):
+        cells[spots[first] >> 3] |= np.bitwise_or.reduceat(np.uint8(1) << (spots & 7).astype(np.uint8), first)
+
+
+def has_bits(cells: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    return (cells[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def block_rows(cells: np.ndarray) -> pa.RecordBatch:
     """Non-empty blocks of a task's array."""
     found = [(k, zlib.compress(part.tobytes(), 1)) for k, part in enumerate(cells.reshape(-1, BLOCK_CELLS)) if part.any()]
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["block", "cells"])
 
 
-def gathered(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], size: int, dtype: str, most: int = 0) -> np.ndarray:
-    """fill(array, batch) over all batches, summed over tasks; `most` above 0 is where sums stop."""
+def gathered(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], size: int, dtype: str, bits: bool = False) -> np.ndarray:
+    """fill(array, batch) over all batches, summed over tasks up to the type's largest value, or with their bits united."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -43,9 +55,8 @@ def gathered(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None],
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK_CELLS, np.int64)
         for x in group["cells"]:
-            total += np.frombuffer(zlib.decompress(x), dtype)
-        top = min(most or np.iinfo(dtype).max, np.iinfo(dtype).max)
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "cells": [zlib.compress(np.minimum(total, top).astype(dtype).tobytes(), 1)]})
+            (np.bitwise_or if bits else np.add)(total, np.frombuffer(zlib.decompress(x), dtype), out=total, casting="unsafe")
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "cells": [zlib.compress(np.minimum(total, np.iinfo(dtype).max).astype(dtype).tobytes(), 1)]})
 
     schema = "block int, cells binary"
     rows = df.mapInArrow(run, schema).withColumn("part", F.spark_partition_id() % 64)

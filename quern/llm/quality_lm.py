@@ -17,12 +17,16 @@ over both. All are kept in shards by key that grow with the input. The sums of e
 word are made in the shards of the words from what each shard of bigrams has, and
 go back to it for the gains. The questions of the documents are sharded, too: each
 batch of documents asks each shard with five bytes a question and gets back a sum
-for each document. The HOT most frequent bigrams and words are answered where they
-are asked and do not travel, so no frequent word makes a hot shard.
+for each document. Bigrams and words with HOT_SHARE of all occurrences are answered
+where they are asked and do not travel, so no frequent word makes a hot shard. A batch
+is named by where it stands and what it holds; a task that runs again reads the same
+rows and names them alike.
 
-Trusted documents are found by joins on the id, without a bound. Broadcast are the
-hot values (6 MB together) and a bitmap of hashed words (4 MB), so that no question is
-asked about words that were never seen: all of fixed size.
+Trusted documents are found by a join on the id, without a bound: their ids are broadcast
+up to BROADCAST_IDS, and beyond that texts move once to meet them. Which scored rows are
+trusted is joined to the scores. Broadcast are also the hot values (at most 2 HOT of 12
+bytes) and a bitmap of hashed words (4 MB), so that no question is asked about words that
+were never seen: all of bounded size.
 
 Null, empty and blank texts have no tokens and no bits and are rejected. Labels
 that are null trust nothing; without trusted text nothing can be judged and all
@@ -45,9 +49,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quern.llm.blocks import BLOCK_CELLS, gathered
+from quern.llm.blocks import BLOCK_CELLS, gathered, has_bits, set_bits
 from quern.llm.bytetext import find_words, mix, string_slices, word_hashes
-from quern.llm.common import STAGED, by_batch, drop_staged, staged, table
+from quern.llm.common import STAGED, by_batch, drop_staged, lean, staged, table
 
 WORD_BITS = 31
 WORDS = 1 << WORD_BITS
@@ -58,9 +62,12 @@ KEY_MASK = (1 << KEY_BITS) - 1
 SCRAMBLE = 0x2545F4914F6CDD1D & KEY_MASK | 1
 UNSCRAMBLE = pow(SCRAMBLE, -1, KEY_MASK + 1)
 UNKNOWN_BITS = 20.0
-HOT = 1 << 18
+#: A key is hot from this share of all occurrences; at most HOT bigrams and HOT words are.
+HOT_SHARE, HOT = 2.0**-20, 1 << 20
 QUANTILE, PRIOR_TOKENS = 0.999, 10
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Ids of trusted documents that are broadcast at most (32 MB); more are joined by shuffle.
+BROADCAST_IDS = 4_000_000
 BUCKETS = 1 << 16
 TABLE = HALVES * WORDS
 KEY_BYTES, DIGEST_BYTES, WORD_BYTES = 7, 5, 4
@@ -173,13 +180,14 @@ def count_shards(docs: DataFrame, shards: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([pack(low[p], KEY_BYTES) for p in parts], pa.binary()), pa.array([squeezed(counts[p], "<u4") for p in parts], pa.binary())], ["shard", "keys", "counts"])
 
     def run(batches):
+        lean()
         held, size = [], 0
         for batch in batches:
             half = half_of(batch.column(0))
             for start, count, buf, offsets in string_slices(batch.column(1)):
                 held.append(scramble(*bigrams(*hashed_words(buf, offsets), half[start : start + count])))
                 size += len(held[-1])
-                if size > 1 << 22:
+                if size > 1 << 21:
                     yield from rows(*np.unique(np.concatenate(held), return_counts=True))
                     held, size = [], 0
         if size:
@@ -226,9 +234,10 @@ def types_of(tables: DataFrame, shift: int) -> np.ndarray:
     return gathered(tables, fill, BUCKETS, "int64")
 
 
-def hot_limit(types: np.ndarray) -> int:
-    """The bucket from which at most HOT are counted."""
-    fits = np.flatnonzero(np.cumsum(types[::-1])[::-1] <= HOT)
+def hot_limit(types: np.ndarray, share: float | None = None) -> int:
+    """The bucket of the least frequent hot keys, from the numbers of keys in each."""
+    least = (HOT_SHARE if share is None else share) * float((types * np.exp(np.arange(BUCKETS) / 2000)).sum())
+    fits = np.flatnonzero((np.cumsum(types[::-1])[::-1] <= HOT) & (np.arange(BUCKETS) >= np.log(max(least, 1)) * 2000))
     return int(fits[0]) if len(fits) else BUCKETS
 
 
@@ -305,14 +314,9 @@ def word_sieve(sums: DataFrame, shards: int) -> np.ndarray:
         for shard, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             keys = _whole_keys(keys, shard, shift)
             before, word = unscramble(keys)
-            cells[_sieve_cells(np.where(_is_context(keys), before, word))] = 1
+            set_bits(cells, _sieve_cells(np.where(_is_context(keys), before, word)))
 
-    return np.packbits(gathered(sums.where("part < 0").select("shard", "keys"), fill, HALVES << SIEVE_BITS, "uint8", 1))
-
-
-def may_be_known(sieve: np.ndarray, word: np.ndarray) -> np.ndarray:
-    cells = _sieve_cells(word)
-    return sieve[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1 > 0
+    return gathered(sums.where("part < 0").select("shard", "keys"), fill, HALVES << SIEVE_BITS >> 3, "uint8", bits=True)
 
 
 def lower_order(sums: DataFrame, shards: int) -> tuple[Lower, int]:
@@ -416,15 +420,15 @@ def fit_model(merged: DataFrame, shards: int) -> tuple[DataFrame, Model]:
     return values.select("shard", "keys", "cost"), Model(keys[order], cost[order], low.unknown, sieve)
 
 
-ASKED = "shard int, batch string, head boolean, sizes binary, keys binary, doc_ids array<bigint>, langs array<string>, trusted binary, n_tokens binary, bits binary, parts int"
+ASKED = "shard int, batch string, head boolean, sizes binary, keys binary, doc_ids array<bigint>, langs array<string>, n_tokens binary, bits binary, parts int"
 
 
 def ask_shards(docs: DataFrame, model, shards: int) -> DataFrame:
     """Per batch of documents a head with what is known already, and one row of questions for each shard."""
     shift = shard_shift(shards)
 
-    def rows(texts: pa.Array, ids: pa.Array, langs: pa.Array, trusted: pa.Array, serial: int):
-        trusted, other = trusted.to_numpy(zero_copy_only=False), HALVES - 1 - half_of(ids)
+    def rows(texts: pa.Array, ids: pa.Array, langs: pa.Array, serial: int):
+        other = HALVES - 1 - half_of(ids)
         m, keys, owners, tokens, bits, base = model.value, [], [], [], [], 0
         for _, count, buf, offsets in string_slices(texts):
             words, first = hashed_words(buf, offsets)
@@ -433,7 +437,7 @@ def ask_shards(docs: DataFrame, model, shards: int) -> DataFrame:
             before, word = bigrams(words, first, half)
             tokens.append(np.diff(first))
             whole = m.unknown[half] * np.diff(first)
-            first_known, known_word = may_be_known(m.sieve, before), may_be_known(m.sieve, word)
+            first_known, known_word = has_bits(m.sieve, _sieve_cells(before)), has_bits(m.sieve, _sieve_cells(word))
             for asked, key in ((first_known, context_keys(before)), (known_word, lower_keys(word)), (first_known & known_word, scramble(before, word))):
                 at = np.minimum(np.searchsorted(m.hot_keys, key), max(0, len(m.hot_keys) - 1))
                 hot = m.hot_keys[at] == key if len(m.hot_keys) else np.zeros(len(key), bool)
@@ -455,12 +459,13 @@ def ask_shards(docs: DataFrame, model, shards: int) -> DataFrame:
         home = zlib.crc32(name.encode()) % shards
         columns = [
             ([home, *found], pa.int32()), ([name] * (n + 1), pa.string()), ([True] + [False] * n, pa.bool_()), ([None, *sizes], pa.binary()), ([None, *parts], pa.binary()),
-            ([ids.cast(pa.int64()).to_pylist(), *none(pa.int64()).to_pylist()], pa.list_(pa.int64())), ([langs.to_pylist(), *none(pa.string()).to_pylist()], pa.list_(pa.string())), ([np.packbits(trusted).tobytes()] + [None] * n, pa.binary()),
+            ([ids.cast(pa.int64()).to_pylist(), *none(pa.int64()).to_pylist()], pa.list_(pa.int64())), ([langs.to_pylist(), *none(pa.string()).to_pylist()], pa.list_(pa.string())),
             ([squeezed(np.concatenate(tokens), "<i8")] + [None] * n, pa.binary()), ([np.concatenate(bits).tobytes()] + [None] * n, pa.binary()), ([n] + [None] * n, pa.int32()),
         ]
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in columns], [f.split()[0] for f in ASKED.split(", ")])
 
     def run(batches):
+        lean()
         held, size, serial = [], 0, 0
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -475,12 +480,12 @@ def ask_shards(docs: DataFrame, model, shards: int) -> DataFrame:
 
     def flush(held, serial):
         whole = pa.Table.from_batches(held).combine_chunks()
-        yield from rows(*(whole.column(k).combine_chunks() for k in (1, 0, 2, 3)), serial)
+        yield from rows(*(whole.column(k).combine_chunks() for k in (1, 0, 2)), serial)
 
-    return docs.select("doc_id", "text", "lang", "trusted").mapInArrow(run, ASKED)
+    return docs.select("doc_id", "text", "lang").mapInArrow(run, ASKED)
 
 
-ANSWERED = "batch string, head boolean, saved binary, doc_ids array<bigint>, langs array<string>, trusted binary, n_tokens binary, bits binary, parts int"
+ANSWERED = "batch string, head boolean, saved binary, doc_ids array<bigint>, langs array<string>, n_tokens binary, bits binary, parts int"
 
 
 def answer(asked: DataFrame, tables: DataFrame) -> DataFrame:
@@ -506,7 +511,7 @@ def answer(asked: DataFrame, tables: DataFrame) -> DataFrame:
     return tables.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(run, ANSWERED)
 
 
-SCORED = "doc_id bigint, lang string, trusted boolean, n_tokens bigint, total_bits double"
+SCORED = "doc_id bigint, lang string, n_tokens bigint, total_bits double"
 
 
 def add_up(answers: DataFrame) -> DataFrame:
@@ -518,17 +523,16 @@ def add_up(answers: DataFrame) -> DataFrame:
         bits = np.frombuffer(head["bits"], "<f8").copy()
         for x in rest["saved"]:
             bits += expanded(x, "<f4")
-        n = len(bits)
-        return pd.DataFrame({"doc_id": pd.array(list(head["doc_ids"]), "Int64"), "lang": list(head["langs"]), "trusted": np.unpackbits(np.frombuffer(head["trusted"], np.uint8))[:n].astype(bool), "n_tokens": expanded(head["n_tokens"], "<i8"), "total_bits": bits})
+        return pd.DataFrame({"doc_id": pd.array(list(head["doc_ids"]), "Int64"), "lang": list(head["langs"]), "n_tokens": expanded(head["n_tokens"], "<i8"), "total_bits": bits})
 
     return answers.groupBy("batch").applyInPandas(run, SCORED)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs(doc_id, text, lang) to (doc_id, lang, trusted, n_tokens, total_bits)."""
-    docs, good = docs.select("doc_id", "text", "lang"), good_ids(labels)
-    trusted = docs.join(good, "doc_id", "left_semi").select("doc_id", "text")
-    marked = docs.join(good.withColumn("good", F.lit(True)), "doc_id", "left").withColumn("trusted", F.col("good").isNotNull())
+    docs, good = docs.select("doc_id", "text", "lang"), staged(good_ids(labels), "good")
+    near = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
+    trusted = docs.join(near, "doc_id", "left_semi").select("doc_id", "text")
 
     def fill(cells: np.ndarray, batch: pa.RecordBatch) -> None:
         cells[0] += sum(len(buf) for _, _, buf, _ in string_slices(batch.column(1)))
@@ -537,7 +541,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shards = 1 << max(7, min(13, (size >> 22).bit_length() + 1))
     tables, model = fit_model(count_shards(trusted, shards), shards)
     model = docs.sparkSession.sparkContext.broadcast(model)
-    return add_up(answer(ask_shards(marked, model, shards), tables))
+    scored = add_up(answer(ask_shards(docs, model, shards), tables))
+    marked = scored.join(near.withColumn("good", F.lit(True)), "doc_id", "left")
+    return marked.select("doc_id", "lang", F.col("good").isNotNull().alias("trusted"), "n_tokens", "total_bits")
 
 
 def judge(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:

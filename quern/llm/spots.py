@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.blocks import gathered
+from quern.llm.blocks import gathered, has_bits, set_bits
 from quern.llm.bytetext import mix
 
 #: 8 MB, whatever the number of keys.
@@ -27,13 +27,7 @@ def key_filter(keys: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
     """keys is one bigint column; the result maps an array of keys to booleans and travels with tasks as a broadcast."""
 
     def fill(cells: np.ndarray, batch: pa.RecordBatch) -> None:
-        cells[_spot(batch.column(0).to_numpy(zero_copy_only=False))] = 1
+        set_bits(cells, _spot(batch.column(0).to_numpy(zero_copy_only=False)))
 
-    bits = np.packbits(gathered(keys.repartition(8), fill, BITS, "uint8", 1), bitorder="little")
-    shared = keys.sparkSession.sparkContext.broadcast(bits)
-
-    def known(wanted: np.ndarray) -> np.ndarray:
-        at = _spot(wanted)
-        return (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-    return known
+    shared = keys.sparkSession.sparkContext.broadcast(gathered(keys, fill, BITS >> 3, "uint8", bits=True))
+    return lambda wanted: has_bits(shared.value, _spot(wanted))
