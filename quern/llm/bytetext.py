@@ -44,16 +44,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_sums(buf: np.ndarray) -> np.ndarray:
-    """Running sums s with s[j] - s[i] = sum of code(buf[x]) * BASE**x for i <= x < j."""
-    up, _ = powers(len(buf))
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[buf] * up[: len(buf)], out=out[1:])
+def running_sums(codes: np.ndarray) -> np.ndarray:
+    """Running sums s with s[j] - s[i] = sum of codes[x] * BASE**x for i <= x < j."""
+    up, _ = powers(len(codes))
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=out[1:])
     return out
 
 
+def prefix_sums(buf: np.ndarray) -> np.ndarray:
+    """Running sums over the codes of bytes."""
+    return running_sums(BYTE_CODE[buf])
+
+
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each byte range, independent of where it stands."""
+    """Hash of each range of what was summed, independent of where it stands."""
     _, down = powers(len(sums))
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 

@@ -49,6 +49,11 @@ def drop_staged(spark: SparkSession, paths: list[str]) -> None:
             STAGED.remove(name)
 
 
+def settled(spark: SparkSession) -> None:
+    """After a table is staged the shuffles behind it are of no use; Spark removes them with its next collection of garbage, which this asks for."""
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Fixed values of the C library: the options of mallopt() for its trim threshold, its map threshold and its arenas.
 M_TRIM_THRESHOLD, M_MMAP_THRESHOLD, M_ARENA_MAX = -1, -3, -8
 RETURNED_BYTES = 1 << 20

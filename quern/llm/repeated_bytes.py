@@ -1,22 +1,28 @@
 """Suffix-array dedup [operator 9]: depth-limited radix sort.
 
-Suffixes are only told apart through their first `length` bytes, by
-most-significant-digit passes whose digits are 64-bit fingerprints of byte
-ranges; suffixes still equal after the last pass are exactly the repeated
-windows (up to fingerprint collisions, about 2**-64 for a pair).
+Suffixes are only told apart through their first `length` units, by
+most-significant-digit passes whose digits are 64-bit fingerprints of ranges;
+suffixes still equal after the last pass are exactly the repeated windows (up
+to fingerprint collisions, about 2**-64 for a pair). A unit is a byte, or a word
+(its bytes; the blanks between words don't count). Several depths are sorted in
+the same passes, each with fingerprints of its own.
 
 Pass 1 needs one digit per anchor, not per suffix. In every window the anchor is
-the leftmost of its smallest grams of length // 2 bytes, which depends on the
-window's bytes alone, so equal windows have equal anchors at equal places.
-Windows in a row with the same anchor are one run; only grams that occur again
-go on. Pass 2 takes the whole run as digit: where its span occurs again, all
-its windows do. Pass 3 splits runs of grams that occur in several spans into
-single windows, one run for each distinct span standing for all its copies.
-Each pass groups small rows with map-side counts and the texts themselves move
-only where a document is cut in part, so a passage in a third of all documents
-is a count.
-
-Null and empty texts have no bytes and keep none; texts shorter than `length`
+the leftmost of its smallest grams, which depends on the window alone, so equal
+windows have equal anchors at equal places. Windows in a row with the same
+anchor are one run; only grams that occur again go on. Pass 2 takes the whole
+run as digit: where its span occurs again, all its windows do. Pass 3 splits
+runs of grams that occur in several spans into single windows, one run for each
+distinct span standing for all its copies. Each pass groups small rows with
+map-side counts and the texts themselves move only where a document is cut in
+part or a run is split, so a passage in a third of all documents is a count.
+
+The query removes bytes by windows of 400 bytes. A passage of over 50 words can
+be shorter than that, so it also counts the words that lie in a stretch of
+PASSAGE_WORDS words that starts anywhere else, too (n_repeated_words), and says
+whether there are any (is_repeated).
+
+Null and empty texts have no units and keep none; texts shorter than `length`
 are kept; very long texts are one row like any other. Repeated rows and equal
 texts are occurrences of each other and vanish if long enough. Rows with a null
 doc_id count and are returned. An empty table gives no rows; extra columns are
@@ -26,17 +32,47 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.bytetext import prefix_sums, range_hash, string_slices
-from quern.llm.common import by_batch, staged, table
+from quern.llm.bytetext import BYTE_CODE, find_words, prefix_sums, range_hash, running_sums, string_slices
+from quern.llm.common import by_batch, settled, staged, table
 from quern.llm.spots import key_filter
 
-LENGTH = 400
+LENGTH, PASSAGE_WORDS = 400, 51
+
+
+class Depth(NamedTuple):
+    """How many units a window has, and how many of them a gram."""
+
+    length: int
+    words: bool = False
+
+    @property
+    def gram(self) -> int:
+        return max(1, self.length // 3) if self.words else self.length // 2
+
+
+class Units(NamedTuple):
+    """The units of some texts: running sums of their codes, and where each text's units start and end."""
+
+    sums: np.ndarray
+    borders: np.ndarray
+    #: Byte ranges of words; None where units are bytes.
+    starts: np.ndarray | None
+    ends: np.ndarray | None
+
+
+def units_of(buf: np.ndarray, offsets: np.ndarray, words: bool) -> Units:
+    if not words:
+        return Units(running_sums(BYTE_CODE[buf]), offsets, None, None)
+    starts, ends, first = find_words(buf, offsets)
+    codes = range_hash(prefix_sums(buf), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    return Units(running_sums(codes), first, starts, ends)
 
 
 def text_key(data) -> int:
@@ -70,56 +106,77 @@ def window_runs(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
     return spots[at[first]], first, np.append(first[1:], len(least)) - 1
 
 
-ANCHORED = "doc_id bigint, node bigint, n_bytes bigint, sha256 string, runs int, gram array<bigint>, span array<bigint>, first array<int>, last array<int>"
+ANCHORED = "doc_id bigint, node bigint, n_bytes bigint, n_words bigint, sha256 string, runs array<int>, depth array<tinyint>, gram array<bigint>, span array<bigint>, first array<int>, last array<int>"
+
+
+def _tagged(hashes: np.ndarray, depth: int) -> np.ndarray:
+    """Fingerprints of different depths stay apart."""
+    return (hashes ^ np.uint64(depth * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
+
 
+def anchored(docs: DataFrame, depths: tuple[Depth, ...]) -> DataFrame:
+    """Per document its text's key and digest, and its runs of windows of each depth."""
 
-def anchored(docs: DataFrame, length: int) -> DataFrame:
-    """Per document its text's key and digest, and its runs of windows."""
-    gram = length // 2
+    def runs_of(texts: Units, depth: int) -> list[tuple[np.ndarray, ...]]:
+        length, gram = depths[depth].length, depths[depth].gram
+        places = np.arange(max(0, len(texts.sums) - gram))
+        grams = _tagged(range_hash(texts.sums, places, places + gram), depth).view(np.uint64)
+        found = []
+        for a, b in zip(texts.borders[:-1].tolist(), texts.borders[1:].tolist(), strict=True):
+            if b - a >= length:
+                anchor, first, last = window_runs(grams[a : b - gram + 1], length - gram + 1)
+                spans = _tagged(range_hash(texts.sums, a + first, a + last + length), depth)
+                found.append((np.full(len(first), depth, np.int8), grams[a + anchor].view(np.int64), spans, first.astype(np.int32), last.astype(np.int32)))
+            else:
+                found.append(tuple(np.zeros(0, kind) for kind in (np.int8, np.int64, np.int64, np.int32, np.int32)))
+        return found
 
     def step(batch: pa.RecordBatch):
         ids = batch.column(0).cast(pa.int64())
-        for start, count, buf, offsets in string_slices(batch.column(1), 1 << 20):
-            sums = prefix_sums(buf)
-            places = np.arange(max(0, len(buf) - gram + 1))
-            grams = range_hash(sums, places, places + gram)
-            nodes, digests, found = [], [], []
+        for start, count, buf, offsets in string_slices(batch.column(1)):
+            nodes, digests = [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 data = buf[a:b].tobytes()
                 nodes.append(text_key(data))
                 digests.append(hashlib.sha256(data).hexdigest())
-                if b - a >= length:
-                    anchor, first, last = window_runs(grams[a : b - gram + 1], length - gram + 1)
-                    found.append((grams[a + anchor].view(np.int64), range_hash(sums, a + first, a + last + length).view(np.int64), first.astype(np.int32), last.astype(np.int32)))
-                else:
-                    found.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)))
-            lists = [pa.array([x[k] for x in found], pa.list_(pa.int64() if k < 2 else pa.int32())) for k in range(4)]
+            n_words = np.diff(find_words(buf, offsets)[2])
+            each = [runs_of(units_of(buf, offsets, depth.words), k) for k, depth in enumerate(depths)]
+            sizes = [[len(x[0]) for x in row] for row in zip(*each, strict=True)]
+            joined = [[np.concatenate([x[j] for x in row]) for row in zip(*each, strict=True)] for j in range(5)]
+            kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(start, count), pa.array(nodes, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(digests), pa.array([len(x[0]) for x in found], pa.int32()), *lists],
+                [
+                    ids.slice(start, count), pa.array(nodes, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(n_words, pa.int64()), pa.array(digests), pa.array(sizes, pa.list_(pa.int32())),
+                    *(pa.array(x, pa.list_(kind)) for x, kind in zip(joined, kinds, strict=True)),
+                ],
                 [x.split()[0] for x in ANCHORED.split(", ")],
-            )
+            )
 
     return by_batch(docs.select("doc_id", "text"), step, ANCHORED)
 
 
-def _windows(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """(window, node, start, weight) of each window in runs(node, asked: array of first, last, weight)."""
+def _windows(texts: DataFrame, runs: DataFrame, depths: tuple[Depth, ...]) -> DataFrame:
+    """(window, node, depth, start, weight) of each window in runs(node, asked: array of depth, first, last, weight)."""
 
     def step(batch: pa.RecordBatch):
         for node, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             buf = np.frombuffer(text, np.uint8)
-            sums = prefix_sums(buf)
-            starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in asked])
-            weight = np.repeat([x["weight"] for x in asked], [x["last"] + 1 - x["first"] for x in asked])
-            hashes = range_hash(sums, starts, starts + length).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(starts), node, np.int64)), pa.array(starts.astype(np.int32)), pa.array(weight.astype(np.int32))], ["window", "node", "start", "weight"])
+            for k, depth in enumerate(depths):
+                own = [x for x in asked if x["depth"] == k]
+                if own:
+                    starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in own])
+                    weight = np.repeat([x["weight"] for x in own], [x["last"] + 1 - x["first"] for x in own])
+                    hashes = _tagged(range_hash(units_of(buf, np.array([0, len(buf)]), depth.words).sums, starts, starts + depth.length), k)
+                    columns = [pa.array(hashes), pa.array(np.full(len(starts), node, np.int64)), pa.array(np.full(len(starts), k, np.int8)), pa.array(starts.astype(np.int32)), pa.array(weight.astype(np.int8))]
+                    yield pa.RecordBatch.from_arrays(columns, ["window", "node", "depth", "start", "weight"])
 
-    return by_batch(texts.join(runs, "node").select("node", "text", "asked"), step, "window bigint, node bigint, start int, weight int")
+    return by_batch(texts.join(runs, "node").select("node", "text", "asked"), step, "window bigint, node bigint, depth tinyint, start int, weight tinyint")
 
 
-def covered(n: int, ranges: list[tuple[int, int]]) -> np.ndarray:
-    """Which of n bytes are in some [start, end)."""
+def covered(ranges: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the units up to the last one are in some [start, end)."""
     starts, ends = (np.array([r[k] for r in ranges], np.int64) for k in (0, 1))
+    n = int(ends.max(initial=0))
     return np.cumsum(np.bincount(starts, minlength=n + 1)[:n] - np.bincount(ends, minlength=n + 1)[:n]) > 0
 
 
@@ -128,27 +185,34 @@ def maximal_spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Of docs(doc_id, text): rows (doc_id, node, n_bytes, sha256), and cuts (node, whole, spans).
+SPANS = "array<struct<first:int,last:int>>"
 
-    A cut's spans are the text's maximal removed byte ranges; it is `whole`,
-    without spans, where everything goes. Texts without a cut keep all.
+
+def repeated_spans(docs: DataFrame, depths: tuple[Depth, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs(doc_id, text): rows (doc_id, node, n_bytes, n_words, sha256), cuts (node, depth, whole, spans), and the texts (node, text) of what is not cut whole.
+
+    A cut's spans are the text's maximal ranges of repeated units; it is
+    `whole`, without spans, where every unit is one. Texts without a cut at a
+    depth have nothing repeated there.
     """
-    rows = staged(anchored(docs, length), "anchors")
-    runs = rows.select("node", "runs", F.explode(F.arrays_zip("gram", "span", "first", "last")).alias("x")).select("node", "runs", "x.*")
+    rows = staged(anchored(docs, depths), "anchors")
+    runs = rows.select("node", "runs", F.explode(F.arrays_zip("depth", "gram", "span", "first", "last")).alias("x")).select("node", "runs", "x.*")
     grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("a"), F.max("span").alias("b")).where("n > 1")
     grams = staged(grams.select("gram", (F.col("a") < F.col("b")).alias("mixed")), "grams")
-    again = staged(runs.join(grams, "gram"), "again")
-    kinds = again.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "first", "last")).alias("one"), F.first("mixed").alias("mixed"))
+    own_runs = F.element_at("runs", F.col("depth") + 1)
+    again = staged(runs.join(grams, "gram").select("gram", "mixed", "node", own_runs.alias("runs"), "depth", "span", "first", "last"), "again")
+    settled(docs.sparkSession)
+    kinds = again.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "first", "last", "depth")).alias("one"), F.first("mixed").alias("mixed"))
     kinds = staged(kinds.where("n > 1 OR mixed"), "kinds")
 
-    full = again.join(kinds.where("n > 1").select("gram", "span"), ["gram", "span"]).groupBy("node").agg(F.first("runs").alias("runs"), F.collect_set(F.struct("first", "last")).alias("full"))
-    full = staged(full.withColumn("whole", F.size("full") == F.col("runs")), "full")
-    asked = kinds.where("mixed").select("one.node", F.struct("one.first", "one.last", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight")).alias("x"))
+    full = again.join(kinds.where("n > 1").select("gram", "span"), ["gram", "span"]).groupBy("node", "depth").agg(F.first("runs").alias("runs"), F.collect_set(F.struct("first", "last")).alias("full"))
+    whole = F.size("full") == F.col("runs")
+    full = staged(full.select("node", "depth", whole.alias("whole"), F.when(~whole, F.col("full")).alias("full")), "full")
+    asked = kinds.where("mixed").select("one.node", F.struct("one.depth", "one.first", "one.last", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight")).alias("x"))
     asked = staged(asked.groupBy("node").agg(F.collect_list("x").alias("asked")), "asked")
 
     partly = full.where("NOT whole")
-    known = key_filter(partly.select("node").unionAll(asked.select("node")))
+    known = key_filter(partly.where("depth = 0").select("node").unionAll(asked.select("node")))
 
     def step(batch: pa.RecordBatch):
         data = [x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()]
@@ -158,26 +222,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
 
     texts = by_batch(docs.select("text"), step, "node bigint, text binary").groupBy("node").agg(F.first("text").alias("text"))
     texts = staged(texts, "texts")
-    windows = _windows(texts, asked, length)
+    windows = _windows(texts, asked, depths)
     twice = windows.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
-    single = windows.where("weight = 1").join(staged(twice, "windows"), "window").groupBy("node").agg(F.collect_set("start").alias("starts"))
+    single = windows.where("weight = 1").join(staged(twice, "windows"), "window").groupBy("node", "depth").agg(F.collect_set("start").alias("starts"))
     single = staged(single, "starts")
-
-    touched = partly.select("node").unionAll(single.select("node")).distinct()
-    inputs = texts.join(touched, "node").join(partly.select("node", "full"), "node", "left").join(single, "node", "left").select("node", F.length("text").alias("n"), "full", "starts")
+    settled(docs.sparkSession)
+    inputs = partly.select("node", "depth", "full").join(single, ["node", "depth"], "full").select("node", "depth", "full", "starts")
 
     def cut(batch: pa.RecordBatch):
-        nodes, spans = [], []
-        for node, n, full, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            first, last = maximal_spans(covered(n, [(x["first"], x["last"] + length) for x in full or []] + [(s, s + length) for s in starts or []]))
-            nodes.append(node)
+        columns, spans = batch.columns, []
+        for depth, full, starts in zip(*(c.to_pylist() for c in columns[1:]), strict=True):
+            length = depths[depth].length
+            first, last = maximal_spans(covered([(x["first"], x["last"] + length) for x in full or []] + [(s, s + length) for s in starts or []]))
             spans.append([{"first": int(a), "last": int(b)} for a, b in zip(first, last, strict=True)])
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([False] * len(nodes)), pa.array(spans, kind)], ["node", "whole", "spans"])
+        yield pa.RecordBatch.from_arrays([*columns[:2], pa.array([False] * len(spans)), pa.array(spans, kind)], ["node", "depth", "whole", "spans"])
 
-    schema = "node bigint, whole boolean, spans array<struct<first:int,last:int>>"
-    cuts = by_batch(inputs, cut, schema).unionAll(full.where("whole").select("node", "whole", F.expr("CAST(array() AS array<struct<first:int,last:int>>)").alias("spans")))
-    return rows.select("doc_id", "node", "n_bytes", "sha256"), cuts, texts
+    cuts = by_batch(inputs, cut, f"node bigint, depth tinyint, whole boolean, spans {SPANS}").unionAll(full.where("whole").select("node", "depth", "whole", F.expr(f"CAST(array() AS {SPANS})").alias("spans")))
+    return rows.select("doc_id", "node", "n_bytes", "n_words", "sha256"), cuts, texts
 
 
 def kept_digests(texts: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -198,14 +260,20 @@ def kept_digests(texts: DataFrame, cuts: DataFrame) -> DataFrame:
     return by_batch(texts.join(cuts.where("NOT whole"), "node").select("node", "text", "spans"), step, "node bigint, n_removed bigint, n_spans bigint, kept string")
 
 
-def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs(doc_id, text) to (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
-    rows, cuts, texts = repeated_spans(docs, length)
+def removal_report(docs: DataFrame, length: int = LENGTH, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """docs(doc_id, text) to (doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated_words, is_repeated)."""
+    rows, cuts, texts = repeated_spans(docs, (Depth(length), Depth(passage_words, True)))
     cuts = staged(cuts, "cuts")
-    whole = cuts.where("whole").select("node", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept"))
-    results = staged(kept_digests(texts, cuts).unionAll(whole), "results")
+    own = cuts.where("depth = 0")
+    whole = own.where("whole").select("node", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept"))
+    results = kept_digests(texts, own).unionAll(whole)
+    in_spans = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"])
+    words = cuts.where("depth = 1").select("node", F.when(~F.col("whole"), in_spans).alias("in_spans"), "whole")
+    results = staged(results.join(words, "node", "full"), "results")
     removed = F.when(F.col("n_spans").isNull(), F.lit(0)).otherwise(F.coalesce("n_removed", "n_bytes")).cast("long")
-    return rows.join(results, "node", "left").select("doc_id", "n_bytes", removed.alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"))
+    repeated = F.when(F.col("whole").isNull(), F.lit(0)).otherwise(F.coalesce("in_spans", "n_words")).cast("long")
+    found = rows.join(results, "node", "left")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"), repeated.alias("n_repeated_words"), (repeated > 0).alias("is_repeated"))
 
 
 def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

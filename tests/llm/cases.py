@@ -58,17 +58,24 @@ def ngram_components(rows, size=4, percent=85):
     return sorted(((i, len(s), least.get(top(k)) if s else i) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
 
 
-def removal(rows, length=400):
+def repeated(units, length):
+    """Which units of each list lie in `length` units that start anywhere else, too."""
+    seen = Counter(tuple(u[s : s + length]) if isinstance(u, list) else u[s : s + length] for u in units for s in range(len(u) - length + 1))
+    for u in units:
+        gone = np.zeros(len(u), bool)
+        for s in range(len(u) - length + 1):
+            if seen[tuple(u[s : s + length]) if isinstance(u, list) else u[s : s + length]] > 1:
+                gone[s : s + length] = True
+        yield gone
+
+
+def removal(rows, length=400, passage_words=51):
     texts = [(t or "").encode() for _, t in rows]
-    seen = Counter(t[s : s + length] for t in texts for s in range(len(t) - length + 1))
+    words = list(repeated([WORD.findall(t or "") for _, t in rows], passage_words))
     out = []
-    for (i, _), t in zip(rows, texts, strict=True):
-        gone = np.zeros(len(t), bool)
-        for s in range(len(t) - length + 1):
-            if seen[t[s : s + length]] > 1:
-                gone[s : s + length] = True
+    for (i, _), t, gone, said in zip(rows, texts, repeated(texts, length), words, strict=True):
         spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
-        out.append((i, len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
+        out.append((i, len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest(), int(said.sum()), bool(said.any())))
     return sorted(out, key=str)
 
 

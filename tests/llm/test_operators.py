@@ -62,6 +62,19 @@ def test_repeated_bytes_on_a_table(spark, length):
     assert rows_of(repeated_bytes.removal_report(docs, length)) == cases.removal(plain, length)
 
 
+def test_planted_passages(spark):
+    """Just below and just above 400 bytes, and just below and just above 51 words."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    fresh = lambda n: " ".join(f"q{rng.integers(0, 10**9)}" for _ in range(n))
+    rows = [(0, fresh(90), "en", "a")]
+    for n, passage in enumerate(["x" * 399, "y" * 400, "z" * 401, *(" ".join(f"{mark}{k}" for k in range(n)) for mark, n in (("s", 52), ("u", 53)))]):
+        rows += [(10 * n + k, f"{fresh(30)} {k}{passage}{k} {fresh(20 + k)}", "en", "a") for k in (1, 2)]
+    got = {r[0]: r for r in repeated_bytes.removal_report(cases.documents(spark, rows)).collect()}
+    assert sorted(got.values(), key=str) == cases.removal([(r[0], r[1]) for r in rows])
+    assert [got[i].n_removed for i in (0, 1, 2, 11, 12, 21, 22)] == [0, 0, 0, 400, 400, 401, 401]
+    assert [got[i].n_repeated_words for i in (0, 1, 31, 32, 41, 42)] == [0, 0, 0, 0, 51, 51]
+
+
 def test_empty_tables(spark):
     none = cases.documents(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -18,16 +18,15 @@ def test_stages(spark, tmp_path):
     first = [i for i, _, c in cases.ngram_components([(r.doc_id, r.text) for r in before.collect()], 5, 80) if c == i]
     assert sorted(r.doc_id for r in after.collect()) == sorted(first)
     before, after = seen[2]
-    plain = {i: n - gone for i, n, gone, *_ in cases.removal([(r.doc_id, r.text) for r in before.collect()], corpus_pipeline.PASSAGE_BYTES)}
-    for r in after.collect():
-        assert 0 <= len(r.text.encode()) - plain[r.doc_id] <= 6 * 50 and r.n_chars == len(r.text)
+    whole = [(r.doc_id, cases.WORD.findall(r.text or "")) for r in before.collect()]
+    plain = {i: [w for w, gone in zip(words, marks, strict=True) if not gone] for (i, words), marks in zip(whole, cases.repeated([w for _, w in whole], 51), strict=True)}
+    assert {r.doc_id: cases.WORD.findall(r.text) for r in after.collect()} == {i: w for i, w in plain.items() if w} and all(r.n_chars == len(r.text) for r in after.collect())
     before, after = seen[3]
     taken = {r.doc_id: r.copies for r in source_mix.mix_sources(before).collect()}
     assert after.count() == sum(taken.values())
     assert seen[4][1].count() == after.count()
 
 
-def test_cuts_keep_characters_whole():
-    assert corpus_pipeline.whole_characters("aéb", [(2, 4)]) == "aé"
-    assert corpus_pipeline.whole_characters("aéb", [(0, 2)]) == "éb"
-    assert corpus_pipeline.whole_characters("aéb", [(1, 3)]) == "ab"
+def test_words_are_cut_with_the_blanks_between():
+    assert corpus_pipeline.without_words(" a  b\nc é d ", [(1, 3)]) == " a   é d "
+    assert corpus_pipeline.without_words("a é b", [(0, 1), (2, 3)]) == " é "
