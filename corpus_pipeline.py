@@ -3,8 +3,8 @@
 Each stage takes all that its predecessor kept as `docs` (the columns of
 `documents`), and all but the last give the same columns. Stages: documents
 that the language model rejects go; one document of each near-duplicate class
-stays; passages that stand elsewhere are cut out, and a document left without a
-word goes; sources are mixed to their targets, where a document taken twice is
+stays; passages of over 50 words that start elsewhere, too, are cut out, and a
+document left without a word goes; sources are mixed to their targets, where a document taken twice is
 two rows; the last stage gives token ids.
 """
 
@@ -13,17 +13,19 @@ from __future__ import annotations
 import functools
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import ngram_join, quality_lm, repeated_bytes, sentence_pieces, source_mix
+from quern.llm.bytetext import find_words
 from quern.llm.common import STAGED, by_batch, drop_staged, shared_dir, staged, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Near duplicates: words of a shingle and percent of similarity. Repeated passages: bytes, about 40 words.
+#: Near duplicates: words of a shingle and percent of similarity. Repeated passages: words.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-PASSAGE_BYTES = 240
+PASSAGE_WORDS = 51
 
 
 #: What the stage before has staged. Its result is written by now, and goes on from there.
@@ -70,28 +72,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
-def whole_characters(text: str, spans: list[tuple[int, int]]) -> str:
-    """text without the byte ranges, each shortened to whole characters."""
-    data, out, at = text.encode(), [], 0
+def without_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without the words from first to before last of each span, and without the blanks between them."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = find_words(data, np.array([0, len(data)]))
+    out, at = [], 0
     for first, last in spans:
-        while first < last and data[first] & 0xC0 == 0x80:
-            first += 1
-        while last > first and last < len(data) and data[last] & 0xC0 == 0x80:
-            last -= 1
-        out.append(data[at:first])
-        at = last
-    return b"".join([*out, data[at:]]).decode()
+        out.append(data[at : starts[first]].tobytes())
+        at = ends[last - 1]
+    return b"".join([*out, data[at:].tobytes()]).decode()
 
 
 @stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(docs)
-    keyed, cuts, _ = repeated_bytes.repeated_spans(as_documents(rows), PASSAGE_BYTES)
+    keyed, cuts, _ = repeated_bytes.repeated_spans(as_documents(rows), (repeated_bytes.Depth(PASSAGE_WORDS, True),))
     spans = keyed.join(staged(cuts, "cuts"), "node").select(F.col("doc_id").alias("row"), "whole", "spans")
     cut = rows.join(spans, "row", "left").where("whole IS NULL OR NOT whole").select(*COLUMNS, "spans")
 
     def step(batch: pa.RecordBatch):
-        texts = [x if s is None or x is None else whole_characters(x, [(y["first"], y["last"]) for y in s]) for x, s in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+        texts = [x if s is None or x is None else without_words(x, [(y["first"], y["last"]) for y in s]) for x, s in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True)]
         n = [None if x is None else len(x) for x in texts]
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string()), batch.column(2), batch.column(3), pa.array(n, pa.int64())], list(COLUMNS))
 
