@@ -13,7 +13,13 @@ next few by size under each shared shingle, then against a few in hashed order
 among those not yet connected to it, and last, exhaustively, every class outside
 a shingle's largest component against all that share the shingle. Two classes
 of one component are never paired again, so a group of near copies costs about
-its size, and every link between components is tested.
+its size, and every link between components is tested. In the last round a pair
+belongs to its first common shingle among the EARLY rarest of both and is made
+there alone; pairs whose first is later are made once for each and put together.
+
+The first two rounds sort by ranges of (shingle, order), so that a shingle of any
+number of classes is many tasks; neighbours on two sides of a border between
+tasks are left to the last round.
 
 Sets are of 64-bit hashes; a wrong link needs a collision inside one tested
 pair (below 2**-40 for sets of a thousand).
@@ -33,11 +39,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from quern.llm.blocks import gathered
 from quern.llm.bytetext import shingle_sets, string_slices
-from quern.llm.common import by_batch, staged, table
+from quern.llm.common import by_batch, lean, staged, table
 from quern.llm.components import components
 from quern.llm.spots import key_filter
 
@@ -45,7 +50,9 @@ SIZE, PERCENT = 4, 85
 #: Counters of how many documents hold a shingle (16 MB, whatever the input).
 COUNTERS = 1 << 22
 RANGES = 512
-NEXT_BY_SIZE, NEXT_BY_HASH = 3, 4
+NEXT_BY_SIZE, NEXT_BY_HASH, EARLY = 3, 4, 32
+#: Rows of one shingle that a task holds before it gives them on, and documents whose sets are made at a time.
+MOST_HELD, SETS_A_BATCH = 1 << 16, 256
 #: 8 MB of ids.
 BROADCAST_PAIRS = 500_000
 
@@ -105,6 +112,81 @@ def _may_link(a: str, b: str, percent: int):
     return length & (1 + F.least(na - pa_ - 1, nb - pb - 1) >= need - F.least(pa_, pb))
 
 
+def _may_link_rows(a: dict[str, np.ndarray], b: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """The same on arrays."""
+    na, nb = a["n"], b["n"]
+    need = (percent * (na + nb) + 99 + percent) // (100 + percent)
+    length = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+    return length & (1 + np.minimum(na - a["pos"], nb - b["pos"]) - 1 >= need - np.minimum(a["pos"], b["pos"]))
+
+
+NEIGHBOURS = "a bigint, b bigint, token bigint, n bigint, pos bigint"
+
+
+def neighbours(rows: DataFrame, order: tuple[str, ...], most: int, percent: int, grouped: bool) -> DataFrame:
+    """Pairs (a, b) of rows(token, node, n, pos, component) that stand at most `most` apart in `order` under one token, may link and are in two components.
+
+    With `grouped` also a row (a, null, token, n, pos) for each row of a token
+    with more rows than are all paired here.
+    """
+    names = ("token", "node", "n", "pos", "component")
+    rows = rows.repartitionByRange("token", *order, "node").sortWithinPartitions("token", *order, "node").select(*names)
+    kinds = [pa.int64()] * 5
+
+    def out(*columns: np.ndarray | None) -> pa.RecordBatch:
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in NEIGHBOURS.split(", ")])
+
+    def pairs(now: dict[str, np.ndarray], fresh: int) -> pa.RecordBatch:
+        """Pairs whose second row is at `fresh` or after it."""
+        found = [(now["node"][:0], now["node"][:0])]
+        for k in range(1, most + 1):
+            second = np.arange(max(fresh, k), len(now["node"]))
+            second = second[(now["token"][second] == now["token"][second - k]) & (now["component"][second] != now["component"][second - k])]
+            x, y = ({c: now[c][at] for c in ("node", "n", "pos")} for at in (second - k, second))
+            kept = _may_link_rows(x, y, percent)
+            found.append((x["node"][kept], y["node"][kept]))
+        a, b = (np.concatenate([f[j] for f in found]) for j in (0, 1))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        return out(a[new], b[new], None, None, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        tail, open_group, first = {c: np.zeros(0, np.int64) for c in names}, {c: np.zeros(0, np.int64) for c in names}, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(names)}
+            yield pairs({c: np.concatenate([tail[c], own[c]]) for c in names}, len(tail["node"]))
+            tail = {c: np.concatenate([tail[c], own[c]])[-most:] for c in names}
+            if grouped:
+                # groups that end here; the last one is held back, and a part's first and last may go on in the next part
+                now = {c: np.concatenate([open_group[c], own[c]]) for c in names}
+                starts = np.flatnonzero(np.diff(now["token"], prepend=now["token"][0] - 1))
+                sizes = np.diff(np.append(starts, len(now["token"])))
+                large = sizes > most + 1
+                if first:
+                    large[0] = True
+                if len(starts) > 1:
+                    done = int(starts[-1])
+                    kept = np.flatnonzero(np.repeat(large, sizes)[:done])
+                    yield out(now["node"][kept], None, now["token"][kept], now["n"][kept], now["pos"][kept])
+                    first, open_group = False, {c: now[c][done:] for c in names}
+                elif len(now["token"]) > MOST_HELD:
+                    yield out(now["node"], None, now["token"], now["n"], now["pos"])
+                    open_group = {c: now[c][:0] for c in names}
+                    first = True
+                else:
+                    open_group = now
+        if grouped:
+            yield out(open_group["node"], None, open_group["token"], open_group["n"], open_group["pos"])
+
+    return rows.mapInArrow(run, NEIGHBOURS)
+
+
 def _pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -119,13 +201,11 @@ def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     known = key_filter(wanted.select("node"))
 
     def step(batch: pa.RecordBatch):
-        nodes, found = [], []
-        for _, x in sets_of(batch.column(0), size):
-            node = int.from_bytes(class_key(x)[:8], "little", signed=True)
-            if len(x) and known(np.array([node]))[0]:
-                nodes.append(node)
-                found.append(x.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], ["node", "shingles"])
+        for part in range(0, batch.num_rows, SETS_A_BATCH):
+            found = [x for _, x in sets_of(batch.column(0).slice(part, SETS_A_BATCH), size) if len(x)]
+            nodes = np.array([int.from_bytes(class_key(x)[:8], "little", signed=True) for x in found], np.int64)
+            kept = np.flatnonzero(known(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[kept]), pa.array([found[k].tobytes() for k in kept], pa.binary())], ["node", "shingles"])
 
     return by_batch(docs.select("text"), step, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
@@ -159,23 +239,15 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     """docs(doc_id, text) to (doc_id, n_shingles, component_id)."""
     docs = docs.select("doc_id", "text")
     signed = staged(signed_documents(docs, size, percent, count_shingles(docs, size)), "signed")
-    classes = signed.where("n > 0").groupBy("key", "node", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
-    tokens = classes.select("node", F.posexplode("prefix").alias("pos", "token"), "n")
-    tokens = tokens.select("token", "node", (F.shiftleft(F.col("n"), 31) + F.col("pos")).alias("size"))
-    by_size = W.partitionBy("token").orderBy("size", "node")
-    place = F.struct("node", "size")
-    near = F.filter(F.array(*[F.lead(place, k).over(by_size) for k in range(1, NEXT_BY_SIZE + 1)]), lambda x: x.isNotNull())
-    sharing = tokens.withColumn("sharing", F.count(F.lit(1)).over(by_size.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).withColumn("near", near).where("sharing > 1")
-    size_of = lambda x: F.struct(x.node.alias("node"), F.shiftright(x["size"], 31).alias("n"), x["size"].bitwiseAND(F.lit((1 << 31) - 1)).alias("pos"))
-    spread = sharing.select("token", size_of(F.struct("node", "size")).alias("own"), F.transform("near", size_of).alias("near"), (F.col("sharing") > NEXT_BY_SIZE + 1).alias("large"))
-    spread = staged(spread, "shared")
+    classes = staged(signed.where("n > 0").groupBy("key", "node", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "classes")
+    tokens = classes.select("node", F.posexplode("prefix").alias("pos", "token"), "n", F.col("node").alias("component"))
+    met = staged(neighbours(tokens, ("n", "pos"), NEXT_BY_SIZE, percent, True), "shared")
 
     # the tests by size are all there is for a shingle of few classes; the later rounds see the others
-    met = spread.select(F.col("own").alias("l"), F.explode("near").alias("r"))
-    tried = staged(_pairs(met.where(_may_link("l", "r", percent)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))), "pairs")
-    shared = spread.where("large").select("token", "own.*")
+    tried = staged(_pairs(met.where("b IS NOT NULL").select("a", "b")), "pairs")
+    shared = met.where("b IS NULL").select("token", F.col("a").alias("node"), "n", "pos")
     nodes = shared.select("node").unionAll(tried.select("a")).unionAll(tried.select("b")).distinct()
-    wanted = staged(nodes.join(classes.select("node", "parity"), "node"), "wanted")
+    wanted = staged(nodes.join(classes.select("node", "parity", F.slice("prefix", 1, EARLY).alias("early")), "node"), "wanted")
     sets = staged(class_sets(docs, wanted, size), "sets")
     links = staged(verified(tried, sets, percent), "links")
 
@@ -187,22 +259,20 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
         return known, staged(rows.join(mixed, "token"), "open")
 
     _, rows = split_tokens(links)
-    by_hash = W.partitionBy("token").orderBy(F.xxhash64("node"), "node")
-    here = F.struct("node", "n", "pos", "component")
-    met = rows.select(here.alias("l"), F.array(*[F.lead(here, k).over(by_hash) for k in range(1, NEXT_BY_HASH + 1)]).alias("near")).select("l", F.explode("near").alias("r"))
-    met = met.where("r IS NOT NULL AND l.component <> r.component").where(_may_link("l", "r", percent))
-    more = staged(_pairs(met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))).join(tried, ["a", "b"], "left_anti"), "pairs")
+    met = neighbours(rows.withColumn("order", F.xxhash64("node")), ("order",), NEXT_BY_HASH, percent, False)
+    more = staged(_pairs(met.select("a", "b")).join(tried, ["a", "b"], "left_anti"), "pairs")
     tried = tried.unionAll(more)
     links = links.unionAll(staged(verified(more, sets, percent), "links"))
 
     _, rows = split_tokens(links)
-    rows = rows.join(wanted.select("node", "parity"), "node")
     largest = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    rest = rows.join(largest, "token").where("component <> main").drop("main")
+    rows = rows.join(largest, "token").withColumn("apart", F.col("component") != F.col("main")).drop("main").join(wanted, "node")
     apart = sum((F.bit_count(F.element_at("l.parity", k).bitwiseXOR(F.element_at("r.parity", k))) for k in range(2, RANGES // 64 + 1)), F.bit_count(F.element_at("l.parity", 1).bitwiseXOR(F.element_at("r.parity", 1))))
     na, nb = F.col("l.n"), F.col("r.n")
     suffix = apart <= na + nb - 2 * F.floor((percent * (na + nb) + 99 + percent) / (100 + percent))
-    met = rest.alias("l").join(rows.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.component") != F.col("r.component")) & _may_link("l", "r", percent) & suffix)
+    before = lambda x: F.slice(f"{x}.early", F.lit(1), F.least(F.col(f"{x}.pos"), F.lit(EARLY)).cast("int"))
+    once = F.col("l.apart") & (~F.col("r.apart") | (F.col("l.node") < F.col("r.node"))) & ~F.arrays_overlap(before("l"), before("r"))
+    met = rows.where("apart").alias("l").join(rows.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.component") != F.col("r.component")) & _may_link("l", "r", percent) & suffix & once)
     last = staged(_pairs(met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.unionAll(staged(verified(last, sets, percent), "links"))
 
