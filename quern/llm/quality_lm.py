@@ -11,13 +11,14 @@ hash, a bigram an exact 62-bit key of two words, the half one bit more. A word
 that the half never saw costs UNKNOWN_BITS more than its share of what the
 continuation counts leave.
 
-The cost of a token is a sum of three values, each under its own key: the backoff
-weight of the word before, the lower order of the word, and what the bigram gains
-over both. All are kept in shards by key that grow with the input. The sums of each
+The cost of a text is a sum of values, each under its own key: of each word its
+lower order and, where another word follows, its backoff weight, and of each bigram
+what it gains over both. All are kept in shards by key that grow with the input. The sums of each
 word are made in the shards of the words from what each shard of bigrams has, and
 go back to it for the gains. The questions of the documents are sharded, too: each
-batch of documents asks each shard with five bytes a question and gets back a sum
-for each document. Bigrams and words with HOT_SHARE of all occurrences are answered
+batch of documents asks each shard with four bytes a question and gets back a sum
+for each document; a question about what is not in a shard of a hundred thousand keys
+meets one of them by chance in one of 40,000 cases. Values are kept to 1/1024 bit. Bigrams and words with HOT_SHARE of all occurrences are answered
 where they are asked and do not travel, so no frequent word makes a hot shard. A batch
 is named by where it stands and what it holds; a task that runs again reads the same
 rows and names them alike.
@@ -51,7 +52,7 @@ from pyspark.sql.window import Window as W
 
 from quern.llm.blocks import BLOCK_CELLS, gathered, has_bits, set_bits
 from quern.llm.bytetext import find_words, mix, string_slices, word_hashes
-from quern.llm.common import STAGED, by_batch, drop_staged, lean, staged, table
+from quern.llm.common import STAGED, by_batch, drop_staged, lean, settled, staged, table
 
 WORD_BITS = 31
 WORDS = 1 << WORD_BITS
@@ -70,7 +71,9 @@ BATCH_BYTES = 4 << 20
 BROADCAST_IDS = 4_000_000
 BUCKETS = 1 << 16
 TABLE = HALVES * WORDS
-KEY_BYTES, DIGEST_BYTES, WORD_BYTES = 7, 5, 4
+KEY_BYTES, DIGEST_BYTES, TOP_BYTES = 7, 4, 2
+#: Bits are kept in steps of 1 / FINE from LEAST_BITS on.
+FINE, LEAST_BITS = 1024, -48.0
 SIEVE_BITS = 24
 COARSE = 1 << 8
 
@@ -123,14 +126,14 @@ def unscramble(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (plain >> WORD_BITS) + base, (plain & (WORDS - 1)) + base
 
 
-def context_keys(before: np.ndarray) -> np.ndarray:
-    """Keys of words as contexts; no bigram has them."""
-    return scramble(before, np.full_like(before, UNKNOWN))
+def word_keys(word: np.ndarray) -> np.ndarray:
+    """Keys of words that others follow; no bigram has them."""
+    return scramble((word & ~np.int64(WORDS - 1)) + UNKNOWN, word)
 
 
-def lower_keys(word: np.ndarray) -> np.ndarray:
-    """Keys of words in the lower order; no bigram has them."""
-    return scramble((word & ~np.int64(WORDS - 1)) + UNKNOWN, word)
+def last_keys(word: np.ndarray) -> np.ndarray:
+    """Keys of words that end a text; no bigram has them."""
+    return scramble(word, np.full_like(word, UNKNOWN))
 
 
 def pack(residues: np.ndarray, width: int = 3) -> bytes:
@@ -143,11 +146,33 @@ def unpack(data: bytes, width: int = 3) -> np.ndarray:
     return rows.view("<i8").ravel().astype(np.int64)
 
 
+def pack_sorted(residues: np.ndarray, width: int) -> bytes:
+    """Sorted numbers byte by byte: the lower bytes as they are, the upper ones, which hardly change from one to the next, deflated."""
+    planes = residues.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]
+    return planes[: width - TOP_BYTES].tobytes() + zlib.compress(planes[width - TOP_BYTES :].tobytes(), 1)
+
+
+def unpack_sorted(data: bytes, n: int, width: int) -> np.ndarray:
+    low = n * (width - TOP_BYTES)
+    rows = np.zeros((8, n), np.uint8)
+    rows[: width - TOP_BYTES] = np.frombuffer(data, np.uint8, low).reshape(-1, n)
+    rows[width - TOP_BYTES : width] = np.frombuffer(zlib.decompress(data[low:]), np.uint8).reshape(-1, n)
+    return np.ascontiguousarray(rows.T).view("<i8").ravel().astype(np.int64)
+
+
 def digests(residues: np.ndarray, shift: int) -> np.ndarray:
     """The upper bits of keys in their shard, by which they are asked."""
     return residues >> (shift - 8 * DIGEST_BYTES)
 
 
+def coded(bits: np.ndarray) -> bytes:
+    return np.clip(np.round((bits - LEAST_BITS) * FINE), 0, 65535).astype("<u2").tobytes()
+
+
+def decoded_bits(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u2") / FINE + LEAST_BITS
+
+
 def squeezed(values: np.ndarray, kind: str) -> bytes:
     return zlib.compress(values.astype(kind).tobytes(), 1)
 
@@ -177,7 +202,7 @@ def count_shards(docs: DataFrame, shards: int) -> DataFrame:
         found = [s for s in range(shards) if borders[s + 1] > borders[s]]
         low = keys & ((1 << shift) - 1)
         parts = [slice(borders[s], borders[s + 1]) for s in found]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([pack(low[p], KEY_BYTES) for p in parts], pa.binary()), pa.array([squeezed(counts[p], "<u4") for p in parts], pa.binary())], ["shard", "keys", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([pack_sorted(low[p], KEY_BYTES) for p in parts], pa.binary()), pa.array([squeezed(counts[p], "<u4") for p in parts], pa.binary())], ["shard", "keys", "counts"])
 
     def run(batches):
         lean()
@@ -194,20 +219,18 @@ def count_shards(docs: DataFrame, shards: int) -> DataFrame:
             yield from rows(*np.unique(np.concatenate(held), return_counts=True))
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        keys, inverse = np.unique(np.concatenate([unpack(x, KEY_BYTES) for x in group["keys"]]), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([expanded(x, "<u4") for x in group["counts"]])).astype(np.int64)
-        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "keys": [pack(keys, KEY_BYTES)], "counts": [squeezed(counts, "<u4")]})
+        each = [expanded(x, "<u4") for x in group["counts"]]
+        keys, inverse = np.unique(np.concatenate([unpack_sorted(x, len(n), KEY_BYTES) for x, n in zip(group["keys"], each, strict=True)]), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate(each)).astype(np.int64)
+        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "keys": [pack_sorted(keys, KEY_BYTES)], "counts": [squeezed(counts, "<u4")]})
 
     return docs.select("doc_id", "text").mapInArrow(run, schema).groupBy("shard").applyInPandas(merge, schema)
 
 
-def _whole_keys(keys: bytes, shard: int, shift: int) -> np.ndarray:
-    return unpack(keys, KEY_BYTES) | int(shard) << shift
-
-
 def _decoded(batch: pa.RecordBatch, shift: int):
     for shard, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        yield _whole_keys(keys, shard, shift), expanded(counts, "<u4").astype(np.int64)
+        counts = expanded(counts, "<u4").astype(np.int64)
+        yield unpack_sorted(keys, len(counts), KEY_BYTES) | int(shard) << shift, counts
 
 
 def _size_bucket(counts: np.ndarray) -> np.ndarray:
@@ -241,65 +264,72 @@ def hot_limit(types: np.ndarray, share: float | None = None) -> int:
     return int(fits[0]) if len(fits) else BUCKETS
 
 
-def word_keys(before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys of all contexts and words of a shard of bigrams, which of them are contexts, and where each bigram's two are."""
-    contexts, at = np.unique(before, return_inverse=True)
-    words, to = np.unique(word, return_inverse=True)
-    keys = np.concatenate([context_keys(contexts), lower_keys(words)])
-    order = np.argsort(keys)
+def words_of(whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of a shard of bigrams by their keys, and where each bigram's first and second are."""
+    before, word = unscramble(whole)
+    words, at = np.unique(np.concatenate([before, word]), return_inverse=True)
+    order = np.argsort(word_keys(words))
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
-    return keys[order], order < len(contexts), place[at], place[len(contexts) + to]
+    return words[order], place[at[: len(whole)]], place[at[len(whole) :]]
+
+
+SUMS = "shard int, part int, words binary, heads binary, tails binary, weights binary"
+SUM_NAMES = [f.split()[0] for f in SUMS.split(", ")]
 
 
 def word_sums(tables: DataFrame, discounts: np.ndarray, shards: int) -> DataFrame:
-    """(shard, part, keys, sums, weights) of words: where part is -1, occurrences and backoff weights of contexts and continuations of words; else the same for the words of a shard of bigrams, in the order of word_keys."""
+    """(shard, part, words, heads, tails, weights): how many tokens follow each word, how many different words it follows, and its backoff weight.
+
+    Where part is -1, `words` are all words of the shard, in the order of their
+    keys; else there are the same sums for the words of the bigrams of a shard,
+    in the order of words_of, from one of `part`.
+    """
     shift, coarse = shard_shift(shards), min(shards, COARSE)
     wide = shard_shift(coarse)
-    schema = "shard int, part int, keys binary, sums binary, weights binary"
+
+    def row(shard: int, part: int, words: np.ndarray | None, heads: np.ndarray, tails: np.ndarray, weights: np.ndarray) -> tuple:
+        return int(shard), int(part), None if words is None else (words & (WORDS - 1)).astype("<u4").tobytes(), squeezed(heads, "<u4"), squeezed(tails, "<u4"), squeezed(weights, "<f4")
 
     def ask(batch: pa.RecordBatch):
         for source, (whole, counts) in zip(batch.column(0).to_pylist(), _decoded(batch, shift), strict=True):
-            keys, _, at, to = word_keys(*unscramble(whole))
-            sums = np.bincount(at, counts, len(keys)) + np.bincount(to, minlength=len(keys))
-            weights = np.bincount(at, discounts[np.minimum(counts, 3)], len(keys))
-            borders = np.searchsorted(keys >> wide, np.arange(coarse + 1))
-            found = [k for k in range(coarse) if borders[k + 1] > borders[k]]
-            parts = [slice(borders[k], borders[k + 1]) for k in found]
-            before, word = unscramble(keys)
-            context = _is_context(keys)
-            own = np.where(context, before, word) & (WORDS - 1) | context.astype(np.int64) << WORD_BITS
-            columns = [(found, pa.int32()), ([source] * len(found), pa.int32()), ([pack(own[p], WORD_BYTES) for p in parts], pa.binary()), ([squeezed(sums[p], "<u4") for p in parts], pa.binary()), ([squeezed(weights[p], "<f4") for p in parts], pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in columns], ["shard", "part", "keys", "sums", "weights"])
+            words, at, to = words_of(whole)
+            heads, tails, weights = np.bincount(at, counts, len(words)), np.bincount(to, minlength=len(words)), np.bincount(at, discounts[np.minimum(counts, 3)], len(words))
+            borders = np.searchsorted(word_keys(words) >> wide, np.arange(coarse + 1))
+            out = [row(k, source, words[p], heads[p], tails[p], weights[p]) for k in range(coarse) if (p := slice(borders[k], borders[k + 1])).start < p.stop]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k < 2 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], SUM_NAMES)
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        first = int(group["shard"].iloc[0])
-        base = (first << wide >> KEY_BITS) * WORDS
-        each = []
-        for x in group["keys"]:
-            own = unpack(x, WORD_BYTES)
-            word = (own & (WORDS - 1)) + base
-            each.append(np.where(own >> WORD_BITS, context_keys(word), lower_keys(word)))
-        keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
-        sums = np.bincount(inverse, np.concatenate([expanded(x, "<u4") for x in group["sums"]]))
-        weights = np.bincount(inverse, np.concatenate([expanded(x, "<f4") for x in group["weights"]]))
-        weights = weights / np.maximum(sums, 1)
+        coarse_shard = int(group["shard"].iloc[0])
+        base = (coarse_shard << wide >> KEY_BITS) * WORDS
+        each = [np.frombuffer(x, "<u4").astype(np.int64) + base for x in group["words"]]
+        words, inverse = np.unique(np.concatenate(each), return_inverse=True)
+        heads, tails = (np.bincount(inverse, np.concatenate([expanded(x, "<u4") for x in group[c]])).astype(np.int64) for c in ("heads", "tails"))
+        weights = np.bincount(inverse, np.concatenate([expanded(x, "<f4") for x in group["weights"]])) / np.maximum(heads, 1)
         out, end = [], 0
         for source, x in zip(group["part"], each, strict=True):
             own = inverse[end : end + len(x)]
             end += len(x)
-            out.append((source, first, None, squeezed(sums[own], "<u4"), squeezed(weights[own], "<f4")))
-        fine = keys >> shift
+            out.append((source, coarse_shard, None, *row(0, 0, None, heads[own], tails[own], weights[own])[3:]))
+        order = np.argsort(word_keys(words))
+        fine = word_keys(words[order]) >> shift
         for shard in np.unique(fine):
-            p = slice(*np.searchsorted(fine, [shard, shard + 1]))
-            out.append((shard, -1, pack(keys[p] & ((1 << shift) - 1), KEY_BYTES), squeezed(sums[p], "<u4"), squeezed(weights[p], "<f4")))
-        return pd.DataFrame(out, columns=["shard", "part", "keys", "sums", "weights"])
+            p = order[slice(*np.searchsorted(fine, [shard, shard + 1]))]
+            out.append(row(shard, -1, words[p], heads[p], tails[p], weights[p]))
+        return pd.DataFrame(out, columns=SUM_NAMES)
+
+    return by_batch(tables, ask, SUMS).groupBy("shard").applyInPandas(add, SUMS)
 
-    return by_batch(tables, ask, schema).groupBy("shard").applyInPandas(add, schema)
 
+def _words_in(batch: pa.RecordBatch, shift: int):
+    """(words, heads, tails, weights) of each shard of all words."""
+    for shard, words, heads, tails, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        words = np.frombuffer(words, "<u4").astype(np.int64) + (int(shard) << shift >> KEY_BITS) * WORDS
+        yield int(shard), words, expanded(heads, "<u4").astype(np.int64), expanded(tails, "<u4").astype(np.int64), expanded(weights, "<f4").astype(float)
 
-def _is_context(keys: np.ndarray) -> np.ndarray:
-    return unscramble(keys)[1] & (WORDS - 1) == UNKNOWN
+
+def all_words(sums: DataFrame) -> DataFrame:
+    return sums.where("part < 0").drop("part")
 
 
 def _sieve_cells(word: np.ndarray) -> np.ndarray:
@@ -311,12 +341,10 @@ def word_sieve(sums: DataFrame, shards: int) -> np.ndarray:
     shift = shard_shift(shards)
 
     def fill(cells: np.ndarray, batch: pa.RecordBatch) -> None:
-        for shard, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            keys = _whole_keys(keys, shard, shift)
-            before, word = unscramble(keys)
-            set_bits(cells, _sieve_cells(np.where(_is_context(keys), before, word)))
+        for _, words, *_ in _words_in(batch, shift):
+            set_bits(cells, _sieve_cells(words))
 
-    return gathered(sums.where("part < 0").select("shard", "keys"), fill, HALVES << SIEVE_BITS >> 3, "uint8", bits=True)
+    return gathered(all_words(sums), fill, HALVES << SIEVE_BITS >> 3, "uint8", bits=True)
 
 
 def lower_order(sums: DataFrame, shards: int) -> tuple[Lower, int]:
@@ -324,15 +352,14 @@ def lower_order(sums: DataFrame, shards: int) -> tuple[Lower, int]:
     shift = shard_shift(shards)
 
     def fill(cells: np.ndarray, batch: pa.RecordBatch) -> None:
-        for shard, keys, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            keys, n = _whole_keys(keys, shard, shift), expanded(found, "<u4").astype(np.int64)
-            cells[:BUCKETS] += np.bincount(_size_bucket(n), minlength=BUCKETS)
-            low = ~_is_context(keys)
-            half = (keys[low] >> KEY_BITS) * 8
-            cells[BUCKETS : BUCKETS + 16] += np.bincount(half + np.minimum(n[low], 5), minlength=16)
-            cells[BUCKETS + 16 : BUCKETS + 32] += np.bincount(half, n[low], 16).astype(np.int64)
-
-    cells = gathered(sums.where("part < 0").select("shard", "keys", "sums"), fill, BUCKETS + BLOCK_CELLS, "int64")
+        for _, words, heads, tails, _ in _words_in(batch, shift):
+            cells[:BUCKETS] += np.bincount(_size_bucket(np.maximum(heads, 1)), minlength=BUCKETS)
+            low = tails > 0
+            half = (words[low] >> WORD_BITS) * 8
+            cells[BUCKETS : BUCKETS + 16] += np.bincount(half + np.minimum(tails[low], 5), minlength=16)
+            cells[BUCKETS + 16 : BUCKETS + 32] += np.bincount(half, tails[low], 16).astype(np.int64)
+
+    cells = gathered(all_words(sums), fill, BUCKETS + BLOCK_CELLS, "int64")
     counts = cells[BUCKETS : BUCKETS + 16].reshape(HALVES, 8)
     total = cells[BUCKETS + 16 : BUCKETS + 32 : 8].astype(float)
     low = np.stack([discounts_of(x[1:5]) for x in counts])
@@ -347,32 +374,37 @@ def lower_of(low: Lower, half: np.ndarray, left: np.ndarray) -> np.ndarray:
     return (left - low.discounts[half, np.minimum(left, 3)]) / low.total[half] + low.flat[half]
 
 
-VALUES = "shard int, keys binary, cost binary, hot_keys binary, hot_cost binary"
+VALUES = "shard int, n int, keys binary, cost binary, hot_keys binary, hot_cost binary"
+VALUE_NAMES = [f.split()[0] for f in VALUES.split(", ")]
 
 
 def _values_row(shard: int, shift: int, keys: np.ndarray, cost: np.ndarray, hot: np.ndarray) -> tuple:
     low = digests(keys & ((1 << shift) - 1), shift)
-    return int(shard), pack(low, DIGEST_BYTES), cost.astype("<f4").tobytes(), keys[hot].astype("<i8").tobytes(), cost[hot].astype("<f4").tobytes()
+    return int(shard), len(keys), pack_sorted(low, DIGEST_BYTES), coded(cost), keys[hot].astype("<i8").tobytes(), cost[hot].astype("<f4").tobytes()
 
 
 def word_values(sums: DataFrame, low: Lower, limit: int, shards: int) -> DataFrame:
-    """Bits of each context's backoff weight, and of each word beyond those of an unknown one."""
+    """Bits of each word beyond those of an unknown one, with those of its backoff weight where others follow it and without where it is last."""
     shift = shard_shift(shards)
 
     def step(batch: pa.RecordBatch):
-        out = []
-        for shard, keys, n, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            keys, n = _whole_keys(keys, shard, shift), expanded(n, "<u4").astype(np.int64)
-            half = keys >> KEY_BITS
-            cost = np.where(_is_context(keys), -np.log2(np.maximum(expanded(weights, "<f4"), 1e-30)), -np.log2(lower_of(low, half, n)) - low.unknown[half])
-            out.append(_values_row(shard, shift, keys, cost, _size_bucket(n) >= limit))
-        yield pa.RecordBatch.from_pylist([dict(zip(VALUE_NAMES, x, strict=True)) for x in out], pa.schema(VALUE_KINDS))
-
-    return by_batch(sums.where("part < 0").select("shard", "keys", "sums", "weights"), step, VALUES)
-
-
-VALUE_NAMES = [f.split()[0] for f in VALUES.split(", ")]
-VALUE_KINDS = [(name, pa.binary() if k else pa.int32()) for k, name in enumerate(VALUE_NAMES)]
+        keys, costs, hots = [], [], []
+        for _, words, heads, tails, weights in _words_in(batch, shift):
+            half = words >> WORD_BITS
+            own = np.where(tails > 0, -np.log2(np.where(tails > 0, lower_of(low, half, tails), 1.0)) - low.unknown[half], 0.0)
+            after = np.where(heads > 0, -np.log2(np.maximum(weights, 1e-30)), 0.0)
+            hot = _size_bucket(np.maximum(heads, 1)) >= limit
+            keys += [word_keys(words), last_keys(words)]
+            costs += [own + after, own]
+            hots += [hot, hot]
+        keys, costs, hots = np.concatenate(keys), np.concatenate(costs), np.concatenate(hots)
+        order = np.argsort(keys)
+        keys, costs, hots = keys[order], costs[order], hots[order]
+        borders = np.searchsorted(keys >> shift, np.arange(shards + 1))
+        out = [_values_row(s, shift, keys[p], costs[p], hots[p]) for s in range(shards) if (p := slice(borders[s], borders[s + 1])).start < p.stop]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k < 2 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], VALUE_NAMES)
+
+    return by_batch(all_words(sums), step, VALUES)
 
 
 def bigram_values(tables: DataFrame, sums: DataFrame, discounts: np.ndarray, low: Lower, limit: int, shards: int) -> DataFrame:
@@ -381,14 +413,15 @@ def bigram_values(tables: DataFrame, sums: DataFrame, discounts: np.ndarray, low
 
     def run(own: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         shard = int(own["shard"].iloc[0])
-        whole, counts = _whole_keys(own["keys"].iloc[0], shard, shift), expanded(own["counts"].iloc[0], "<u4").astype(np.int64)
-        keys, _, at, to = word_keys(*unscramble(whole))
+        counts = expanded(own["counts"].iloc[0], "<u4").astype(np.int64)
+        whole = unpack_sorted(own["keys"].iloc[0], len(counts), KEY_BYTES) | shard << shift
+        asked, at, to = words_of(whole)
         words = words.sort_values("part")
-        n = np.concatenate([expanded(x, "<u4") for x in words["sums"]]).astype(np.int64)
+        heads, tails = (np.concatenate([expanded(x, "<u4") for x in words[c]]).astype(np.int64) for c in ("heads", "tails"))
         weights = np.concatenate([expanded(x, "<f4") for x in words["weights"]]).astype(float)
-        if len(n) != len(keys):
+        if len(heads) != len(asked):
             raise ValueError("a shard of bigrams got back another number of words than it asked for")
-        seen = gain(counts, discounts, n[at], weights[at], lower_of(low, whole >> KEY_BITS, n[to]))
+        seen = gain(counts, discounts, heads[at], weights[at], lower_of(low, whole >> KEY_BITS, tails[to]))
         return pd.DataFrame([_values_row(shard, shift, whole, -seen, _size_bucket(counts) >= limit)], columns=VALUE_NAMES)
 
     return tables.groupBy("shard").cogroup(sums.where("part >= 0").groupBy("shard")).applyInPandas(run, VALUES)
@@ -406,18 +439,20 @@ def fit_model(merged: DataFrame, shards: int) -> tuple[DataFrame, Model]:
     tables = staged(merged, "bigrams")
     types = types_of(tables, shard_shift(shards))
     discounts = discounts_of(types[_size_bucket(np.array([1, 2, 3, 4]))])
+    settled(tables.sparkSession)
     sums = staged(word_sums(tables, discounts, shards), "words")
+    settled(tables.sparkSession)
     scratch = STAGED[at:]
     low, limit = lower_order(sums, shards)
     values = staged(word_values(sums, low, limit, shards).unionAll(bigram_values(tables, sums, discounts, low, hot_limit(types), shards)), "values")
     sieve = word_sieve(sums, shards)
     # the values are all that goes on; scratch tables go now, and shuffles with the collection of their plans
     drop_staged(tables.sparkSession, scratch)
-    tables.sparkSession.sparkContext._jvm.System.gc()
+    settled(tables.sparkSession)
     got = values.select("hot_keys", "hot_cost").collect()
     keys, cost = (np.concatenate([np.frombuffer(r[k], kind) for r in got] or [np.zeros(0, kind)]) for k, kind in (("hot_keys", "<i8"), ("hot_cost", "<f4")))
     order = np.argsort(keys, kind="stable")
-    return values.select("shard", "keys", "cost"), Model(keys[order], cost[order], low.unknown, sieve)
+    return values.select("shard", "n", "keys", "cost"), Model(keys[order], cost[order], low.unknown, sieve)
 
 
 ASKED = "shard int, batch string, head boolean, sizes binary, keys binary, doc_ids array<bigint>, langs array<string>, n_tokens binary, bits binary, parts int"
@@ -437,13 +472,17 @@ def ask_shards(docs: DataFrame, model, shards: int) -> DataFrame:
             before, word = bigrams(words, first, half)
             tokens.append(np.diff(first))
             whole = m.unknown[half] * np.diff(first)
-            first_known, known_word = has_bits(m.sieve, _sieve_cells(before)), has_bits(m.sieve, _sieve_cells(word))
-            for asked, key in ((first_known, context_keys(before)), (known_word, lower_keys(word)), (first_known & known_word, scramble(before, word))):
+            known_before, known_word = has_bits(m.sieve, _sieve_cells(before)), has_bits(m.sieve, _sieve_cells(word))
+            last = np.zeros(len(word), bool)
+            last[first[1:][np.diff(first) > 0] - 1] = True
+            begin = np.flatnonzero(before & (WORDS - 1) == START)
+            for asked, owned, key in ((slice(None), owner[begin], word_keys(before[begin])), (known_word, owner, np.where(last, last_keys(word), word_keys(word))), (known_before & known_word, owner, scramble(before, word))):
+                key, owned = key[asked], owned[asked]
                 at = np.minimum(np.searchsorted(m.hot_keys, key), max(0, len(m.hot_keys) - 1))
                 hot = m.hot_keys[at] == key if len(m.hot_keys) else np.zeros(len(key), bool)
-                whole += np.bincount(owner[hot] - base, m.hot_values[at[hot]], count)
-                keys.append(key[asked & ~hot])
-                owners.append(owner[asked & ~hot])
+                whole += np.bincount(owned[hot] - base, m.hot_values[at[hot]], count)
+                keys.append(key[~hot])
+                owners.append(owned[~hot])
             bits.append(whole)
             base += count
         keys, owners = np.concatenate(keys), np.concatenate(owners)
@@ -492,8 +531,8 @@ def answer(asked: DataFrame, tables: DataFrame) -> DataFrame:
     """Each shard's sums for the documents of each batch."""
 
     def run(known: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        low = np.concatenate([unpack(x, DIGEST_BYTES) for x in known["keys"]] or [np.zeros(0, np.int64)])
-        cost = np.concatenate([np.frombuffer(x, "<f4") for x in known["cost"]] or [np.zeros(0, "<f4")])
+        low = np.concatenate([unpack_sorted(x, n, DIGEST_BYTES) for x, n in zip(known["keys"], known["n"], strict=True)] or [np.zeros(0, np.int64)])
+        cost = np.concatenate([decoded_bits(x) for x in known["cost"]] or [np.zeros(0)])
         order = np.argsort(low)
         low, cost = low[order], cost[order]
         saved = []
