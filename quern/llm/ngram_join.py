@@ -249,22 +249,23 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     nodes = shared.select("node").unionAll(tried.select("a")).unionAll(tried.select("b")).distinct()
     wanted = staged(nodes.join(classes.select("node", "parity", F.slice("prefix", 1, EARLY).alias("early")), "node"), "wanted")
     sets = staged(class_sets(docs, wanted, size), "sets")
-    links = staged(verified(tried, sets, percent), "links")
+    links = lambda pairs: verified(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    stars = lambda known: known.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
-    def split_tokens(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Components so far, and the shared shingles that still meet more than one of them."""
-        known = staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    def still_open(known: DataFrame) -> DataFrame:
+        """The rows of shared shingles that meet more than one component."""
         rows = shared.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-        return known, staged(rows.join(mixed, "token"), "open")
+        return staged(rows.join(mixed, "token"), "open")
 
-    _, rows = split_tokens(links)
+    known = components(links(tried))
+    rows = still_open(known)
     met = neighbours(rows.withColumn("order", F.xxhash64("node")), ("order",), NEXT_BY_HASH, percent, False)
     more = staged(_pairs(met.select("a", "b")).join(tried, ["a", "b"], "left_anti"), "pairs")
     tried = tried.unionAll(more)
-    links = links.unionAll(staged(verified(more, sets, percent), "links"))
+    known = components(stars(known).unionAll(links(more)))
 
-    _, rows = split_tokens(links)
+    rows = still_open(known)
     largest = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
     rows = rows.join(largest, "token").withColumn("apart", F.col("component") != F.col("main")).drop("main").join(wanted, "node")
     apart = sum((F.bit_count(F.element_at("l.parity", k).bitwiseXOR(F.element_at("r.parity", k))) for k in range(2, RANGES // 64 + 1)), F.bit_count(F.element_at("l.parity", 1).bitwiseXOR(F.element_at("r.parity", 1))))
@@ -274,9 +275,7 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     once = F.col("l.apart") & (~F.col("r.apart") | (F.col("l.node") < F.col("r.node"))) & ~F.arrays_overlap(before("l"), before("r"))
     met = rows.where("apart").alias("l").join(rows.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.component") != F.col("r.component")) & _may_link("l", "r", percent) & suffix & once)
     last = staged(_pairs(met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionAll(staged(verified(last, sets, percent), "links"))
-
-    known = staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    known = components(stars(known).unionAll(links(last)))
     reps = classes.select("node", "rep")
     joined = reps.join(known, "node")
     least = joined.groupBy("component").agg(F.min("rep").alias("least"))
