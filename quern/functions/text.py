@@ -45,6 +45,21 @@ def tokens_match(a: Column, b: Column) -> Column:
     return (n > 0) & (F.left(a, need) == F.left(b, need))
 
 
+def stem_keys(word: Column, of_name: bool) -> Column:
+    """Keys under which a text's word and a name's word meet exactly once if tokens_match() may hold.
+
+    Words of three letters and more share their first three; a shorter one is a
+    beginning of the other.
+    """
+    n = F.length(word)
+    shared = F.when(n >= 3, F.concat(F.lit("3"), F.left(word, F.lit(3))))
+    keys = [shared]
+    for size in (1, 2):
+        begins, whole = F.concat(F.lit(f"a{size}"), F.left(word, F.lit(size))), F.concat(F.lit(f"b{size}"), F.left(word, F.lit(size)))
+        keys += [F.when(n >= size, begins), F.when(n == size, whole)] if of_name else [F.when(n == size, begins), F.when(n > size, whole)]
+    return F.array_compact(F.array(*keys))
+
+
 def tolerant_contains(text: Column, form: Column) -> Column:
     """Like contains_form on arrays of tokens, by tokens_match; quadratic in the two lengths at worst."""
     last = F.size(text) - F.size(form)

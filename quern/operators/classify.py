@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Names of what a configuration did, and of what became of the entities found.
 CLASSES = ["UNCHANGED", "HELPED", "HARMED", "EXPECTED_KEPT", "NEITHER"]
+TRANSITIONS = ["UNCHANGED", "STREET_INTRODUCED", "STREET_LOST", "STREET_REPLACED", "STREET_EXTENDED", "STREET_NARROWED", "SAME_STREET_KEPT", "NO_STREET_CHANGED"]
 
 
 def change_class(changed: Column, before: Column, after: Column) -> Column:

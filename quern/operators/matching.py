@@ -1,7 +1,7 @@
 """Finding dictionary forms in texts.
 
-All joins are on equal keys: a form is looked up by its first KEY_TOKENS
-tokens among the token runs of the texts, and candidates are verified.
+All joins are on equal keys: a form is looked up by its first tokens, at most
+KEY_TOKENS, among the token runs of the texts, and candidates are verified.
 """
 
 from __future__ import annotations
@@ -16,22 +16,65 @@ KEY_TOKENS = 4
 BROADCAST_FORMS = 100_000
 
 
+def _keyed(forms: DataFrame, key_tokens: int) -> tuple[DataFrame, list[int], int]:
+    """forms with their tokens and the hash of their first tokens; the numbers of tokens hashed, and of forms."""
+    forms = forms.where("form <> ''").withColumn("form_words", F.split("form", " ")).withColumn("key_size", F.least(F.size("form_words"), F.lit(key_tokens)))
+    size = forms.agg(F.collect_set("key_size").alias("sizes"), F.count(F.lit(1)).alias("c")).first()
+    return forms.withColumn("key", _run(F.col("form_words"), F.lit(1), F.col("key_size"))), sorted(size.sizes), size.c
+
+
+def _run(words: Column, start: Column, n: Column | int) -> Column:
+    return F.xxhash64(F.array_join(F.slice(words, start, n), " "))
+
+
+def _runs(words: str, sizes: list[int]) -> Column:
+    """(pos, key) of each token run of each size, as an array; positions from 0."""
+
+    def of(n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.struct((i - 1).alias("pos"), _run(F.col(words), i, n).alias("key")))
+        return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<struct<pos:int,key:bigint>>"))
+
+    return F.concat(*map(of, sizes))
+
+
+def positions(texts: DataFrame, forms: DataFrame, key_tokens: int = KEY_TOKENS, **extra) -> DataFrame:
+    """(id, form_id, pos, size) of forms(form_id, form) standing in texts(id, norm) from token `pos` on; both normalised, empty forms nowhere.
+
+    A form is looked up by as many of its first tokens as it has, up to
+    key_tokens. Up to BROADCAST_FORMS forms the token runs never leave their
+    task, and each hit is verified on the tokens beside it; beyond that runs
+    and forms meet by key, and texts by id. `extra` are further columns made
+    from (text's tokens, form's tokens) for each hit.
+    """
+    wanted, sizes, count = _keyed(forms, key_tokens)
+    wanted = wanted.select("form_id", "form_words", "key")
+    words = texts.select("id", F.split("norm", " ").alias("words"))
+    if count <= BROADCAST_FORMS:
+        runs = words.select("id", "words", F.explode(_runs("words", sizes) if sizes else F.array().cast("array<struct<pos:int,key:bigint>>")).alias("r")).select("id", "words", "r.pos", "r.key")
+        found = runs.join(F.broadcast(wanted), "key")
+    else:
+        runs = words.select("id", F.explode(_runs("words", sizes)).alias("r")).select("id", "r.pos", "r.key")
+        found = runs.join(wanted, "key").join(words, "id")
+    found = found.where(F.slice("words", F.col("pos") + 1, F.size("form_words")) == F.col("form_words"))
+    return found.select("id", "form_id", "pos", F.size("form_words").alias("size"), *[make(F.col("words"), F.col("form_words")).alias(name) for name, make in extra.items()])
+
+
+def tolerant_positions(texts: DataFrame, forms: DataFrame, **extra) -> DataFrame:
+    """Like positions(), by tokens_match() of token after token, so that a name is found in any inflection."""
+    wanted = forms.where("form <> ''").select("form_id", F.split("form", " ").alias("form_words"))
+    few = wanted.count() <= BROADCAST_FORMS
+    wanted = wanted.select("form_id", "form_words", F.explode(tx.stem_keys(F.element_at("form_words", 1), True)).alias("key"))
+    words = texts.select("id", F.split("norm", " ").alias("words"))
+    starts = words.select("id", *(["words"] if few else []), F.posexplode("words").alias("pos", "word")).withColumn("key", F.explode(tx.stem_keys(F.col("word"), False))).drop("word")
+    found = starts.join(F.broadcast(wanted), "key") if few else starts.join(wanted, "key").join(words, "id")
+    here = F.slice("words", F.col("pos") + 1, F.size("form_words"))
+    found = found.where((F.size(here) == F.size("form_words")) & F.forall(F.zip_with(here, "form_words", tx.tokens_match), lambda x: x))
+    return found.select("id", "form_id", "pos", F.size("form_words").alias("size"), *[make(F.col("words"), F.col("form_words")).alias(name) for name, make in extra.items()])
+
+
 def detect(texts: DataFrame, forms: DataFrame, key_tokens: int = KEY_TOKENS) -> DataFrame:
-    """(id, form_id): forms(form_id, form) standing contiguously in texts(id, norm); both normalised, empty forms nowhere."""
-    forms = forms.where("form <> ''").withColumn("_w", F.split("form", " "))
-    size = forms.agg(F.min(F.least(F.size("_w"), F.lit(key_tokens))).alias("n"), F.count(F.lit(1)).alias("c")).first()
-    if not size.c:
-        return texts.select("id").limit(0).crossJoin(forms.select("form_id"))
-    n = int(size.n)
-    run = lambda words, i: F.xxhash64(F.array_join(F.slice(words, i, n), " "))
-    # a column of its own, used more than once: inside a lambda an expression would be evaluated for each element
-    split = texts.select("id", F.split("norm", " ").alias("words")).where(F.size("words") >= n)
-    starts = F.sequence(F.lit(1), F.size("words") - n + 1)
-    keys = split.select("id", F.explode(F.array_distinct(F.transform(starts, lambda i: run(F.col("words"), i)))).alias("key"))
-    wanted = forms.select("form_id", "form", run(F.col("_w"), F.lit(1)).alias("key"))
-    small = size.c <= BROADCAST_FORMS
-    found = keys.join(F.broadcast(wanted) if small else wanted, "key").select("id", "form_id", "form").distinct()
-    return found.join(texts.select("id", "norm"), "id").where(tx.contains_form(F.col("norm"), F.col("form"))).select("id", "form_id")
+    """(id, form_id): forms(form_id, form) standing contiguously in texts(id, norm)."""
+    return positions(texts, forms, key_tokens).select("id", "form_id").distinct()
 
 
 def longest_match(texts: DataFrame, forms: DataFrame) -> DataFrame:
@@ -50,11 +93,6 @@ def partial_candidates(texts: DataFrame, forms: DataFrame, least: int = 4) -> Da
     return words.join(keyed, "word").select("id", "form_id").join(detect(texts, forms), ["id", "form_id"], "left_anti").distinct()
 
 
-def stem_key(word: Column) -> Column:
-    """Words that match tolerantly share their first three letters, or are as short as that."""
-    return F.left(word, F.lit(3))
-
-
 def resolve(inputs: DataFrame, names: DataFrame, dropped: list[str]) -> DataFrame:
     """(id, street, tier) of inputs(id, norm) against names(street, form).
 
@@ -66,8 +104,11 @@ def resolve(inputs: DataFrame, names: DataFrame, dropped: list[str]) -> DataFram
     b = names.withColumn("name_core", core("form"))
     exact = a.join(b, F.col("norm") == F.col("form")).select("id", "street", F.lit(1).alias("tier"))
     cores = a.join(b, F.array_join("core", " ") == F.array_join("name_core", " ")).where(F.size("core") > 0).select("id", "street", F.lit(2).alias("tier"))
-    near = a.join(b, (F.size("core") == F.size("name_core")) & (F.left(F.element_at("core", 1), F.lit(1)) == F.left(F.element_at("name_core", 1), F.lit(1))))
-    stems = near.where((F.size("core") > 0) & F.forall(F.zip_with("core", "name_core", tx.tokens_match), lambda x: x)).select("id", "street", F.lit(3).alias("tier"))
+    # names meet under the stem of their first word
+    a_keys = a.where(F.size("core") > 0).withColumn("key", F.explode(tx.stem_keys(F.element_at("core", 1), False)))
+    b_keys = b.where(F.size("name_core") > 0).withColumn("key", F.explode(tx.stem_keys(F.element_at("name_core", 1), True)))
+    near = a_keys.join(b_keys, "key").where(F.size("core") == F.size("name_core"))
+    stems = near.where(F.forall(F.zip_with("core", "name_core", tx.tokens_match), lambda x: x)).select("id", "street", F.lit(3).alias("tier"))
     hits = exact.unionAll(cores).unionAll(stems).groupBy("id", "tier").agg(F.min("street").alias("street"), F.count_distinct("street").alias("n"))
     best = hits.where("n = 1").groupBy("id").agg(F.min(F.struct("tier", "street")).alias("best"))
     return inputs.select("id").join(best, "id", "left").select("id", "best.street", "best.tier")

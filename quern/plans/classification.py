@@ -10,14 +10,14 @@ from pyspark.sql.window import Window as W
 from quern.functions import text as tx
 from quern.operators import classify, matching
 from quern.plans.declare import Plans
-from quern.plans.matching import forms
-from quern.plans.texts import docs
+from quern.plans.matching import MATCH, forms
+from quern.plans.texts import docs, normal
 from quern.tables import load
 
 PLANS = Plans()
 TOKENS = r"regexp_extract_all(lower(text), '\p{L}+')"
 BASE = f"""items AS (SELECT item_id, array_to_string({TOKENS}, ' ') AS form FROM benchmark),
-d AS (SELECT doc_id, {TOKENS} AS t FROM documents), k AS (SELECT doc_id, t, len(t) AS n, array_to_string(t, ' ') AS norm FROM d WHERE len(t) > 3),
+d AS (SELECT doc_id, {TOKENS} AS t FROM documents), k AS (SELECT doc_id, t, len(t) AS n, array_to_string(t, ' ') AS norm FROM d),
 det AS (SELECT doc_id, min(item_id) AS item FROM k JOIN items ON contains(' ' || norm || ' ', ' ' || form || ' ') GROUP BY doc_id),
 x AS (SELECT k.*, coalesce(item, doc_id % (SELECT count(*) FROM benchmark)) AS item_id FROM k LEFT JOIN det USING (doc_id)),
 c AS (SELECT doc_id, x.item_id, form, array_to_string(list_slice(t, 1, CAST(floor(n * 0.6) AS INTEGER)), ' ') AS base, cfg,
@@ -33,40 +33,60 @@ moves AS (SELECT doc_id, cfg, CASE WHEN NOT changed THEN 'UNCHANGED' WHEN len(ad
  verdict, item_id, found, base_found, changed, before, after FROM (SELECT *, list_filter(found, lambda z: NOT list_contains(base_found, z)) AS added, list_filter(base_found, lambda z: NOT list_contains(found, z)) AS removed FROM compared))"""
 
 
-def configs(spark, sf):
-    """(doc_id, item_id, form, base, cfg, txt): a row for each document and configuration."""
+def facts(spark, sf):
+    """Per document the numbers of its tokens, of the baseline's and of those before the tail, lengths of the texts, and which differ from the baseline."""
     t, n = F.col("t"), F.size("t")
-    d = docs(spark, sf).select("doc_id", tx.tokens("text", tx.ANY_LETTER).alias("t")).where(n > 3)
-    norms = d.select(F.col("doc_id").alias("id"), F.array_join("t", " ").alias("norm"))
-    items = forms(spark, sf)
-    first = matching.detect(norms, items).groupBy(F.col("id").alias("doc_id")).agg(F.min("form_id").alias("item"))
+    d = docs(spark, sf).select("doc_id", tx.tokens("text", tx.ANY_LETTER).alias("t"))
+    full, base = F.array_join(t, " "), F.array_join(F.slice(t, F.lit(1), F.floor(n * 0.6).cast("int")), " ")
+    tail = F.array_join(F.slice(t, F.floor(n / 2).cast("int") + 1, n - F.floor(n / 2).cast("int")), " ")
+    cfg = lambda name, text: F.struct(F.lit(name).alias("cfg"), F.length(text).alias("length"), (text != base).alias("changed"))
+    return d.select("doc_id", F.array(cfg("full", full), cfg("tail", tail), cfg("same", base)).alias("cfgs"), (tail != full).alias("tail_apart"))
+
+
+def hits(spark, sf, find=matching.positions):
+    """(doc_id, hits): of each item found in a document whether it stands in the baseline and in the tail, and whether the baseline or the greedy text (each second token) knows a word of it."""
+    known = lambda words, form: F.arrays_overlap(form, F.concat(F.slice(words, F.lit(1), F.floor(F.size(words) * 0.6).cast("int")), F.filter(words, lambda w, i: i % 2 == 0)))
+    texts = normal(spark, sf).withColumnRenamed("doc_id", "id")
+    found = find(texts, forms(spark, sf), n=lambda words, form: F.size(words), known=known)
+    one = found.groupBy("id", "form_id").agg(F.max(F.col("pos") + F.col("size") <= F.floor(F.col("n") * 0.6)).alias("base"), F.max(F.col("pos") >= F.floor(F.col("n") / 2)).alias("tail"), F.max("known").alias("known"))
+    return one.groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("form_id", "base", "tail", "known"))).alias("hits"))
+
+
+def verdicts(spark, sf, tolerant: bool = False):
+    """A row for each document and configuration with what is found in it and in the baseline.
+
+    Texts are read where items are found; what is joined are the hits, which
+    tell for each configuration what stands in it.
+    """
+    none = F.array().cast("array<struct<form_id:bigint,base:boolean,tail:boolean,known:boolean>>")
     total = load(spark, sf, "benchmark").count()
-    own = d.join(first, "doc_id", "left").withColumn("item_id", F.coalesce("item", F.col("doc_id") % total))
-    own = own.join(items.select(F.col("form_id").alias("item_id"), "form"), "item_id")
-    base = F.array_join(F.slice(t, F.lit(1), F.floor(n * 0.6).cast("int")), " ")
-    half = F.floor(n / 2).cast("int")
-    tail = F.array_join(F.slice(t, half + 1, n - half), " ")
-    texts = F.array(*[F.struct(F.lit(k).alias("cfg"), v.alias("txt")) for k, v in (("full", F.array_join(t, " ")), ("tail", tail), ("same", base))])
-    return own.select("doc_id", "item_id", "form", base.alias("base"), F.explode(texts).alias("c")).select("doc_id", "item_id", "form", "base", "c.*")
-
-
-def verdicts(spark, sf):
-    c = configs(spark, sf)
-    before, after = tx.contains_form(F.col("base"), F.col("form")), tx.contains_form(F.col("txt"), F.col("form"))
-    c = c.select("*", (F.col("txt") != F.col("base")).alias("changed"), before.alias("before"), after.alias("after"))
+    exact = hits(spark, sf)
+    d = facts(spark, sf).join(exact, "doc_id", "left").withColumn("hits", F.coalesce("hits", none))
+    d = d.withColumn("item_id", F.coalesce(F.try_element_at("hits", F.lit(1)).form_id, F.col("doc_id") % total))
+    d = d.join(F.broadcast(forms(spark, sf).select(F.col("form_id").alias("item_id"))), "item_id")
+    if tolerant:
+        d = d.drop("hits").join(hits(spark, sf, matching.tolerant_positions), "doc_id", "left").withColumn("hits", F.coalesce("hits", none))
+    c = d.select("doc_id", "item_id", "hits", "tail_apart", F.explode("cfgs").alias("c")).select("doc_id", "item_id", "hits", "tail_apart", "c.*")
+    in_base, in_tail = F.filter("hits", lambda h: h.base), F.filter("hits", lambda h: h.tail)
+    here = F.when(F.col("cfg") == "full", F.col("hits")).when(F.col("cfg") == "tail", in_tail).otherwise(in_base)
+    c = c.withColumn("here", here).withColumn("base_found", F.transform(in_base, lambda h: h.form_id)).drop("hits")
+    c = c.withColumn("found", F.transform("here", lambda h: h.form_id)).withColumn("before", F.array_contains("base_found", F.col("item_id"))).withColumn("after", F.array_contains("found", F.col("item_id")))
+    unsupported = F.filter("here", lambda h: (h.form_id != F.col("item_id")) & ~h.known)
+    c = c.withColumn("unsupported", F.transform(unsupported, lambda h: h.form_id)).drop("here")
     return c.withColumn("verdict", classify.change_class(F.col("changed"), F.col("before"), F.col("after")))
 
 
 def moves(spark, sf):
-    """verdicts() with the sets of items found in the configuration and in the baseline."""
-    v = verdicts(spark, sf)
-    keyed = v.select(F.concat_ws("|", "doc_id", "cfg").alias("id"), F.col("txt").alias("norm"))
-    sets = matching.detect(keyed, forms(spark, sf)).groupBy("id").agg(F.array_sort(F.collect_set("form_id")).alias("found"))
-    none = F.array().cast("array<bigint>")
-    own = v.withColumn("id", F.concat_ws("|", "doc_id", "cfg")).join(sets, "id", "left").withColumn("found", F.coalesce("found", none))
-    base = own.where("cfg = 'same'").select("doc_id", F.col("found").alias("base_found"))
-    both = own.join(base, "doc_id")
-    return both.withColumn("move", classify.transition_class(F.col("changed"), F.col("base_found"), F.col("found")))
+    return verdicts(spark, sf).withColumn("move", classify.transition_class(F.col("changed"), F.col("base_found"), F.col("found")))
+
+
+def partials(spark, sf):
+    """(doc_id, words): of each item whose longest token stands in a document whether it does in the baseline and in the tail."""
+    keyed = forms(spark, sf).select("form_id", tx.longest_token(F.split("form", " ")).alias("word")).where(F.length("word") >= 4)
+    words = normal(spark, sf).select("doc_id", F.split("norm", " ").alias("t"))
+    at = words.select("doc_id", F.size("t").alias("n"), F.posexplode("t").alias("pos", "word")).join(F.broadcast(keyed) if keyed.count() <= matching.BROADCAST_FORMS else keyed, "word")
+    one = at.groupBy("doc_id", "form_id").agg(F.max(F.col("pos") < F.floor(F.col("n") * 0.6)).alias("base"), F.max(F.col("pos") >= F.floor(F.col("n") / 2)).alias("tail"))
+    return one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("form_id", "base", "tail"))).alias("words"))
 
 
 @PLANS.query("classify_change", f"WITH {BASE} SELECT doc_id, item_id, cfg, verdict FROM verdicts")
@@ -74,11 +94,39 @@ def classify_change(spark, sf):
     return verdicts(spark, sf).select("doc_id", "item_id", "cfg", "verdict")
 
 
-@PLANS.query("classify_tolerant", f"WITH {BASE}, {FOUND} SELECT doc_id, cfg, CASE WHEN cfg = 'same' THEN 'UNCHANGED' WHEN verdict = 'NEITHER' AND len(list_filter(found, lambda z: z <> item_id)) > 0 THEN 'HARMED' ELSE verdict END AS verdict, CAST(len(list_filter(found, lambda z: NOT list_contains(base_found, z))) AS INTEGER) AS n_new FROM moves")
+DETAIL = """tk AS (SELECT doc_id, list_slice(t, 1, CAST(floor(n * 0.6) AS INTEGER)) || list_filter(t, lambda w, i: i % 2 = 1) AS known FROM k),
+lg AS (SELECT item_id, form, list_filter(string_split(form, ' '), lambda x: length(x) = list_max(list_transform(string_split(form, ' '), lambda y: length(y))))[1] AS word FROM items),
+par AS (SELECT v.doc_id, v.cfg, list(l.item_id ORDER BY l.item_id) AS ids FROM verdicts v JOIN lg l ON length(l.word) >= 4 AND contains(' ' || txt || ' ', ' ' || l.word || ' ') AND NOT contains(' ' || txt || ' ', ' ' || l.form || ' ') WHERE NOT after GROUP BY v.doc_id, v.cfg),
+un AS (SELECT m.doc_id, m.cfg, list(i.item_id ORDER BY i.item_id) AS ids FROM moves m JOIN tk USING (doc_id) JOIN items i ON list_contains(m.found, i.item_id) AND i.item_id <> m.item_id WHERE NOT list_has_any(string_split(i.form, ' '), tk.known) GROUP BY m.doc_id, m.cfg)"""
+
+
+@PLANS.query("change_detail", f"WITH {BASE}, {FOUND}, {DETAIL} SELECT m.doc_id, m.cfg, verdict, array_to_string(list_filter(found, lambda z: z <> item_id), ';') AS others, array_to_string(list_filter(found, lambda z: NOT list_contains(base_found, z)), ';') AS added, coalesce(array_to_string(un.ids, ';'), '') AS unsupported, coalesce(array_to_string(par.ids, ';'), '') AS partials, len(found) = 0 AND par.ids IS NULL AS no_street, CAST(verdict = 'NEITHER' AS INTEGER) + CAST(un.ids IS NOT NULL AS INTEGER) + CAST(par.ids IS NOT NULL AS INTEGER) AS reasons FROM moves m LEFT JOIN un ON un.doc_id = m.doc_id AND un.cfg = m.cfg LEFT JOIN par ON par.doc_id = m.doc_id AND par.cfg = m.cfg")
+def change_detail(spark, sf):
+    """What a configuration introduced without support in the baseline or the greedy text, words of items that aren't there whole, and how many reasons there are to look."""
+    v = verdicts(spark, sf).join(partials(spark, sf), "doc_id", "left")
+    here = F.when(F.col("cfg") == "full", F.col("words")).when(F.col("cfg") == "tail", F.filter("words", lambda w: w.tail)).otherwise(F.filter("words", lambda w: w.base))
+    none = F.array().cast("array<bigint>")
+    v = v.withColumn("partials", F.when(F.col("after"), none).otherwise(F.array_except(F.coalesce(F.transform(here, lambda w: w.form_id), none), "found")))
+    some = lambda c: (F.size(c) > 0).cast("int")
+    join = lambda c: F.array_join(F.col(c) if isinstance(c, str) else c, ";")
+    others = F.filter("found", lambda z: z != F.col("item_id"))
+    no_street = (F.size("found") == 0) & (F.size("partials") == 0)
+    return v.select("doc_id", "cfg", "verdict", join(others).alias("others"), join(F.array_except("found", "base_found")).alias("added"), join("unsupported").alias("unsupported"), join("partials").alias("partials"), no_street.alias("no_street"), ((F.col("verdict") == "NEITHER").cast("int") + some("unsupported") + some("partials")).alias("reasons"))
+
+
+TOLERANT = """ft AS (SELECT item_id, form, string_split(form, ' ') AS f FROM items),
+th AS (SELECT p.doc_id, ft.item_id, p.pos, len(ft.f) AS size FROM (SELECT doc_id, t, n, unnest(range(1, n + 1)) AS pos FROM k) p JOIN ft ON left(p.t[p.pos], 1) = left(ft.f[1], 1) AND p.pos + len(ft.f) - 1 <= p.n AND len(list_filter(list_zip(list_slice(p.t, p.pos, p.pos + len(ft.f) - 1), ft.f), lambda p: NOT (MATCHES))) = 0),
+tc AS (SELECT v.doc_id, v.cfg, v.item_id, v.changed, k.n FROM verdicts v JOIN k USING (doc_id)),
+tb AS (SELECT DISTINCT tc.doc_id, tc.cfg, th.item_id FROM tc JOIN th ON th.doc_id = tc.doc_id AND CASE cfg WHEN 'full' THEN true WHEN 'tail' THEN th.pos > floor(tc.n / 2) ELSE th.pos + size - 1 <= floor(tc.n * 0.6) END),
+tf AS (SELECT tc.*, coalesce((SELECT list(item_id ORDER BY item_id) FROM tb WHERE tb.doc_id = tc.doc_id AND tb.cfg = tc.cfg), []) AS found, coalesce((SELECT list(item_id ORDER BY item_id) FROM tb WHERE tb.doc_id = tc.doc_id AND tb.cfg = 'same'), []) AS base_found FROM tc)""".replace("MATCHES", MATCH.format(a="p[1]", b="p[2]"))
+
+
+@PLANS.query("classify_tolerant", f"WITH {BASE}, {TOLERANT} SELECT doc_id, cfg, CASE WHEN NOT changed OR cfg = 'same' THEN 'UNCHANGED' WHEN list_contains(base_found, item_id) AND NOT list_contains(found, item_id) THEN 'HARMED' WHEN list_contains(found, item_id) AND NOT list_contains(base_found, item_id) THEN 'HELPED' WHEN list_contains(found, item_id) THEN 'EXPECTED_KEPT' WHEN len(found) > 0 THEN 'HARMED' ELSE 'NEITHER' END AS verdict, CAST(len(list_filter(found, lambda z: NOT list_contains(base_found, z))) AS INTEGER) AS n_new FROM tf")
 def classify_tolerant(spark, sf):
+    """Names count in any inflection, the greedy configuration (here the baseline itself) never as changed, and a switch to another name as harm."""
     other = F.exists("found", lambda x: x != F.col("item_id"))
     verdict = classify.tolerant_class(F.col("changed"), F.col("before"), F.col("after"), other, F.col("cfg") == "same")
-    return moves(spark, sf).select("doc_id", "cfg", verdict.alias("verdict"), F.size(F.array_except("found", "base_found")).alias("n_new"))
+    return verdicts(spark, sf, tolerant=True).select("doc_id", "cfg", verdict.alias("verdict"), F.size(F.array_except("found", "base_found")).alias("n_new"))
 
 
 @PLANS.query("street_transition", f"WITH {BASE}, {FOUND} SELECT doc_id, cfg, move FROM moves")
@@ -94,7 +142,7 @@ def config_counters(spark, sf):
     return classify.counters(verdicts(spark, sf), ["cfg"], "verdict", classify.CLASSES)
 
 
-MOVES = ["UNCHANGED", "STREET_INTRODUCED", "STREET_LOST", "STREET_REPLACED", "NO_STREET_CHANGED"]
+MOVES = classify.TRANSITIONS
 
 
 @PLANS.query("sweep_counters", f"WITH {BASE}, {FOUND} SELECT cfg, CAST(count(*) AS BIGINT) AS n, {COUNT(MOVES, 'move')} FROM moves GROUP BY cfg")
@@ -119,22 +167,23 @@ def example_groups(spark, sf):
 @PLANS.query("example_filters", f"WITH {BASE} SELECT doc_id, cfg, len(list_filter(string_split(form, ' '), lambda w: length(w) > 12)) = 0 AS short_form FROM verdicts WHERE changed AND NOT after AND len(list_filter(string_split(form, ' '), lambda w: length(w) > 12)) = 0")
 def example_filters(spark, sf):
     short = F.forall(F.split("form", " "), lambda w: F.length(w) <= 12)
-    return verdicts(spark, sf).where(F.col("changed") & ~F.col("after")).select("doc_id", "cfg", short.alias("short_form")).where("short_form")
+    names = F.broadcast(forms(spark, sf).withColumnRenamed("form_id", "item_id"))
+    return verdicts(spark, sf).join(names, "item_id").where(F.col("changed") & ~F.col("after")).select("doc_id", "cfg", short.alias("short_form")).where("short_form")
 
 
 @PLANS.query("config_pair_effect", f"WITH {BASE} SELECT a.doc_id, CASE WHEN a.after AND NOT b.after THEN 'broken' WHEN b.after AND NOT a.after THEN 'fixed' ELSE 'identical' END AS effect FROM verdicts a JOIN verdicts b USING (doc_id) WHERE a.cfg = 'full' AND b.cfg = 'tail' AND a.txt <> b.txt")
 def config_pair_effect(spark, sf):
-    v = verdicts(spark, sf).select("doc_id", "cfg", "txt", "after")
+    v = verdicts(spark, sf).where("tail_apart").select("doc_id", "cfg", "after")
     a, b = v.where("cfg = 'full'").alias("a"), v.where("cfg = 'tail'").alias("b")
     effect = F.when(F.col("a.after") & ~F.col("b.after"), "broken").when(F.col("b.after") & ~F.col("a.after"), "fixed").otherwise("identical")
-    return a.join(b, "doc_id").where("a.txt <> b.txt").select("doc_id", effect.alias("effect"))
+    return a.join(b, "doc_id").select("doc_id", effect.alias("effect"))
 
 
 @PLANS.query("topk_priority", f"WITH {BASE} SELECT doc_id, cfg, verdict, CASE verdict WHEN 'HARMED' THEN 0 WHEN 'HELPED' THEN 1 ELSE 2 END AS priority FROM verdicts WHERE changed ORDER BY priority, length(txt) DESC, doc_id, cfg LIMIT 15")
 def topk_priority(spark, sf):
     priority = F.when(F.col("verdict") == "HARMED", 0).when(F.col("verdict") == "HELPED", 1).otherwise(2)
     v = verdicts(spark, sf).where("changed").withColumn("priority", priority)
-    return v.orderBy("priority", F.desc(F.length("txt")), "doc_id", "cfg").limit(15).select("doc_id", "cfg", "verdict", "priority")
+    return v.orderBy("priority", F.desc("length"), "doc_id", "cfg").limit(15).select("doc_id", "cfg", "verdict", "priority")
 
 
 @PLANS.query("best_config", f"WITH {BASE}, s AS (SELECT cfg, CAST(count(*) FILTER (WHERE after) AS BIGINT) AS correct, CAST(count(*) FILTER (WHERE verdict = 'HARMED') AS BIGINT) AS harmed FROM verdicts GROUP BY cfg) SELECT cfg, correct, harmed FROM s ORDER BY correct DESC, harmed, cfg LIMIT 1")

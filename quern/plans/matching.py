@@ -81,8 +81,8 @@ def tolerant_match(spark, sf):
     """Words that differ in their endings only; candidates share their first three letters, or the shorter word is no longer."""
     words = load(spark, sf, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("word")).distinct()
     mangled = words.where(F.length("word") > 2).select(F.concat(F.left("word", F.length("word") - 2), F.lit("ic")).alias("mangled"))
-    a = words.withColumn("key", F.left("word", F.lit(1)))
-    b = mangled.withColumn("key", F.left("mangled", F.lit(1)))
+    a = words.withColumn("key", F.explode(tx.stem_keys(F.col("word"), False)))
+    b = mangled.withColumn("key", F.explode(tx.stem_keys(F.col("mangled"), True)))
     return a.join(b, "key").where(tx.tokens_match(F.col("word"), F.col("mangled"))).select("word", "mangled")
 
 
