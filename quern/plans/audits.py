@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import numbers
 from quern.functions import text as tx
-from quern.operators import audit
+from quern.operators import audit, metrics
 from quern.plans.declare import Plans
 from quern.plans.texts import NORM
 from quern.tables import load
@@ -23,10 +23,13 @@ def multi_histogram(spark, sf):
     return audit.multi_histogram(both, ["lang", "source", "toxic", "quality"])
 
 
-@PLANS.query("duration_stats", "SELECT event_type, coalesce(round(min(value), 6), 0) AS lo, coalesce(round(max(value), 6), 0) AS hi, coalesce(round(avg(value), 6), 0) AS mean, coalesce(round(quantile_cont(value, 0.5), 6), 0) AS median, CAST(count(value) AS BIGINT) AS n FROM events GROUP BY event_type")
+@PLANS.query("duration_stats", "SELECT event_type, coalesce(round(min(value), 6), 0) AS lo, coalesce(round(max(value), 6), 0) AS hi, coalesce(round(avg(value), 6), 0) AS mean, coalesce(round(quantile_cont(value, 0.5), 6), 0) AS median, CAST(count(value) AS BIGINT) AS n, coalesce(round(sum(value), 4), 0) AS total FROM events GROUP BY event_type")
 def duration_stats(spark, sf):
+    """All 0 where there is nothing to measure."""
     zero = lambda c: F.coalesce(F.round(c, 6), F.lit(0.0))
-    return load(spark, sf, "events").groupBy("event_type").agg(zero(F.min("value")).alias("lo"), zero(F.max("value")).alias("hi"), zero(F.avg("value")).alias("mean"), zero(F.percentile("value", 0.5)).alias("median"), F.count("value").alias("n"))
+    e = load(spark, sf, "events")
+    sums = e.groupBy("event_type").agg(zero(F.min("value")).alias("lo"), zero(F.max("value")).alias("hi"), zero(F.avg("value")).alias("mean"), F.count("value").alias("n"), F.coalesce(F.round(F.sum("value"), 4), F.lit(0.0)).alias("total"))
+    return metrics.with_percentiles(e, ["event_type"], {"value": F.col("value")}, {"median": ("value", 0.5)}, sums).withColumn("median", zero("median"))
 
 
 @PLANS.query("duplicate_counts", "SELECT 'text' AS key, CAST(count(*) - count(DISTINCT text) AS BIGINT) AS duplicates FROM documents UNION ALL SELECT 'source', count(*) - count(DISTINCT source) FROM documents")

@@ -18,11 +18,28 @@ def distribution(spark, sf):
     return metrics.distribution(load(spark, sf, "events"), ["event_type"], "value")
 
 
-SUMMARY = "SELECT l_returnflag, CAST(count(*) FILTER (WHERE l_linestatus = 'F') AS BIGINT) AS ok, CAST(count(*) FILTER (WHERE l_linestatus <> 'F') AS BIGINT) AS failed, round(sum(l_discount) FILTER (WHERE l_linestatus = 'F'), 6) AS acoustic, round(sum(l_tax) FILTER (WHERE l_linestatus = 'F'), 6) AS decoder, round(sum(l_discount) FILTER (WHERE l_linestatus = 'F') / nullif(sum(l_discount + l_tax) FILTER (WHERE l_linestatus = 'F'), 0), 6) AS acoustic_share, round(sum(l_discount + l_tax) FILTER (WHERE l_linestatus = 'F') / nullif(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 0), 6) AS wall_rtf, round(count(*) FILTER (WHERE l_linestatus = 'F') / nullif(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 0), 6) AS throughput FROM lineitem GROUP BY l_returnflag"
+#: Files of a mode: lines of an order, with their return flag as mode; the last status is an error. The clock runs half as long as the files compute.
+FILES = "SELECT l_returnflag, CASE WHEN l_linestatus <> 'F' THEN 'failed' END AS error, l_linenumber = 1 AS exact, l_linenumber <= 2 AS found, l_quantity AS duration, l_extendedprice / 1000000 AS wav_load, l_discount AS model, l_tax AS decoder, (SELECT sum(b.l_discount + b.l_tax) / 2 FROM lineitem b WHERE b.l_returnflag = a.l_returnflag AND b.l_linestatus = 'F') AS wall FROM lineitem a"
+R = lambda x: f"round({x}, 6)"
+SUMMARY = f"""WITH f AS ({FILES}), o AS (SELECT *, model + decoder AS latency, CASE WHEN duration > 0 THEN round((model + decoder) / duration, 5) END AS rtf, nullif(duration, 0) AS audio FROM f WHERE error IS NULL),
+c AS (SELECT l_returnflag, CAST(count(*) AS BIGINT) AS files_total, CAST(count(error) AS BIGINT) AS failed, max(wall) AS wall FROM f GROUP BY l_returnflag),
+s AS (SELECT l_returnflag, count(*) AS ok, count(*) FILTER (WHERE exact) AS exact_matches, count(*) FILTER (WHERE found) AS reference_found, sum(wav_load) AS wav_load, sum(model) AS model, sum(decoder) AS decoder, avg(model) AS model_avg, avg(decoder) AS decoder_avg, count(audio) AS audio_files, sum(audio) AS audio, sum(latency) AS latency, count(latency) AS latency_n,
+ {R('avg(latency)')} AS latency_mean, {Q('latency', 0.5)} AS latency_median, {Q('latency', 0.5)} AS latency_p50, {Q('latency', 0.9)} AS latency_p90, {Q('latency', 0.95)} AS latency_p95, {Q('latency', 0.99)} AS latency_p99, {R('min(latency)')} AS latency_lo, {R('max(latency)')} AS latency_hi, {R('stddev_pop(latency)')} AS latency_std,
+ {R('avg(rtf)')} AS rtf_mean, {Q('rtf', 0.5)} AS rtf_p50, {Q('rtf', 0.95)} AS rtf_p95, {Q('rtf', 0.99)} AS rtf_p99, {R('min(rtf)')} AS rtf_lo, {R('max(rtf)')} AS rtf_hi FROM o GROUP BY l_returnflag)
+SELECT l_returnflag, files_total, CAST(coalesce(ok, 0) AS BIGINT) AS ok, failed, CAST(coalesce(exact_matches, 0) AS BIGINT) AS exact_matches, {R('exact_matches / nullif(ok, 0)')} AS exact_accuracy, CAST(coalesce(reference_found, 0) AS BIGINT) AS reference_found, {R('reference_found / nullif(ok, 0)')} AS found_accuracy, CAST(coalesce(latency_n, 0) AS BIGINT) AS latency_n,
+ latency_mean, latency_median, latency_p50, latency_p90, latency_p95, latency_p99, latency_lo, latency_hi, latency_std, rtf_mean, rtf_p50, rtf_p95, rtf_p99, rtf_lo, rtf_hi,
+ {R('coalesce(wav_load, 0)')} AS wav_load_total, {R('coalesce(model, 0)')} AS acoustic, {R('coalesce(decoder, 0)')} AS decoder, {R('coalesce(model + decoder, 0)')} AS compute_total, {R('model_avg')} AS model_mean, {R('decoder_avg')} AS decoder_mean, {R('model / nullif(model + decoder, 0)')} AS acoustic_share, {R('decoder / nullif(model + decoder, 0)')} AS decoder_share,
+ CAST(coalesce(audio_files, 0) AS BIGINT) AS audio_files, {R('coalesce(audio, 0)')} AS audio_total, {R('audio / nullif(audio_files, 0)')} AS audio_mean, {R('coalesce(latency, 0)')} AS total_inference, {R('wall')} AS wall_clock,
+ CASE WHEN wall > 0 THEN {R('coalesce(ok, 0) / wall')} END AS throughput, CASE WHEN wall > 0 THEN {R('coalesce(audio, 0) / wall')} END AS throughput_audio, CASE WHEN audio > 0 THEN {R('wall / audio')} END AS wall_rtf FROM c LEFT JOIN s USING (l_returnflag)"""
 
 
 def summary(spark, sf):
-    return metrics.mode_summary(load(spark, sf, "lineitem"), "l_returnflag", "l_discount", "l_tax", "l_quantity", F.col("l_linestatus") != "F")
+    lines = load(spark, sf, "lineitem")
+    walls = lines.where("l_linestatus = 'F'").groupBy("l_returnflag").agg((F.sum(F.col("l_discount") + F.col("l_tax")) / 2).alias("wall"))
+    files = lines.join(F.broadcast(walls), "l_returnflag", "left")  # a row for each mode
+    line = F.col("l_linenumber")
+    files = files.select("l_returnflag", F.when(F.col("l_linestatus") != "F", "failed").alias("error"), (line == 1).alias("exact"), (line <= 2).alias("found"), F.col("l_quantity").alias("duration"), (F.col("l_extendedprice") / 1000000).alias("wav_load"), F.col("l_discount").alias("model"), F.col("l_tax").alias("decoder"), "wall")
+    return metrics.mode_summary(files, "l_returnflag")
 
 
 @PLANS.query("mode_summary", SUMMARY)
@@ -30,12 +47,12 @@ def mode_summary(spark, sf):
     return summary(spark, sf)
 
 
-VERDICT = "CASE WHEN acoustic_share IS NULL THEN 'unknown' WHEN acoustic_share >= 0.55 THEN 'acoustic_model' WHEN 1 - acoustic_share >= 0.55 THEN 'decoder_beam_search' ELSE 'balanced' END"
+VERDICT = "CASE WHEN acoustic_share IS NULL THEN 'unknown' WHEN acoustic_share >= 0.6 THEN 'acoustic_model' WHEN 1 - acoustic_share >= 0.6 THEN 'decoder_beam_search_kenlm' ELSE 'mixed' END"
 
 
 @PLANS.query("bottleneck", f"SELECT l_returnflag, acoustic_share, {VERDICT} AS verdict FROM ({SUMMARY})")
 def bottleneck(spark, sf):
-    return metrics.bottleneck(summary(spark, sf), "acoustic_share", 0.55).select("l_returnflag", "acoustic_share", "verdict")
+    return metrics.bottleneck(summary(spark, sf), "acoustic_share").select("l_returnflag", "acoustic_share", "verdict")
 
 
 @PLANS.query("quality_gate", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS found_rate, bool_and(value IS NOT NULL AND value >= 0) AS passed FROM events GROUP BY event_type")
@@ -44,7 +61,7 @@ def quality_gate(spark, sf):
     return load(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0)), 6).alias("found_rate"), F.bool_and(good).alias("passed"))
 
 
-@PLANS.query("determinism_check", "WITH m AS (SELECT user_id % 500 AS id, event_type AS mode, max(floor(value / 40)) AS hyp FROM events GROUP BY 1, 2), b AS (SELECT id, hyp FROM m WHERE mode = 'view') SELECT mode, CAST(count(*) AS BIGINT) AS compared, CAST(count(*) FILTER (WHERE m.hyp <> b.hyp) AS BIGINT) AS different, coalesce(array_to_string(list_slice(list(m.id ORDER BY m.id) FILTER (WHERE m.hyp <> b.hyp), 1, 20), ';'), '') AS first_ids FROM m JOIN b USING (id) WHERE mode <> 'view' GROUP BY mode")
+@PLANS.query("determinism_check", "WITH m AS (SELECT user_id AS id, event_type AS mode, max(floor(value / 40)) AS hyp FROM events GROUP BY 1, 2), b AS (SELECT id, hyp FROM m WHERE mode = 'view') SELECT mode, CAST(count(*) AS BIGINT) AS compared, CAST(count(*) FILTER (WHERE m.hyp <> b.hyp) AS BIGINT) AS different, coalesce(array_to_string(list_slice(list(m.id ORDER BY m.id) FILTER (WHERE m.hyp <> b.hyp), 1, 20), ';'), '') AS first_ids FROM m JOIN b USING (id) WHERE mode <> 'view' GROUP BY mode")
 def determinism_check(spark, sf):
     """Each mode against the baseline mode, user by user; the first 20 that differ are cut before the shuffle."""
     m = load(spark, sf, "events").groupBy(F.col("user_id").alias("id"), F.col("event_type").alias("mode")).agg(F.max(F.floor(F.col("value") / 40)).alias("hyp"))
@@ -58,7 +75,7 @@ def determinism_check(spark, sf):
 
 @PLANS.query("series_summary", f"WITH s AS ({SUMMARY}), v AS (SELECT *, {VERDICT} AS verdict FROM s) SELECT CAST(count(*) AS BIGINT) AS modes, CAST(sum(ok) AS BIGINT) AS ok, CAST(sum(failed) AS BIGINT) AS failed, min_by(l_returnflag, (wall_rtf, l_returnflag)) AS fastest, max_by(l_returnflag, (throughput, l_returnflag)) AS most_throughput, string_agg(verdict, ';' ORDER BY l_returnflag) AS verdicts FROM v")
 def series_summary(spark, sf):
-    v = metrics.bottleneck(summary(spark, sf), "acoustic_share", 0.55)
+    v = metrics.bottleneck(summary(spark, sf), "acoustic_share")
     verdicts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_returnflag", "verdict"))), lambda x: x.verdict), ";")
     return v.agg(F.count(F.lit(1)).alias("modes"), F.sum("ok").alias("ok"), F.sum("failed").alias("failed"), F.min_by("l_returnflag", F.struct("wall_rtf", "l_returnflag")).alias("fastest"), F.max_by("l_returnflag", F.struct("throughput", "l_returnflag")).alias("most_throughput"), verdicts.alias("verdicts"))
 
@@ -81,7 +98,7 @@ def sessionize(spark, sf):
     return found.select("user_id", micros("first").alias("first_us"), micros("last").alias("last_us"), "n")
 
 
-@PLANS.query("array_signal_stats", "SELECT vec_id, round(list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))), 6) AS peak, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / len(embedding)), 6) AS rms, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) >= 0.005 AS valid FROM embeddings")
+@PLANS.query("array_signal_stats", "SELECT vec_id, round(list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))), 6) AS peak, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / len(embedding)), 6) AS rms, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) >= 0.005 AND sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / len(embedding)) >= 0.0005 AS valid, round(list_aggregate(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))), 'quantile_cont', 0.999), 6) AS q999 FROM embeddings")
 def array_signal_stats(spark, sf):
     return metrics.signal_stats(load(spark, sf, "embeddings"), "vec_id", "embedding")
 
