@@ -18,7 +18,8 @@ word are made in the shards of the words from what each shard of bigrams has, an
 go back to it for the gains. The questions of the documents are sharded, too: each
 batch of documents asks each shard with four bytes a question and gets back a sum
 for each document; a question about what is not in a shard of a hundred thousand keys
-meets one of them by chance in one of 40,000 cases. Values are kept to 1/1024 bit. Bigrams and words with HOT_SHARE of all occurrences are answered
+meets one of them by chance in one of 40,000 cases. Values are kept to 1/1024 bit. A
+document asks once for each key and says how often it means it. Bigrams and words with HOT_SHARE of all occurrences are answered
 where they are asked and do not travel, so no frequent word makes a hot shard. A batch
 is named by where it stands and what it holds; a task that runs again reads the same
 rows and names them alike.
@@ -64,14 +65,15 @@ SCRAMBLE = 0x2545F4914F6CDD1D & KEY_MASK | 1
 UNSCRAMBLE = pow(SCRAMBLE, -1, KEY_MASK + 1)
 UNKNOWN_BITS = 20.0
 #: A key is hot from this share of all occurrences; at most HOT bigrams and HOT words are.
-HOT_SHARE, HOT = 2.0**-20, 1 << 20
+HOT_SHARE, HOT = 2.0**-21, 1 << 20
 QUANTILE, PRIOR_TOKENS = 0.999, 10
 BATCH_BYTES = 4 << 20
 #: Ids of trusted documents that are broadcast at most (32 MB); more are joined by shuffle.
 BROADCAST_IDS = 4_000_000
 BUCKETS = 1 << 16
 TABLE = HALVES * WORDS
-KEY_BYTES, DIGEST_BYTES, TOP_BYTES = 7, 4, 2
+KEY_BYTES, KEY_TOP, DIGEST_BYTES, SUM_BYTES = 8, 3, 4, 6
+MOST_TIMES = 2**32 - 1
 #: Bits are kept in steps of 1 / FINE from LEAST_BITS on.
 FINE, LEAST_BITS = 1024, -48.0
 SIEVE_BITS = 24
@@ -146,20 +148,30 @@ def unpack(data: bytes, width: int = 3) -> np.ndarray:
     return rows.view("<i8").ravel().astype(np.int64)
 
 
-def pack_sorted(residues: np.ndarray, width: int) -> bytes:
-    """Sorted numbers byte by byte: the lower bytes as they are, the upper ones, which hardly change from one to the next, deflated."""
+def pack_sorted(residues: np.ndarray, width: int, top: int = 2) -> bytes:
+    """Numbers byte by byte: the lower bytes as they are, the `top` upper ones, which hardly change from one to the next, deflated."""
     planes = residues.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]
-    return planes[: width - TOP_BYTES].tobytes() + zlib.compress(planes[width - TOP_BYTES :].tobytes(), 1)
+    return planes[: width - top].tobytes() + zlib.compress(planes[width - top :].tobytes(), 1)
 
 
-def unpack_sorted(data: bytes, n: int, width: int) -> np.ndarray:
-    low = n * (width - TOP_BYTES)
+def unpack_sorted(data: bytes, n: int, width: int, top: int = 2) -> np.ndarray:
+    low = n * (width - top)
     rows = np.zeros((8, n), np.uint8)
-    rows[: width - TOP_BYTES] = np.frombuffer(data, np.uint8, low).reshape(-1, n)
-    rows[width - TOP_BYTES : width] = np.frombuffer(zlib.decompress(data[low:]), np.uint8).reshape(-1, n)
+    rows[: width - top] = np.frombuffer(data, np.uint8, low).reshape(-1, n)
+    rows[width - top : width] = np.frombuffer(zlib.decompress(data[low:]), np.uint8).reshape(-1, n)
     return np.ascontiguousarray(rows.T).view("<i8").ravel().astype(np.int64)
 
 
+def _unsigned(sums: np.ndarray) -> np.ndarray:
+    """Whole numbers with the sign in the lowest bit."""
+    whole = np.round(sums).astype(np.int64)
+    return whole << 1 ^ whole >> 63
+
+
+def _signed(coded: np.ndarray) -> np.ndarray:
+    return coded >> 1 ^ -(coded & 1)
+
+
 def digests(residues: np.ndarray, shift: int) -> np.ndarray:
     """The upper bits of keys in their shard, by which they are asked."""
     return residues >> (shift - 8 * DIGEST_BYTES)
@@ -202,7 +214,7 @@ def count_shards(docs: DataFrame, shards: int) -> DataFrame:
         found = [s for s in range(shards) if borders[s + 1] > borders[s]]
         low = keys & ((1 << shift) - 1)
         parts = [slice(borders[s], borders[s + 1]) for s in found]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([pack_sorted(low[p], KEY_BYTES) for p in parts], pa.binary()), pa.array([squeezed(counts[p], "<u4") for p in parts], pa.binary())], ["shard", "keys", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([pack_sorted(low[p], KEY_BYTES, KEY_TOP) for p in parts], pa.binary()), pa.array([squeezed(counts[p], "<u4") for p in parts], pa.binary())], ["shard", "keys", "counts"])
 
     def run(batches):
         lean()
@@ -220,9 +232,9 @@ def count_shards(docs: DataFrame, shards: int) -> DataFrame:
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         each = [expanded(x, "<u4") for x in group["counts"]]
-        keys, inverse = np.unique(np.concatenate([unpack_sorted(x, len(n), KEY_BYTES) for x, n in zip(group["keys"], each, strict=True)]), return_inverse=True)
+        keys, inverse = np.unique(np.concatenate([unpack_sorted(x, len(n), KEY_BYTES, KEY_TOP) for x, n in zip(group["keys"], each, strict=True)]), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate(each)).astype(np.int64)
-        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "keys": [pack_sorted(keys, KEY_BYTES)], "counts": [squeezed(counts, "<u4")]})
+        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "keys": [pack_sorted(keys, KEY_BYTES, KEY_TOP)], "counts": [squeezed(counts, "<u4")]})
 
     return docs.select("doc_id", "text").mapInArrow(run, schema).groupBy("shard").applyInPandas(merge, schema)
 
@@ -230,7 +242,7 @@ def count_shards(docs: DataFrame, shards: int) -> DataFrame:
 def _decoded(batch: pa.RecordBatch, shift: int):
     for shard, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
         counts = expanded(counts, "<u4").astype(np.int64)
-        yield unpack_sorted(keys, len(counts), KEY_BYTES) | int(shard) << shift, counts
+        yield unpack_sorted(keys, len(counts), KEY_BYTES, KEY_TOP) | int(shard) << shift, counts
 
 
 def _size_bucket(counts: np.ndarray) -> np.ndarray:
@@ -414,7 +426,7 @@ def bigram_values(tables: DataFrame, sums: DataFrame, discounts: np.ndarray, low
     def run(own: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         shard = int(own["shard"].iloc[0])
         counts = expanded(own["counts"].iloc[0], "<u4").astype(np.int64)
-        whole = unpack_sorted(own["keys"].iloc[0], len(counts), KEY_BYTES) | shard << shift
+        whole = unpack_sorted(own["keys"].iloc[0], len(counts), KEY_BYTES, KEY_TOP) | shard << shift
         asked, at, to = words_of(whole)
         words = words.sort_values("part")
         heads, tails = (np.concatenate([expanded(x, "<u4") for x in words[c]]).astype(np.int64) for c in ("heads", "tails"))
@@ -455,7 +467,7 @@ def fit_model(merged: DataFrame, shards: int) -> tuple[DataFrame, Model]:
     return values.select("shard", "n", "keys", "cost"), Model(keys[order], cost[order], low.unknown, sieve)
 
 
-ASKED = "shard int, batch string, head boolean, sizes binary, keys binary, doc_ids array<bigint>, langs array<string>, n_tokens binary, bits binary, parts int"
+ASKED = "shard int, batch string, head boolean, sizes binary, keys binary, times binary, doc_ids array<bigint>, langs array<string>, n_tokens binary, bits binary, parts int"
 
 
 def ask_shards(docs: DataFrame, model, shards: int) -> DataFrame:
@@ -486,18 +498,22 @@ def ask_shards(docs: DataFrame, model, shards: int) -> DataFrame:
             bits.append(whole)
             base += count
         keys, owners = np.concatenate(keys), np.concatenate(owners)
-        shard = keys >> shift
-        order = np.lexsort((owners, shard))
-        keys, owners = digests(keys[order] & ((1 << shift) - 1), shift), owners[order]
-        borders = np.searchsorted(shard[order], np.arange(shards + 1))
+        order = np.lexsort((keys, owners, keys >> shift))
+        keys, owners = keys[order], owners[order]
+        # a document asks once for each key and says how often it means it
+        own = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1]))[: len(keys)])
+        times = np.minimum(np.diff(np.append(own, len(keys))), MOST_TIMES)
+        keys, owners, shard = digests(keys[own] & ((1 << shift) - 1), shift), owners[own], keys[own] >> shift
+        borders = np.searchsorted(shard, np.arange(shards + 1))
         found = [s for s in range(shards) if borders[s + 1] > borders[s]]
         name = f"{TaskContext.get().partitionId()}-{serial}-{zlib.crc32(b''.join(x.tobytes() for x in bits)):08x}"
         sizes = [squeezed(np.bincount(owners[borders[s] : borders[s + 1]], minlength=base), "<u4") for s in found]
         parts = [pack(keys[borders[s] : borders[s + 1]], DIGEST_BYTES) for s in found]
+        often = [squeezed(times[borders[s] : borders[s + 1]], "<u4") for s in found]
         n, none = len(found), lambda kind: pa.nulls(len(found), kind)
         home = zlib.crc32(name.encode()) % shards
         columns = [
-            ([home, *found], pa.int32()), ([name] * (n + 1), pa.string()), ([True] + [False] * n, pa.bool_()), ([None, *sizes], pa.binary()), ([None, *parts], pa.binary()),
+            ([home, *found], pa.int32()), ([name] * (n + 1), pa.string()), ([True] + [False] * n, pa.bool_()), ([None, *sizes], pa.binary()), ([None, *parts], pa.binary()), ([None, *often], pa.binary()),
             ([ids.cast(pa.int64()).to_pylist(), *none(pa.int64()).to_pylist()], pa.list_(pa.int64())), ([langs.to_pylist(), *none(pa.string()).to_pylist()], pa.list_(pa.string())),
             ([squeezed(np.concatenate(tokens), "<i8")] + [None] * n, pa.binary()), ([np.concatenate(bits).tobytes()] + [None] * n, pa.binary()), ([n] + [None] * n, pa.int32()),
         ]
@@ -536,15 +552,15 @@ def answer(asked: DataFrame, tables: DataFrame) -> DataFrame:
         order = np.argsort(low)
         low, cost = low[order], cost[order]
         saved = []
-        for head, sizes, keys in zip(questions["head"], questions["sizes"], questions["keys"], strict=True):
+        for head, sizes, keys, times in zip(questions["head"], questions["sizes"], questions["keys"], questions["times"], strict=True):
             if head:
                 saved.append(None)
                 continue
             sizes, keys = expanded(sizes, "<u4"), unpack(keys, DIGEST_BYTES)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             at = np.minimum(np.searchsorted(low, keys), max(0, len(low) - 1))
-            more = np.where(low[at] == keys, cost[at], 0) if len(low) else np.zeros(len(keys))
-            saved.append(squeezed(np.bincount(owner, more, len(sizes)), "<f4"))
+            more = np.where(low[at] == keys, cost[at], 0) * expanded(times, "<u4") if len(low) else np.zeros(len(keys))
+            saved.append(pack_sorted(_unsigned(np.bincount(owner, more, len(sizes)) * FINE), SUM_BYTES, SUM_BYTES))
         return questions.assign(saved=saved)[[f.split()[0] for f in ANSWERED.split(", ")]]
 
     return tables.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(run, ANSWERED)
@@ -561,7 +577,7 @@ def add_up(answers: DataFrame) -> DataFrame:
         head = heads.iloc[0]
         bits = np.frombuffer(head["bits"], "<f8").copy()
         for x in rest["saved"]:
-            bits += expanded(x, "<f4")
+            bits += _signed(unpack_sorted(x, len(bits), SUM_BYTES, SUM_BYTES)) / FINE
         return pd.DataFrame({"doc_id": pd.array(list(head["doc_ids"]), "Int64"), "lang": list(head["langs"]), "n_tokens": expanded(head["n_tokens"], "<i8"), "total_bits": bits})
 
     return answers.groupBy("batch").applyInPandas(run, SCORED)
@@ -577,7 +593,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         cells[0] += sum(len(buf) for _, _, buf, _ in string_slices(batch.column(1)))
 
     size = int(gathered(trusted, fill, BLOCK_CELLS, "int64")[0])
-    shards = 1 << max(7, min(13, (size >> 22).bit_length() + 1))
+    shards = 1 << max(5, min(13, (size >> 24).bit_length() + 1))
     tables, model = fit_model(count_shards(trusted, shards), shards)
     model = docs.sparkSession.sparkContext.broadcast(model)
     scored = add_up(answer(ask_shards(docs, model, shards), tables))
