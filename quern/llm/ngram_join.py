@@ -198,7 +198,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     dropped by the joins that follow.
     """
 
-    known = key_filter(wanted.select("node"))
+    known = key_filter(wanted.select("node"), wanted.count())
 
     def step(batch: pa.RecordBatch):
         for part in range(0, batch.num_rows, SETS_A_BATCH):

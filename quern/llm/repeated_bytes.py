@@ -35,15 +35,18 @@ import hashlib
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bytetext import BYTE_CODE, find_words, prefix_sums, range_hash, running_sums, string_slices
-from quern.llm.common import by_batch, settled, staged, table
+from quern.llm.common import by_batch, lean, settled, staged, table
 from quern.llm.spots import key_filter
 
 LENGTH, PASSAGE_WORDS = 400, 51
+#: Windows of a shard, about, and windows packed at a time.
+SHARD_WINDOWS, FLUSH_WINDOWS = 1 << 20, 1 << 19
 
 
 class Depth(NamedTuple):
@@ -90,23 +93,24 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(behind[: len(values) - width + 1], ahead[width - 1 : len(values)])
 
 
-def window_runs(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """grams at each position of a text, `width` of them in a window: anchor, first and last window of each run."""
+def window_runs(grams: np.ndarray, width: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """grams at each position of some texts, `width` of them in a window: anchor, first and last window of each run of valid windows."""
     least = _sliding(grams, width, np.minimum)
     around = np.zeros(len(least) + 2 * (width - 1), np.uint64)
     around[width - 1 : width - 1 + len(least)] = least
     spots = np.flatnonzero(grams == _sliding(around, width, np.maximum))
-    windows = np.arange(len(least))
+    windows = np.flatnonzero(valid)
     at = np.searchsorted(spots, windows)
-    wrong = np.flatnonzero(grams[spots[at]] != least)
+    wrong = np.flatnonzero(grams[spots[at]] != least[windows])
     while len(wrong):
         at[wrong] += 1
-        wrong = wrong[grams[spots[at[wrong]]] != least[wrong]]
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    return spots[at[first]], first, np.append(first[1:], len(least)) - 1
+        wrong = wrong[grams[spots[at[wrong]]] != least[windows[wrong]]]
+    first = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(windows, prepend=-2) != 1))
+    return spots[at[first]], windows[first], windows[np.append(first[1:], len(windows)) - 1] if len(first) else windows
 
 
 ANCHORED = "doc_id bigint, node bigint, n_bytes bigint, n_words bigint, sha256 string, runs array<int>, depth array<tinyint>, gram array<bigint>, span array<bigint>, first array<int>, last array<int>"
+RUN_KINDS = (pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
 
 def _tagged(hashes: np.ndarray, depth: int) -> np.ndarray:
@@ -114,23 +118,24 @@ def _tagged(hashes: np.ndarray, depth: int) -> np.ndarray:
     return (hashes ^ np.uint64(depth * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
 
 
+def runs_of(texts: Units, depth: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, gram, span, first, last) of the runs of all texts; windows are numbered in their text."""
+    sizes = np.diff(texts.borders)
+    if not len(texts.sums) > length or not (sizes >= length).any():
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    places = np.arange(len(texts.sums) - gram)
+    grams = _tagged(range_hash(texts.sums, places, places + gram), depth).view(np.uint64)
+    # a window that fits the text at whose unit it starts
+    left = np.repeat(texts.borders[1:], sizes)[: len(places) - (length - gram)] - places[: len(places) - (length - gram)]
+    anchor, first, last = window_runs(grams, length - gram + 1, left >= length)
+    owner = np.searchsorted(texts.borders, first, "right") - 1
+    spans = _tagged(range_hash(texts.sums, first, last + length), depth)
+    return owner, grams[anchor].view(np.int64), spans, first - texts.borders[owner], last - texts.borders[owner]
+
+
 def anchored(docs: DataFrame, depths: tuple[Depth, ...]) -> DataFrame:
     """Per document its text's key and digest, and its runs of windows of each depth."""
 
-    def runs_of(texts: Units, depth: int) -> list[tuple[np.ndarray, ...]]:
-        length, gram = depths[depth].length, depths[depth].gram
-        places = np.arange(max(0, len(texts.sums) - gram))
-        grams = _tagged(range_hash(texts.sums, places, places + gram), depth).view(np.uint64)
-        found = []
-        for a, b in zip(texts.borders[:-1].tolist(), texts.borders[1:].tolist(), strict=True):
-            if b - a >= length:
-                anchor, first, last = window_runs(grams[a : b - gram + 1], length - gram + 1)
-                spans = _tagged(range_hash(texts.sums, a + first, a + last + length), depth)
-                found.append((np.full(len(first), depth, np.int8), grams[a + anchor].view(np.int64), spans, first.astype(np.int32), last.astype(np.int32)))
-            else:
-                found.append(tuple(np.zeros(0, kind) for kind in (np.int8, np.int64, np.int64, np.int32, np.int32)))
-        return found
-
     def step(batch: pa.RecordBatch):
         ids = batch.column(0).cast(pa.int64())
         for start, count, buf, offsets in string_slices(batch.column(1)):
@@ -139,43 +144,116 @@ def anchored(docs: DataFrame, depths: tuple[Depth, ...]) -> DataFrame:
                 data = buf[a:b].tobytes()
                 nodes.append(text_key(data))
                 digests.append(hashlib.sha256(data).hexdigest())
-            n_words = np.diff(find_words(buf, offsets)[2])
-            each = [runs_of(units_of(buf, offsets, depth.words), k) for k, depth in enumerate(depths)]
-            sizes = [[len(x[0]) for x in row] for row in zip(*each, strict=True)]
-            joined = [[np.concatenate([x[j] for x in row]) for row in zip(*each, strict=True)] for j in range(5)]
-            kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            units = {words: units_of(buf, offsets, words) for words in {True, *(d.words for d in depths)}}
+            found = [runs_of(units[d.words], k, d.length, d.gram) for k, d in enumerate(depths)]
+            sizes = np.stack([np.bincount(x[0], minlength=count) for x in found], axis=1)
+            owner = np.concatenate([x[0] for x in found])
+            order = np.argsort(owner, kind="stable")
+            columns = [np.repeat(np.arange(len(depths)), [len(x[0]) for x in found]), *(np.concatenate([x[j] for x in found]) for j in range(1, 5))]
+            borders = pa.array(np.append(0, np.cumsum(sizes.sum(axis=1))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(borders, pa.array(c[order]).cast(kind)) for c, kind in zip(columns, RUN_KINDS, strict=True)]
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * len(depths)), pa.array(sizes.ravel().astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(start, count), pa.array(nodes, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(n_words, pa.int64()), pa.array(digests), pa.array(sizes, pa.list_(pa.int32())),
-                    *(pa.array(x, pa.list_(kind)) for x, kind in zip(joined, kinds, strict=True)),
-                ],
+                [ids.slice(start, count), pa.array(nodes, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(np.diff(units[True].borders), pa.int64()), pa.array(digests), counts, *lists],
                 [x.split()[0] for x in ANCHORED.split(", ")],
-            )
+            )
 
     return by_batch(docs.select("doc_id", "text"), step, ANCHORED)
 
 
-def _windows(texts: DataFrame, runs: DataFrame, depths: tuple[Depth, ...]) -> DataFrame:
-    """(window, node, depth, start, weight) of each window in runs(node, asked: array of depth, first, last, weight)."""
+AGAIN = "node bigint, runs int, depth tinyint, gram bigint, span bigint, first int, last int"
+
+
+def runs_known(rows: DataFrame, known) -> DataFrame:
+    """A row for each run whose gram may occur again."""
 
     def step(batch: pa.RecordBatch):
-        for node, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            buf = np.frombuffer(text, np.uint8)
-            for k, depth in enumerate(depths):
-                own = [x for x in asked if x["depth"] == k]
-                if own:
-                    starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in own])
-                    weight = np.repeat([x["weight"] for x in own], [x["last"] + 1 - x["first"] for x in own])
-                    hashes = _tagged(range_hash(units_of(buf, np.array([0, len(buf)]), depth.words).sums, starts, starts + depth.length), k)
-                    columns = [pa.array(hashes), pa.array(np.full(len(starts), node, np.int64)), pa.array(np.full(len(starts), k, np.int8)), pa.array(starts.astype(np.int32)), pa.array(weight.astype(np.int8))]
-                    yield pa.RecordBatch.from_arrays(columns, ["window", "node", "depth", "start", "weight"])
+        node, counts, lists = batch.column(0), batch.column(1), batch.columns[2:]
+        values = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
+        kept = np.flatnonzero(known(values[1]))
+        owner = np.searchsorted(lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py(), kept, "right") - 1
+        each = counts.flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+        own = each[owner, values[0][kept]] if len(kept) else np.zeros(0, np.int32)
+        columns = [node.to_numpy(zero_copy_only=False)[owner], own.astype(np.int32), *(v[kept] for v in values)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in AGAIN.split(", ")])
 
-    return by_batch(texts.join(runs, "node").select("node", "text", "asked"), step, "window bigint, node bigint, depth tinyint, start int, weight tinyint")
+    return by_batch(rows.select("node", "runs", "depth", "gram", "span", "first", "last"), step, AGAIN)
 
 
-def covered(ranges: list[tuple[int, int]]) -> np.ndarray:
+PACKED = "shard int, hashes binary, nodes binary, owners binary, starts binary, marks binary"
+FOUND = "node bigint, depth tinyint, starts binary"
+
+
+def single_windows(texts: DataFrame, runs: DataFrame, depths: tuple[Depth, ...]) -> DataFrame:
+    """(node, depth, starts) of the windows in runs(node, asked: array of depth, first, last, weight) that occur again; runs of weight 2 count but aren't returned.
+
+    Windows go to shards of their fingerprints, packed; there is one run for
+    each distinct span, so no fingerprint fills a shard.
+    """
+    width = F.aggregate("asked", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
+    total = runs.agg(F.sum(width).alias("n")).first()["n"] or 0
+    bits = max(3, min(16, (total // SHARD_WINDOWS).bit_length()))
+
+    def pack(batches):
+        lean()
+        held: list[tuple] = []
+        nodes: list[int] = []
+        size = 0
+
+        def flush():
+            nonlocal held, nodes, size
+            hashes, owners, starts, marks = (np.concatenate([x[k] for x in held]) for k in range(4))
+            order = np.argsort(hashes)
+            hashes, owners, starts, marks = hashes[order], owners[order], starts[order], marks[order]
+            borders = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            for shard in range(1 << bits):
+                p = slice(borders[shard], borders[shard + 1])
+                if p.start < p.stop:
+                    used, own = np.unique(owners[p], return_inverse=True)
+                    yield shard, hashes[p].tobytes(), np.array(nodes, np.int64)[used].tobytes(), own.astype(np.uint32).tobytes(), starts[p].astype(np.uint32).tobytes(), marks[p].tobytes()
+            held, nodes, size = [], [], 0
+
+        def rows():
+            out = list(zip(*flush(), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(out)], [x.split()[0] for x in PACKED.split(", ")])
+
+        for batch in batches:
+            for node, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                buf = np.frombuffer(text, np.uint8)
+                for k, depth in enumerate(depths):
+                    own = [x for x in asked if x["depth"] == k]
+                    if own:
+                        starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in own])
+                        weight = np.repeat([x["weight"] for x in own], [x["last"] + 1 - x["first"] for x in own])
+                        hashes = _tagged(range_hash(units_of(buf, np.array([0, len(buf)]), depth.words).sums, starts, starts + depth.length), k).view(np.uint64)
+                        held.append((hashes, np.full(len(starts), len(nodes), np.int64), starts, (weight << 4 | k).astype(np.uint8)))
+                        size += len(starts)
+                nodes.append(node)
+                if size >= FLUSH_WINDOWS:
+                    yield rows()
+        if size:
+            yield rows()
+
+    def match(group: pd.DataFrame) -> pd.DataFrame:
+        hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in group["hashes"]])
+        starts, marks = (np.concatenate([np.frombuffer(x, kind) for x in group[c]]) for c, kind in (("starts", np.uint32), ("marks", np.uint8)))
+        nodes = np.concatenate([np.frombuffer(x, np.int64)[np.frombuffer(o, np.uint32)] for x, o in zip(group["nodes"], group["owners"], strict=True)])
+        _, inverse = np.unique(hashes, return_inverse=True)
+        again = np.bincount(inverse, marks >> 4)[inverse] > 1
+        kept = np.flatnonzero(again & (marks >> 4 == 1))
+        kept = kept[np.lexsort((starts[kept], marks[kept], nodes[kept]))]
+        node, depth, begin = nodes[kept], marks[kept] & 15, starts[kept]
+        first = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (depth[1:] != depth[:-1]))[: len(kept)])
+        ends = np.append(first[1:], len(kept))[: len(first)]
+        return pd.DataFrame({"node": node[first], "depth": depth[first].astype(np.int8), "starts": [begin[a:b].tobytes() for a, b in zip(first, ends, strict=True)]})
+
+    packed = texts.join(runs, "node").select("node", "text", "asked").mapInArrow(pack, PACKED)
+    return packed.groupBy("shard").applyInPandas(match, FOUND)
+
+
+def covered(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of the units up to the last one are in some [start, end)."""
-    starts, ends = (np.array([r[k] for r in ranges], np.int64) for k in (0, 1))
+    starts, ends = starts.astype(np.int64), ends.astype(np.int64)
     n = int(ends.max(initial=0))
     return np.cumsum(np.bincount(starts, minlength=n + 1)[:n] - np.bincount(ends, minlength=n + 1)[:n]) > 0
 
@@ -196,13 +274,13 @@ def repeated_spans(docs: DataFrame, depths: tuple[Depth, ...]) -> tuple[DataFram
     depth have nothing repeated there.
     """
     rows = staged(anchored(docs, depths), "anchors")
-    runs = rows.select("node", "runs", F.explode(F.arrays_zip("depth", "gram", "span", "first", "last")).alias("x")).select("node", "runs", "x.*")
-    grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("a"), F.max("span").alias("b")).where("n > 1")
-    grams = staged(grams.select("gram", (F.col("a") < F.col("b")).alias("mixed")), "grams")
-    own_runs = F.element_at("runs", F.col("depth") + 1)
-    again = staged(runs.join(grams, "gram").select("gram", "mixed", "node", own_runs.alias("runs"), "depth", "span", "first", "last"), "again")
+    grams = staged(rows.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
+    settled(docs.sparkSession)
+    again = staged(runs_known(rows, key_filter(grams, grams.count())).join(grams, "gram"), "again")
     settled(docs.sparkSession)
-    kinds = again.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "first", "last", "depth")).alias("one"), F.first("mixed").alias("mixed"))
+    kinds = again.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "first", "last", "depth")).alias("one"))
+    mixed = again.groupBy("gram").agg(F.min("span").alias("a"), F.max("span").alias("b")).where("a < b").select("gram", F.lit(True).alias("mixed"))
+    kinds = kinds.join(mixed, "gram", "left").withColumn("mixed", F.col("mixed").isNotNull())
     kinds = staged(kinds.where("n > 1 OR mixed"), "kinds")
 
     full = again.join(kinds.where("n > 1").select("gram", "span"), ["gram", "span"]).groupBy("node", "depth").agg(F.first("runs").alias("runs"), F.collect_set(F.struct("first", "last")).alias("full"))
@@ -212,7 +290,8 @@ def repeated_spans(docs: DataFrame, depths: tuple[Depth, ...]) -> tuple[DataFram
     asked = staged(asked.groupBy("node").agg(F.collect_list("x").alias("asked")), "asked")
 
     partly = full.where("NOT whole")
-    known = key_filter(partly.where("depth = 0").select("node").unionAll(asked.select("node")))
+    wanted = partly.where("depth = 0").select("node").unionAll(asked.select("node"))
+    known = key_filter(wanted, wanted.count())
 
     def step(batch: pa.RecordBatch):
         data = [x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()]
@@ -222,10 +301,7 @@ def repeated_spans(docs: DataFrame, depths: tuple[Depth, ...]) -> tuple[DataFram
 
     texts = by_batch(docs.select("text"), step, "node bigint, text binary").groupBy("node").agg(F.first("text").alias("text"))
     texts = staged(texts, "texts")
-    windows = _windows(texts, asked, depths)
-    twice = windows.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
-    single = windows.where("weight = 1").join(staged(twice, "windows"), "window").groupBy("node", "depth").agg(F.collect_set("start").alias("starts"))
-    single = staged(single, "starts")
+    single = staged(single_windows(texts, asked, depths).groupBy("node", "depth").agg(F.collect_list("starts").alias("starts")), "starts")
     settled(docs.sparkSession)
     inputs = partly.select("node", "depth", "full").join(single, ["node", "depth"], "full").select("node", "depth", "full", "starts")
 
@@ -233,7 +309,8 @@ def repeated_spans(docs: DataFrame, depths: tuple[Depth, ...]) -> tuple[DataFram
         columns, spans = batch.columns, []
         for depth, full, starts in zip(*(c.to_pylist() for c in columns[1:]), strict=True):
             length = depths[depth].length
-            first, last = maximal_spans(covered([(x["first"], x["last"] + length) for x in full or []] + [(s, s + length) for s in starts or []]))
+            single = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.uint32).astype(np.int64) for x in starts or [])])
+            first, last = maximal_spans(covered(np.append([x["first"] for x in full or []], single), np.append([x["last"] for x in full or []], single) + length))
             spans.append([{"first": int(a), "last": int(b)} for a, b in zip(first, last, strict=True)])
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         yield pa.RecordBatch.from_arrays([*columns[:2], pa.array([False] * len(spans)), pa.array(spans, kind)], ["node", "depth", "whole", "spans"])
