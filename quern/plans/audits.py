@@ -81,9 +81,10 @@ def resume_reconcile(spark, sf):
     return plan.join(made, "doc_id", "left").select("doc_id", state.alias("state"))
 
 
-@PLANS.query("reconcile_full_outer", "WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'O' THEN 'O' ELSE 'F' END AS s FROM orders WHERE o_orderkey % 10 <> 3), b AS (SELECT l_orderkey AS k, max(l_linestatus) AS s FROM lineitem GROUP BY l_orderkey) SELECT coalesce(a.k, b.k) AS orderkey, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' WHEN a.s IS DISTINCT FROM b.s THEN 'changed' ELSE 'same' END AS state FROM a FULL JOIN b ON a.k = b.k")
+@PLANS.query("reconcile_full_outer", "WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'O' THEN 'O' ELSE 'F' END AS s FROM orders WHERE o_orderpriority <> '5-LOW'), b AS (SELECT l_orderkey AS k, max(l_linestatus) AS s FROM lineitem GROUP BY l_orderkey) SELECT coalesce(a.k, b.k) AS orderkey, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' WHEN a.s IS DISTINCT FROM b.s THEN 'changed' ELSE 'same' END AS state FROM a FULL JOIN b ON a.k = b.k")
 def reconcile_full_outer(spark, sf):
-    plan = load(spark, sf, "orders").where("o_orderkey % 10 <> 3").select(F.col("o_orderkey").alias("orderkey"), F.when(F.col("o_orderstatus") == "O", "O").otherwise("F").alias("s"))
+    """A plan without the low priorities against all that was made, so that there are extra keys."""
+    plan = load(spark, sf, "orders").where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("orderkey"), F.when(F.col("o_orderstatus") == "O", "O").otherwise("F").alias("s"))
     found = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("orderkey")).agg(F.max("l_linestatus").alias("s"))
     return audit.reconcile(plan, found, "orderkey", [("s", "s")])
 
@@ -94,21 +95,47 @@ def set_difference_both(spark, sf):
     return audit.differences(a, load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
 
 
-@PLANS.query(
-    "manifest_validate",
-    """WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, n, total FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice) AS total FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey)
-SELECT o_orderkey, unnest(list_filter([CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'unknown status' END, CASE WHEN n IS NULL THEN 'missing file' END, CASE WHEN n IS NOT NULL AND abs(total - o_totalprice) > 50000 THEN 'duration differs' END, CASE WHEN o_totalprice <= 1000 THEN 'zero duration' END], lambda x: x IS NOT NULL)) AS rule FROM o""",
-)
+#: A manifest of orders with a file for each that has lines; what is wrong with a record comes from its lines and its price.
+MANIFEST = """SELECT o_orderkey, o_totalprice, n, total, qty, CASE o_orderstatus WHEN 'F' THEN 'saved' WHEN 'O' THEN 'skipped' ELSE 'lost' END AS status,
+ CASE o_orderpriority WHEN '1-URGENT' THEN 'full' WHEN '2-HIGH' THEN 'short' WHEN '3-MEDIUM' THEN 'natural' WHEN '4-NOT SPECIFIED' THEN 'other' ELSE 'full' END AS variant, o_custkey AS street, CASE WHEN n = 6 THEN -1 ELSE o_custkey END AS planned_street,
+ CASE WHEN o_totalprice > 400000 THEN NULL WHEN o_orderpriority = '2-HIGH' THEN 'short' WHEN o_orderpriority = '3-MEDIUM' AND n > 1 THEN 'natural' ELSE 'full' END AS planned_variant,
+ CASE WHEN n = 1 THEN ' ' ELSE 'raw' END AS reference_raw, CASE WHEN n <= 2 THEN '' ELSE 'said' END AS reference, CASE WHEN n >= 2 THEN 'audio/' || o_orderkey END AS audio, coalesce(total >= 60000, false) AS there, coalesce(qty >= 20, false) AS readable,
+ CASE WHEN n = 3 THEN 16000 ELSE 8000 END AS wav_rate, CASE WHEN n = 4 THEN 2 ELSE 1 END AS wav_channels, CASE WHEN n = 5 THEN 1 ELSE 2 END AS wav_bytes, CASE WHEN n = 6 THEN 'ULAW' ELSE 'NONE' END AS codec,
+ CASE WHEN qty < 60 THEN 0 ELSE CAST(qty * 8000 AS BIGINT) END AS frames, CASE WHEN total > 250000 THEN 1000 ELSE 10000000 END AS file_bytes, CASE WHEN n = 7 THEN NULL WHEN n = 3 THEN qty / 2 ELSE qty END AS duration, CASE WHEN n = 5 THEN 16000 END AS rate, CASE WHEN n = 4 THEN 2 END AS channels
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice) AS total, sum(l_quantity) AS qty FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey"""
+WAV = "status = 'saved' AND audio IS NOT NULL AND there AND readable"
+SECONDS = "(frames / wav_rate)"
+RULES = {
+    "outside the plan": "planned_variant IS NULL", "unknown variant": "variant = 'other'", "unlike the plan": "variant <> 'other' AND planned_variant IS NOT NULL AND (planned_street <> street OR planned_variant <> variant)", "unknown status": "status = 'lost'",
+    "empty raw reference": "status = 'saved' AND trim(reference_raw) = ''", "empty reference": "status = 'saved' AND reference = ''", "no path": "status = 'saved' AND audio IS NULL", "missing file": "status = 'saved' AND audio IS NOT NULL AND NOT there", "unreadable file": "status = 'saved' AND audio IS NOT NULL AND there AND NOT readable",
+    "sample rate": f"{WAV} AND wav_rate <> 8000", "channels": f"{WAV} AND wav_channels <> 1", "sample width": f"{WAV} AND wav_bytes <> 2", "compressed": f"{WAV} AND codec <> 'NONE'", "zero duration": f"{WAV} AND frames <= 0", "truncated file": f"{WAV} AND frames * wav_channels * wav_bytes > file_bytes",
+    "duration differs": f"{WAV} AND (duration IS NULL OR abs(duration - {SECONDS}) > 0.05)", "recorded sample rate": f"{WAV} AND rate <> 8000", "recorded channels": f"{WAV} AND channels <> 1", "skipped with a file": "status = 'skipped' AND audio IS NOT NULL",
+}
+
+
+def manifest(spark, sf):
+    lines = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("total"), F.sum("l_quantity").alias("qty"))
+    o = load(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    n, qty, total, by = F.col("n"), F.col("qty"), F.col("total"), F.col("o_orderpriority")
+    variant = F.when(by == "2-HIGH", "short").when(by == "3-MEDIUM", "natural").when(by == "4-NOT SPECIFIED", "other").otherwise("full")
+    planned = F.when(F.col("o_totalprice") > 400000, F.lit(None)).when(by == "2-HIGH", "short").when((by == "3-MEDIUM") & (n > 1), "natural").otherwise("full")
+    return o.select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "F", "saved").when(F.col("o_orderstatus") == "O", "skipped").otherwise("lost").alias("status"), variant.alias("variant"), F.col("o_custkey").alias("street"), F.lit(True).alias("has_plan"),
+        F.when(n == 6, F.lit(-1)).otherwise(F.col("o_custkey")).alias("planned_street"), planned.alias("planned_variant"), F.when(n == 1, " ").otherwise("raw").alias("reference_raw"), F.when(n <= 2, "").otherwise("said").alias("reference"), F.when(n >= 2, F.concat(F.lit("audio/"), F.col("o_orderkey").cast("string"))).alias("audio"),
+        F.coalesce(total >= 60000, F.lit(False)).alias("there"), F.coalesce(qty >= 20, F.lit(False)).alias("readable"), F.when(n == 3, 16000).otherwise(8000).alias("wav_rate"), F.when(n == 4, 2).otherwise(1).alias("wav_channels"), F.when(n == 5, 1).otherwise(2).alias("wav_bytes"), F.when(n == 6, "ULAW").otherwise("NONE").alias("codec"),
+        F.when(qty < 60, F.lit(0)).otherwise((qty * 8000).cast("long")).alias("frames"), F.when(total > 250000, 1000).otherwise(10_000_000).alias("file_bytes"), F.when(n == 7, F.lit(None)).when(n == 3, qty / 2).otherwise(qty).alias("duration"), F.when(n == 5, 16000).alias("rate"), F.when(n == 4, 2).alias("channels"),
+    )
+
+
+@PLANS.query("manifest_validate", f"WITH m AS ({MANIFEST}) SELECT o_orderkey, unnest(list_filter([{', '.join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in RULES.items())}], lambda x: x IS NOT NULL)) AS rule FROM m")
 def manifest_validate(spark, sf):
-    lines = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("total"))
-    both = load(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    rules = [
-        ("unknown status", ~F.col("o_orderstatus").isin("F", "O")),
-        ("missing file", F.col("n").isNull()),
-        ("duration differs", F.abs(F.col("total") - F.col("o_totalprice")) > 50000),
-        ("zero duration", F.col("o_totalprice") <= 1000),
-    ]
-    return audit.violations(both, ["o_orderkey"], rules)
+    return audit.violations(manifest(spark, sf), ["o_orderkey"], audit.manifest_rules(["full", "short", "natural"]))
+
+
+@PLANS.query("manifest_keys", "SELECT digest, 'duplicate id' AS problem, CAST(n AS BIGINT) AS n FROM (SELECT sha256(text) AS digest, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1")
+def manifest_keys(spark, sf):
+    """The digest of a text as the id of its record."""
+    return audit.key_problems(load(spark, sf, "documents").select(F.sha2("text", 256).alias("digest")), "digest")
 
 
 @PLANS.query("positional_zip", "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos FROM documents), b AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id DESC) AS pos FROM documents) SELECT pos, a.doc_id AS reference_id, b.doc_id AS prediction_id, lang FROM a JOIN b USING (pos)")

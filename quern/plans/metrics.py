@@ -7,6 +7,7 @@ from quern.functions import text as tx
 from quern.operators import metrics
 from quern.plans.declare import Plans
 from quern.plans.texts import docs
+from quern.streaming import speech
 from quern.tables import load
 
 PLANS = Plans()
@@ -98,6 +99,18 @@ def sessionize(spark, sf):
     return found.select("user_id", micros("first").alias("first_us"), micros("last").alias("last_us"), "n")
 
 
+#: Components of a vector as levels of blocks of 30 ms: 3 blocks before, 4 quiet ones end it, 2 are speech at least, 24 the longest.
+SPEECH = speech.Limits(threshold=0.12, preroll_ms=90, silence_ms=120, longest_ms=720, least_ms=60)
+LOUD, QUIET, SIZE = "e[i + 1] >= 0.12", "CASE WHEN e[i + 1] >= 0.12 THEN 0 ELSE quiet + 1 END", "(i - first + 1)"
+OVER = f"(first >= 0 AND ((({QUIET}) >= 4 AND {SIZE} - ({QUIET}) >= 2) OR {SIZE} >= 24))"
+
+
+@PLANS.query("speech_segments", f"WITH RECURSIVE b AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT vec_id, e, 0 AS i, -1 AS first, 0 AS quiet, 0 AS free, NULL::INTEGER AS a, NULL::INTEGER AS z, NULL::INTEGER AS ms FROM b UNION ALL SELECT vec_id, e, i + 1, CASE WHEN {OVER} THEN -1 WHEN first >= 0 THEN first WHEN {LOUD} THEN greatest(free, i - 2) ELSE -1 END, CASE WHEN first >= 0 AND NOT {OVER} THEN {QUIET} ELSE 0 END, CASE WHEN {OVER} THEN i + 1 ELSE free END, CASE WHEN {OVER} THEN first END, i, ({SIZE} - ({QUIET})) * 30 FROM s WHERE i < len(e)) SELECT vec_id, CAST(a AS BIGINT) AS first_block, CAST(z AS BIGINT) AS last_block, CAST(ms AS BIGINT) AS speech_ms FROM s WHERE a IS NOT NULL")
+def speech_segments(spark, sf):
+    blocks = load(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("stream"), F.posexplode("embedding").alias("block", "x")).select("stream", "block", F.abs(F.col("x").cast("double")).alias("level"))
+    return speech.segments(blocks, SPEECH).select(F.col("stream").cast("long").alias("vec_id"), "first_block", "last_block", "speech_ms")
+
+
 @PLANS.query("array_signal_stats", "SELECT vec_id, round(list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))), 6) AS peak, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / len(embedding)), 6) AS rms, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) >= 0.005 AND sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / len(embedding)) >= 0.0005 AS valid, round(list_aggregate(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))), 'quantile_cont', 0.999), 6) AS q999 FROM embeddings")
 def array_signal_stats(spark, sf):
     return metrics.signal_stats(load(spark, sf, "embeddings"), "vec_id", "embedding")

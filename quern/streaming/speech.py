@@ -1,9 +1,10 @@
-"""Speech segments from a stream of audio blocks, and the streaming twin of sessions.
+"""Speech segments of streams of audio blocks, and the streaming twin of sessions.
 
-A segment begins at the first loud block, with the quiet blocks just before it,
-and ends after a run of quiet ones or at its longest length. State is kept per
-stream; blocks of a micro-batch are taken in order of their number, and late
-ones (a number already passed) are dropped, as a microphone has none.
+A segment begins at the first loud block, with the blocks just before it as
+far as they are preroll and no part of the segment before. It ends after a run
+of quiet blocks once there is enough beside them, or at its longest length. State is
+kept per stream; blocks of a micro-batch are taken in order of their number,
+and late ones (a number already passed) are dropped, as a microphone has none.
 """
 
 from __future__ import annotations
@@ -25,45 +26,54 @@ class Limits(NamedTuple):
     longest_ms: int = 15_000
     least_ms: int = 200
 
+    def blocks(self, ms: int) -> int:
+        """Whole blocks in so much time, at least one."""
+        return max(1, ms // self.block_ms)
 
-STATE = "next_block bigint, first_block bigint, last_loud bigint, loud_blocks bigint"
+
+STATE = "next_block bigint, first_block bigint, quiet bigint, free_from bigint"
 SEGMENT = "stream string, first_block bigint, last_block bigint, speech_ms bigint"
+#: Next block, no segment, no quiet blocks, and preroll from the first block on.
+FRESH = (0, -1, 0, 0)
 
 
 def advance(state: tuple, block: int, level: float, limits: Limits) -> tuple[tuple, tuple | None]:
-    """One block later: the new (next, first, last loud, loud count), and a finished (first, last, speech ms)."""
-    following, first, loud, count = state
+    """One block later: the new (next, first, quiet, free from), and a finished (first, last, ms without the quiet end)."""
+    following, first, quiet, free_from = state
     if block < following:
         return state, None
-    is_loud = level >= limits.threshold
+    loud = level >= limits.threshold
     if first < 0:
-        if is_loud:
-            return (block + 1, max(0, block - limits.preroll_ms // limits.block_ms), block, 1), None
-        return (block + 1, -1, -1, 0), None
-    if is_loud:
-        loud, count = block, count + 1
-    quiet_over = (block - loud) * limits.block_ms >= limits.silence_ms
-    if quiet_over or (block - first + 1) * limits.block_ms >= limits.longest_ms:
-        done = (first, block, count * limits.block_ms)
-        return (block + 1, -1, -1, 0), done if done[2] >= limits.least_ms else None
-    return (block + 1, first, loud, count), None
+        start = max(free_from, block - limits.blocks(limits.preroll_ms) + 1) if loud else -1
+        return (block + 1, start, 0, free_from), None
+    quiet = 0 if loud else quiet + 1
+    size = block - first + 1
+    over = quiet >= limits.blocks(limits.silence_ms) and size - quiet >= limits.blocks(limits.least_ms)
+    if over or size >= limits.longest_ms // limits.block_ms:
+        return (block + 1, -1, 0, block + 1), (first, block, (size - quiet) * limits.block_ms)
+    return (block + 1, first, quiet, free_from), None
+
+
+def _run(stream: str, state: tuple, rows: pd.DataFrame, limits: Limits) -> tuple[tuple, pd.DataFrame]:
+    out, rows = [], rows.sort_values("block")
+    for block, level in zip(rows["block"].tolist(), rows["level"].tolist(), strict=True):
+        state, done = advance(state, block, level, limits)
+        if done:
+            out.append((stream, *done))
+    return state, pd.DataFrame(out, columns=[x.split()[0] for x in SEGMENT.split(", ")])
 
 
 def segments(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Stream of blocks(stream, block, level) to finished segments, as they end."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        state = tuple(group.get) if group.exists else (0, -1, -1, 0)
-        out = []
-        rows = pd.concat(frames).sort_values("block")
-        for block, level in zip(rows["block"].tolist(), rows["level"].tolist(), strict=True):
-            state, done = advance(state, block, level, limits)
-            if done:
-                out.append((key[0], *done))
+    """blocks(stream, block, level) to finished segments; as they end where blocks is a stream."""
+
+    def each(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        state, out = _run(key[0], tuple(group.get) if group.exists else FRESH, pd.concat(frames), limits)
         group.update(state)
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in SEGMENT.split(", ")])
+        yield out
 
-    return blocks.groupBy("stream").applyInPandasWithState(run, SEGMENT, STATE, "append", GroupStateTimeout.NoTimeout)
+    if not blocks.isStreaming:
+        return blocks.groupBy("stream").applyInPandas(lambda key, rows: _run(key[0], FRESH, rows, limits)[1], SEGMENT)
+    return blocks.groupBy("stream").applyInPandasWithState(each, SEGMENT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def session_stream(events: DataFrame, key: str, time: str, gap: str, late: str) -> DataFrame:

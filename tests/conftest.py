@@ -7,10 +7,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from quern.session import session
 
-    s = session(4, 4, "4g")
+    s = session(4, 4, "4g", **{"checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

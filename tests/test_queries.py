@@ -1,10 +1,14 @@
 """Every query that has SQL gives what DuckDB gives for it."""
 
+import difflib
+
 import duckdb
 import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from quern.operators import metrics
+from quern.plans import metrics as metric_plans
 from quern.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -40,8 +44,22 @@ def test_entry_gives_rows(spark):
 
 
 def test_change_ratio(spark):
-    rows = registry.QUERIES["token_change_ratio"](spark, SF).where("changed IS NULL OR changed < 0 OR changed > 0.2").count()
-    assert rows == 0
+    """Every pair of the query against a plain loop."""
+    got = {(r.doc_id, r.place): r.changed for r in registry.QUERIES["token_change_ratio"](spark, SF).collect()}
+    pairs = metric_plans.answer_pairs(spark, SF).collect()
+    assert len(got) == len(pairs)
+    for r in pairs:
+        assert got[r.doc_id, r.place] == round(1 - difflib.SequenceMatcher(None, r.reference.split(), r.hypothesis.split()).ratio(), 6)
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "changed"),
+    [("a b c", "a b c", 0.0), ("a b c", "a b", 0.2), ("a b", "c d", 1.0), ("", "", 0.0), ("", "a", 1.0), ("a b c d", "c d a b", 0.5), ("x " * 199, "x " * 199, 0.0), ("x " * 250, "x " * 214, 36 / 464), ("y " + "x " * 250, "z " + "x " * 214, 1.0), (None, "a", None)],
+)
+def test_change_ratio_of_pairs(spark, a, b, changed):
+    """From 200 tokens on, a token that fills over a hundredth of them is no anchor."""
+    pair = spark.createDataFrame([(a, b)], "a string, b string")
+    assert pair.select(metrics.change_ratio("a", "b").alias("c")).first().c == (None if changed is None else pytest.approx(changed))
 
 
 def test_determinism_check_compares_every_user(spark):
