@@ -10,14 +10,14 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch. A batch with only the longest texts must still fit a worker.
-ROWS_PER_BATCH = 2000
-#: Most bytes of one broadcast value; every broadcast here has a fixed size below it.
-BROADCAST_LIMIT = 64 << 20
+#: Rows and bytes of one Arrow batch at most; a longer row is a batch of its own.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 2000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the tables; from now on the session cuts Arrow batches as the operators want them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -21,6 +21,7 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,12 @@ class Index:
         return [(int(scores[i]), int(self.ids[possible[i]])) for i in order]
 
 
+@lru_cache(1)
+def indexed(dims: int, ids: bytes, vectors: bytes) -> Index:
+    """A block's index; its query blocks come one after the other."""
+    return Index(np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(-1, dims))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = BEST) -> DataFrame:
     """The k best of vectors(vec_id, embedding) for each of queries(vec_id, embedding): query_id, rank, vec_id, score."""
     blocks = staged(make_blocks(vectors, BLOCK_ROWS), "blocks")
@@ -131,20 +138,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = BEST) -> DataFrame:
     pairs = left.join(right, "shard").where("dims = q_dims").select("dims", "ids", "vectors", "q_ids", "q_vectors")
 
     def step(batch: pa.RecordBatch):
-        made: dict[bytes, Index] = {}
         out = []
         for dims, ids, data, q_ids, q_data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if ids + data not in made:
-                made = {ids + data: Index(np.frombuffer(ids, np.int64), np.frombuffer(data, np.int64).reshape(-1, dims))}
-            index = made[ids + data]
+            index = indexed(dims, ids, data)
             for i, q in zip(np.frombuffer(q_ids, np.int64).tolist(), np.frombuffer(q_data, np.int64).reshape(-1, dims), strict=True):
                 asked_by = int.from_bytes(hashlib.blake2b(q.tobytes(), digest_size=8).digest(), "little", signed=True)
                 out += [(i, asked_by, None if v == NULL_ID else v, s) for s, v in index.best(i, q, k)]
         columns = list(zip(*out, strict=True)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "asked_by", "vec_id", "score"])
 
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     found = by_batch(pairs, step, "query_id bigint, asked_by bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(W.partitionBy("query_id", "asked_by").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -51,18 +51,40 @@ DROPPED_WORDS = frozenset(
 ARTICLE_DROPPED_WORDS = frozenset("ad ads advert advertisement sponsored promo comment comments reply teaser related recommended".split())
 GOOD_WORDS = frozenset("article content post entry story text body main page".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_ENDLESS = re.compile("<[!?]")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS, _DIGITS = re.compile(r"[a-z0-9]+"), re.compile(r"\d+")
 
 
 class Page(NamedTuple):
-    paths: list[str]
-    #: Last node inside each node; nodes are numbered in page order.
+    """Nodes are the blocks that may hold text, numbered in page order."""
+
+    #: Path of each node by its number in `known`, which has (path above, label) of each path.
+    paths: list[int]
+    known: dict[tuple[int, str], int]
+    #: Last node inside each node.
     ends: list[int]
     tags: list[str]
     good: list[bool]
     blocks: list[tuple[int, str, int]]
 
+    def path(self, node: int) -> str:
+        """Labels from the root on."""
+        above = {number: key for key, number in self.known.items()}
+        at, labels = self.paths[node], []
+        while at >= 0:
+            at, label = above[at]
+            labels.append(label)
+        return ">".join(reversed(labels))
+
+    def number(self, path: str) -> int | None:
+        at = -1
+        for label in path.split(">"):
+            at = self.known.get((at, label))
+            if at is None:
+                return None
+        return at
+
 
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): markup.unescape((v or "").strip("\"'")) for k, v in _ATTRIBUTE.findall(raw)}
@@ -83,9 +105,43 @@ def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
     return False
 
 
+class _Open:
+    """The open elements, with the places of each tag and of blocks, so that nothing is searched for."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.nodes: list[int] = [-1]
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK_TAGS:
+            self.blocks.append(len(self.stack))
+        if node >= 0:
+            self.nodes.append(node)
+        self.stack.append((tag, node))
+
+    def pop(self) -> tuple[str, int]:
+        tag, node = self.stack.pop()
+        self.places[tag].pop()
+        if tag in BLOCK_TAGS:
+            self.blocks.pop()
+        if node >= 0:
+            self.nodes.pop()
+        return tag, node
+
+    def last(self, tags) -> int:
+        """Place of the innermost element with one of the tags, or -1."""
+        if tags is BLOCK_TAGS:
+            return self.blocks[-1] if self.blocks else -1
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+
 def parse_page(html: str) -> Page:
-    page = Page([], [], [], [], [])
-    stack: list[tuple[str, int]] = []
+    """One pass; its time grows with the page, whatever is left open or nested."""
+    page = Page([], {}, [], [], [], [])
+    opened = _Open()
     pieces: list[str] = []
     links = linked = 0
     dropped_at = None
@@ -95,30 +151,26 @@ def parse_page(html: str) -> Page:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                page.blocks.append((next((n for _, n in reversed(stack) if n >= 0), -1), text, max(0, len(text) - linked)))
+                page.blocks.append((opened.nodes[-1], text, max(0, len(text) - linked)))
             pieces.clear()
         linked = 0
 
     def pop_to(depth: int) -> None:
         nonlocal links, dropped_at
-        flush_needed = any(t in BLOCK_TAGS for t, _ in stack[depth:])
-        if flush_needed:
+        if opened.last(BLOCK_TAGS) >= depth:
             flush()
-        while len(stack) > depth:
-            tag, node = stack.pop()
+        while len(opened.stack) > depth:
+            tag, node = opened.pop()
             if node >= 0:
                 page.ends[node] = len(page.paths) - 1
             links -= tag == "a"
-        if dropped_at is not None and len(stack) <= dropped_at:
+        if dropped_at is not None and len(opened.stack) <= dropped_at:
             dropped_at = None
 
     def close(names: tuple[str, ...], stops) -> None:
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] in names:
-                return pop_to(depth)
-            if stack[depth][0] in stops:
-                return None
-        return None
+        place = opened.last(names)
+        if place >= 0 and place >= opened.last(stops):
+            pop_to(place)
 
     def say(text: str) -> None:
         nonlocal linked
@@ -128,8 +180,12 @@ def parse_page(html: str) -> Page:
             if links:
                 linked += len(text)
 
-    at, size = 0, len(html)
+    at, size, last_end = 0, len(html), html.rfind(">")
     while at < size:
+        if at > last_end:  # no more tags; a comment needs no end
+            rest = _ENDLESS.search(html, at)
+            say(html[at : rest.start() if rest else size])
+            break
         found = _TOKEN.search(html, at)
         if not found:
             say(html[at:])
@@ -148,7 +204,7 @@ def parse_page(html: str) -> Page:
                 close((tag,), BLOCK_TAGS)
             continue
         if tag in RAW:
-            over = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
+            over = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(html, at, last_end + 1)
             at = over.end() if over else size
             continue
         if tag in BLOCK_TAGS:
@@ -165,18 +221,17 @@ def parse_page(html: str) -> Page:
         if dropped_at is None and _unwanted(tag, attributes):
             if tag in BLOCK_TAGS:
                 flush()
-            dropped_at = len(stack)
+            dropped_at = len(opened.stack)
         node = -1
         if tag in BLOCK_TAGS and dropped_at is None:
-            node = len(page.paths)
-            classes = sorted(_DIGITS.sub("#", c) for c in attributes.get("class", "").lower().split())
-            up = next((n for _, n in reversed(stack) if n >= 0), -1)
-            page.paths.append((page.paths[up] + ">" if up >= 0 else "") + ".".join([tag, *classes]))
+            node, up = len(page.paths), opened.nodes[-1]
+            classes = sorted(_DIGITS.sub("#", c) for c in attributes.get("class", "").lower().replace(">", " ").split())
+            page.paths.append(page.known.setdefault((page.paths[up] if up >= 0 else -1, ".".join([tag, *classes])), len(page.known)))
             page.ends.append(-1)
             page.tags.append(tag)
             page.good.append(bool(GOOD_WORDS & set(_WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))))
         if not raw.endswith("/") or tag in BLOCK_TAGS or tag == "a":
-            stack.append((tag, node))
+            opened.push(tag, node)
             links += tag == "a"
     flush()
     pop_to(0)
@@ -202,19 +257,24 @@ def best_container(page: Page) -> int:
 
 def cut_out(page: Page, winner: str | None, accepted: list[str] | None) -> str:
     best = best_container(page)
-    chosen = [best] if best >= 0 else []
-    if best >= 0:
-        path = page.paths[best]
-        if winner and path not in (accepted or ()) and winner in page.paths:
-            path = winner
-        chosen = [n for n, p in enumerate(page.paths) if p == path]
-        found = _text(page, chosen)
-        return found or _text(page, [best])
-    return "\n".join(text for _, text, _ in page.blocks)
+    if best < 0:
+        return "\n".join(text for _, text, _ in page.blocks)
+    path = page.paths[best]
+    if winner and path not in {page.number(x) for x in accepted or ()}:
+        won = page.number(winner)
+        path = path if won is None else won
+    found = _text(page, [n for n, p in enumerate(page.paths) if p == path])
+    return found or _text(page, [best])
 
 
 def _text(page: Page, nodes: list[int]) -> str:
-    return "\n".join(text for node, text, _ in page.blocks if any(n <= node <= page.ends[n] for n in nodes))
+    """The blocks inside any of the nodes."""
+    inside = np.zeros(len(page.paths) + 2, np.int64)
+    for n in nodes:
+        inside[n] += 1
+        inside[page.ends[n] + 1] -= 1
+    inside = np.cumsum(inside) > 0
+    return "\n".join(text for node, text, _ in page.blocks if node >= 0 and inside[node])
 
 
 def host_of(url: str = "url"):
@@ -231,7 +291,7 @@ def host_votes(pages: DataFrame) -> DataFrame:
             best = best_container(page)
             if best >= 0:
                 hosts.append(host)
-                paths.append(page.paths[best])
+                paths.append(page.path(best))
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], ["host", "path"])
 
     return by_batch(pages.select(host_of().alias("host"), "html"), step, "host string, path string").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -35,6 +36,8 @@ PROGRAM, PRIVATE_DATA, PRIVATE_STREAM = 1, 0x06, 0xBD
 ELEMENTARY_BYTES = 64 * UNIT
 RANDOM_ACCESS_EVERY = 8
 TICKS = 3600
+#: Bytes of text whose streams are held at a time.
+PART_BYTES = 1 << 20
 
 
 class Stream(NamedTuple):
@@ -190,47 +193,53 @@ def padded(text: bytes) -> bytes:
     return text.ljust(max(1, -(-len(text) // UNIT)) * UNIT)
 
 
+def stored(texts: list[bytes]) -> Iterator[tuple[bytes, Stream]]:
+    """Each text's stream, and what reading that stream gives back."""
+    for text in texts:
+        media = mux(padded(text))
+        yield media, demux(media)
+
+
 COLUMNS = "doc_id bigint, n_bytes bigint, media binary, payload binary, packets bigint, timestamps array<bigint>, random_access array<bigint>"
 
 
-def media_columns(docs: DataFrame) -> DataFrame:
-    """Per document its stream, and what reading that stream gives back."""
+def _by_part(docs: DataFrame, schema: str, row: Callable[[bytes, bytes, Stream], tuple]) -> DataFrame:
+    """doc_id and row(text, media, stream) of each document; a few texts at a time are streams."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    arrow = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
 
     def step(batch: pa.RecordBatch):
-        ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-        for a in range(0, len(texts), 256):
-            part = texts[a : a + 256]
-            media = [mux(padded(x)) for x in part]
-            read = [demux(x) for x in media]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[a : a + 256], pa.int64()), pa.array([len(x) for x in part], pa.int64()), pa.array(media, pa.binary()),
-                    pa.array([x.payload for x in read], pa.binary()), pa.array([x.packets for x in read], pa.int64()),
-                    pa.array([x.timestamps for x in read], pa.list_(pa.int64())), pa.array([x.random_access for x in read], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "n_bytes", "media", "payload", "packets", "timestamps", "random_access"],
-            )
-
-    return by_batch(docs.select("doc_id", "text"), step, COLUMNS)
+        first, texts = 0, texts_of(batch.column(1))
+        while first < len(texts):
+            last, size = first, 0
+            while last < len(texts) and (last == first or size < PART_BYTES):
+                size += len(texts[last])
+                last += 1
+            part = texts[first:last]
+            rows = list(zip(*(row(text, media, stream) for text, (media, stream) in zip(part, stored(part), strict=True)), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first).cast(pa.int64()), *(pa.array(c, arrow[k]) for c, k in zip(rows, kinds[1:], strict=True))], list(names))
+            first = last
+
+    return by_batch(docs.select("doc_id", "text"), step, schema)
+
+
+def media_columns(docs: DataFrame) -> DataFrame:
+    """Per document its stream, and what reading that stream gives back."""
+    return _by_part(docs, COLUMNS, lambda text, media, stream: (len(text), media, *stream))
 
 
 DIGESTS = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """Digest columns of media_columns()."""
+def _digests(text: bytes, media: bytes, stream: Stream) -> tuple:
+    payload, stamps, points = stream.payload, stream.timestamps, stream.random_access
+    feature = f"ts:{stream.packets};pes:{len(stamps)};pts:{stamps[0]}-{stamps[-1]};rap:{len(points)}@{points[-1]}"
+    return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
-    def step(batch: pa.RecordBatch):
-        rows = []
-        for d in batch.to_pylist():
-            payload, media, stamps, points = d["payload"], d["media"], d["timestamps"], d["random_access"]
-            feature = f"ts:{d['packets']};pes:{len(stamps)};pts:{stamps[0]}-{stamps[-1]};rap:{len(points)}@{points[-1]}"
-            rows.append((d["doc_id"], d["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-        names = [x.split()[0] for x in DIGESTS.split(", ")]
-        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in DIGESTS.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
-
-    return by_batch(media_columns(docs), step, DIGESTS)
+
+def media_digests(docs: DataFrame) -> DataFrame:
+    """Digests of what media_columns() returns, taken where it is made, so that streams don't travel."""
+    return _by_part(docs, DIGESTS, _digests)
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,12 +53,19 @@ def source_targets(totals: DataFrame) -> DataFrame:
 
 
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT_BUDGET) -> np.ndarray:
-    """How many to take of each size, at most counts, so that the sum is as near to budget from below as found; exact where the rest fits `exact`."""
+    """How many to take of each size, at most counts, so that the sum comes near to budget from below.
+
+    A budget up to `exact` is met as well as it can be. Of a larger one the same
+    share of every size comes first, which keeps the mix of lengths, and the
+    last `exact` tokens are fitted as well as what is left allows.
+    """
     total = int((sizes * counts).sum())
     if budget <= 0 or not total:
         return np.zeros(len(sizes), np.int64)
     if budget >= total:
         return counts.astype(np.int64)
+    if budget <= exact:
+        return _knapsack(sizes, counts, budget)
     take = (counts.astype(object) * budget // total).astype(np.int64)
     left = budget - int((take * sizes).sum())
     for k in np.argsort(-sizes, kind="stable"):
