@@ -181,14 +181,16 @@ def runs_known(rows: DataFrame, known) -> DataFrame:
 
 
 PACKED = "shard int, hashes binary, nodes binary, owners binary, starts binary, marks binary"
+MATCHED = "part int, nodes binary, marks binary, starts binary"
 FOUND = "node bigint, depth tinyint, starts binary"
 
 
 def single_windows(texts: DataFrame, runs: DataFrame, depths: tuple[Depth, ...]) -> DataFrame:
     """(node, depth, starts) of the windows in runs(node, asked: array of depth, first, last, weight) that occur again; runs of weight 2 count but aren't returned.
 
-    Windows go to shards of their fingerprints, packed; there is one run for
-    each distinct span, so no fingerprint fills a shard.
+    Windows go to shards of their fingerprints, packed, and what is found goes
+    to as many parts of texts; there is one run for each distinct span, so no
+    fingerprint fills a shard.
     """
     width = F.aggregate("asked", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
     total = runs.agg(F.sum(width).alias("n")).first()["n"] or 0
@@ -241,14 +243,22 @@ def single_windows(texts: DataFrame, runs: DataFrame, depths: tuple[Depth, ...])
         _, inverse = np.unique(hashes, return_inverse=True)
         again = np.bincount(inverse, marks >> 4)[inverse] > 1
         kept = np.flatnonzero(again & (marks >> 4 == 1))
-        kept = kept[np.lexsort((starts[kept], marks[kept], nodes[kept]))]
-        node, depth, begin = nodes[kept], marks[kept] & 15, starts[kept]
-        first = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (depth[1:] != depth[:-1]))[: len(kept)])
-        ends = np.append(first[1:], len(kept))[: len(first)]
+        kept = kept[np.argsort(nodes[kept].view(np.uint64), kind="stable")]
+        part = (nodes[kept].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+        borders = np.searchsorted(part, np.arange((1 << bits) + 1))
+        out = [(k, *(c[kept[borders[k] : borders[k + 1]]].tobytes() for c in (nodes, marks, starts))) for k in range(1 << bits) if borders[k + 1] > borders[k]]
+        return pd.DataFrame(out, columns=[x.split()[0] for x in MATCHED.split(", ")])
+
+    def gather(group: pd.DataFrame) -> pd.DataFrame:
+        node, depth, begin = (np.concatenate([np.frombuffer(x, kind) for x in group[c]]) for c, kind in (("nodes", np.int64), ("marks", np.uint8), ("starts", np.uint32)))
+        order = np.lexsort((begin, depth, node))
+        node, depth, begin = node[order], depth[order] & 15, begin[order]
+        first = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (depth[1:] != depth[:-1])))
+        ends = np.append(first[1:], len(node))
         return pd.DataFrame({"node": node[first], "depth": depth[first].astype(np.int8), "starts": [begin[a:b].tobytes() for a, b in zip(first, ends, strict=True)]})
 
     packed = texts.join(runs, "node").select("node", "text", "asked").mapInArrow(pack, PACKED)
-    return packed.groupBy("shard").applyInPandas(match, FOUND)
+    return packed.groupBy("shard").applyInPandas(match, MATCHED).groupBy("part").applyInPandas(gather, FOUND)
 
 
 def covered(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -301,7 +311,7 @@ def repeated_spans(docs: DataFrame, depths: tuple[Depth, ...]) -> tuple[DataFram
 
     texts = by_batch(docs.select("text"), step, "node bigint, text binary").groupBy("node").agg(F.first("text").alias("text"))
     texts = staged(texts, "texts")
-    single = staged(single_windows(texts, asked, depths).groupBy("node", "depth").agg(F.collect_list("starts").alias("starts")), "starts")
+    single = staged(single_windows(texts, asked, depths), "starts")
     settled(docs.sparkSession)
     inputs = partly.select("node", "depth", "full").join(single, ["node", "depth"], "full").select("node", "depth", "full", "starts")
 
@@ -309,7 +319,7 @@ def repeated_spans(docs: DataFrame, depths: tuple[Depth, ...]) -> tuple[DataFram
         columns, spans = batch.columns, []
         for depth, full, starts in zip(*(c.to_pylist() for c in columns[1:]), strict=True):
             length = depths[depth].length
-            single = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.uint32).astype(np.int64) for x in starts or [])])
+            single = np.frombuffer(starts or b"", np.uint32).astype(np.int64)
             first, last = maximal_spans(covered(np.append([x["first"] for x in full or []], single), np.append([x["last"] for x in full or []], single) + length))
             spans.append([{"first": int(a), "last": int(b)} for a, b in zip(first, last, strict=True)])
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
