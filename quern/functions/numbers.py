@@ -100,3 +100,30 @@ def hash_uniform(digest: Column) -> Column:
 def holdout_size(n: Column) -> Column:
     """Rows for each of validation and test: one in twenty, at least one, rounded half to even; a group of two has none for validation."""
     return F.greatest(F.lit(1), F.bround(n * 0.05)).cast("bigint")
+
+
+def canonical_json(columns: list[str]) -> Column:
+    """A flat record of strings and whole numbers as JSON text with sorted keys and blanks after separators; null is null."""
+    value = lambda c: F.regexp_extract(F.to_json(F.array(F.col(c)), {"ignoreNullFields": "false"}), r"(?s)^\[(.*)\]$", 1)
+    return F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{c}": '), value(c)) for c in sorted(columns)]), F.lit("}"))
+
+
+def canonical_digest(columns: list[str]) -> Column:
+    return F.sha2(canonical_json(columns), 256)
+
+
+def weighted_draw(u: Column, weights: dict[str, float]) -> Column:
+    """The name that a uniform number in [0, 1) falls to, by weights in their order."""
+    names, total, sum_, out = list(weights), sum(weights.values()), 0.0, None
+    for name in names[:-1]:
+        sum_ += weights[name]
+        out = F.when(u * total < sum_, name) if out is None else out.when(u * total < sum_, name)
+    return F.lit(names[-1]) if out is None else out.otherwise(names[-1])
+
+
+def split_sizes(n: int) -> dict[str, int]:
+    """Rows of each split of n; fewer than two can't be split."""
+    if n < 2:
+        raise ValueError("a split needs two rows at least")
+    held = max(1, round(n * 0.05))
+    return {"train": n - 2 * held, "validation": held, "test": held} if n > 2 else {"train": 1, "validation": 0, "test": 1}

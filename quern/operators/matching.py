@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
+from quern.operators.audit import violations
 
 KEY_TOKENS = 4
 #: A dictionary is broadcast up to this many forms; beyond, it is joined by shuffle.
@@ -114,6 +115,34 @@ def resolve(inputs: DataFrame, names: DataFrame, dropped: list[str]) -> DataFram
     return inputs.select("id").join(best, "id", "left").select("id", "best.street", "best.tier")
 
 
+def dictionary_problems(forms: DataFrame, names: DataFrame, valid: str, least: int = 4) -> DataFrame:
+    """(ord, street, form, problem) of forms(ord, street, form, norm) against names(street, norm).
+
+    Of a form of an unknown street nothing else is said, nor of one without a
+    letter but its characters; later copies of a form are duplicates of the first.
+    """
+    known = forms.join(names.select("street", F.lit(True).alias("known")), "street", "left")
+    owners = names.select(F.col("norm").alias("_n"), F.col("street").alias("owner"))
+    first = forms.join(names.select("street"), "street", "left_semi").where("norm <> ''").groupBy(F.col("norm").alias("_f")).agg(F.min("ord").alias("first"))
+    both = known.join(owners, F.col("norm") == F.col("_n"), "left").join(first, F.col("norm") == F.col("_f"), "left")
+    there, empty = F.col("known").isNotNull(), F.col("norm") == ""
+    rules = [
+        ("unknown street", ~there),
+        ("invalid characters", there & ~F.rlike("form", F.lit(valid))),
+        ("empty form", there & empty),
+        ("too short", there & ~empty & (F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) < least)),
+        ("name of another", there & ~empty & F.col("owner").isNotNull() & (F.col("owner") != F.col("street"))),
+        ("duplicate form", there & ~empty & (F.col("first") < F.col("ord"))),
+    ]
+    return violations(both, ["ord", "street", "form"], rules).withColumnRenamed("rule", "problem").distinct()
+
+
+def exclusion_problems(excluded: DataFrame, forms: DataFrame, names: DataFrame) -> DataFrame:
+    """(street, problem) of excluded(street): unknown ones, and those that have forms after all."""
+    unknown = excluded.join(names, "street", "left_anti").select("street", F.lit("unknown exclusion").alias("problem"))
+    return unknown.unionAll(excluded.join(forms, "street", "left_semi").select("street", F.lit("in both sections").alias("problem")))
+
+
 def structures(names: DataFrame, type_words: list[str]) -> DataFrame:
     """(structure, ord, hotword): whole names, names without type words, single tokens, and all; first occurrence wins."""
     words = F.split("form", " ")

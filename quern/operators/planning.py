@@ -9,11 +9,16 @@ from pyspark.sql.window import Window as W
 from quern.functions import numbers
 
 
+#: Templates with their prefixes and tails that are broadcast at most.
+BROADCAST_BANK = 100_000
+
+
 def candidates(entities: DataFrame, bank: DataFrame, prefixes: list[str], tails: list[str], most_words: int, barred: Column | None = None) -> DataFrame:
     """entities x bank(template, family) x prefixes x tails, with `{name}` filled in.
 
     Templates of at most two words stay bare; `barred` says which combinations
-    contradict themselves. The products are with lists of fixed size.
+    contradict themselves. The product is the operator: each entity with each
+    template of a bank that is counted first; a larger one is dealt out by entity.
     """
     long = F.size(F.split("template", " ")) > 2
     options = lambda values: F.explode(F.when(long, F.array(*map(F.lit, values))).otherwise(F.array(F.lit(""))))
@@ -22,7 +27,8 @@ def candidates(entities: DataFrame, bank: DataFrame, prefixes: list[str], tails:
         wide = wide.where(~barred)
     body = F.replace(F.col("template"), F.lit("{name}"), F.col("name"))
     text = F.array_join(F.filter(F.array("prefix", body, "tail"), lambda x: x != ""), ", ")
-    return entities.crossJoin(F.broadcast(wide)).withColumn("text", text).where(F.size(F.split("text", r"[ ]+")) <= most_words)
+    wide = F.broadcast(wide) if wide.count() <= BROADCAST_BANK else wide
+    return entities.crossJoin(wide).withColumn("text", text).where(F.size(F.split("text", r"[ ]+")) <= most_words)
 
 
 def select_quota(rows: DataFrame, group: list[str], quota: Column, order: list[Column | str], capped: Column, cap: Column, unique: str = "text") -> DataFrame:
@@ -38,6 +44,20 @@ def select_quota(rows: DataFrame, group: list[str], quota: Column, order: list[C
     return within.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= quota)
 
 
+def unmet(selected: DataFrame, groups: DataFrame, group: list[str], quota: Column) -> DataFrame:
+    """(group, found, quota) of the groups that have other than their quota of selected rows."""
+    found = selected.groupBy(*group).agg(F.count(F.lit(1)).alias("found"))
+    return groups.select(*group).distinct().join(found, group, "left").fillna(0, ["found"]).withColumn("quota", quota).where("found <> quota")
+
+
+def require_quota(selected: DataFrame, groups: DataFrame, group: list[str], quota: Column) -> DataFrame:
+    """selected, if every group has its quota; else ValueError naming some that haven't."""
+    short = unmet(selected, groups, group, quota).limit(5).collect()
+    if short:
+        raise ValueError("too few distinct texts: " + "; ".join(" ".join(map(str, r)) for r in short))
+    return selected
+
+
 def cross_group_texts(rows: DataFrame, group: list[str], unique: str = "text") -> DataFrame:
     return rows.groupBy(unique).agg(F.count_distinct(F.struct(*group)).alias("groups")).where("groups > 1")
 

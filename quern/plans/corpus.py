@@ -13,7 +13,7 @@ PREFIXES, TAILS = ["", "hello", "good day"], ["", "please", "two of us", "now"]
 MOST_WORDS = 9
 BANK_SQL = "(VALUES " + ", ".join(f"('{s}', '{t}', {i})" for s, t, i in BANK) + ") b(split, template, idx)"
 LIST_SQL = lambda name, values: f"(VALUES {', '.join(repr((v,)).replace(',)', ')') for v in values)}) {name[0]}({name})"
-CANDIDATES = f"""SELECT n_nationkey, n_name, split, idx, prefix, tail, concat_ws(', ', nullif(prefix, ''), replace(template, '{{name}}', lower(n_name)), nullif(tail, '')) AS text
+CANDIDATES = f"""SELECT n_nationkey, n_name, split, idx, template, prefix, tail, concat_ws(', ', nullif(prefix, ''), replace(template, '{{name}}', lower(n_name)), nullif(tail, '')) AS text
 FROM nation CROSS JOIN {BANK_SQL} CROSS JOIN {LIST_SQL('prefix', PREFIXES)} CROSS JOIN {LIST_SQL('tail', TAILS)}
 WHERE (len(string_split(template, ' ')) > 2 OR (prefix = '' AND tail = '')) AND NOT (contains(template, 'please') AND tail = 'please') AND NOT (contains(template, 'we ') AND tail = 'two of us')"""
 FILTERED = f"SELECT * FROM ({CANDIDATES}) WHERE len(string_split(text, ' ')) <= {MOST_WORDS}"
@@ -31,18 +31,26 @@ def plan_candidates(spark, sf):
     return plan_rows(spark, sf).select("n_nationkey", "split", F.concat("split", F.lit(":"), F.col("idx").cast("string")).alias("family"), "text")
 
 
+#: Rows of a split, from which size on short texts go first, and how many of a split the special source has at most.
+QUOTAS, SHORT_FROM, SPECIAL_SHARE = {"train": 8, "test": 3}, 8, 0.10
+
+
 @PLANS.query(
     "plan_select",
-    f"""WITH c AS (SELECT *, sha256('17|' || n_nationkey || '|' || text) AS h, idx = 2 AS special FROM ({FILTERED})),
-u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY n_nationkey, split, h, text) AS o FROM c) WHERE o = 1),
-k AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey, split, special ORDER BY h, text) AS s FROM u),
-r AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey, split ORDER BY h, text) AS rank FROM k WHERE NOT special OR s <= 2)
-SELECT n_nationkey, split, CAST(rank AS INTEGER) AS rank, text FROM r WHERE rank <= CASE split WHEN 'train' THEN 8 ELSE 3 END""",
+    f"""WITH c AS (SELECT *, sha256('17|' || n_nationkey || '|' || text) AS h, idx = 2 AS special, CASE split WHEN 'train' THEN 8 ELSE 3 END AS quota FROM ({FILTERED})),
+o AS (SELECT *, greatest(1, CAST(floor(quota * 0.1) AS INTEGER)) AS cap, CASE WHEN special THEN 0 WHEN quota >= 8 AND prefix = '' AND tail = '' AND len(string_split(template, ' ')) <= 2 THEN 1 ELSE 2 END AS turn FROM c),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY n_nationkey, split, turn, h, text) AS first FROM o) WHERE first = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey, split, special ORDER BY turn, h, text) AS s FROM u),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey, split ORDER BY turn, h, text) AS rank FROM k WHERE NOT special OR s <= cap)
+SELECT n_nationkey, split, CAST(rank AS INTEGER) AS rank, text FROM r WHERE rank <= quota""",
 )
 def plan_select(spark, sf):
-    rows = plan_rows(spark, sf).withColumn("h", numbers.sha(F.lit(17), "n_nationkey", "text"))
-    quota = F.when(F.col("split") == "train", 8).otherwise(3)
-    return planning.select_quota(rows, ["n_nationkey", "split"], quota, ["h", "text"], F.col("idx") == 2, F.lit(2)).select("n_nationkey", "split", "rank", "text")
+    """The special source first, as far as its share goes, then short texts where the quota is large, then the rest in hashed order."""
+    quota = F.when(F.col("split") == "train", QUOTAS["train"]).otherwise(QUOTAS["test"])
+    special, short = F.col("idx") == 2, (F.col("prefix") == "") & (F.col("tail") == "") & (F.size(F.split("template", " ")) <= 2)
+    rows = plan_rows(spark, sf).withColumn("h", numbers.sha(F.lit(17), "n_nationkey", "text")).withColumn("turn", F.when(special, 0).when((quota >= SHORT_FROM) & short, 1).otherwise(2))
+    cap = F.greatest(F.lit(1), F.floor(quota * SPECIAL_SHARE))
+    return planning.select_quota(rows, ["n_nationkey", "split"], quota, ["turn", "h", "text"], special, cap).select("n_nationkey", "split", "rank", "text")
 
 
 @PLANS.query("round_robin_assign", "WITH s AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS turn FROM supplier) SELECT s_suppkey, CAST(turn AS INTEGER) AS turn, list_extract(['v1', 'v2', 'v3', 'v4', 'v5'], CAST((s_nationkey + turn - 1) % 5 + 1 AS INTEGER)) AS voice FROM s")
@@ -93,15 +101,44 @@ def fingerprint(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r.d), ","), 256).alias("fingerprint"))
 
 
-@PLANS.query("per_key_config", "WITH h AS (SELECT n_name, sha256('20260918|' || n_name) AS h FROM nation), b AS (SELECT n_name, CAST(('0x' || substr(h, 1, 15)) AS BIGINT) AS seed, CAST(('0x' || substr(h, 17, 2)) AS INTEGER) AS b8, CAST(('0x' || substr(h, 19, 2)) AS INTEGER) AS b9, CAST(('0x' || substr(h, 21, 2)) AS INTEGER) AS b10, CAST(('0x' || substr(h, 23, 2)) AS INTEGER) AS b11 FROM h) SELECT n_name, seed, list_extract(['v1', 'v2', 'v3', 'v4', 'v5'], b8 % 5 + 1) AS first_voice, round(0.95 + (b9 % 6) * 0.015, 3) AS speed_lo, round(least(0.95 + (b9 % 6) * 0.015 + 0.08, 1.10), 3) AS speed_hi, round((0.20 + (b10 % 11) * 0.01) / ((0.20 + (b10 % 11) * 0.01) + (0.45 + (b11 % 11) * 0.01)) * 0.75, 4) AS clean FROM b")
+@PLANS.query("canonical_digest", """SELECT doc_id, sha256('{"doc_id": ' || doc_id || ', "lang": ' || coalesce(CAST(to_json(lang) AS VARCHAR), 'null') || ', "source": ' || coalesce(CAST(to_json(source) AS VARCHAR), 'null') || '}') AS digest FROM documents""")
+def canonical_digest(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", numbers.canonical_digest(["doc_id", "lang", "source"]).alias("digest"))
+
+
+PROFILES = {"clean": 0.25, "normal": 0.5, "noisy": 0.25}
+
+
+@PLANS.query("weighted_draw", "WITH u AS (SELECT doc_id, CAST(('0x' || substr(sha256('draw|' || doc_id), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM documents) SELECT doc_id, CASE WHEN u < 0.25 THEN 'clean' WHEN u < 0.75 THEN 'normal' ELSE 'noisy' END AS profile FROM u")
+def weighted_draw(spark, sf):
+    u = numbers.hash_uniform(numbers.sha(F.lit("draw"), "doc_id"))
+    return load(spark, sf, "documents").select("doc_id", numbers.weighted_draw(u, PROFILES).alias("profile"))
+
+
+#: The seed, the voices, the speeds and the shares that configurations per name are made of.
+BASE_SEED, VOICES = 20260918, ["kseniya", "xenia", "aidar", "baya", "eugene"]
+SPEED_LO, SPEED_STEP, SPEED_WIDTH, SPEED_HI = 0.95, 0.015, 0.08, 1.10
+CLEAN, NORMAL, SHARE_STEP, QUIET_SHARE = 0.20, 0.45, 0.01, 0.75
+
+
+@PLANS.query(
+    "per_key_config",
+    f"""WITH h AS (SELECT n_name, sha256('{BASE_SEED}:' || n_name) AS h FROM nation), b AS (SELECT n_name, CAST(CAST(('0x' || substr(h, 1, 16)) AS UBIGINT) AS VARCHAR) AS seed, CAST(('0x' || substr(h, 17, 2)) AS INTEGER) % 5 AS turn, {SPEED_LO} + (CAST(('0x' || substr(h, 19, 2)) AS INTEGER) % 6) * {SPEED_STEP} AS lo, {CLEAN} + (CAST(('0x' || substr(h, 21, 2)) AS INTEGER) % 11) * {SHARE_STEP} AS c, {NORMAL} + (CAST(('0x' || substr(h, 23, 2)) AS INTEGER) % 11) * {SHARE_STEP} AS m FROM h)
+SELECT n_name, seed, array_to_string(list_slice({VOICES}, turn + 1, 5) || list_slice({VOICES}, 1, turn), ';') AS voices, round(CAST(lo AS DOUBLE), 3) AS speed_lo, round(least(CAST(lo AS DOUBLE) + {SPEED_WIDTH}, {SPEED_HI}), 3) AS speed_hi, round(c / (c + m) * {QUIET_SHARE}, 4) AS clean, round(m / (c + m) * {QUIET_SHARE}, 4) AS normal, round(1.0 - c / (c + m) * {QUIET_SHARE} - m / (c + m) * {QUIET_SHARE}, 4) AS noisy FROM b""",
+)
 def per_key_config(spark, sf):
-    h = F.col("h")
-    byte = lambda k: numbers.hex_number(h, 17 + 2 * (k - 8), 2)
-    lo = F.lit(0.95) + (byte(9) % 6) * 0.015
-    clean, normal = F.lit(0.20) + (byte(10) % 11) * 0.01, F.lit(0.45) + (byte(11) % 11) * 0.01
-    voices = F.array(*[F.lit(f"v{k}") for k in range(1, 6)])
-    rows = load(spark, sf, "nation").select("n_name", numbers.sha(F.lit(20260918), "n_name").alias("h"))
-    return rows.select("n_name", numbers.hex_number(h, 1, 15).alias("seed"), F.element_at(voices, (byte(8) % 5 + 1).cast("int")).alias("first_voice"), F.round(lo, 3).alias("speed_lo"), F.round(F.least(lo + 0.08, F.lit(1.10)), 3).alias("speed_hi"), F.round(clean / (clean + normal) * 0.75, 4).alias("clean"))
+    """The same name always has the same seed, order of voices, speeds and shares."""
+    byte = lambda k: numbers.hex_number(F.col("h"), 2 * k + 1, 2)
+    turn = (byte(8) % len(VOICES)).cast("int")
+    voices = F.array(*map(F.lit, VOICES))
+    rotated = F.concat(F.slice(voices, turn + 1, F.lit(len(VOICES))), F.slice(voices, F.lit(1), turn))
+    lo, clean, normal = F.lit(SPEED_LO) + (byte(9) % 6) * SPEED_STEP, F.lit(CLEAN) + (byte(10) % 11) * SHARE_STEP, F.lit(NORMAL) + (byte(11) % 11) * SHARE_STEP
+    share = lambda x: x / (clean + normal) * QUIET_SHARE
+    rows = load(spark, sf, "nation").select("n_name", F.sha2(F.concat(F.lit(f"{BASE_SEED}:"), "n_name"), 256).alias("h"))
+    return rows.select(
+        "n_name", F.conv(F.substring("h", 1, 16), 16, 10).alias("seed"), F.array_join(rotated, ";").alias("voices"), F.round(lo, 3).alias("speed_lo"), F.round(F.least(lo + SPEED_WIDTH, F.lit(SPEED_HI)), 3).alias("speed_hi"),
+        F.round(share(clean), 4).alias("clean"), F.round(share(normal), 4).alias("normal"), F.round(1.0 - share(clean) - share(normal), 4).alias("noisy"),
+    )
 
 
 @PLANS.query("cross_plan", "SELECT printf('street_%03d_%s', n_nationkey, v) AS id, n_name, v AS variant, CASE WHEN v = 'full' THEN n_name END AS reference_raw FROM nation CROSS JOIN (VALUES ('full'), ('short'), ('natural')) t(v)")

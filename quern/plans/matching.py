@@ -45,6 +45,36 @@ def dict_validation(spark, sf):
     return f.join(counts, "form").select(F.col("form_id").alias("item_id"), "form", problem.alias("problem")).where("problem IS NOT NULL")
 
 
+#: Forms of nations made from suppliers: what is wrong with one comes from the balance.
+BOOK = """SELECT s_suppkey AS ord, CASE WHEN s_acctbal < -500 THEN 'ATLANTIS' ELSE n_name END AS street, CASE WHEN s_acctbal < 1000 THEN left(n_name, 3) WHEN s_acctbal < 3000 THEN s_name WHEN s_acctbal < 4000 THEN '12' WHEN s_acctbal < 6000 THEN 'Brazil' ELSE n_name || ' City' END AS form FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
+LETTERS = "array_to_string(regexp_extract_all(lower({0}), '\\p{{L}}+'), ' ')"
+
+
+def book(spark, sf):
+    n, low = load(spark, sf, "nation"), F.col("s_acctbal")
+    both = load(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    form = F.when(low < 1000, F.left("n_name", F.lit(3))).when(low < 3000, F.col("s_name")).when(low < 4000, "12").when(low < 6000, "Brazil").otherwise(F.concat("n_name", F.lit(" City")))
+    forms = both.select(F.col("s_suppkey").alias("ord"), F.when(low < -500, "ATLANTIS").otherwise(F.col("n_name")).alias("street"), form.alias("form"))
+    return forms.withColumn("norm", tx.normalize("form", tx.ANY_LETTER)), n.select(F.col("n_name").alias("street"), tx.normalize("n_name", tx.ANY_LETTER).alias("norm"))
+
+
+@PLANS.query(
+    "dictionary_problems",
+    f"""WITH b AS (SELECT *, {LETTERS.format('form')} AS norm, street IN (SELECT n_name FROM nation) AS known FROM ({BOOK})), n AS (SELECT n_name, {LETTERS.format('n_name')} AS norm FROM nation), f AS (SELECT norm, min(ord) AS first FROM b WHERE known AND norm <> '' GROUP BY norm)
+SELECT DISTINCT ord, street, form, unnest(list_filter([CASE WHEN NOT known THEN 'unknown street' END, CASE WHEN known AND NOT regexp_full_match(form, '[A-Za-z -]+') THEN 'invalid characters' END, CASE WHEN known AND b.norm = '' THEN 'empty form' END, CASE WHEN known AND b.norm <> '' AND length(replace(b.norm, ' ', '')) < 4 THEN 'too short' END, CASE WHEN known AND b.norm <> '' AND n_name <> street THEN 'name of another' END, CASE WHEN known AND b.norm <> '' AND first < ord THEN 'duplicate form' END], lambda x: x IS NOT NULL)) AS problem FROM b LEFT JOIN n ON n.norm = b.norm LEFT JOIN f ON f.norm = b.norm""",
+)
+def dictionary_problems(spark, sf):
+    forms, names = book(spark, sf)
+    return matching.dictionary_problems(forms, names, "^[A-Za-z -]+$")
+
+
+@PLANS.query("exclusion_problems", f"WITH b AS ({BOOK}), e AS (SELECT CASE n_regionkey WHEN 0 THEN 'OLD ' || n_name ELSE n_name END AS street FROM nation WHERE n_regionkey <= 1) SELECT street, 'unknown exclusion' AS problem FROM e WHERE street NOT IN (SELECT n_name FROM nation) UNION ALL SELECT street, 'in both sections' FROM e WHERE street IN (SELECT street FROM b)")
+def exclusion_problems(spark, sf):
+    forms, names = book(spark, sf)
+    excluded = load(spark, sf, "nation").where("n_regionkey <= 1").select(F.when(F.col("n_regionkey") == 0, F.concat(F.lit("OLD "), "n_name")).otherwise(F.col("n_name")).alias("street"))
+    return matching.exclusion_problems(excluded, forms, names)
+
+
 @PLANS.query("hotword_assembly", f"WITH a AS (SELECT form, 2 * item_id AS ord FROM {FORMS} UNION ALL SELECT form, 2 * item_id + 1 FROM {SHORT}) SELECT form AS hotword, min(ord) AS ord FROM a WHERE form <> '' GROUP BY form")
 def hotword_assembly(spark, sf):
     both = forms(spark, sf).select("form", (2 * F.col("form_id")).alias("ord")).unionAll(forms(spark, sf, 2).select("form", (2 * F.col("form_id") + 1).alias("ord")))

@@ -135,6 +135,27 @@ def asr_metrics(spark, sf):
     return metrics.error_rates(answer_pairs(spark, sf), ["lang"])
 
 
+SAID = r"""u AS (SELECT doc_id, lang, unnest(regexp_split_to_array(text, '[.\n]')) AS said, generate_subscripts(regexp_split_to_array(text, '[.\n]'), 1) AS place FROM documents),
+d AS (SELECT doc_id, lang, place, regexp_extract_all(lower(said), '\p{L}+') AS t FROM u), k AS (SELECT doc_id, lang, place, array_to_string(t, ' ') AS ref, array_to_string(list_filter(t, lambda w, i: i % 7 <> 0), ' ') AS hyp FROM d WHERE len(t) > 0)"""
+BOOK = r"""i AS (SELECT item_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM benchmark), f AS (SELECT item_id, array_to_string(w, ' ') AS form FROM i UNION SELECT item_id, array_to_string(list_slice(w, 1, 3), ' ') FROM i)"""
+
+
+@PLANS.query(
+    "street_metrics",
+    f"""WITH {SAID}, {BOOK}, h AS (SELECT k.doc_id, k.place, f.item_id, length(form) AS n FROM k JOIN f ON contains(' ' || hyp || ' ', ' ' || form || ' ')), m AS (SELECT doc_id, place, max(n) AS n FROM h GROUP BY doc_id, place),
+b AS (SELECT h.doc_id, h.place, min(item_id) AS a, max(item_id) AS z FROM h JOIN m ON h.doc_id = m.doc_id AND h.place = m.place AND h.n = m.n GROUP BY h.doc_id, h.place),
+s AS (SELECT k.*, b.a, b.z, e.item_id AS expected, array_to_string(e.w, ' ') AS canonical FROM k JOIN i e ON e.item_id = k.doc_id % (SELECT count(*) FROM benchmark) LEFT JOIN b ON b.doc_id = k.doc_id AND b.place = k.place)
+SELECT lang, CAST(count(*) AS BIGINT) AS samples, round(count(*) FILTER (WHERE a = z AND a = expected) / count(*), 9) AS street_accuracy, round(count(*) FILTER (WHERE contains(hyp, canonical)) / count(*), 9) AS exact_street_accuracy, round(count(*) FILTER (WHERE ref = hyp) / count(*), 9) AS exact_utterance_accuracy, CAST(count(*) FILTER (WHERE a <> z) AS BIGINT) AS ambiguous, CAST(count(*) FILTER (WHERE a IS NULL) AS BIGINT) AS no_match FROM s GROUP BY lang""",
+)
+def street_metrics(spark, sf):
+    """Benchmark items as streets: whole and by their first three tokens; a document's utterances should name the item of its number."""
+    items = load(spark, sf, "benchmark").select("item_id", tx.tokens("text", tx.ANY_LETTER).alias("w"))
+    streets = items.select(F.col("item_id").alias("street"), F.array_join("w", " ").alias("canonical"))
+    forms = items.select(F.col("item_id").alias("street"), F.explode(F.array_distinct(F.array(F.array_join("w", " "), F.array_join(F.slice("w", 1, 3), " ")))).alias("form"))
+    said = answer_pairs(spark, sf).withColumn("id", F.concat_ws("|", "doc_id", "place")).withColumn("expected", F.col("doc_id") % items.count())
+    return metrics.street_accuracy(said, forms, streets, ["lang"])
+
+
 @PLANS.query("token_change_ratio")
 def token_change_ratio(spark, sf):
     return answer_pairs(spark, sf).select("doc_id", "place", F.round(metrics.change_ratio("reference", "hypothesis"), 6).alias("changed"))

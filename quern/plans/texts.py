@@ -73,9 +73,11 @@ def filter_limit(spark, sf):
     return scans.saved_records(load(spark, sf, "orders"), (F.col("o_orderstatus") == "F") & F.col("o_orderpriority").isNotNull(), ["o_orderkey"], 100).select("o_orderkey", "o_totalprice")
 
 
-@PLANS.query("latest_by_key", "SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, max_by(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders GROUP BY o_custkey")
+@PLANS.query("latest_by_key", "SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, max_by(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F') GROUP BY o_custkey")
 def latest_by_key(spark, sf):
-    return scans.latest_by(load(spark, sf, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey", "o_totalprice")
+    """The latest that has what a run must have, here a line of the first status."""
+    made = load(spark, sf, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return scans.latest_by(load(spark, sf, "orders").join(made, "o_orderkey", "left_semi"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey", "o_totalprice")
 
 
 @PLANS.query("export_projection", "SELECT CASE WHEN substr(sha256('7|' || doc_id), 1, 1) < '2' THEN 'test' ELSE 'train' END AS split, 'audio/doc_' || doc_id || '.wav' AS audio, text FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
