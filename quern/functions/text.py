@@ -73,6 +73,19 @@ def longest_token(words: Column) -> Column:
     return F.element_at(F.filter(words, lambda w: F.length(w) == longest), 1)
 
 
+def reviewed(name: Column) -> Column:
+    """expand_reviewed(), or an error where a numeral is left."""
+    out = expand_reviewed(name)
+    return F.when(F.rlike(out, F.lit(r"\d")), F.raise_error(F.concat(F.lit("numeral without review: "), name))).otherwise(out)
+
+
+def reviewed_declension(name: Column) -> Column:
+    """declension(), or an error where numerals or structure are unknown."""
+    forms = declension(name)
+    bad = forms.isNull() | F.rlike(forms.nom, F.lit(r"\d"))
+    return F.when(bad, F.raise_error(F.concat(F.lit("name without review: "), name))).otherwise(forms)
+
+
 def expand_reviewed(name: Column) -> Column:
     """Reviewed numerals as words; other numerals stay."""
     out = name

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import os
 import struct
+import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +58,25 @@ def wav_bytes(samples: np.ndarray, rate: int = 8000) -> bytes:
     """Mono PCM16; values beyond full scale are clipped."""
     data = np.floor(np.clip(samples, -1, 1) * 32767 + 0.5).astype("<i2").tobytes()
     return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data" + struct.pack("<I", len(data)) + data
+
+
+def npz_bytes(**arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez_compressed(out, **arrays)
+    return out.getvalue()
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """files(name, content) as files of their own under a local or mounted folder, each written beside its place and moved there."""
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                path = os.path.join(folder, name)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(f"{path}.{uuid.uuid4().hex}.tmp", "wb") as f:
+                    f.write(content)
+                os.replace(f.name, path)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    files.select("name", "content").mapInPandas(run, "n bigint").agg(F.sum("n")).collect()
