@@ -66,7 +66,8 @@ def verdicts(spark, sf, tolerant: bool = False):
     d = d.join(F.broadcast(forms(spark, sf).select(F.col("form_id").alias("item_id"))), "item_id")
     if tolerant:
         d = d.drop("hits").join(hits(spark, sf, matching.tolerant_positions), "doc_id", "left").withColumn("hits", F.coalesce("hits", none))
-    c = d.select("doc_id", "item_id", "hits", "tail_apart", F.explode("cfgs").alias("c")).select("doc_id", "item_id", "hits", "tail_apart", "c.*")
+    d = d.withColumn("evaluated", F.exists("hits", lambda h: h.form_id == F.col("item_id")))
+    c = d.select("doc_id", "item_id", "hits", "tail_apart", "evaluated", F.explode("cfgs").alias("c")).select("doc_id", "item_id", "hits", "tail_apart", "evaluated", "c.*")
     in_base, in_tail = F.filter("hits", lambda h: h.base), F.filter("hits", lambda h: h.tail)
     here = F.when(F.col("cfg") == "full", F.col("hits")).when(F.col("cfg") == "tail", in_tail).otherwise(in_base)
     c = c.withColumn("here", here).withColumn("base_found", F.transform(in_base, lambda h: h.form_id)).drop("hits")
@@ -150,10 +151,12 @@ def sweep_counters(spark, sf):
     return classify.counters(moves(spark, sf), ["cfg"], "move", MOVES)
 
 
-@PLANS.query("session_summary", f"WITH {BASE} SELECT cfg, CAST(count(*) AS BIGINT) AS tests, CAST(count(*) FILTER (WHERE after) AS BIGINT) AS correct, CAST(count(*) FILTER (WHERE verdict = 'HELPED') AS BIGINT) AS helped, CAST(count(*) FILTER (WHERE verdict = 'HARMED') AS BIGINT) AS harmed, round(count(*) FILTER (WHERE after) / count(*), 4) AS match_rate FROM verdicts GROUP BY cfg")
+@PLANS.query("session_summary", f"WITH {BASE}, e AS (SELECT v.*, f.after AS evaluated FROM verdicts v JOIN verdicts f ON f.doc_id = v.doc_id AND f.cfg = 'full') SELECT cfg, CAST(count(*) AS BIGINT) AS tests, CAST(count(*) FILTER (WHERE evaluated) AS BIGINT) AS evaluated, CAST(count(*) FILTER (WHERE evaluated AND after) AS BIGINT) AS correct, CAST(count(*) FILTER (WHERE verdict = 'HELPED') AS BIGINT) AS helped, CAST(count(*) FILTER (WHERE verdict = 'HARMED') AS BIGINT) AS harmed, coalesce(round(count(*) FILTER (WHERE evaluated AND after) / nullif(count(*) FILTER (WHERE evaluated), 0), 4), 0.0) AS match_rate FROM e GROUP BY cfg")
 def session_summary(spark, sf):
-    v = verdicts(spark, sf).groupBy("cfg").agg(F.count(F.lit(1)).alias("tests"), F.count_if("after").alias("correct"), F.count_if(F.col("verdict") == "HELPED").alias("helped"), F.count_if(F.col("verdict") == "HARMED").alias("harmed"))
-    return v.withColumn("match_rate", F.round(F.col("correct") / F.col("tests"), 4))
+    """A test is evaluated where its item was said, that is, stands in the whole document; without one the rate is 0."""
+    correct = F.col("evaluated") & F.col("after")
+    v = verdicts(spark, sf).groupBy("cfg").agg(F.count(F.lit(1)).alias("tests"), F.count_if("evaluated").alias("evaluated"), F.count_if(correct).alias("correct"), F.count_if(F.col("verdict") == "HELPED").alias("helped"), F.count_if(F.col("verdict") == "HARMED").alias("harmed"))
+    return v.withColumn("match_rate", F.coalesce(F.round(F.try_divide(F.col("correct").cast("double"), F.col("evaluated").cast("double")), 4), F.lit(0.0)))
 
 
 @PLANS.query("example_groups", f"WITH {BASE}, o AS (SELECT cfg, verdict, doc_id, row_number() OVER (PARTITION BY cfg, verdict ORDER BY doc_id) AS place FROM verdicts WHERE verdict IN ('HELPED', 'HARMED', 'NEITHER')) SELECT cfg, verdict, CAST(place AS INTEGER) AS place, doc_id FROM o WHERE place <= 20")

@@ -56,10 +56,13 @@ def bottleneck(spark, sf):
     return metrics.bottleneck(summary(spark, sf), "acoustic_share").select("l_returnflag", "acoustic_share", "verdict")
 
 
-@PLANS.query("quality_gate", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS found_rate, bool_and(value IS NOT NULL AND value >= 0) AS passed FROM events GROUP BY event_type")
+@PLANS.query("quality_gate", "WITH g AS (SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS found_rate, bool_and(value IS NOT NULL AND value >= 0) AS passed FROM events GROUP BY event_type) SELECT *, coalesce(found_rate = (SELECT found_rate FROM g WHERE event_type = 'view'), false) AS as_baseline FROM g")
 def quality_gate(spark, sf):
+    """All rows must pass; whether a mode finds as much as the baseline mode."""
     good = F.col("value").isNotNull() & (F.col("value") >= 0)
-    return load(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0)), 6).alias("found_rate"), F.bool_and(good).alias("passed"))
+    modes = load(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0)), 6).alias("found_rate"), F.bool_and(good).alias("passed"))
+    base = modes.where("event_type = 'view'").agg(F.max("found_rate").alias("base"))  # one row
+    return modes.join(F.broadcast(base)).select("event_type", "n", "found_rate", "passed", F.coalesce(F.col("found_rate") == F.col("base"), F.lit(False)).alias("as_baseline"))
 
 
 @PLANS.query("determinism_check", "WITH m AS (SELECT user_id AS id, event_type AS mode, max(floor(value / 40)) AS hyp FROM events GROUP BY 1, 2), b AS (SELECT id, hyp FROM m WHERE mode = 'view') SELECT mode, CAST(count(*) AS BIGINT) AS compared, CAST(count(*) FILTER (WHERE m.hyp <> b.hyp) AS BIGINT) AS different, coalesce(array_to_string(list_slice(list(m.id ORDER BY m.id) FILTER (WHERE m.hyp <> b.hyp), 1, 20), ';'), '') AS first_ids FROM m JOIN b USING (id) WHERE mode <> 'view' GROUP BY mode")

@@ -111,6 +111,15 @@ def config_labels(spark, sf):
     return both.select(label.alias("label"), F.regexp_replace("event_type", "_", " ").alias("display"))
 
 
+@PLANS.query("config_projection", f"SELECT DISTINCT event_type || CASE WHEN w = 0 THEN '' ELSE '@w' || CASE WHEN w = floor(w) THEN CAST(CAST(w AS BIGINT) AS VARCHAR) ELSE CAST(CAST(w AS DOUBLE) AS VARCHAR) END END AS label, event_type AS kind, CASE WHEN w <> 0 THEN CAST(w AS DOUBLE) END AS weight, CASE WHEN event_type = 'view' THEN (SELECT count(*) FROM benchmark) ELSE 0 END AS hotword_count FROM events CROSS JOIN {WEIGHTS} t(w)")
+def config_projection(spark, sf):
+    """Configurations of a run; only the canonical kind, here "view", says how many hotwords it has."""
+    kinds, hotwords = load(spark, sf, "events").select("event_type").distinct(), load(spark, sf, "benchmark").count()
+    both = kinds.withColumn("w", F.explode(F.array(*map(F.lit, (0.0, 1.5, 5.0, 10.0)))))
+    label = F.when(F.col("w") == 0, F.col("event_type")).otherwise(F.concat("event_type", F.lit("@w"), numbers.general_format(F.col("w"))))
+    return both.select(label.alias("label"), F.col("event_type").alias("kind"), F.when(F.col("w") != 0, F.col("w")).alias("weight"), F.when(F.col("event_type") == "view", F.lit(hotwords)).otherwise(F.lit(0)).cast("long").alias("hotword_count"))
+
+
 @PLANS.query("mode_names", "SELECT DISTINCT event_type, coalesce(t, 0) AS threads, CASE WHEN event_type = 'view' THEN 'sequential_default' WHEN t IS NULL THEN event_type || '_default' ELSE event_type || '_threads_' || t END AS mode, CASE WHEN event_type = 'view' THEN 'sequential' ELSE event_type || '/' || coalesce(CAST(t AS VARCHAR), 'default') END AS subdir FROM events CROSS JOIN (VALUES (NULL), (1), (4)) v(t)")
 def mode_names(spark, sf):
     kinds = load(spark, sf, "events").select("event_type").distinct().withColumn("threads", F.explode(F.array(F.lit(None).cast("int"), F.lit(1), F.lit(4))))

@@ -36,3 +36,32 @@ def test_telephone():
     low = audio.telephone(np.sin(2 * np.pi * 100 * np.arange(8000) / 8000), 1)
     assert np.abs(low).max() < 0.01
     assert (audio.telephone(x, 7, snr_db=20) == audio.telephone(x, 7, snr_db=20)).all() and len(audio.telephone([], 1)) == 0
+
+
+def test_channel(spark):
+    t = np.arange(48_000) / 24_000
+    tone = 0.3 * np.sin(2 * np.pi * 1000 * t)
+    x, drawn = audio.channel(tone, 24_000, 1.0, audio.Profile(), 5)
+    body = x[x != 0]
+    assert drawn["codec"] == "none" and drawn["snr_db"] is None and not drawn["clipped"] and np.sqrt(np.mean(body**2)) == pytest.approx(0.09, rel=0.02)
+    assert len(x) == 16_000 + sum(drawn["edge_pause_ms"]) * 8 and all(20 <= p <= 100.2 for p in drawn["edge_pause_ms"])
+    loud, all_drawn = audio.channel(tone, 24_000, 1.1, audio.Profile(1, 20, 20, 1, 1, 1), 5)
+    assert all_drawn["codec"] in ("pcm_mulaw", "pcm_alaw") and all_drawn["snr_db"] == 20 and all_drawn["clipped"] and -4 <= all_drawn["gain_db"] <= 2 and np.abs(loud).max() <= 1
+    assert (audio.channel(tone, 24_000, 1.1, audio.Profile(1, 20, 20, 1, 1, 1), 5)[0] == loud).all()
+    rows = spark.createDataFrame([("a", tone.tolist(), 24_000, 1.0, "p", 5), ("b", [0.0] * 8000, 8000, 1.0, "p", 5), ("c", None, 8000, 1.0, "p", 5), ("d", [0.1], 8000, 1.0, "q", 5)], "id string, samples array<double>, rate int, speed double, profile string, seed long")
+    got = {r.id: r for r in audio.channel_rows(rows, {"p": audio.Profile()}).collect()}
+    assert np.allclose(got["a"].samples, x) and got["b"].error == got["c"].error == "silent" and got["d"].error == "'q'"
+
+
+@pytest.mark.parametrize("speed", [0.9, 1.0, 1.1])
+def test_speed_keeps_the_pitch(speed):
+    x = np.sin(2 * np.pi * 500 * np.arange(16_000) / 8000)
+    y = audio.at_speed(x, speed)
+    assert abs(len(y) - 16_000 / speed) <= 1
+    spectrum = np.abs(np.fft.rfft(y[1000:9000]))
+    assert abs(np.argmax(spectrum) - 500) <= 2
+
+
+def test_a_law():
+    x = np.linspace(-1, 1, 2001)
+    assert np.abs(audio.a_law(x) - x).max() < 0.03 and np.abs(audio.a_law(x) - x)[np.abs(x) < 0.01].max() < 0.001
