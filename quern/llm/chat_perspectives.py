@@ -8,8 +8,8 @@ BLOCK_TURNS turn numbers, so that one endless conversation is many rows of
 bounded size; short ones are one block.
 
 Nulls: a null role is the speaker "unknown", null text is empty, null turns
-form the first block's start, and rows with a null conv_id are one
-conversation. Ties of a turn number are ordered by role, then text; repeated
+form the first block's start, and a row with a null conv_id belongs to no other
+row: it is a conversation of one turn in block 0. Ties of a turn number are ordered by role, then text; repeated
 rows are repeated turns. Conversations with system turns only, and the empty
 table, give no rows. Extra columns are ignored.
 """
@@ -33,10 +33,14 @@ def rotate_perspectives(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> Dat
     points, alternating between what is shown and what is trained on.
     """
     role = F.coalesce("role", F.lit("unknown"))
-    said = turns.select("conv_id", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(0)).cast("long").alias("block"), F.struct("turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("said"))
+    turns = turns.select("conv_id", "turn", "role", "text")
+    known = turns.where("conv_id IS NOT NULL")
+    turn = F.struct("turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    lone = turns.where("conv_id IS NULL").select("conv_id", F.lit(0).cast("long").alias("block"), F.array(turn).alias("turns"), role.alias("speaker")).where(F.col("speaker") != SYSTEM)
+    said = known.select("conv_id", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(0)).cast("long").alias("block"), turn.alias("said"))
     blocks = said.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("said")).alias("turns"))
-    speakers = turns.select(F.col("conv_id").alias("of"), role.alias("speaker")).where(F.col("speaker") != SYSTEM).distinct()
-    each = blocks.join(speakers, F.col("conv_id").eqNullSafe(F.col("of")))
+    speakers = known.select("conv_id", role.alias("speaker")).where(F.col("speaker") != SYSTEM).distinct()
+    each = blocks.join(speakers, "conv_id").unionAll(lone)
 
     def head(t):
         return F.when(t.role == F.col("speaker"), F.lit("<|assistant|>\n")).when(t.role == SYSTEM, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), t.role, F.lit("|>\n")))
@@ -55,14 +59,15 @@ def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-                  coalesce(CAST(floor(turn / {BLOCK_TURNS}.0) AS BIGINT), 0) AS block FROM conversations),
-p AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> '{SYSTEM}'),
+                  CASE WHEN conv_id IS NULL THEN 0 ELSE coalesce(CAST(floor(turn / {BLOCK_TURNS}.0) AS BIGINT), 0) END AS block,
+                  CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM (SELECT * FROM conversations)),
+p AS (SELECT DISTINCT conv_id, alone, role AS speaker FROM t WHERE role <> '{SYSTEM}'),
 r AS (SELECT t.*, p.speaker, CASE WHEN t.role = p.speaker THEN '<|assistant|>' || chr(10) WHEN t.role = '{SYSTEM}' THEN '<|system|>' || chr(10)
              ELSE '<|user name=' || t.role || '|>' || chr(10) END AS head, t.text || '<|end|>' || chr(10) AS body
-      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id)
+      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.alone IS NOT DISTINCT FROM p.alone)
 SELECT conv_id, speaker, block, count(*) AS n_turns, count(*) FILTER (WHERE role = speaker) AS n_own,
        CAST(coalesce(sum(length(body)) FILTER (WHERE role = speaker), 0) AS BIGINT) AS n_trained,
        string_agg(length(head) || ':0,' || length(body) || CASE WHEN role = speaker THEN ':1' ELSE ':0' END, ',' ORDER BY turn NULLS FIRST, role, text) AS mask,
        string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS text
-FROM r GROUP BY conv_id, speaker, block
+FROM r GROUP BY conv_id, alone, speaker, block
 """

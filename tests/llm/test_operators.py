@@ -4,7 +4,9 @@ import hashlib
 import time
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import sentencepiece
@@ -153,6 +155,20 @@ def test_chat_perspectives(spark):
     assert at == len(one.text) and cuts == ["hi<|end|>\n"] and one.n_trained == len(cuts[0])
 
 
+def test_chat_perspectives_without_a_conversation_and_very_long_ones(spark):
+    rows = [(None, 1, "ann", "one"), (None, 1, "ann", "one"), (None, None, "system", "s"), *((7, t, "ann" if t % 2 else None, f"said {t} " * 40) for t in range(2000))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"speaker": F.lit("clash"), "block": F.lit(5), "turns": F.lit(1), "said": F.lit(1)})
+    got = chat_perspectives.rotate_perspectives(frame).collect()
+    lone = [r for r in got if r.conv_id is None]
+    assert len(lone) == 2 and all((r.speaker, r.block, r.n_turns, r.n_own, r.text) == ("ann", 0, 1, 1, "<|assistant|>\none<|end|>\n") for r in lone)
+    long = [r for r in got if r.conv_id == 7]
+    assert len(long) == 2 * 8 and sum(r.n_own for r in long) == 2000 and sum(r.n_turns for r in long) == 4000
+    duck = duckdb.connect()
+    duck.register("conversations", pd.DataFrame([r[:4] for r in rows], columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    theirs = duck.sql(chat_perspectives.ORACLE_SQL).fetchall()
+    assert sorted(map(str, theirs)) == sorted(str(tuple(r)) for r in got)
+
+
 def test_source_mix(spark):
     got = source_mix.mix_sources(cases.documents(spark)).collect()
     assert len(got) == len(cases.ROWS) and all(0 <= r.taken <= 2 * r["size"] for r in got)
@@ -304,6 +320,70 @@ def test_kneser_ney_sums_to_one():
     assert (quality_lm.unpack(quality_lm.pack(keys & 0xFFFFFF)) == keys & 0xFFFFFF).all()
 
 
+def plain_chain(rows, labels, folds, at):
+    """Probabilities of the chain by dense matrices and one example after the other."""
+    size = 1 << toxicity_chain.FEATURE_BITS
+    names = sorted({f for r in rows for f in r.tolist()} | {f for r in at for f in r.tolist()})
+    place = {f: k for k, f in enumerate(names)}
+    assert len(names) < size
+
+    def dense(found):
+        x = np.zeros((len(found), len(names)))
+        for i, r in enumerate(found):
+            x[i, [place[f] for f in r.tolist()]] = 1
+        return x
+
+    def fit(x, more, y):
+        n1, n0 = y.sum(), (1 - y).sum()
+        p1, p0, p = ((x * y[:, None]).sum(0) + 0.5) / (n1 + 1), ((x * (1 - y)[:, None]).sum(0) + 0.5) / (n0 + 1), (x.sum(0) + 1) / (len(y) + 2)
+        z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+        scale = np.where(np.abs(z) >= toxicity_chain.LEAST_Z, np.log(p1 / p0), 0)
+        both = np.hstack([x * scale, more, np.ones((len(y), 1))])
+        w, g, small = np.append(np.zeros(both.shape[1] - 1), np.log(n1 / n0)), np.full(both.shape[1], 1e-8), np.append(np.full(both.shape[1] - 1, 1e-6), 0)
+        for _ in range(toxicity_chain.STEPS):
+            d = both.T @ ((1 / (1 + np.exp(-np.clip(both @ w, -30, 30))) - y) / len(y)) + small * w
+            g += d * d
+            w = w - 0.3 * d / np.sqrt(g)
+        return lambda x, more: 1 / (1 + np.exp(-np.clip(np.hstack([x * scale, more, np.ones((len(x), 1))]) @ w, -30, 30)))
+
+    x, unseen_x, earlier, out = dense(rows), dense(at), np.zeros((len(rows), 0)), np.zeros((len(at), 0))
+    for j in range(labels.shape[1]):
+        y = labels[:, j].astype(float)
+        held = np.zeros(len(rows))
+        for k in set(folds.tolist()):
+            held[folds == k] = fit(x[folds != k], earlier[folds != k], y[folds != k])(x[folds == k], earlier[folds == k])
+        out = np.column_stack([out, fit(x, earlier, y)(unseen_x, out)])
+        earlier = np.column_stack([earlier, held])
+    return out
+
+
+def test_chain_against_dense_matrices():
+    rng = np.random.Generator(np.random.PCG64(8))
+    words = [f"w{k}" for k in range(80)]
+    texts, labels = [], []
+    for _ in range(300):
+        first, second = rng.random() < 0.3, rng.random() < 0.4
+        texts.append(" ".join(rng.choice(words, 12).tolist() + ["vile"] * first + ["lowly"] * second + ["mixed"] * (first and rng.random() < 0.8)))
+        labels.append((int(second), int(first and (second or rng.random() < 0.7))))
+    rows, y, folds = [toxicity_chain.features(t) for t in texts], np.array(labels, np.int8), rng.integers(0, toxicity_chain.FOLDS, 300)
+    chain = toxicity_chain.Chain(rows[:200], y[:200], folds[:200])
+    assert np.allclose(chain.chances(rows[200:]), plain_chain(rows[:200], y[:200], folds[:200], rows[200:]), atol=1e-4)
+    assert chain.models[1].extra[0] != 0
+
+
+def test_toxicity_of_repeated_and_very_long_texts(spark):
+    rows = [(i, "calm words " * 5 + ("vilest slur" if i % 4 == 0 else "and more"), "en", "a") for i in range(400)]
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(300)], "doc_id long, low_quality int, toxic int")
+    more = [rows[399], rows[399], (500, cases.LONG + " vilest slur", "en", "a"), (501, cases.LONG, "en", "a"), (501, cases.LONG, "en", "a")]
+    docs = cases.documents(spark, [*rows, *more])
+    got = toxicity_chain.score_documents(docs, toxicity_chain.train_chain(docs, labels)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add((r.p_toxic, r.is_toxic))
+    assert len(got) == 405 and all(len(x) == 1 for x in by.values()) and {i for i, x in by.items() if next(iter(x))[1]} >= set(range(300, 400, 4))
+    assert next(iter(by[500]))[0] > next(iter(by[501]))[0]
+
+
 def test_toxicity_chain(spark):
     rng = np.random.Generator(np.random.PCG64(2))
     vocabulary, rows, marks = [f"plain{k}" for k in range(300)], [], []
