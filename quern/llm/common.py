@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -26,15 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quern-scratch"
 
 
-#: Paths of the tables staged so far.
-STAGED: list[str] = []
+class _Staged(threading.local):
+    """Paths of the tables that this thread has staged, so that runs in several threads don't drop each other's."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_STAGED = _Staged()
+
+
+def staged_here() -> list[str]:
+    return _STAGED.paths
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once as a table in the shared folder and read back, so that lost executors cost no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/quern-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    STAGED.append(path)
+    staged_here().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,8 +56,8 @@ def drop_staged(spark: SparkSession, paths: list[str]) -> None:
         name = paths.pop()
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(hadoop).delete(path, True)
-        if name in STAGED:
-            STAGED.remove(name)
+        if name in staged_here():
+            staged_here().remove(name)
 
 
 def settled(spark: SparkSession) -> None:

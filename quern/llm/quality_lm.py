@@ -53,7 +53,7 @@ from pyspark.sql.window import Window as W
 
 from quern.llm.blocks import BLOCK_CELLS, gathered, has_bits, set_bits
 from quern.llm.bytetext import find_words, mix, string_slices, word_hashes
-from quern.llm.common import STAGED, by_batch, drop_staged, lean, settled, staged, table
+from quern.llm.common import by_batch, drop_staged, lean, settled, staged, staged_here, table
 
 WORD_BITS = 31
 WORDS = 1 << WORD_BITS
@@ -447,14 +447,14 @@ def gain(counts: np.ndarray, discounts: np.ndarray, contexts: np.ndarray, backof
 
 def fit_model(merged: DataFrame, shards: int) -> tuple[DataFrame, Model]:
     """The values of all keys in shards, and those of the hot keys."""
-    at = len(STAGED)
+    at = len(staged_here())
     tables = staged(merged, "bigrams")
     types = types_of(tables, shard_shift(shards))
     discounts = discounts_of(types[_size_bucket(np.array([1, 2, 3, 4]))])
     settled(tables.sparkSession)
     sums = staged(word_sums(tables, discounts, shards), "words")
     settled(tables.sparkSession)
-    scratch = STAGED[at:]
+    scratch = staged_here()[at:]
     low, limit = lower_order(sums, shards)
     values = staged(word_values(sums, low, limit, shards).unionAll(bigram_values(tables, sums, discounts, low, hot_limit(types), shards)), "values")
     sieve = word_sieve(sums, shards)

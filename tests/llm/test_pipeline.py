@@ -1,5 +1,7 @@
 """Each stage of the pipeline on what its predecessor kept, against plain versions."""
 
+import os
+
 import corpus_pipeline
 from quern.llm import source_mix
 
@@ -27,6 +29,35 @@ def test_stages(spark, tmp_path):
     assert seen[4][1].count() == after.count()
 
 
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty, blank, very long and repeated texts, null ids and clashing columns: each stage keeps its promise."""
+    docs, seen = cases.documents(spark), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        seen.append(docs.collect())
+    assert all(set(r.asDict()) == set(corpus_pipeline.COLUMNS) for rows in seen[:-1] for r in rows)
+    assert not [r for r in seen[0] if not (r.text or "").split()]
+    texts = [r.text for r in seen[1]]
+    assert texts and len(texts) == len({tuple(sorted(cases.shingles(t, 5))) for t in texts})
+    assert all(cases.WORD.findall(r.text) and r.n_chars == len(r.text) for r in seen[2]) and len(seen[4]) == len(seen[3])
+
+
+def test_stages_without_rows(spark, tmp_path):
+    docs = cases.documents(spark, [])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        assert docs.count() == 0
+
+
+def test_run_leaves_one_folder(spark):
+    result = corpus_pipeline.run(spark, SF)
+    assert result.count() > 0
+    home = os.path.dirname(result.inputFiles()[0].removeprefix("file:"))
+    assert [x for x in os.listdir(os.path.dirname(home)) if x.startswith(os.path.basename(home)[:-2])] == [os.path.basename(home)]
+
+
 def test_words_are_cut_with_the_blanks_between():
     assert corpus_pipeline.without_words(" a  b\nc é d ", [(1, 3)]) == " a   é d "
     assert corpus_pipeline.without_words("a é b", [(0, 1), (2, 3)]) == " é "
