@@ -6,11 +6,19 @@ that the language model rejects go; one document of each near-duplicate class
 stays; passages of over 50 words that start elsewhere, too, are cut out, and a
 document left without a word goes; sources are mixed to their targets, where a document taken twice is
 two rows; the last stage gives token ids.
+
+Null, empty and blank texts have no words: the language model rejects them in
+the first stage, and without trusted text, where it judges nothing, the third
+drops them. Rows are told apart by their place, so repeated and null ids stay
+apart: copies are near duplicates of each other, of which one row stays, the
+first read. Very long texts are rows like any other. Extra columns are dropped
+at the first stage, whatever their names. An empty table gives empty stages.
 """
 
 from __future__ import annotations
 
 import functools
+import threading
 import uuid
 
 import numpy as np
@@ -20,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import ngram_join, quality_lm, repeated_bytes, sentence_pieces, source_mix
 from quern.llm.bytetext import find_words
-from quern.llm.common import STAGED, by_batch, drop_staged, shared_dir, staged, table
+from quern.llm.common import by_batch, drop_staged, shared_dir, staged, staged_here, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: words of a shingle and percent of similarity. Repeated passages: words.
@@ -28,8 +36,14 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 PASSAGE_WORDS = 51
 
 
-#: What the stage before has staged. Its result is written by now, and goes on from there.
-_LEFT: list[str] = []
+class _Left(threading.local):
+    """What the stage before has staged in this thread. Its result is written by now, and goes on from there."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_LEFT = _Left()
 
 
 def stage(function):
@@ -37,10 +51,10 @@ def stage(function):
 
     @functools.wraps(function)
     def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_staged(spark, _LEFT)
-        before = len(STAGED)
+        drop_staged(spark, _LEFT.paths)
+        before = len(staged_here())
         result = function(spark, docs, sf_dir)
-        _LEFT.extend(STAGED[before:])
+        _LEFT.paths.extend(staged_here()[before:])
         return result
 
     return begin
@@ -130,4 +144,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = step(spark, docs, sf_dir)
         docs.write.parquet(f"{home}-{k}")
         docs = spark.read.parquet(f"{home}-{k}")
+        if k:  # what a stage has read goes when its result is written
+            drop_staged(spark, [f"{home}-{k - 1}"])
     return docs
