@@ -61,15 +61,24 @@ def positions(texts: DataFrame, forms: DataFrame, key_tokens: int = KEY_TOKENS,
 
 
 def tolerant_positions(texts: DataFrame, forms: DataFrame, **extra) -> DataFrame:
-    """Like positions(), by tokens_match() of token after token, so that a name is found in any inflection."""
-    wanted = forms.where("form <> ''").select("form_id", F.split("form", " ").alias("form_words"))
-    few = wanted.count() <= BROADCAST_FORMS
-    wanted = wanted.select("form_id", "form_words", F.explode(tx.stem_keys(F.element_at("form_words", 1), True)).alias("key"))
+    """Like positions(), by tokens_match() of token after token, so that a name is found in any inflection.
+
+    A name is looked up by its longest token, which few words of a text resemble.
+    """
+    wanted = forms.where("form <> ''").select("form_id", F.split("form", " ").alias("form_words")).withColumn("anchor", tx.longest_token(F.col("form_words")))
+    sizes = wanted.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("anchor") < 3).alias("short")).first()
+    few = sizes.n <= BROADCAST_FORMS
+    wanted = wanted.select("form_id", "form_words", "anchor", (F.array_position("form_words", F.col("anchor")) - 1).cast("int").alias("offset"), F.explode(tx.stem_keys(F.col("anchor"), True)).alias("key"))
     words = texts.select("id", F.split("norm", " ").alias("words"))
-    starts = words.select("id", *(["words"] if few else []), F.posexplode("words").alias("pos", "word")).withColumn("key", F.explode(tx.stem_keys(F.col("word"), False))).drop("word")
+    starts = words.select("id", *(["words"] if few else []), F.posexplode("words").alias("at", "word"))
+    word = F.col("word")
+    # without names of short words each word of a text has one key
+    keys = F.explode(tx.stem_keys(word, False)) if sizes.short else F.when(F.length(word) >= 3, F.concat(F.lit("3"), F.left(word, F.lit(3)))).otherwise(F.concat(F.lit("a"), F.length(word).cast("string"), word))
+    starts = starts.withColumn("key", keys)
     found = starts.join(F.broadcast(wanted), "key") if few else starts.join(wanted, "key").join(words, "id")
-    here = F.slice("words", F.col("pos") + 1, F.size("form_words"))
-    found = found.where((F.size(here) == F.size("form_words")) & F.forall(F.zip_with(here, "form_words", tx.tokens_match), lambda x: x))
+    found = found.withColumn("pos", F.col("at") - F.col("offset")).where(tx.tokens_match(word, F.col("anchor")) & (F.col("pos") >= 0) & (F.col("pos") + F.size("form_words") <= F.size("words")))
+    same = lambda k: tx.tokens_match(F.element_at("words", F.col("pos") + k), F.element_at("form_words", k))
+    found = found.where(F.forall(F.sequence(F.lit(1), F.size("form_words")), same))
     return found.select("id", "form_id", "pos", F.size("form_words").alias("size"), *[make(F.col("words"), F.col("form_words")).alias(name) for name, make in extra.items()])
 
 
