@@ -73,6 +73,16 @@ def pending_anti_join(spark, sf):
     return audit.pending(load(spark, sf, "documents").select("doc_id", "lang"), load(spark, sf, "labels"), "doc_id")
 
 
+@PLANS.query("previous_run", "WITH p AS (SELECT 'doc_' || doc_id || '.wav' AS name, toxic FROM labels) SELECT doc_id, 'audio/doc_' || doc_id || '.wav' AS path, toxic AS before, toxic IS NOT NULL AS known FROM documents LEFT JOIN p ON name = regexp_extract('audio/doc_' || doc_id || '.wav', '[^/]+$')")
+def previous_run(spark, sf):
+    """Files of this run with what an earlier run knew of files of the same name, wherever they lie."""
+    name = lambda path: F.regexp_extract(path, "[^/]+$", 0)
+    path = F.format_string("audio/doc_%d.wav", "doc_id")
+    before = load(spark, sf, "labels").select(F.format_string("doc_%d.wav", "doc_id").alias("name"), F.col("toxic").alias("before"))
+    files = load(spark, sf, "documents").select("doc_id", path.alias("path")).withColumn("name", name(F.col("path")))
+    return files.join(before, "name", "left").select("doc_id", "path", "before", F.col("before").isNotNull().alias("known"))
+
+
 @PLANS.query("resume_reconcile", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN n_chars % 2 = toxic THEN 'verified' ELSE 'stale' END AS state FROM documents d LEFT JOIN labels l USING (doc_id)")
 def resume_reconcile(spark, sf):
     plan = load(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("parity"))

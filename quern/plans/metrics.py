@@ -77,6 +77,24 @@ def determinism_check(spark, sf):
     return counts.join(first, "mode", "left").select("mode", "compared", "different", F.coalesce("first_ids", F.lit("")).alias("first_ids"))
 
 
+TIMES = "SELECT l_returnflag, CASE WHEN l_linenumber < 7 THEN l_linenumber END AS threads, round(avg(l_discount + l_tax), 2) AS latency FROM lineitem GROUP BY 1, 2"
+
+
+@PLANS.query("best_mode", f"WITH t AS ({TIMES}) SELECT l_returnflag, min_by(threads, (latency, coalesce(threads, 0))) FILTER (WHERE threads IS NOT NULL) AS threads, min(latency) AS latency, arg_min(coalesce(threads, 0), (latency, coalesce(threads, 0))) AS fewest FROM t GROUP BY l_returnflag")
+def best_mode(spark, sf):
+    """The lowest mean latency; of equal ones that with fewest threads, where no number counts as 0."""
+    line, many = F.col("l_linenumber"), F.coalesce("threads", F.lit(0))
+    times = load(spark, sf, "lineitem").groupBy("l_returnflag", F.when(line < 7, line).alias("threads")).agg(F.round(F.avg(F.col("l_discount") + F.col("l_tax")), 2).alias("latency"))
+    by = F.struct("latency", many.alias("many"))
+    return times.groupBy("l_returnflag").agg(F.min_by("threads", F.when(F.col("threads").isNotNull(), by)).alias("threads"), F.min("latency").alias("latency"), F.min_by(many, by).alias("fewest"))
+
+
+@PLANS.query("training_length", "SELECT event_id, value FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND value < 20")
+def training_length(spark, sf):
+    """What is short enough to train on."""
+    return load(spark, sf, "events").where((F.col("value") < 20) & ~F.isnan("value")).select("event_id", "value")
+
+
 @PLANS.query("series_summary", f"WITH s AS ({SUMMARY}), v AS (SELECT *, {VERDICT} AS verdict FROM s) SELECT CAST(count(*) AS BIGINT) AS modes, CAST(sum(ok) AS BIGINT) AS ok, CAST(sum(failed) AS BIGINT) AS failed, min_by(l_returnflag, (wall_rtf, l_returnflag)) AS fastest, max_by(l_returnflag, (throughput, l_returnflag)) AS most_throughput, string_agg(verdict, ';' ORDER BY l_returnflag) AS verdicts FROM v")
 def series_summary(spark, sf):
     v = metrics.bottleneck(summary(spark, sf), "acoustic_share")
