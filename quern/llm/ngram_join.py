@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.blocks import gathered
 from quern.llm.bytetext import shingle_sets, string_slices
-from quern.llm.common import by_batch, lean, staged, table
+from quern.llm.common import by_batch, drop_staged, lean, settled, staged, staged_here, table
 from quern.llm.components import components
 from quern.llm.spots import key_filter
 
@@ -237,18 +237,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) to (doc_id, n_shingles, component_id)."""
-    docs = docs.select("doc_id", "text")
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    at = len(staged_here())
     signed = staged(signed_documents(docs, size, percent, count_shingles(docs, size)), "signed")
+    scratch = staged_here()[at:]
+    own = staged(signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")), "own")
     classes = staged(signed.where("n > 0").groupBy("key", "node", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "classes")
+    # prefixes of copies go; what is done with is given up as soon as possible
+    drop_staged(spark, scratch)
+    settled(spark)
     tokens = classes.select("node", F.posexplode("prefix").alias("pos", "token"), "n", F.col("node").alias("component"))
     met = staged(neighbours(tokens, ("n", "pos"), NEXT_BY_SIZE, percent, True), "shared")
 
     # the tests by size are all there is for a shingle of few classes; the later rounds see the others
     tried = staged(_pairs(met.where("b IS NOT NULL").select("a", "b")), "pairs")
+    settled(spark)
     shared = met.where("b IS NULL").select("token", F.col("a").alias("node"), "n", "pos")
     nodes = shared.select("node").unionAll(tried.select("a")).unionAll(tried.select("b")).distinct()
     wanted = staged(nodes.join(classes.select("node", "parity", F.slice("prefix", 1, EARLY).alias("early")), "node"), "wanted")
     sets = staged(class_sets(docs, wanted, size), "sets")
+    settled(spark)
     links = lambda pairs: verified(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
     stars = lambda known: known.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
@@ -259,12 +267,13 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
         return staged(rows.join(mixed, "token"), "open")
 
     known = components(links(tried))
+    settled(spark)
     rows = still_open(known)
     met = neighbours(rows.withColumn("order", F.xxhash64("node")), ("order",), NEXT_BY_HASH, percent, False)
     more = staged(_pairs(met.select("a", "b")).join(tried, ["a", "b"], "left_anti"), "pairs")
     tried = tried.unionAll(more)
     known = components(stars(known).unionAll(links(more)))
-
+    settled(spark)
     rows = still_open(known)
     largest = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
     rows = rows.join(largest, "token").withColumn("apart", F.col("component") != F.col("main")).drop("main").join(wanted, "node")
@@ -280,7 +289,6 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     joined = reps.join(known, "node")
     least = joined.groupBy("component").agg(F.min("rep").alias("least"))
     ids = reps.join(joined.select("node", "component").join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
-    own = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
     return own.join(ids, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
