@@ -65,7 +65,7 @@ SCRAMBLE = 0x2545F4914F6CDD1D & KEY_MASK | 1
 UNSCRAMBLE = pow(SCRAMBLE, -1, KEY_MASK + 1)
 UNKNOWN_BITS = 20.0
 #: A key is hot from this share of all occurrences; at most HOT bigrams and HOT words are.
-HOT_SHARE, HOT = 2.0**-21, 1 << 20
+HOT_SHARE, HOT = 2.0**-22, 1 << 20
 QUANTILE, PRIOR_TOKENS = 0.999, 10
 BATCH_BYTES = 4 << 20
 #: Ids of trusted documents that are broadcast at most (32 MB); more are joined by shuffle.
@@ -157,8 +157,8 @@ def pack_sorted(residues: np.ndarray, width: int, top: int = 2) -> bytes:
 def unpack_sorted(data: bytes, n: int, width: int, top: int = 2) -> np.ndarray:
     low = n * (width - top)
     rows = np.zeros((8, n), np.uint8)
-    rows[: width - top] = np.frombuffer(data, np.uint8, low).reshape(-1, n)
-    rows[width - top : width] = np.frombuffer(zlib.decompress(data[low:]), np.uint8).reshape(-1, n)
+    rows[: width - top] = np.frombuffer(data, np.uint8, low).reshape(width - top, n)
+    rows[width - top : width] = np.frombuffer(zlib.decompress(data[low:]), np.uint8).reshape(top, n)
     return np.ascontiguousarray(rows.T).view("<i8").ravel().astype(np.int64)
 
 
@@ -178,11 +178,12 @@ def digests(residues: np.ndarray, shift: int) -> np.ndarray:
 
 
 def coded(bits: np.ndarray) -> bytes:
-    return np.clip(np.round((bits - LEAST_BITS) * FINE), 0, 65535).astype("<u2").tobytes()
+    """Two bytes a value, the upper ones deflated."""
+    return pack_sorted(np.clip(np.round((bits - LEAST_BITS) * FINE), 0, 65535).astype(np.int64), 2, 1)
 
 
-def decoded_bits(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u2") / FINE + LEAST_BITS
+def decoded_bits(data: bytes, n: int) -> np.ndarray:
+    return unpack_sorted(data, n, 2, 1) / FINE + LEAST_BITS
 
 
 def squeezed(values: np.ndarray, kind: str) -> bytes:
@@ -391,8 +392,9 @@ VALUE_NAMES = [f.split()[0] for f in VALUES.split(", ")]
 
 
 def _values_row(shard: int, shift: int, keys: np.ndarray, cost: np.ndarray, hot: np.ndarray) -> tuple:
-    low = digests(keys & ((1 << shift) - 1), shift)
-    return int(shard), len(keys), pack_sorted(low, DIGEST_BYTES), coded(cost), keys[hot].astype("<i8").tobytes(), cost[hot].astype("<f4").tobytes()
+    cold = ~hot  # hot keys are never asked for
+    low = digests(keys[cold] & ((1 << shift) - 1), shift)
+    return int(shard), len(low), pack_sorted(low, DIGEST_BYTES), coded(cost[cold]), keys[hot].astype("<i8").tobytes(), cost[hot].astype("<f4").tobytes()
 
 
 def word_values(sums: DataFrame, low: Lower, limit: int, shards: int) -> DataFrame:
@@ -548,7 +550,7 @@ def answer(asked: DataFrame, tables: DataFrame) -> DataFrame:
 
     def run(known: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         low = np.concatenate([unpack_sorted(x, n, DIGEST_BYTES) for x, n in zip(known["keys"], known["n"], strict=True)] or [np.zeros(0, np.int64)])
-        cost = np.concatenate([decoded_bits(x) for x in known["cost"]] or [np.zeros(0)])
+        cost = np.concatenate([decoded_bits(x, n) for x, n in zip(known["cost"], known["n"], strict=True)] or [np.zeros(0)])
         order = np.argsort(low)
         low, cost = low[order], cost[order]
         saved = []
