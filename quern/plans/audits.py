@@ -3,10 +3,8 @@
 from pyspark.sql import functions as F
 
 from quern.functions import numbers
-from quern.functions import text as tx
 from quern.operators import audit, metrics
 from quern.plans.declare import Plans
-from quern.plans.texts import NORM
 from quern.tables import load
 
 PLANS = Plans()

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quern.functions import numbers
-from quern.operators import audit, planning
+from quern.operators import planning
 from quern.plans.declare import Plans
 from quern.tables import load
 
