@@ -31,6 +31,21 @@ def markdown_table(rows: DataFrame, limit: int = 1000) -> str:
     return "\n".join([*lines, *("| " + " | ".join(show(v) for v in r) + " |" for r in got)])
 
 
+def markdown_report(title: str, sections: dict[str, DataFrame | str]) -> str:
+    """A report of headed sections, each a table of summary rows or text."""
+    parts = [f"# {title}"]
+    for name, body in sections.items():
+        parts += [f"## {name}", body if isinstance(body, str) else markdown_table(body)]
+    return "\n\n".join(parts) + "\n"
+
+
+def experiment_record(folder: str, streets: list[str], records: int, weights: list[float], beam_width: int, decoder: dict, hotwords: dict[str, list[str]]) -> dict:
+    """What it takes to run an experiment again: its inputs, settings, hotwords with their counts, and the environment. Each record goes once through the acoustic model."""
+    counts = {f"{kind}_hotword_count": len(words) for kind, words in hotwords.items()}
+    listed = {f"{kind}_hotwords": words for kind, words in hotwords.items()}
+    return {"dataset": folder, "street_count": len(streets), "n_records": records, "acoustic_forwards": records, "weights": weights, "beam_width": beam_width, "decoder_params": decoder, **counts, **listed, "env": environment()}
+
+
 def fresh_directory(parent: str, stamp: str) -> str:
     """A new folder named by the stamp, with -2, -3 ... where it is taken."""
     for k in range(1, 10_000):

@@ -119,6 +119,13 @@ def test_run_bookkeeping(tmp_path):
     assert reports.memory_megabytes()["resident"] > 10
 
 
+def test_reports_and_records(spark):
+    text = reports.markdown_report("Run", {"Modes": spark.createDataFrame([("a", 1.5)], "mode string, x double"), "Notes": "none"})
+    assert text == "# Run\n\n## Modes\n\n| mode | x |\n| --- | --- |\n| a | 1.5 |\n\n## Notes\n\nnone\n"
+    record = reports.experiment_record("set", ["s", "t"], 7, [1.0, 5.0], 200, {"alpha": 0.4}, {"canonical": ["s", "t"], "canonical_plus_forms": ["s", "t", "u"]})
+    assert (record["street_count"], record["acoustic_forwards"], record["canonical_hotword_count"], record["canonical_plus_forms_hotword_count"]) == (2, 7, 2, 3) and record["env"]["pyspark"]
+
+
 def test_command_line(spark, tmp_path, capsys):
     assert command.main(["list"]) == 0 and "dict_detect" in capsys.readouterr().out.split()
     command.main(["sql", "filter_limit"])
