@@ -39,8 +39,16 @@ def block_rows(cells: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["block", "cells"])
 
 
-def gathered(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], size: int, dtype: str, bits: bool = False) -> np.ndarray:
-    """fill(array, batch) over all batches, summed over tasks up to the type's largest value, or with their bits united."""
+def _cells(data: bytes) -> np.ndarray:
+    """A block's cells; those of eight bytes have a sign."""
+    raw = zlib.decompress(data)
+    width = len(raw) // BLOCK_CELLS
+    return np.frombuffer(raw, f"<{'i' if width == 8 else 'u'}{width}")
+
+
+def gathered(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], size: int, dtype: str, sums: str | None = None, bits: bool = False) -> np.ndarray:
+    """fill(array, batch) over all batches in arrays of `dtype`, summed over tasks up to the largest value of `sums`, or with their bits united."""
+    sums = sums or dtype
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -55,13 +63,13 @@ def gathered(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None],
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK_CELLS, np.int64)
         for x in group["cells"]:
-            (np.bitwise_or if bits else np.add)(total, np.frombuffer(zlib.decompress(x), dtype), out=total, casting="unsafe")
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "cells": [zlib.compress(np.minimum(total, np.iinfo(dtype).max).astype(dtype).tobytes(), 1)]})
+            (np.bitwise_or if bits else np.add)(total, _cells(x), out=total, casting="unsafe")
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "cells": [zlib.compress(np.minimum(total, np.iinfo(sums).max).astype(sums).tobytes(), 1)]})
 
     schema = "block int, cells binary"
     rows = df.mapInArrow(run, schema).withColumn("part", F.spark_partition_id() % 64)
     once = rows.groupBy("block", "part").applyInPandas(lambda g: add(g), schema)
-    out = np.zeros(size, dtype)
+    out = np.zeros(size, sums)
     for row in once.groupBy("block").applyInPandas(add, schema).collect():
-        out[row.block * BLOCK_CELLS : (row.block + 1) * BLOCK_CELLS] = np.frombuffer(zlib.decompress(row.cells), dtype)
+        out[row.block * BLOCK_CELLS : (row.block + 1) * BLOCK_CELLS] = _cells(row.cells)
     return out

@@ -47,8 +47,8 @@ from quern.llm.components import components
 from quern.llm.spots import key_filter
 
 SIZE, PERCENT = 4, 85
-#: Counters of how many documents hold a shingle (16 MB, whatever the input).
-COUNTERS = 1 << 22
+#: Counters of how many documents hold a shingle (16 MB as they are broadcast, whatever the input).
+COUNTERS = 1 << 24
 RANGES = 512
 NEXT_BY_SIZE, NEXT_BY_HASH, EARLY = 3, 4, 32
 #: Rows of one shingle that a task holds before it gives them on, and documents whose sets are made at a time.
@@ -78,11 +78,16 @@ def parities(shingles: np.ndarray) -> np.ndarray:
 
 
 def count_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """How many documents hold the shingles of each counter, as steps of a sixteenth of its logarithm."""
+
     def fill(cells: np.ndarray, batch: pa.RecordBatch) -> None:
-        for _, found in sets_of(batch.column(0), size):
-            np.add.at(cells, (found & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
+        for part in range(0, batch.num_rows, SETS_A_BATCH):
+            found = [x for _, x in sets_of(batch.column(0).slice(part, SETS_A_BATCH), size)]
+            spots, times = np.unique((np.concatenate(found) & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
+            cells[spots] = np.minimum(cells[spots] + times, np.iinfo(cells.dtype).max)
 
-    return gathered(docs.select("text"), fill, COUNTERS, "uint32")
+    counts = gathered(docs.select("text"), fill, COUNTERS, "uint16", "uint32")
+    return np.minimum(16 * np.log2(1.0 + counts), 255).astype(np.uint8)
 
 
 def signed_documents(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
