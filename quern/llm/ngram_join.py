@@ -87,7 +87,10 @@ def count_shingles(docs: DataFrame, size: int) -> np.ndarray:
             cells[spots] = np.minimum(cells[spots] + times, np.iinfo(cells.dtype).max)
 
     counts = gathered(docs.select("text"), fill, COUNTERS, "uint16", "uint32")
-    return np.minimum(16 * np.log2(1.0 + counts), 255).astype(np.uint8)
+    steps = np.empty(COUNTERS, np.uint8)
+    for k in range(0, COUNTERS, 1 << 20):  # a part at a time, for the driver's memory
+        steps[k : k + (1 << 20)] = np.minimum(16 * np.log2(1.0 + counts[k : k + (1 << 20)]), 255)
+    return steps
 
 
 def signed_documents(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
