@@ -1,7 +1,8 @@
 """Finding dictionary forms in texts.
 
-All joins are on equal keys: a form is looked up by its first tokens, at most
-KEY_TOKENS, among the token runs of the texts, and candidates are verified.
+The dictionary is an inverted index: each form stands under its rarest token, by
+counts over the corpus, and a text asks only for its tokens that are such an
+anchor. All joins are on equal keys, and candidates are verified.
 """
 
 from __future__ import annotations
@@ -11,53 +12,51 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.operators.audit import violations
+from quern.scratch import staged
 
-KEY_TOKENS = 4
-#: A dictionary is broadcast up to this many forms; beyond, it is joined by shuffle.
-BROADCAST_FORMS = 100_000
+#: An index is broadcast up to this size of its forms; beyond, it is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
-def _keyed(forms: DataFrame, key_tokens: int) -> tuple[DataFrame, list[int], int]:
-    """forms with their tokens and the hash of their first tokens; the numbers of tokens hashed, and of forms."""
-    forms = forms.where("form <> ''").withColumn("form_words", F.split("form", " ")).withColumn("key_size", F.least(F.size("form_words"), F.lit(key_tokens)))
-    size = forms.agg(F.collect_set("key_size").alias("sizes"), F.count(F.lit(1)).alias("c")).first()
-    return forms.withColumn("key", _run(F.col("form_words"), F.lit(1), F.col("key_size"))), sorted(size.sizes), size.c
+def _bytes(forms: DataFrame, *words: str) -> int:
+    """Size of the forms' tokens, with what an array takes for each."""
+    size = sum((F.aggregate(w, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16) for w in words), F.lit(64))
+    return forms.agg(F.sum(size)).first()[0] or 0
 
 
-def _run(words: Column, start: Column, n: Column | int) -> Column:
-    return F.xxhash64(F.array_join(F.slice(words, start, n), " "))
+def words_of(texts: DataFrame) -> DataFrame:
+    """(id, words) of texts(id, norm), or of texts(id, words) as they are."""
+    return texts.select("id", "words") if "words" in texts.columns else texts.select("id", F.split("norm", " ").alias("words"))
 
 
-def _runs(words: str, sizes: list[int]) -> Column:
-    """(pos, key) of each token run of each size, as an array; positions from 0."""
+def form_index(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """(form_id, form_words, anchor, offset) of forms(form_id, form) that can stand in a text of words(id, words): the anchor is the token that fewest words of the corpus are, the first of them. A form with a token that no text has is left out, and so is the empty one."""
+    listed = forms.where("form <> ''").select("form_id", F.split("form", " ").alias("form_words")).distinct()
+    tokens = staged(listed.select(F.explode("form_words").alias("word")).distinct(), "tokens")
+    counts = words.select(F.explode("words").alias("word")).join(tokens, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    each = listed.select("form_id", "form_words", F.posexplode("form_words").alias("offset", "word")).join(counts, "word", "left")
+    rarest = each.groupBy("form_id", "form_words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", F.col("word").alias("anchor"))).alias("a"))
+    return staged(rarest.where("a.n > 0").select("form_id", "form_words", "a.anchor", "a.offset"), "form-index")
 
-    def of(n: int) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.struct((i - 1).alias("pos"), _run(F.col(words), i, n).alias("key")))
-        return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<struct<pos:int,key:bigint>>"))
 
-    return F.concat(*map(of, sizes))
+def positions(texts: DataFrame, forms: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, **extra) -> DataFrame:
+    """(id, form_id, pos, size) of forms(form_id, form) standing in texts(id, norm or words) from token `pos` on; both normalised, empty forms nowhere.
 
-
-def positions(texts: DataFrame, forms: DataFrame, key_tokens: int = KEY_TOKENS, **extra) -> DataFrame:
-    """(id, form_id, pos, size) of forms(form_id, form) standing in texts(id, norm) from token `pos` on; both normalised, empty forms nowhere.
-
-    A form is looked up by as many of its first tokens as it has, up to
-    key_tokens. Up to BROADCAST_FORMS forms the token runs never leave their
-    task, and each hit is verified on the tokens beside it; beyond that runs
-    and forms meet by key, and texts by id. `extra` are further columns made
-    from (text's tokens, form's tokens) for each hit.
+    With an index of up to broadcast_bytes a text's words never leave their task,
+    and each hit is verified on the tokens beside it; beyond that words and
+    anchors meet by word, and texts by id. `extra` are further columns made from
+    (text's tokens, form's tokens) for each hit.
     """
-    wanted, sizes, count = _keyed(forms, key_tokens)
-    wanted = wanted.select("form_id", "form_words", "key")
-    words = texts.select("id", F.split("norm", " ").alias("words"))
-    if count <= BROADCAST_FORMS:
-        runs = words.select("id", "words", F.explode(_runs("words", sizes) if sizes else F.array().cast("array<struct<pos:int,key:bigint>>")).alias("r")).select("id", "words", "r.pos", "r.key")
-        found = runs.join(F.broadcast(wanted), "key")
+    words = words_of(texts)
+    index = form_index(words, forms)
+    if _bytes(index, "form_words") <= broadcast_bytes:
+        found = words.select("id", "words", F.posexplode("words").alias("at", "word")).join(F.broadcast(index), F.col("word") == F.col("anchor"))
     else:
-        runs = words.select("id", F.explode(_runs("words", sizes)).alias("r")).select("id", "r.pos", "r.key")
-        found = runs.join(wanted, "key").join(words, "id")
-    found = found.where(F.slice("words", F.col("pos") + 1, F.size("form_words")) == F.col("form_words"))
-    return found.select("id", "form_id", "pos", F.size("form_words").alias("size"), *[make(F.col("words"), F.col("form_words")).alias(name) for name, make in extra.items()])
+        met = words.select("id", F.posexplode("words").alias("at", "word")).join(index, F.col("word") == F.col("anchor")).where(F.col("at") >= F.col("offset"))
+        found = met.join(words, "id")
+    pos, size = F.col("at") - F.col("offset"), F.size("form_words")
+    found = found.where((pos >= 0) & (pos + size <= F.size("words"))).where(F.slice("words", pos + 1, size) == F.col("form_words"))
+    return found.select("id", "form_id", pos.alias("pos"), size.alias("size"), *[make(F.col("words"), F.col("form_words")).alias(name) for name, make in extra.items()])
 
 
 def tolerant_positions(texts: DataFrame, forms: DataFrame, **extra) -> DataFrame:
@@ -66,14 +65,14 @@ def tolerant_positions(texts: DataFrame, forms: DataFrame, **extra) -> DataFrame
     A name is looked up by its longest token, which few words of a text resemble.
     """
     wanted = forms.where("form <> ''").select("form_id", F.split("form", " ").alias("form_words")).withColumn("anchor", tx.longest_token(F.col("form_words")))
-    sizes = wanted.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("anchor") < 3).alias("short")).first()
-    few = sizes.n <= BROADCAST_FORMS
+    short = not wanted.where(F.length("anchor") < 3).isEmpty()
+    few = _bytes(wanted, "form_words") <= BROADCAST_BYTES
     wanted = wanted.select("form_id", "form_words", "anchor", (F.array_position("form_words", F.col("anchor")) - 1).cast("int").alias("offset"), F.explode(tx.stem_keys(F.col("anchor"), True)).alias("key"))
-    words = texts.select("id", F.split("norm", " ").alias("words"))
+    words = words_of(texts)
     starts = words.select("id", *(["words"] if few else []), F.posexplode("words").alias("at", "word"))
     word = F.col("word")
     # without names of short words each word of a text has one key
-    keys = F.explode(tx.stem_keys(word, False)) if sizes.short else F.when(F.length(word) >= 3, F.concat(F.lit("3"), F.left(word, F.lit(3)))).otherwise(F.concat(F.lit("a"), F.length(word).cast("string"), word))
+    keys = F.explode(tx.stem_keys(word, False)) if short else F.when(F.length(word) >= 3, F.concat(F.lit("3"), F.left(word, F.lit(3)))).otherwise(F.concat(F.lit("a"), F.length(word).cast("string"), word))
     starts = starts.withColumn("key", keys)
     found = starts.join(F.broadcast(wanted), "key") if few else starts.join(wanted, "key").join(words, "id")
     found = found.withColumn("pos", F.col("at") - F.col("offset")).where(tx.tokens_match(word, F.col("anchor")) & (F.col("pos") >= 0) & (F.col("pos") + F.size("form_words") <= F.size("words")))
@@ -82,9 +81,9 @@ def tolerant_positions(texts: DataFrame, forms: DataFrame, **extra) -> DataFrame
     return found.select("id", "form_id", "pos", F.size("form_words").alias("size"), *[make(F.col("words"), F.col("form_words")).alias(name) for name, make in extra.items()])
 
 
-def detect(texts: DataFrame, forms: DataFrame, key_tokens: int = KEY_TOKENS) -> DataFrame:
-    """(id, form_id): forms(form_id, form) standing contiguously in texts(id, norm)."""
-    return positions(texts, forms, key_tokens).select("id", "form_id").distinct()
+def detect(texts: DataFrame, forms: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, form_id): forms(form_id, form) standing contiguously in texts(id, norm or words)."""
+    return positions(texts, forms, broadcast_bytes).select("id", "form_id").distinct()
 
 
 def longest_match(texts: DataFrame, forms: DataFrame) -> DataFrame:
@@ -98,7 +97,7 @@ def longest_match(texts: DataFrame, forms: DataFrame) -> DataFrame:
 
 def partial_candidates(texts: DataFrame, forms: DataFrame, least: int = 4) -> DataFrame:
     """(id, form_id) where the form's longest token stands in the text but the form does not."""
-    words = texts.select("id", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
+    words = words_of(texts).select("id", F.explode(F.array_distinct("words")).alias("word"))
     keyed = forms.select("form_id", tx.longest_token(F.split("form", " ")).alias("word")).where(F.length("word") >= least)
     return words.join(keyed, "word").select("id", "form_id").join(detect(texts, forms), ["id", "form_id"], "left_anti").distinct()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quern.functions import numbers
-
+from quern.scratch import staged
 
 #: Templates with their prefixes and tails that are broadcast at most.
 BROADCAST_BANK = 100_000
@@ -31,17 +31,51 @@ def candidates(entities: DataFrame, bank: DataFrame, prefixes: list[str], tails:
     return entities.crossJoin(wide).withColumn("text", text).where(F.size(F.split("text", r"[ ]+")) <= most_words)
 
 
-def select_quota(rows: DataFrame, group: list[str], quota: Column, order: list[Column | str], capped: Column, cap: Column, unique: str = "text") -> DataFrame:
-    """Rows of each group in hashed order up to its quota, at most `cap` of the capped ones, with no text twice anywhere.
+def choices(rows: DataFrame, quota: Column, order: list[Column | str], capped: Column, cap: Column, group: list[str], unique: str) -> DataFrame:
+    """What each group takes of its rows, with `rank`: in order up to its quota, at most `cap` of the capped ones, and no text twice.
+
+    A text that a group has both as a capped and as another row is taken by
+    whichever comes first; the other one serves where the cap is reached. A
+    group's candidates are ordered in one task, the groups in parallel.
+    """
+    own = W.partitionBy(*group)
+    ordered = own.orderBy(*order)
+    first = rows.withColumn("_copy", F.row_number().over(W.partitionBy(*group, unique, capped).orderBy(*order))).where("_copy = 1")
+    alone = first.withColumn("_before", F.max(~capped).over(W.partitionBy(*group, unique).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))).where(~(capped & F.coalesce("_before", F.lit(False))))
+    counted = alone.withColumn("_kind", F.row_number().over(W.partitionBy(*group, capped).orderBy(*order))).where(~capped | (F.col("_kind") <= cap))
+    taken = counted.withColumn("_taken", F.max(capped).over(W.partitionBy(*group, unique))).where(capped | ~F.col("_taken"))
+    ranked = taken.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= quota)
+    return ranked.drop("_copy", "_before", "_kind", "_taken")
+
 
-    A text belongs to the group where it comes first. Where a text is a
-    candidate of several groups, a group with texts to spare could have left it
-    to another; cross_group_texts() counts those.
+def select_quota(rows: DataFrame, group: list[str], quota: Column, order: list[Column | str], capped: Column, cap: Column, unique: str = "text") -> DataFrame:
+    """Rows as a planner takes them that serves one group after another, in the order of `group`: each takes what choices() says of the texts that no earlier group has taken.
+
+    Groups propose in rounds instead. All at once they ask for their choice; a
+    text asked for goes to its earliest group, and later ones lose it and may ask
+    for their next in the following round. As all texts prefer the earlier group,
+    and a group never gives up what it still may have, this ends, when no group
+    loses a row, at the one plan that the serial planner makes. Only groups with
+    texts that another group has, too, take part in rounds; their rows are staged
+    from round to round.
     """
-    first = rows.groupBy(unique).agg(F.min_by(F.struct(*rows.columns), F.struct(*[F.col(o) if isinstance(o, str) else o for o in [*group, *order]])).alias("row")).select("row.*")
-    kind = W.partitionBy(*group, capped).orderBy(*order)
-    within = first.withColumn("_kind", F.row_number().over(kind)).where(~capped | (F.col("_kind") <= cap)).drop("_kind")
-    return within.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= quota)
+    key = F.struct(*group)
+    owners = rows.groupBy(unique).agg(F.min(key).alias("_a"), F.max(key).alias("_b")).where("_a < _b").select(unique)
+    groups = staged(rows.join(owners, unique, "left_semi").select(*group).distinct(), "contested-groups")
+    choose = lambda live: choices(live, quota, order, capped, cap, group, unique)
+    same = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in group]
+    free = choose(rows.alias("l").join(groups.alias("r"), same, "left_anti"))
+    if groups.isEmpty():
+        return free
+    live = staged(rows.alias("l").join(groups.alias("r"), same, "left_semi"), "candidates")
+    left = live.count()
+    while True:
+        asked = choose(live).groupBy(F.col(unique).alias("_text")).agg(F.min(key).alias("_holder"))
+        kept = live.join(asked, F.col(unique) == F.col("_text"), "left").where(F.col("_holder").isNull() | (key <= F.col("_holder")))
+        live = staged(kept.drop("_text", "_holder"), "candidates")
+        before, left = left, live.count()
+        if left == before:
+            return free.unionByName(choose(live))
 
 
 def unmet(selected: DataFrame, groups: DataFrame, group: list[str], quota: Column) -> DataFrame:

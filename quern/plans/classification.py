@@ -11,7 +11,8 @@ from quern.functions import text as tx
 from quern.operators import classify, matching
 from quern.plans.declare import Plans
 from quern.plans.matching import MATCH, forms
-from quern.plans.texts import docs, normal
+from quern.plans.matching import texts as matching_texts
+from quern.plans.texts import docs
 from quern.tables import load
 
 PLANS = Plans()
@@ -46,8 +47,7 @@ def facts(spark, sf):
 def hits(spark, sf, find=matching.positions):
     """(doc_id, hits): of each item found in a document whether it stands in the baseline and in the tail, and whether the baseline or the greedy text (each second token) knows a word of it."""
     known = lambda words, form: F.arrays_overlap(form, F.concat(F.slice(words, F.lit(1), F.floor(F.size(words) * 0.6).cast("int")), F.filter(words, lambda w, i: i % 2 == 0)))
-    texts = normal(spark, sf).withColumnRenamed("doc_id", "id")
-    found = find(texts, forms(spark, sf), n=lambda words, form: F.size(words), known=known)
+    found = find(matching_texts(spark, sf), forms(spark, sf), n=lambda words, form: F.size(words), known=known)
     one = found.groupBy("id", "form_id").agg(F.max(F.col("pos") + F.col("size") <= F.floor(F.col("n") * 0.6)).alias("base"), F.max(F.col("pos") >= F.floor(F.col("n") / 2)).alias("tail"), F.max("known").alias("known"))
     return one.groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("form_id", "base", "tail", "known"))).alias("hits"))
 
@@ -63,7 +63,7 @@ def verdicts(spark, sf, tolerant: bool = False):
     exact = hits(spark, sf)
     d = facts(spark, sf).join(exact, "doc_id", "left").withColumn("hits", F.coalesce("hits", none))
     d = d.withColumn("item_id", F.coalesce(F.try_element_at("hits", F.lit(1)).form_id, F.col("doc_id") % total))
-    d = d.join(F.broadcast(forms(spark, sf).select(F.col("form_id").alias("item_id"))), "item_id")
+    d = d.join(forms(spark, sf).select(F.col("form_id").alias("item_id")), "item_id")
     if tolerant:
         d = d.drop("hits").join(hits(spark, sf, matching.tolerant_positions), "doc_id", "left").withColumn("hits", F.coalesce("hits", none))
     d = d.withColumn("evaluated", F.exists("hits", lambda h: h.form_id == F.col("item_id")))
@@ -86,8 +86,8 @@ def moves(spark, sf):
 def partials(spark, sf):
     """(doc_id, words): of each item whose longest token stands in a document whether it does in the baseline and in the tail."""
     keyed = forms(spark, sf).select("form_id", tx.longest_token(F.split("form", " ")).alias("word")).where(F.length("word") >= 4)
-    words = normal(spark, sf).select("doc_id", F.split("norm", " ").alias("t"))
-    at = words.select("doc_id", F.size("t").alias("n"), F.posexplode("t").alias("pos", "word")).join(F.broadcast(keyed) if keyed.count() <= matching.BROADCAST_FORMS else keyed, "word")
+    words = docs(spark, sf).select("doc_id", tx.tokens("text", tx.ANY_LETTER).alias("t"))
+    at = words.select("doc_id", F.size("t").alias("n"), F.posexplode("t").alias("pos", "word")).join(keyed, "word")
     one = at.groupBy("doc_id", "form_id").agg(F.max(F.col("pos") < F.floor(F.col("n") * 0.6)).alias("base"), F.max(F.col("pos") >= F.floor(F.col("n") / 2)).alias("tail"))
     return one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("form_id", "base", "tail"))).alias("words"))
 

@@ -53,6 +53,41 @@ def plan_select(spark, sf):
     return planning.select_quota(rows, ["n_nationkey", "split"], quota, ["turn", "h", "text"], special, cap).select("n_nationkey", "split", "rank", "text")
 
 
+#: Rows of a brand, and how many small parts among them.
+BRAND_QUOTA, SMALL_CAP = 7, 2
+SERIAL = f"""WITH RECURSIVE c AS (SELECT dense_rank() OVER (ORDER BY p_brand) AS g, p_brand, p_type || ' ' || p_size AS text, p_size <= 10 AS special, sha256('23|' || p_partkey) AS h FROM part),
+d AS (SELECT g, p_brand, text, special, min(h) AS h FROM c GROUP BY ALL),
+e AS MATERIALIZED (SELECT * FROM d WHERE NOT special OR NOT EXISTS (SELECT 1 FROM d o WHERE o.g = d.g AND o.text = d.text AND NOT o.special AND o.h < d.h)),
+s(g, used, picked) AS (
+ SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+ UNION ALL SELECT g + 1, used || new, new FROM (
+  SELECT g, any_value(used) AS used, coalesce(list(text ORDER BY rank) FILTER (rank <= {BRAND_QUOTA} AND text IS NOT NULL), CAST([] AS VARCHAR[])) AS new FROM (
+   SELECT *, row_number() OVER (ORDER BY h) AS rank FROM (
+    SELECT *, max(special) OVER (PARTITION BY text) AS has FROM (
+     SELECT s.g, s.used, e.text, coalesce(e.special, false) AS special, e.h, row_number() OVER (PARTITION BY e.special ORDER BY e.h) AS k FROM s LEFT JOIN e ON e.g = s.g + 1 AND NOT list_contains(s.used, e.text) WHERE s.g < (SELECT max(g) FROM e)
+    ) WHERE NOT special OR k <= {SMALL_CAP}
+   ) WHERE special OR NOT has
+  ) GROUP BY g))
+, taken AS (SELECT p_brand, unnest(range(1, len(picked) + 1)) AS rank, unnest(picked) AS text FROM s JOIN (SELECT DISTINCT g, p_brand FROM e) USING (g))"""
+
+
+def brand_rows(spark, sf):
+    parts = load(spark, sf, "part")
+    rows = parts.select("p_brand", F.concat_ws(" ", "p_type", "p_size").alias("text"), (F.col("p_size") <= 10).alias("special"), numbers.sha(F.lit(23), "p_partkey").alias("h"))
+    return planning.select_quota(rows, ["p_brand"], F.lit(BRAND_QUOTA), ["h"], F.col("special"), F.lit(SMALL_CAP))
+
+
+@PLANS.query("plan_serial", f"{SERIAL} SELECT p_brand, CAST(rank AS INTEGER) AS rank, text FROM taken")
+def plan_serial(spark, sf):
+    """Types and sizes of parts for each brand, none twice: brands want the same ones, and the later get what is left."""
+    return brand_rows(spark, sf).select("p_brand", "rank", "text")
+
+
+@PLANS.query("plan_unmet", f"{SERIAL} SELECT p_brand, CAST(count(rank) AS BIGINT) AS found, {BRAND_QUOTA} AS quota FROM (SELECT DISTINCT p_brand FROM part) LEFT JOIN taken USING (p_brand) GROUP BY p_brand HAVING count(rank) <> {BRAND_QUOTA}")
+def plan_unmet(spark, sf):
+    return planning.unmet(brand_rows(spark, sf), load(spark, sf, "part"), ["p_brand"], F.lit(BRAND_QUOTA))
+
+
 @PLANS.query("round_robin_assign", "WITH s AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS turn FROM supplier) SELECT s_suppkey, CAST(turn AS INTEGER) AS turn, list_extract(['v1', 'v2', 'v3', 'v4', 'v5'], CAST((s_nationkey + turn - 1) % 5 + 1 AS INTEGER)) AS voice FROM s")
 def round_robin_assign(spark, sf):
     return planning.round_robin(load(spark, sf, "supplier"), F.col("s_nationkey"), "s_nationkey", "s_suppkey", ["v1", "v2", "v3", "v4", "v5"]).select("s_suppkey", "turn", "voice")
@@ -95,10 +130,20 @@ def deterministic_ids(spark, sf):
     return d.select("doc_id", F.substring("h", 1, 24).alias("id"), numbers.hex_number(h, 1, 8).alias("seed"), F.round(numbers.hash_uniform(h), 9).alias("draw"))
 
 
-@PLANS.query("fingerprint", "SELECT count(*) AS n, sha256(string_agg(sha256(n_nationkey || '|' || n_name || '|' || n_regionkey), ',' ORDER BY n_nationkey)) AS fingerprint FROM nation")
+#: Digests that are joined to one on the next level.
+LEAF = 1024
+
+
+@PLANS.query(
+    "fingerprint",
+    f"""WITH r AS (SELECT o_orderkey AS k, sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus) AS d FROM orders),
+a AS (SELECT k // {LEAF} AS k, count(*) AS n, sha256(string_agg(d, ',' ORDER BY k)) AS d FROM r GROUP BY 1), b AS (SELECT k // {LEAF} AS k, sum(n) AS n, sha256(string_agg(d, ',' ORDER BY k)) AS d FROM a GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, ',' ORDER BY k)) AS fingerprint FROM b""",
+)
 def fingerprint(spark, sf):
-    rows = load(spark, sf, "nation").select(F.struct("n_nationkey", numbers.sha("n_nationkey", "n_name", "n_regionkey").alias("d")).alias("r"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r.d), ","), 256).alias("fingerprint"))
+    """A digest of all orders: a tree over ranges of their keys, so that no task joins more than the digests of a range."""
+    rows = load(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), numbers.sha("o_orderkey", "o_custkey", "o_orderstatus").alias("d"))
+    return numbers.tree_digest(rows, LEAF)
 
 
 @PLANS.query("canonical_digest", """SELECT doc_id, sha256('{"doc_id": ' || doc_id || ', "lang": ' || coalesce(CAST(to_json(lang) AS VARCHAR), 'null') || ', "source": ' || coalesce(CAST(to_json(source) AS VARCHAR), 'null') || '}') AS digest FROM documents""")

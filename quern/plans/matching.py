@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as tx
 from quern.operators import matching
 from quern.plans.declare import Plans
-from quern.plans.texts import NORM, normal
+from quern.plans.texts import NORM, docs
 from quern.tables import load
 
 PLANS = Plans()
@@ -22,7 +22,9 @@ def forms(spark, sf, tokens: int | None = None):
 
 
 def texts(spark, sf):
-    return normal(spark, sf).withColumnRenamed("doc_id", "id")
+    """Every document's tokens, and its normal form where it is asked for."""
+    tokens = tx.tokens("text", tx.ANY_LETTER)
+    return docs(spark, sf).select(F.col("doc_id").alias("id"), tokens.alias("words"), F.array_join(tokens, " ").alias("norm"))
 
 
 @PLANS.query("dict_detect", f"SELECT d.doc_id, f.item_id FROM {TEXTS} d JOIN {FORMS} f ON {IN}")

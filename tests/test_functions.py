@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import numbers
 from quern.functions import text as tx
-from quern.operators import audit, metrics
+from quern.operators import audit, metrics, positions
 from quern.sources import readers, writers
 from quern.streaming.speech import FRESH, Limits, advance, segments
 
@@ -28,10 +28,13 @@ def test_distribution_of_nothing(spark):
 
 def test_numbers_in_words(spark):
     for n, words in ((0, "ноль"), (15, "пятнадцать"), (999999, "девятьсот девяносто девять тысяч девятьсот девяносто девять"), (12000, "двенадцать тысяч"), (121, "сто двадцать один")):
-        assert numbers.spelled(n) == words
         assert value(spark, numbers.number_to_words(F.lit(n))) == words
-    with pytest.raises(ValueError):
-        numbers.spelled(1_000_000)
+        assert value(spark, numbers.digits_to_words(F.lit(f"к{n}. {n}"))) == f"к{words}. {words}"
+    assert value(spark, numbers.digits_to_words(F.lit("65 и 007"))) == "шестьдесят пять и семь"
+    assert value(spark, numbers.digits_to_words(F.lit(""))) == "" and value(spark, numbers.digits_to_words(F.lit(None).cast("string"))) is None
+    for far in ("1000000", "9" * 30):
+        with pytest.raises(Exception, match="out of range"):
+            value(spark, numbers.digits_to_words(F.lit(far)))
     with pytest.raises(Exception, match="out of range"):
         value(spark, numbers.number_to_words(F.lit(1_000_000)))
 
@@ -70,7 +73,7 @@ def test_bottleneck(spark):
 
 
 def test_positions(spark):
-    rows = audit.positional(spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")), ["x"], "n", 5).collect()
+    rows = positions.positional(spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")), ["x"], "n").collect()
     assert all(r.n == r.x + 1 for r in rows) and len(rows) == 1000
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quern import __main__ as command
 from quern.functions import numbers
 from quern.functions import text as tx
-from quern.operators import audit, planning, reports
+from quern.operators import audit, planning, positions, reports
 from quern.sources import readers, writers
 
 
@@ -109,7 +109,7 @@ def test_keys_and_positions(spark):
     rows = spark.createDataFrame([("a",), ("a",), ("",), (None,), ("b",)], "id string")
     assert sorted((str(r.id), r.problem, r.n) for r in audit.key_problems(rows, "id").collect()) == [("", "missing id", 1), ("None", "missing id", 1), ("a", "duplicate id", 2)]
     with pytest.raises(ValueError, match="3 rows against 2"):
-        audit.zip_by_position(spark.range(3), ["id"], spark.range(2).withColumnRenamed("id", "x"), ["x"])
+        positions.zip_by_position(spark.range(3), ["id"], spark.range(2).withColumnRenamed("id", "x"), ["x"])
 
 
 def test_run_bookkeeping(tmp_path):
