@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quern.scratch import staged
+
 
 class Limits(NamedTuple):
     threshold: float = 0.01
@@ -63,6 +65,42 @@ def _run(stream: str, state: tuple, rows: pd.DataFrame, limits: Limits) -> tuple
     return state, pd.DataFrame(out, columns=[x.split()[0] for x in SEGMENT.split(", ")])
 
 
+#: Blocks of a stream that a task takes at a time.
+PART_BLOCKS = 100_000
+#: Finished segments, and in rows of their own the state in which a part was left: as STATE, with the open segment's first block under another name.
+CARRIED = f"{SEGMENT}, next_block bigint, open_from bigint, quiet bigint, free_from bigint, carried boolean"
+CARRIED_KINDS = {name: {"bigint": "Int64", "string": "object", "boolean": "bool"}[kind] for name, kind in (x.split() for x in CARRIED.split(", "))}
+
+
+def segments_in_parts(blocks: DataFrame, limits: Limits = Limits(), part_blocks: int = PART_BLOCKS) -> DataFrame:
+    """blocks(stream, block, level) of a table to finished segments; a task takes part_blocks of a stream at most.
+
+    Parts of all streams are taken in their order, each part of all streams at
+    once: a part begins with the state in which its stream left the part before,
+    which is a row of four numbers. Streams of one part take a single round.
+    """
+    ends = blocks.agg(F.max("block").alias("last")).first().last
+    rounds = 1 if ends is None else max(0, ends) // part_blocks + 1
+    part = F.floor(F.greatest("block", F.lit(0)) / part_blocks)
+    parted = staged(blocks.select("stream", "block", "level", part.alias("part")), "blocks") if rounds > 1 else blocks.select("stream", "block", "level", F.lit(0).alias("part"))
+    carried = blocks.sparkSession.createDataFrame([], CARRIED)
+    out = None
+
+    def step(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        stream = (rows if len(rows) else before)["stream"].iloc[0]
+        state = FRESH if before.empty else tuple(int(before[c].iloc[0]) for c in ("next_block", "open_from", "quiet", "free_from"))
+        state, found = _run(stream, state, rows, limits)
+        ended = [(*r, None, None, None, None, False) for r in found.itertuples(index=False)]
+        return pd.DataFrame([*ended, (stream, None, None, None, *state, True)], columns=list(CARRIED_KINDS)).astype(CARRIED_KINDS)
+
+    for k in range(rounds):
+        done = parted.where(F.col("part") == k).groupBy("stream").cogroup(carried.groupBy("stream")).applyInPandas(step, CARRIED)
+        done = staged(done, "segments") if rounds > 1 else done
+        carried, found = done.where("carried"), done.where("NOT carried").select(*[x.split()[0] for x in SEGMENT.split(", ")])
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
 def segments(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """blocks(stream, block, level) to finished segments; as they end where blocks is a stream."""
 
@@ -72,7 +110,7 @@ def segments(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
         yield out
 
     if not blocks.isStreaming:
-        return blocks.groupBy("stream").applyInPandas(lambda key, rows: _run(key[0], FRESH, rows, limits)[1], SEGMENT)
+        return segments_in_parts(blocks, limits)
     return blocks.groupBy("stream").applyInPandasWithState(each, SEGMENT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
