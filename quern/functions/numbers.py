@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from quern.functions.text import NUMERALS, RUSSIAN, normalize
 
@@ -49,28 +45,16 @@ def number_to_words(n: Column) -> Column:
     return F.when(n.isNull(), F.lit(None)).when(n.between(0, LARGEST), text).otherwise(wrong)
 
 
-def spelled(n: int) -> str:
-    """number_to_words in Python, for texts with any number of numerals."""
-    if not 0 <= n <= LARGEST:
-        raise ValueError(f"number out of range: {n}")
-
-    def group(k: int, units: list[str]) -> list[str]:
-        out = [HUNDREDS[k // 100 - 1]] if k >= 100 else []
-        k %= 100
-        if 10 <= k <= 19:
-            return [*out, TEENS[k - 10]]
-        out += [TENS[k // 10 - 2]] if k >= 20 else []
-        return [*out, units[k % 10 - 1]] if k % 10 else out
-
-    high, low = divmod(n, 1000)
-    noun = "тысяч" if high % 100 in (11, 12, 13, 14) else {1: "тысяча", 2: "тысячи", 3: "тысячи", 4: "тысячи"}.get(high % 10, "тысяч")
-    return " ".join([*(group(high, UNITS_FEMININE) + [noun] if high else []), *group(low, UNITS)]) or "ноль"
+def digits_to_words(text: Column) -> Column:
+    """Each run of digits as words, reviewed spellings first; an error where one is out of range."""
+    reviewed = F.create_map(*[F.lit(x) for pair in NUMERALS.items() for x in pair])
 
+    def said(part: Column) -> Column:
+        n = part.try_cast("bigint")
+        words = F.when(n.isNull(), F.raise_error(F.concat(F.lit("number out of range: "), part)).cast("string")).otherwise(number_to_words(n))
+        return F.when(F.rlike(part, F.lit(r"^\d")), F.coalesce(F.try_element_at(reviewed, part), words)).otherwise(part)
 
-@F.pandas_udf(StringType())
-def digits_to_words(texts: pd.Series) -> pd.Series:
-    """Each run of digits as words, reviewed spellings first. A text may hold any number of them, which no single expression covers."""
-    return texts.map(lambda t: t if t is None else re.sub(r"\d+", lambda m: NUMERALS.get(m[0]) or spelled(int(m[0])), t))
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"\d+|\D+"), F.lit(0)), said), "")
 
 
 def normalize_reference(text: Column, alphabet: str = RUSSIAN) -> Column:
@@ -87,6 +71,15 @@ def sha(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def tree_digest(rows: DataFrame, leaf: int, levels: int = 2) -> DataFrame:
+    """(n, fingerprint) of rows(k, d) with unique whole keys from 0 and digests d: `levels` times the digests of `leaf` keys in a row become one, and what is left at last."""
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda r: r.d), ","), 256)
+    level = rows.select("k", F.lit(1).cast("long").alias("n"), "d")
+    for _ in range(levels):
+        level = level.groupBy(F.floor(F.col("k") / leaf).alias("_k")).agg(F.sum("n").alias("n"), joined.alias("d")).withColumnRenamed("_k", "k")
+    return level.agg(F.sum("n").alias("n"), joined.alias("fingerprint"))
+
+
 def hex_number(digest: Column, start: int, length: int) -> Column:
     """A part of a hex digest as a number; length at most 15."""
     return F.conv(F.substring(digest, start, length), 16, 10).cast("bigint")

@@ -94,33 +94,30 @@ def expand_reviewed(name: Column) -> Column:
     return out
 
 
-def declension(name: Column) -> Column:
-    """Case forms of a name with a type word as a struct; null where the structure isn't known.
+CASES = ("nom", "pre", "acc", "gen", "bare", "at", "to")
+#: The endings of each kind of name, case after case as in CASES; $1 is what doesn't change, and a case without an entry isn't said.
+PARADIGMS = {
+    "^([^ ]+)ая улица$": ("$1ая улица", "$1ой улице", "$1ую улицу", "$1ой улицы", "$1ая", "$1ой", "$1ую"),
+    "^([^ ]+)яя улица$": ("$1яя улица", "$1ей улице", "$1юю улицу", "$1ей улицы", "$1яя", "$1ей", "$1юю"),
+    "^улица (.+)$": ("улица $1", "улице $1", "улицу $1", "улицы $1", "$1", None, None),
+    "^переулок (.+)$": ("переулок $1", "переулке $1", "переулок $1", "переулка $1", None, None, None),
+}
 
-    An adjective before the type word declines, a name after it does not.
-    """
+
+def declension(name: Column) -> Column:
+    """Case forms of a name with a type word as a struct, by the first of PARADIGMS that it follows; null where it follows none."""
     s = expand_reviewed(F.lower(name))
-    adjective = F.regexp_extract(s, "^([^ ]+[ая]я) улица$", 1)
-    soft = F.endswith(adjective, F.lit("яя"))
-    stem = F.left(adjective, F.length(adjective) - 2)
-    oblique, accusative = F.concat(stem, F.when(soft, "ей").otherwise("ой")), F.concat(stem, F.when(soft, "юю").otherwise("ую"))
-    after = F.regexp_extract(s, "^(?:улица|переулок) (.+)$", 1)
     none = F.lit(None).cast("string")
 
-    def forms(nom, pre, acc, gen, bare, at, to):
-        return F.struct(nom.alias("nom"), pre.alias("pre"), acc.alias("acc"), gen.alias("gen"), bare.alias("bare"), at.alias("at"), to.alias("to"))
+    def forms(pattern: str, endings: tuple[str | None, ...]) -> Column:
+        filled = [none if e is None else F.regexp_replace(s, pattern, e) for e in endings]
+        return F.when(F.rlike(s, F.lit(pattern)), F.struct(*[x.alias(case) for x, case in zip(filled, CASES, strict=True)]))
 
-    word = lambda w, rest: F.concat(F.lit(w + " "), rest)
-    plain = lambda x, w: F.concat(x, F.lit(" " + w))
-    return (
-        F.when(adjective != "", forms(s, plain(oblique, "улице"), plain(accusative, "улицу"), plain(oblique, "улицы"), adjective, oblique, accusative))
-        .when(F.startswith(s, F.lit("улица ")), forms(s, word("улице", after), word("улицу", after), word("улицы", after), after, none, none))
-        .when(F.startswith(s, F.lit("переулок ")), forms(s, word("переулке", after), s, word("переулка", after), none, none, none))
-    )
+    return F.coalesce(*[forms(*paradigm) for paradigm in PARADIGMS.items()])
 
 
 def render(template: Column, forms: Column) -> Column:
     """The template with its one placeholder filled in; null where there isn't just one, or the form is missing."""
     key = F.regexp_extract(template, r"\{(\w+)\}", 1)
-    value = F.coalesce(*[F.when(key == k, forms[k]) for k in ("nom", "pre", "acc", "gen", "bare", "at", "to")])
+    value = F.coalesce(*[F.when(key == k, forms[k]) for k in CASES])
     return F.when(F.regexp_count(template, F.lit(r"\{\w+\}")) == 1, F.replace(template, F.concat(F.lit("{"), key, F.lit("}")), value))

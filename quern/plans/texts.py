@@ -157,27 +157,53 @@ def file_row_metrics(spark, sf):
     return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(total, 6).alias("total"), rtf.alias("rtf"), (F.col("l_returnflag") == "R").alias("verdict"))
 
 
-STREETS = ["Садовая улица", "Нижняя улица", "улица 65 лет Победы", "переулок Речной", "Площадь", "Верхняя Садовая улица"]
+def words_sql(n: str) -> str:
+    """Cardinal words of a number below a million, in SQL."""
 
+    def group(k: str, units: list[str]) -> str:
+        pick = lambda words, at: f"list_extract({words}, CAST({at} AS INTEGER))"
+        teen = f"{k} % 100 BETWEEN 10 AND 19"
+        return f"{pick(numbers.HUNDREDS, f'{k} // 100')}, CASE WHEN {teen} THEN {pick(numbers.TEENS, f'{k} % 100 - 9')} ELSE {pick(numbers.TENS, f'greatest({k} % 100 // 10 - 1, 0)')} END, CASE WHEN NOT {teen} THEN {pick(units, f'{k} % 10')} END"
 
-@PLANS.query("declension_rules", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}, {c}, {d})" for a, b, c, d in [
-    ("Садовая улица", "'садовой улице'", "'садовую улицу'", "'садовой улицы'"), ("Нижняя улица", "'нижней улице'", "'нижнюю улицу'", "'нижней улицы'"),
-    ("улица 65 лет Победы", "'улице шестьдесят пять лет победы'", "'улицу шестьдесят пять лет победы'", "'улицы шестьдесят пять лет победы'"), ("переулок Речной", "'переулке речной'", "'переулок речной'", "'переулка речной'"),
-    ("Площадь", "NULL", "NULL", "NULL"), ("Верхняя Садовая улица", "NULL", "NULL", "NULL")]) + ") t(street, pre, acc, gen)")
+    high, low = f"({n} // 1000)", f"({n} % 1000)"
+    noun = f"CASE WHEN {high} = 0 THEN NULL WHEN {high} % 100 BETWEEN 11 AND 14 THEN 'тысяч' WHEN {high} % 10 = 1 THEN 'тысяча' WHEN {high} % 10 BETWEEN 2 AND 4 THEN 'тысячи' ELSE 'тысяч' END"
+    return f"CASE WHEN {n} = 0 THEN 'ноль' ELSE concat_ws(' ', {group(high, numbers.UNITS_FEMININE)}, {noun}, {group(low, numbers.UNITS)}) END"
+
+
+#: Names of streets from suppliers: what kind of name one is comes from its region.
+STREETS = """SELECT s_suppkey, CASE n_regionkey WHEN 0 THEN n_name || 'ая улица' WHEN 1 THEN n_name || 'яя улица' WHEN 2 THEN 'Улица ' || n_name || ' 65' WHEN 3 THEN 'Переулок ' || n_name ELSE n_name END AS street, n_regionkey AS kind, lower(n_name) AS n
+FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
+
+
+@PLANS.query(
+    "declension_rules",
+    f"""SELECT s_suppkey, street, CASE kind WHEN 0 THEN n || 'ой улице' WHEN 1 THEN n || 'ей улице' WHEN 2 THEN 'улице ' || n || ' шестьдесят пять' WHEN 3 THEN 'переулке ' || n END AS pre,
+CASE kind WHEN 0 THEN n || 'ую улицу' WHEN 1 THEN n || 'юю улицу' WHEN 2 THEN 'улицу ' || n || ' шестьдесят пять' WHEN 3 THEN 'переулок ' || n END AS acc,
+CASE kind WHEN 0 THEN n || 'ой улицы' WHEN 1 THEN n || 'ей улицы' WHEN 2 THEN 'улицы ' || n || ' шестьдесят пять' WHEN 3 THEN 'переулка ' || n END AS gen
+FROM (SELECT s_suppkey, street, CASE WHEN kind < 2 AND contains(n, ' ') THEN 4 ELSE kind END AS kind, n FROM ({STREETS}))""",
+)
 def declension_rules(spark, sf):
-    names = spark.createDataFrame([(s,) for s in STREETS], "street string").withColumn("f", tx.declension(F.col("street")))
-    return names.select("street", "f.pre", "f.acc", "f.gen")
+    """An adjective of more than one word follows no paradigm."""
+    both = load(spark, sf, "supplier").join(load(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    kind, name = F.col("n_regionkey"), F.col("n_name")
+    street = F.when(kind == 0, F.concat(name, F.lit("ая улица"))).when(kind == 1, F.concat(name, F.lit("яя улица"))).when(kind == 2, F.concat(F.lit("Улица "), name, F.lit(" 65"))).when(kind == 3, F.concat(F.lit("Переулок "), name)).otherwise(name)
+    named = both.select("s_suppkey", street.alias("street")).withColumn("f", tx.declension(F.col("street")))
+    return named.select("s_suppkey", "street", "f.pre", "f.acc", "f.gen")
 
 
-@PLANS.query("number_to_words", "SELECT * FROM (VALUES (0, 'ноль'), (2, 'два'), (11, 'одиннадцать'), (40, 'сорок'), (105, 'сто пять'), (1001, 'одна тысяча один'), (2012, 'две тысячи двенадцать'), (21500, 'двадцать одна тысяча пятьсот'), (111000, 'сто одиннадцать тысяч')) t(n, words)")
+@PLANS.query("number_to_words", f"SELECT DISTINCT n, {words_sql('n')} AS words FROM (SELECT o_orderkey % 1000000 AS n FROM orders UNION ALL SELECT CAST(floor(o_totalprice) AS BIGINT) % 1000000 FROM orders)")
 def number_to_words(spark, sf):
-    return spark.createDataFrame([(n,) for n in (0, 2, 11, 40, 105, 1001, 2012, 21500, 111000)], "n int").select("n", numbers.number_to_words(F.col("n")).alias("words"))
+    """The last six digits of the keys and of the whole prices of orders as words."""
+    orders = load(spark, sf, "orders")
+    n = orders.select((F.col("o_orderkey") % 1_000_000).alias("n")).unionAll(orders.select(F.floor("o_totalprice") % 1_000_000)).distinct()
+    return n.select("n", numbers.number_to_words(F.col("n")).alias("words"))
 
 
-@PLANS.query("digits_to_words", "SELECT * FROM (VALUES (1, 'дом тридцать один'), (2, 'шестьдесят пять лет'), (3, NULL)) t(id, reference)")
+@PLANS.query("digits_to_words", f"SELECT s_suppkey, 'дом ' || {words_sql('s_suppkey')} || ' корпус ' || {words_sql('s_nationkey')} AS reference FROM supplier")
 def digits_to_words(spark, sf):
-    rows = spark.createDataFrame([(1, "Дом 31"), (2, "65 лет!"), (3, None)], "id int, raw string")
-    return rows.select("id", F.when(F.col("raw").isNotNull(), numbers.normalize_reference(F.col("raw"))).alias("reference"))
+    """References with the numbers of suppliers and nations in digits."""
+    raw = F.format_string("Дом %d, корпус %d!", "s_suppkey", F.col("s_nationkey").cast("long"))
+    return load(spark, sf, "supplier").select("s_suppkey", numbers.normalize_reference(raw).alias("reference"))
 
 
 @PLANS.query("template_accept", r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents), k AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '\p{L}+'), ' ') AS skeleton FROM benchmark) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, rtrim(line, '.!?') AS template FROM l WHERE len(regexp_extract_all(line, '\S+')) BETWEEN 3 AND 18 AND length(line) <= 180 AND regexp_matches(line, '^[\p{L} ,]+[.!?]?$') AND array_to_string(regexp_extract_all(lower(line), '\p{L}+'), ' ') NOT IN (SELECT skeleton FROM k)")

@@ -41,16 +41,28 @@ def test_telephone():
 def test_channel(spark):
     t = np.arange(48_000) / 24_000
     tone = 0.3 * np.sin(2 * np.pi * 1000 * t)
-    x, drawn = audio.channel(tone, 24_000, 1.0, audio.Profile(), 5)
-    body = x[x != 0]
-    assert drawn["codec"] == "none" and drawn["snr_db"] is None and not drawn["clipped"] and np.sqrt(np.mean(body**2)) == pytest.approx(0.09, rel=0.02)
-    assert len(x) == 16_000 + sum(drawn["edge_pause_ms"]) * 8 and all(20 <= p <= 100.2 for p in drawn["edge_pause_ms"])
-    loud, all_drawn = audio.channel(tone, 24_000, 1.1, audio.Profile(1, 20, 20, 1, 1, 1), 5)
-    assert all_drawn["codec"] in ("pcm_mulaw", "pcm_alaw") and all_drawn["snr_db"] == 20 and all_drawn["clipped"] and -4 <= all_drawn["gain_db"] <= 2 and np.abs(loud).max() <= 1
-    assert (audio.channel(tone, 24_000, 1.1, audio.Profile(1, 20, 20, 1, 1, 1), 5)[0] == loud).all()
-    rows = spark.createDataFrame([("a", tone.tolist(), 24_000, 1.0, "p", 5), ("b", [0.0] * 8000, 8000, 1.0, "p", 5), ("c", None, 8000, 1.0, "p", 5), ("d", [0.1], 8000, 1.0, "q", 5)], "id string, samples array<double>, rate int, speed double, profile string, seed long")
-    got = {r.id: r for r in audio.channel_rows(rows, {"p": audio.Profile()}).collect()}
-    assert np.allclose(got["a"].samples, x) and got["b"].error == got["c"].error == "silent" and got["d"].error == "'q'"
+    profiles = {"calm": audio.Profile(), "worst": audio.Profile(1, 20, 20, 1, 1, 1)}
+    schema = "id string, samples array<double>, rate int, speed double, profile string, seed long"
+    rows = [("a", tone.tolist(), 24_000, 1.0, "calm", 5), ("b", [0.0] * 8000, 8000, 1.0, "calm", 5), ("c", None, 8000, 1.0, "calm", 5), ("d", [0.1], 8000, 1.0, "other", 5), ("e", tone.tolist(), 24_000, 1.1, "worst", 5)]
+    got = {r.id: r for r in audio.channel_rows(spark.createDataFrame(rows, schema), profiles).collect()}
+    a, worst = got["a"], got["e"]
+    x = np.array(a.samples)
+    body = x[a.lead : len(x) - a["tail"]]
+    assert a.codec == "none" and a.snr_db is None and a.clipped is False and a.gain_db == 0 and np.sqrt(np.mean(body**2)) == pytest.approx(0.09, rel=0.02)
+    assert len(body) == 16_000 and not x[: a.lead].any() and all(160 <= p <= 800 for p in (a.lead, a["tail"]))
+    assert worst.codec in ("pcm_mulaw", "pcm_alaw") and worst.snr_db == 20 and worst.clipped and -4 <= worst.gain_db <= 2 and np.abs(worst.samples).max() <= 1
+    assert got["b"].error == got["c"].error == "silent" and got["d"].error == "unknown profile other"
+    again = {r.id: r for r in audio.channel_rows(spark.createDataFrame(rows[::-1], schema).repartition(3), profiles).collect()}
+    assert again == got
+
+
+def test_chances_of_settings(spark):
+    """Over many rows the chances come to what the profile says, and no two settings go together."""
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.lit(7).alias("seed"), F.lit("p").alias("profile"))
+    got = audio.with_settings(rows, {"p": audio.Profile(0.3, 10, 30, 0.2, 0.5, 0.4)}).toPandas()
+    shares = [got["snr_db"].notna().mean(), got["clipped"].mean(), (got["gain_db"] != 0).mean(), (got["codec"] != "none").mean()]
+    assert shares == pytest.approx([0.3, 0.2, 0.5, 0.4], abs=0.03) and got["snr_db"].dropna().between(10, 30).all()
+    assert (got["clipped"] & (got["codec"] != "none")).mean() == pytest.approx(0.08, abs=0.02)
 
 
 @pytest.mark.parametrize("speed", [0.9, 1.0, 1.1])
