@@ -2,10 +2,11 @@
 
 Documents are counted by source and exact length. Each source's target is met
 in whole rounds of all its documents, then by a bounded knapsack over lengths:
-the same share of every length first, the longest lengths greedily while much
-is left, and dynamic programming over the last EXACT_BUDGET tokens. The chosen
-number of each length is then taken in seeded hash order. What is gathered per
-source is a count per length, never rows.
+the same share of every length first, and dynamic programming over a window at
+the end of up to EXACT_BUDGET tokens (and what the longest length leaves). The
+rule is the same for any budget. The chosen number of each length is then taken
+in seeded hash order. What is gathered per source is a count per length, never
+rows.
 
 Null text has size 0; a null source is a source of its own and comes last; a
 null doc_id takes part like any other. Repeated rows are separate documents.
@@ -55,27 +56,38 @@ def source_targets(totals: DataFrame) -> DataFrame:
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT_BUDGET) -> np.ndarray:
     """How many to take of each size, at most counts, so that the sum comes near to budget from below.
 
-    A budget up to `exact` is met as well as it can be. Of a larger one the same
-    share of every size comes first, which keeps the mix of lengths, and the
-    last `exact` tokens are fitted as well as what is left allows.
+    The same share of every size comes first, which keeps the mix of lengths,
+    but for a window at the end that dynamic programming fills. Where it can't
+    be filled to the last token the window is widened, up to `exact` tokens; of
+    the windows the fullest counts. A budget of up to `exact` is so met as well
+    as it can be at all.
     """
     total = int((sizes * counts).sum())
     if budget <= 0 or not total:
         return np.zeros(len(sizes), np.int64)
     if budget >= total:
         return counts.astype(np.int64)
-    if budget <= exact:
-        return _knapsack(sizes, counts, budget)
-    take = (counts.astype(object) * budget // total).astype(np.int64)
-    left = budget - int((take * sizes).sum())
-    for k in np.argsort(-sizes, kind="stable"):
-        if left <= exact:
-            break
-        if sizes[k]:
-            more = min(int(counts[k] - take[k]), (left - exact // 2) // int(sizes[k]))
-            take[k] += max(more, 0)
-            left -= max(more, 0) * int(sizes[k])
-    return take + _knapsack(sizes, counts - take, min(left, total))
+    best, most, window = np.zeros(len(sizes), np.int64), -1, max(1, exact >> 8)
+    while True:
+        take = _share(sizes, counts, total, max(0, budget - window))
+        take = take + _knapsack(sizes, counts - take, budget - int((take * sizes).sum()))
+        if int((take * sizes).sum()) > most:
+            best, most = take, int((take * sizes).sum())
+        if most == budget or window >= min(exact, budget):
+            return best
+        window = min(exact, window * 4)
+
+
+def _share(sizes: np.ndarray, counts: np.ndarray, total: int, wanted: int) -> np.ndarray:
+    """The same share of each size, and one more of those that lost most by rounding, as far as they fit."""
+    shares = counts.astype(object) * wanted
+    take, lost = (shares // total).astype(np.int64), shares % total
+    left = wanted - int((take * sizes).sum())
+    for k in np.argsort(-lost.astype(float), kind="stable"):
+        if lost[k] and sizes[k] <= left:
+            take[k] += 1
+            left -= int(sizes[k])
+    return take
 
 
 def _knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
