@@ -11,7 +11,8 @@ Scoring covers every document and its whole text. What is broadcast are
 2**FEATURE_BITS weights a category (2 MB), whatever the input.
 
 Null and empty texts have no features and probability 0, never flagged;
-null labels train nothing; repeated rows get repeated results; a null doc_id is
+null labels train nothing; of several labels or texts of one id the smallest
+train; repeated rows get repeated results; a null doc_id is
 scored like any other. Without labelled rows, or with one class only, a
 category's probability is 0 or 1 throughout. An empty table gives no rows and
 extra columns are ignored.
@@ -126,8 +127,10 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 def train_chain(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Chain:
     """labels(doc_id, <category> ...) of 0 and 1 against docs(doc_id, text)."""
     names = [c for c in labels.columns if c != "doc_id"]
-    picked = labels.dropna().dropDuplicates(["doc_id"]).withColumn("order", F.xxhash64(F.lit(8), "doc_id")).orderBy("order", "doc_id").limit(most)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])  # `most` rows of a few numbers
+    one = labels.dropna().groupBy("doc_id").agg(F.min(F.struct(*names)).alias("l")).select("doc_id", "l.*")
+    picked = one.withColumn("order", F.xxhash64(F.lit(8), "doc_id")).orderBy("order", "doc_id").limit(most)
+    # `most` rows of a few numbers; of documents of one id the smallest text
+    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", *names, "order").agg(F.min("text").alias("text"))
 
     def step(batch: pa.RecordBatch):
         found = [features(x or "").tobytes() for x in batch.column(1).to_pylist()]
