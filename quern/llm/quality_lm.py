@@ -24,6 +24,9 @@ where they are asked and do not travel, so no frequent word makes a hot shard. A
 is named by where it stands and what it holds; a task that runs again reads the same
 rows and names them alike.
 
+The model's shards grow with the trusted text, and where there is much more other
+text, several tasks share a shard's questions, each with a copy of the shard.
+
 Trusted documents are found by a join on the id, without a bound: their ids are broadcast
 up to BROADCAST_IDS, and beyond that texts move once to meet them. Which scored rows are
 trusted is joined to the scores. Broadcast are also the hot values (at most 2 HOT of 12
@@ -75,9 +78,12 @@ TABLE = HALVES * WORDS
 KEY_BYTES, KEY_TOP, DIGEST_BYTES, SUM_BYTES = 8, 3, 4, 6
 MOST_TIMES = 2**32 - 1
 #: Bits are kept in steps of 1 / FINE from LEAST_BITS on.
-FINE, LEAST_BITS = 1024, -48.0
+FINE, LEAST_BITS = 1024, -8192.0
 SIEVE_BITS = 24
+#: Groups in which sums of words are made, at least; they grow with the shards.
 COARSE = 1 << 8
+#: Trusted text of a shard of the model, text whose questions a task answers, and shards at most (more text is answered in slices).
+SHARD_BYTES, SLICE_BYTES, MOST_SHARDS = 1 << 23, 64 << 20, 1 << 16
 
 
 class Lower(NamedTuple):
@@ -178,12 +184,15 @@ def digests(residues: np.ndarray, shift: int) -> np.ndarray:
 
 
 def coded(bits: np.ndarray) -> bytes:
-    """Two bytes a value, the upper ones deflated."""
-    return pack_sorted(np.clip(np.round((bits - LEAST_BITS) * FINE), 0, 65535).astype(np.int64), 2, 1)
+    """Three bytes a value, the upper ones deflated: the third hardly ever differs."""
+    steps = np.round((bits - LEAST_BITS) * FINE).astype(np.int64)
+    if len(steps) and not 0 <= steps.min() <= steps.max() < 1 << 24:
+        raise ValueError(f"values of {bits.min():.1f} to {bits.max():.1f} bits don't fit")
+    return pack_sorted(steps, 3, 2)
 
 
 def decoded_bits(data: bytes, n: int) -> np.ndarray:
-    return unpack_sorted(data, n, 2, 1) / FINE + LEAST_BITS
+    return unpack_sorted(data, n, 3, 2) / FINE + LEAST_BITS
 
 
 def squeezed(values: np.ndarray, kind: str) -> bytes:
@@ -194,6 +203,16 @@ def expanded(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), kind)
 
 
+def squeezed_counts(counts: np.ndarray) -> bytes:
+    """Counts in four bytes each, or in eight where one needs them; the first byte says which."""
+    width = 4 if counts.max(initial=0) < 1 << 32 else 8
+    return bytes([width]) + squeezed(counts, f"<u{width}")
+
+
+def expanded_counts(data: bytes) -> np.ndarray:
+    return expanded(data[1:], f"<u{data[0]}").astype(np.int64)
+
+
 def good_ids(labels: DataFrame) -> DataFrame:
     """Ids of the documents labelled good."""
     return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
@@ -215,7 +234,7 @@ def count_shards(docs: DataFrame, shards: int) -> DataFrame:
         found = [s for s in range(shards) if borders[s + 1] > borders[s]]
         low = keys & ((1 << shift) - 1)
         parts = [slice(borders[s], borders[s + 1]) for s in found]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([pack_sorted(low[p], KEY_BYTES, KEY_TOP) for p in parts], pa.binary()), pa.array([squeezed(counts[p], "<u4") for p in parts], pa.binary())], ["shard", "keys", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([pack_sorted(low[p], KEY_BYTES, KEY_TOP) for p in parts], pa.binary()), pa.array([squeezed_counts(counts[p]) for p in parts], pa.binary())], ["shard", "keys", "counts"])
 
     def run(batches):
         lean()
@@ -232,17 +251,17 @@ def count_shards(docs: DataFrame, shards: int) -> DataFrame:
             yield from rows(*np.unique(np.concatenate(held), return_counts=True))
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        each = [expanded(x, "<u4") for x in group["counts"]]
+        each = [expanded_counts(x) for x in group["counts"]]
         keys, inverse = np.unique(np.concatenate([unpack_sorted(x, len(n), KEY_BYTES, KEY_TOP) for x, n in zip(group["keys"], each, strict=True)]), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate(each)).astype(np.int64)
-        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "keys": [pack_sorted(keys, KEY_BYTES, KEY_TOP)], "counts": [squeezed(counts, "<u4")]})
+        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "keys": [pack_sorted(keys, KEY_BYTES, KEY_TOP)], "counts": [squeezed_counts(counts)]})
 
     return docs.select("doc_id", "text").mapInArrow(run, schema).groupBy("shard").applyInPandas(merge, schema)
 
 
 def _decoded(batch: pa.RecordBatch, shift: int):
     for shard, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        counts = expanded(counts, "<u4").astype(np.int64)
+        counts = expanded_counts(counts)
         yield unpack_sorted(keys, len(counts), KEY_BYTES, KEY_TOP) | int(shard) << shift, counts
 
 
@@ -298,11 +317,11 @@ def word_sums(tables: DataFrame, discounts: np.ndarray, shards: int) -> DataFram
     keys; else there are the same sums for the words of the bigrams of a shard,
     in the order of words_of, from one of `part`.
     """
-    shift, coarse = shard_shift(shards), min(shards, COARSE)
+    shift, coarse = shard_shift(shards), min(shards, max(COARSE, shards >> 3))
     wide = shard_shift(coarse)
 
     def row(shard: int, part: int, words: np.ndarray | None, heads: np.ndarray, tails: np.ndarray, weights: np.ndarray) -> tuple:
-        return int(shard), int(part), None if words is None else (words & (WORDS - 1)).astype("<u4").tobytes(), squeezed(heads, "<u4"), squeezed(tails, "<u4"), squeezed(weights, "<f4")
+        return int(shard), int(part), None if words is None else (words & (WORDS - 1)).astype("<u4").tobytes(), squeezed_counts(heads), squeezed_counts(tails), squeezed(weights, "<f4")
 
     def ask(batch: pa.RecordBatch):
         for source, (whole, counts) in zip(batch.column(0).to_pylist(), _decoded(batch, shift), strict=True):
@@ -317,7 +336,7 @@ def word_sums(tables: DataFrame, discounts: np.ndarray, shards: int) -> DataFram
         base = (coarse_shard << wide >> KEY_BITS) * WORDS
         each = [np.frombuffer(x, "<u4").astype(np.int64) + base for x in group["words"]]
         words, inverse = np.unique(np.concatenate(each), return_inverse=True)
-        heads, tails = (np.bincount(inverse, np.concatenate([expanded(x, "<u4") for x in group[c]])).astype(np.int64) for c in ("heads", "tails"))
+        heads, tails = (np.bincount(inverse, np.concatenate([expanded_counts(x) for x in group[c]])).astype(np.int64) for c in ("heads", "tails"))
         weights = np.bincount(inverse, np.concatenate([expanded(x, "<f4") for x in group["weights"]])) / np.maximum(heads, 1)
         out, end = [], 0
         for source, x in zip(group["part"], each, strict=True):
@@ -338,7 +357,7 @@ def _words_in(batch: pa.RecordBatch, shift: int):
     """(words, heads, tails, weights) of each shard of all words."""
     for shard, words, heads, tails, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
         words = np.frombuffer(words, "<u4").astype(np.int64) + (int(shard) << shift >> KEY_BITS) * WORDS
-        yield int(shard), words, expanded(heads, "<u4").astype(np.int64), expanded(tails, "<u4").astype(np.int64), expanded(weights, "<f4").astype(float)
+        yield int(shard), words, expanded_counts(heads), expanded_counts(tails), expanded(weights, "<f4").astype(float)
 
 
 def all_words(sums: DataFrame) -> DataFrame:
@@ -427,11 +446,11 @@ def bigram_values(tables: DataFrame, sums: DataFrame, discounts: np.ndarray, low
 
     def run(own: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         shard = int(own["shard"].iloc[0])
-        counts = expanded(own["counts"].iloc[0], "<u4").astype(np.int64)
+        counts = expanded_counts(own["counts"].iloc[0])
         whole = unpack_sorted(own["keys"].iloc[0], len(counts), KEY_BYTES, KEY_TOP) | shard << shift
         asked, at, to = words_of(whole)
         words = words.sort_values("part")
-        heads, tails = (np.concatenate([expanded(x, "<u4") for x in words[c]]).astype(np.int64) for c in ("heads", "tails"))
+        heads, tails = (np.concatenate([expanded_counts(x) for x in words[c]]) for c in ("heads", "tails"))
         weights = np.concatenate([expanded(x, "<f4") for x in words["weights"]]).astype(float)
         if len(heads) != len(asked):
             raise ValueError("a shard of bigrams got back another number of words than it asked for")
@@ -475,6 +494,7 @@ ASKED = "shard int, batch string, head boolean, sizes binary, keys binary, times
 def ask_shards(docs: DataFrame, model, shards: int) -> DataFrame:
     """Per batch of documents a head with what is known already, and one row of questions for each shard."""
     shift = shard_shift(shards)
+    batch_bytes = max(BATCH_BYTES, shards << 9)  # so that a batch has something to ask of each shard
 
     def rows(texts: pa.Array, ids: pa.Array, langs: pa.Array, serial: int):
         other = HALVES - 1 - half_of(ids)
@@ -529,7 +549,7 @@ def ask_shards(docs: DataFrame, model, shards: int) -> DataFrame:
                 part = batch.slice(k, 256)
                 held.append(part)
                 size += sum(len(x) for x in part.column(1).to_pylist() if x)
-                if size >= BATCH_BYTES:
+                if size >= batch_bytes:
                     yield from flush(held, serial)
                     held, size, serial = [], 0, serial + 1
         if held:
@@ -545,8 +565,8 @@ def ask_shards(docs: DataFrame, model, shards: int) -> DataFrame:
 ANSWERED = "batch string, head boolean, saved binary, doc_ids array<bigint>, langs array<string>, n_tokens binary, bits binary, parts int"
 
 
-def answer(asked: DataFrame, tables: DataFrame) -> DataFrame:
-    """Each shard's sums for the documents of each batch."""
+def answer(asked: DataFrame, tables: DataFrame, slices: int = 1) -> DataFrame:
+    """Each shard's sums for the documents of each batch; `slices` tasks share a shard's batches, each with a copy of the shard."""
 
     def run(known: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         low = np.concatenate([unpack_sorted(x, n, DIGEST_BYTES) for x, n in zip(known["keys"], known["n"], strict=True)] or [np.zeros(0, np.int64)])
@@ -565,7 +585,10 @@ def answer(asked: DataFrame, tables: DataFrame) -> DataFrame:
             saved.append(pack_sorted(_unsigned(np.bincount(owner, more, len(sizes)) * FINE), SUM_BYTES, SUM_BYTES))
         return questions.assign(saved=saved)[[f.split()[0] for f in ANSWERED.split(", ")]]
 
-    return tables.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(run, ANSWERED)
+    copies = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))) if slices > 1 else F.lit(0)
+    own = F.pmod(F.xxhash64("batch"), F.lit(slices)).cast("int") if slices > 1 else F.lit(0)
+    shared = tables.withColumn("slice", copies)
+    return shared.groupBy("shard", "slice").cogroup(asked.withColumn("slice", own).groupBy("shard", "slice")).applyInPandas(run, ANSWERED)
 
 
 SCORED = "doc_id bigint, lang string, n_tokens bigint, total_bits double"
@@ -585,20 +608,18 @@ def add_up(answers: DataFrame) -> DataFrame:
     return answers.groupBy("batch").applyInPandas(run, SCORED)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs(doc_id, text, lang) to (doc_id, lang, trusted, n_tokens, total_bits)."""
+def score_documents(docs: DataFrame, labels: DataFrame, shards: int | None = None, slices: int | None = None) -> DataFrame:
+    """docs(doc_id, text, lang) to (doc_id, lang, trusted, n_tokens, total_bits); shards, a power of two, and slices are made from the texts' sizes where they aren't given."""
     docs, good = docs.select("doc_id", "text", "lang"), staged(good_ids(labels), "good")
     near = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     trusted = docs.join(near, "doc_id", "left_semi").select("doc_id", "text")
 
-    def fill(cells: np.ndarray, batch: pa.RecordBatch) -> None:
-        cells[0] += sum(len(buf) for _, _, buf, _ in string_slices(batch.column(1)))
-
-    size = int(gathered(trusted, fill, BLOCK_CELLS, "int64")[0])
-    shards = 1 << max(5, min(13, (size >> 24).bit_length() + 1))
+    size = lambda rows: rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = shards or 1 << max(5, min(MOST_SHARDS.bit_length() - 1, (size(trusted) // SHARD_BYTES).bit_length()))
+    slices = slices or -(-size(docs) // (shards * SLICE_BYTES)) or 1
     tables, model = fit_model(count_shards(trusted, shards), shards)
     model = docs.sparkSession.sparkContext.broadcast(model)
-    scored = add_up(answer(ask_shards(docs, model, shards), tables))
+    scored = add_up(answer(ask_shards(docs, model, shards), tables, slices))
     marked = scored.join(near.withColumn("good", F.lit(True)), "doc_id", "left")
     return marked.select("doc_id", "lang", F.col("good").isNotNull().alias("trusted"), "n_tokens", "total_bits")
 
