@@ -2,8 +2,11 @@
 
 Arrow string columns are handled as one byte buffer with offsets, so words are
 found, lower-cased and hashed by whole-array numpy steps rather than per row.
-Hashes are 64-bit: two different words or word runs agree with probability of
-about 2**-58, which no caller needs to be zero except where it says so.
+Range hashes are two polynomials modulo the prime 2**31 - 1, each with a random
+base and random codes, mixed to 64 bits: two different ranges of n bytes agree
+with a probability of about (n / 2**31)**2 over the bases, whatever they hold
+(modulo a power of two there are texts that agree for every base), and random
+ones with 2**-62. No caller needs it to be zero except where it says so.
 """
 
 from __future__ import annotations
@@ -16,22 +19,31 @@ import pyarrow as pa
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_RNG = np.random.Generator(np.random.PCG64(20240229))
+_RNG = np.random.Generator(np.random.PCG64(20261127))
 BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+PRIME = np.uint64(2**31 - 1)
+BASES = [int(x) for x in _RNG.integers(2**20, 2**31 - 2, 2)]
+#: Powers of each base and of its inverse.
+_POWERS = [np.ones((2, 1), np.uint64), np.ones((2, 1), np.uint64)]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i (mod 2**64) for i in 0..n."""
-    if len(_POWERS["up"]) <= n:
-        size = max(n + 1, 1 << 19)
-        for name, base in (("up", BASE), ("down", BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps)
-    return _POWERS["up"], _POWERS["down"]
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, below 2**63, without a division."""
+    x = (x & PRIME) + (x >> np.uint64(31))
+    x = (x & PRIME) + (x >> np.uint64(31))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def powers(k: int, n: int) -> np.ndarray:
+    """BASES[k]**i and BASES[k]**-i for i in 0..n."""
+    if _POWERS[k].shape[1] <= n:
+        known, size = _POWERS[k], max(n + 1, 1 << 19)
+        while known.shape[1] < size:
+            step = known.shape[1]
+            ahead = np.array([[pow(BASES[k], step, int(PRIME))], [pow(BASES[k], -step, int(PRIME))]], np.uint64)
+            known = np.concatenate([known, reduced(known * ahead)], axis=1)
+        _POWERS[k] = known
+    return _POWERS[k]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,10 +57,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def running_sums(codes: np.ndarray) -> np.ndarray:
-    """Running sums s with s[j] - s[i] = sum of codes[x] * BASE**x for i <= x < j."""
-    up, _ = powers(len(codes))
-    out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * up[: len(codes)], out=out[1:])
+    """For each base running sums s with s[j] - s[i] = sum of codes[x] * base**x for i <= x < j; the bases take different bits of a code."""
+    out = np.zeros((2, len(codes) + 1), np.uint64)
+    for k, part in enumerate((codes & PRIME, codes >> np.uint64(33))):
+        terms = part * powers(k, len(codes))[0, : len(codes)]
+        out[k, 1:] = reduced(np.cumsum((terms & PRIME) + (terms >> np.uint64(31))))
     return out
 
 
@@ -59,8 +72,8 @@ def prefix_sums(buf: np.ndarray) -> np.ndarray:
 
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each range of what was summed, independent of where it stands."""
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    first, second = (reduced((sums[k][end] + PRIME - sums[k][start]) * powers(k, sums.shape[1])[1][start]) for k in range(2))
+    return mix((first << np.uint64(33)) + second + (end - start).astype(np.uint64))
 
 
 def string_slices(column: pa.Array, most_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -121,9 +121,9 @@ def _tagged(hashes: np.ndarray, depth: int) -> np.ndarray:
 def runs_of(texts: Units, depth: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(text, gram, span, first, last) of the runs of all texts; windows are numbered in their text."""
     sizes = np.diff(texts.borders)
-    if not len(texts.sums) > length or not (sizes >= length).any():
+    if not texts.sums.shape[1] > length or not (sizes >= length).any():
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    places = np.arange(len(texts.sums) - gram)
+    places = np.arange(texts.sums.shape[1] - gram)
     grams = _tagged(range_hash(texts.sums, places, places + gram), depth).view(np.uint64)
     # a window that fits the text at whose unit it starts
     left = np.repeat(texts.borders[1:], sizes)[: len(places) - (length - gram)] - places[: len(places) - (length - gram)]
