@@ -13,6 +13,8 @@ drops them. Rows are told apart by their place, so repeated and null ids stay
 apart: copies are near duplicates of each other, of which one row stays, the
 first read. Very long texts are rows like any other. Extra columns are dropped
 at the first stage, whatever their names. An empty table gives empty stages.
+Stages may be chained without writing what is between: scratch tables that a
+stage's input still reads stay until a later stage begins, or the process ends.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import ngram_join, quality_lm, repeated_bytes, sentence_pieces, source_mix
 from quern.llm.bytetext import find_words
-from quern.llm.common import by_batch, drop_staged, shared_dir, staged, staged_here, table
+from quern.llm.common import by_batch, drop_at_exit, drop_staged, shared_dir, staged, staged_here, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: words of a shingle and percent of similarity. Repeated passages: words.
@@ -37,24 +39,28 @@ PASSAGE_WORDS = 51
 
 
 class _Left(threading.local):
-    """What the stage before has staged in this thread. Its result is written by now, and goes on from there."""
+    """For each data folder what the stage before has staged in this thread."""
 
     def __init__(self):
-        self.paths: list[str] = []
+        self.paths: dict[str, list[str]] = {}
 
 
 _LEFT = _Left()
 
 
 def stage(function):
-    """A stage that drops its predecessor's scratch tables first."""
+    """A stage that drops its predecessor's scratch tables first, but for those that its own input still reads."""
 
     @functools.wraps(function)
     def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_staged(spark, _LEFT.paths)
+        left = _LEFT.paths.setdefault(sf_dir, [])
+        read = {part for file in (docs.inputFiles() if left else []) for part in file.split("/")}
+        needed = [path for path in left if path.rpartition("/")[2] in read]
+        if not needed:
+            drop_staged(spark, left)
         before = len(staged_here())
         result = function(spark, docs, sf_dir)
-        _LEFT.paths.extend(staged_here()[before:])
+        left.extend(staged_here()[before:])
         return result
 
     return begin
@@ -146,4 +152,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(f"{home}-{k}")
         if k:  # what a stage has read goes when its result is written
             drop_staged(spark, [f"{home}-{k - 1}"])
+    drop_at_exit(f"{home}-{len(STAGES) - 1}")
     return docs
