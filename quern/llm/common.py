@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import threading
 import uuid
@@ -9,6 +11,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch at most; a longer row is a batch of its own.
@@ -44,11 +47,29 @@ def staged_here() -> list[str]:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once as a table in the shared folder and read back, so that lost executors cost no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/quern-{uuid.uuid4().hex}-{name}"
+    drop_at_exit(path)
     df.write.parquet(path)
     staged_here().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_AT_EXIT: set[str] = set()
+
+
+def drop_at_exit(path: str) -> None:
+    """Nothing can read a staged table any more when the process that staged it ends."""
+    _AT_EXIT.add(path)
+
+
+@atexit.register
+def _drop_rest() -> None:
+    jvm = SparkContext._jvm
+    with contextlib.suppress(Exception):  # the JVM may have gone before
+        for name in _AT_EXIT if jvm is not None else ():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
 def drop_staged(spark: SparkSession, paths: list[str]) -> None:
     """Deletes staged tables and forgets them; nothing that reads them may be run any more."""
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -56,6 +77,7 @@ def drop_staged(spark: SparkSession, paths: list[str]) -> None:
         name = paths.pop()
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(hadoop).delete(path, True)
+        _AT_EXIT.discard(name)
         if name in staged_here():
             staged_here().remove(name)
 

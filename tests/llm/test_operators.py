@@ -48,6 +48,15 @@ def test_ngram_join_in_a_large_group(spark):
     assert rows_of(ngram_join.ngram_components(cases.documents(spark, rows))) == cases.ngram_components([(r[0], r[1]) for r in rows])
 
 
+def test_words_that_agree_modulo_powers_of_two(spark):
+    """Letters by the parity of the bits of their place, and the same with both exchanged: equal under any polynomial modulo 2**64."""
+    odd = [bin(k).count("1") % 2 for k in range(1024)]
+    words = ["".join("ab"[x ^ k] for x in odd) for k in range(2)]
+    rows = [(k, w, "en", "a") for k, w in enumerate(words)] + [(9, words[1], "en", "a")]
+    assert rows_of(ngram_join.ngram_components(cases.documents(spark, rows))) == [(0, 1, 0), (1, 1, 1), (9, 1, 1)]
+    assert rows_of(repeated_bytes.removal_report(cases.documents(spark, rows[:2]))) == cases.removal([r[:2] for r in rows[:2]])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 7), (200, 201), (201, 201)], "u long, v long")
     got = dict(rows_of(components(edges)))
@@ -141,6 +150,33 @@ def test_host_consensus():
     assert main_text.cut_out(odd, "html>body>article", ["html>body>article"]) == "short story"
 
 
+@pytest.mark.parametrize(
+    ("inner", "kept"),
+    [('<h2 class="section-header">Part one</h2>', "Part one"), ('<div class="share-price"><p>Up by two</p></div>', "Up by two"), ('<p class="notice-board">On the board</p>', "On the board"), ('<div class="menu-of-the-day"><p>Soup</p></div>', "Soup"), ('<header><h1>Heading <svg><text>x</text></svg>here</h1><p>by me</p></header>', "Heading here"), ('<span class="header-note">inline</span>', "inline"), ('<div class="reader-comments">nice!</div><div class="ad-slot">buy</div><div class="sidebar">side</div>', None)],
+)
+def test_classes_inside_an_article(inner, kept):
+    html = page(f"<article><p>The story goes on and on for a while.</p>{inner}<p>It ends here.</p></article>")
+    assert main_text.cut_out(main_text.parse_page(html), None, None).split("\n") == ["The story goes on and on for a while.", *([kept] if kept else []), "It ends here."]
+
+
+def test_votes_on_suspects(spark):
+    """Of classes that prove nothing, a box that repeats its text or is links goes from all pages of its host, one with a text of its own stays; another host has no votes of this one."""
+
+    def story(k, host):
+        own = [f"Story {k} of {host} begins with these words.", f"Section {k}", f"It costs {k} euros today.", f"Story {k} of {host} ends."]
+        boxes = "<div class='newsletter-box'>Get our letter</div>", f"<div class='related-box'><a href='/x'>Read story {k + 1} next</a></div>"
+        return page(f"<article><p>{own[0]}</p>{boxes[0]}<h2 class='section-header'>{own[1]}</h2><div class='share-price'><p>{own[2]}</p></div>{boxes[1]}<p>{own[3]}</p></article>"), own, ["Get our letter", f"Read story {k + 1} next"]
+
+    rows, want = [], {}
+    for k in range(12):
+        host = "one.example" if k < 11 else "two.example"
+        html, own, boxes = story(k, host)
+        rows.append((k, f"http://{host}/{k}", html))
+        want[k] = own if k < 11 else [own[0], boxes[0], own[1], own[2], boxes[1], own[3]]
+    got = main_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text.split("\n") for r in got} == want
+
+
 def test_chat_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 300, "ann", "late"), (2, 0, "system", "alone"), (None, None, None, "lost")]
     got = {(r.conv_id, r.speaker, r.block): r for r in chat_perspectives.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
@@ -201,6 +237,47 @@ def test_budgets_are_met():
         assert int((take * sizes).sum()) == max(best)
 
 
+def test_shards_and_slices_say_the_same(spark):
+    rng = np.random.Generator(np.random.PCG64(6))
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.5, 60) if k < 10**6), "en", "a") for i in range(300)]
+    docs, labels = cases.documents(spark, rows), spark.createDataFrame([(i, 1) for i in range(0, 300, 2)], "doc_id long, quality int")
+    scores = [{r.doc_id: r.total_bits for r in quality_lm.score_documents(docs, labels, shards, slices).collect()} for shards, slices in ((2, 1), (256, 1), (4, 3))]
+    assert all(len(x) == 300 and x == pytest.approx(scores[0], abs=0.05) for x in scores)
+
+
+def test_counts_beyond_32_bits_and_values_beyond_their_range():
+    counts = np.array([1, 2**33 + 5, 2**40])
+    assert quality_lm.expanded_counts(quality_lm.squeezed_counts(counts)).tolist() == counts.tolist()
+    assert quality_lm.expanded_counts(quality_lm.squeezed_counts(counts[:1])).tolist() == [1]
+    assert quality_lm.decoded_bits(quality_lm.coded(np.array([-60.0, 0.0, 90.5])), 3).tolist() == [-60.0, 0.0, 90.5]
+    with pytest.raises(ValueError, match="fit"):
+        quality_lm.coded(np.array([9000.0]))
+
+
+def test_one_rule_for_every_budget():
+    """The share of each length changes little from one budget to the next, also where the window reaches its largest."""
+    sizes, counts = np.arange(1, 400), np.full(399, 60)
+    total, exact, last = int((sizes * counts).sum()), source_mix.EXACT_BUDGET, None
+    for budget in range(exact - 40, exact + 40):
+        take = source_mix.fit_budget(sizes, counts, budget)
+        assert int((take * sizes).sum()) == budget and np.abs(take / counts - budget / total).max() < 0.12
+        assert last is None or np.abs(take - last).sum() < 60
+        last = take
+
+
+def test_contradictory_labels_and_texts_of_one_id(spark):
+    """The order of rows says nothing about the model."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    docs = [(k % 200, f"{'vile nasty' if k % 3 else 'kind good'} word{rng.integers(0, 50)} text{k % 7}") for k in range(400)]
+    labels = [(k % 200, int(k % 3 > 0), int(k % 5 > 1)) for k in range(400)]
+    models = []
+    for order in (range(400), reversed(range(400)), rng.permutation(400).tolist()):
+        order = list(order)
+        chain = toxicity_chain.train_chain(spark.createDataFrame([docs[k] for k in order], "doc_id long, text string").repartition(3), spark.createDataFrame([labels[k] for k in order], "doc_id long, a int, b int"))
+        models.append((np.concatenate([m.weights for m in chain.models]), [m.bias for m in chain.models], chain.thresholds))
+    assert all((m[0] == models[0][0]).all() and m[1:] == models[0][1:] for m in models)
+
+
 def test_exact_topk(spark):
     rng = np.random.Generator(np.random.PCG64(9))
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(0, 0.2, (900, 16)).astype(np.float32))]

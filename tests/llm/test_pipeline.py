@@ -51,6 +51,19 @@ def test_stages_without_rows(spark, tmp_path):
         assert docs.count() == 0
 
 
+def test_stages_chained_lazily_and_interleaved(spark, tmp_path):
+    """Two runs over different folders take turns, and one leaves its stages unwritten."""
+    docs = {k: cases.documents(spark, [(10 * i + k, f"{'good plain words here ' * (i + 1)} number{i} of{k}", "en", "a") for i in range(8)]) for k in (1, 2)}
+    steps = [f for _, f in corpus_pipeline.STAGES]
+    lazy = docs[1]
+    written = docs[2]
+    for n, step in enumerate(steps[1:4]):
+        lazy = step(spark, lazy, SF)
+        step(spark, written, f"{SF}/").write.parquet(str(tmp_path / f"{n}"))
+        written = spark.read.parquet(str(tmp_path / f"{n}"))
+    assert lazy.count() > 0 and written.count() > 0
+
+
 def test_run_leaves_one_folder(spark):
     result = corpus_pipeline.run(spark, SF)
     assert result.count() > 0
