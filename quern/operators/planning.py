@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quern.functions import numbers
+from quern.operators.positions import positional_within
 from quern.scratch import staged
 
 #: Templates with their prefixes and tails that are broadcast at most.
@@ -97,8 +98,9 @@ def cross_group_texts(rows: DataFrame, group: list[str], unique: str = "text") -
 
 
 def round_robin(rows: DataFrame, start: Column, group: str, order: str, values: list[str]) -> DataFrame:
-    turn = F.row_number().over(W.partitionBy(group).orderBy(order))
-    return rows.withColumn("turn", turn).withColumn("voice", F.element_at(F.array(*map(F.lit, values)), (F.pmod(start + F.col("turn") - 1, F.lit(len(values))) + 1).cast("int")))
+    """Adds each row's `turn` in its group and the `voice` that is next, from `start` on; a group may be of any size."""
+    turns = positional_within(rows, [group], [order], "turn").withColumn("turn", F.col("turn").cast("int"))
+    return turns.withColumn("voice", F.element_at(F.array(*map(F.lit, values)), (F.pmod(start + F.col("turn") - 1, F.lit(len(values))) + 1).cast("int")))
 
 
 def hash_split(rows: DataFrame, group: str, key: str, seed: int) -> DataFrame:

@@ -172,16 +172,36 @@ def example_groups(spark, sf):
 @PLANS.query("example_filters", f"WITH {BASE} SELECT doc_id, cfg, len(list_filter(string_split(form, ' '), lambda w: length(w) > 12)) = 0 AS short_form FROM verdicts WHERE changed AND NOT after AND len(list_filter(string_split(form, ' '), lambda w: length(w) > 12)) = 0")
 def example_filters(spark, sf):
     short = F.forall(F.split("form", " "), lambda w: F.length(w) <= 12)
-    names = F.broadcast(forms(spark, sf).withColumnRenamed("form_id", "item_id"))
+    names = forms(spark, sf).withColumnRenamed("form_id", "item_id")
     return verdicts(spark, sf).join(names, "item_id").where(F.col("changed") & ~F.col("after")).select("doc_id", "cfg", short.alias("short_form")).where("short_form")
 
 
 @PLANS.query("config_pair_effect", f"WITH {BASE} SELECT a.doc_id, CASE WHEN a.after AND NOT b.after THEN 'broken' WHEN b.after AND NOT a.after THEN 'fixed' ELSE 'identical' END AS effect FROM verdicts a JOIN verdicts b USING (doc_id) WHERE a.cfg = 'full' AND b.cfg = 'tail' AND a.txt <> b.txt")
 def config_pair_effect(spark, sf):
-    v = verdicts(spark, sf).where("tail_apart").select("doc_id", "cfg", "after")
-    a, b = v.where("cfg = 'full'").alias("a"), v.where("cfg = 'tail'").alias("b")
-    effect = F.when(F.col("a.after") & ~F.col("b.after"), "broken").when(F.col("b.after") & ~F.col("a.after"), "fixed").otherwise("identical")
-    return a.join(b, "doc_id").select("doc_id", effect.alias("effect"))
+    """Both configurations of a document in one aggregation."""
+    after = lambda cfg: F.bool_or(F.when(F.col("cfg") == cfg, F.col("after"))).alias(cfg)
+    pairs = verdicts(spark, sf).where("tail_apart").groupBy("doc_id").agg(after("full"), after("tail"))
+    effect = F.when(F.col("full") & ~F.col("tail"), "broken").when(F.col("tail") & ~F.col("full"), "fixed").otherwise("identical")
+    return pairs.select("doc_id", effect.alias("effect"))
+
+
+@PLANS.query(
+    "pair_lists",
+    f"""WITH {BASE}, p AS (SELECT a.item_id, a.doc_id, a.txt = b.txt AS identical, b.after AND NOT a.after AS fixed, a.after AND NOT b.after AS broken FROM verdicts a JOIN verdicts b USING (doc_id) WHERE a.cfg = 'same' AND b.cfg = 'full')
+SELECT item_id, CAST(count(*) FILTER (WHERE identical) AS BIGINT) AS identical_text, CAST(count(*) FILTER (WHERE fixed AND NOT identical) AS BIGINT) AS fixed, CAST(count(*) FILTER (WHERE broken AND NOT identical) AS BIGINT) AS broken,
+ coalesce(array_to_string(list_slice(list(doc_id ORDER BY doc_id) FILTER (WHERE fixed AND NOT identical), 1, 20), ';'), '') AS fixed_ids, coalesce(array_to_string(list_slice(list(doc_id ORDER BY doc_id) FILTER (WHERE broken AND NOT identical), 1, 20), ';'), '') AS broken_ids FROM p GROUP BY item_id""",
+)
+def pair_lists(spark, sf):
+    """For each item what a configuration fixed and broke against the one before it, with the first twenty of each."""
+    flag = lambda cfg, what: F.bool_or(F.when(F.col("cfg") == cfg, what))
+    pairs = verdicts(spark, sf).groupBy("doc_id", "item_id").agg(flag("same", F.col("after")).alias("before"), flag("full", F.col("after")).alias("now"), flag("full", F.col("changed")).alias("apart"))
+    pairs = pairs.select("doc_id", "item_id", (F.col("apart") & F.col("now") & ~F.col("before")).alias("fixed"), (F.col("apart") & F.col("before") & ~F.col("now")).alias("broken"), "apart")
+    counts = pairs.groupBy("item_id").agg(F.count_if(~F.col("apart")).alias("identical_text"), F.count_if("fixed").alias("fixed"), F.count_if("broken").alias("broken"))
+    kinds = pairs.where("fixed OR broken").select("item_id", "doc_id", F.when(F.col("fixed"), "fixed").otherwise("broken").alias("kind"))
+    first = kinds.withColumn("k", F.row_number().over(W.partitionBy("item_id", "kind").orderBy("doc_id"))).where("k <= 20")
+    ids = lambda kind: F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("doc_id")))), ";").alias(f"{kind}_ids")
+    both = counts.join(first.groupBy("item_id").agg(ids("fixed"), ids("broken")), "item_id", "left")
+    return both.select("item_id", "identical_text", "fixed", "broken", F.coalesce("fixed_ids", F.lit("")).alias("fixed_ids"), F.coalesce("broken_ids", F.lit("")).alias("broken_ids"))
 
 
 @PLANS.query("topk_priority", f"WITH {BASE} SELECT doc_id, cfg, verdict, CASE verdict WHEN 'HARMED' THEN 0 WHEN 'HELPED' THEN 1 ELSE 2 END AS priority FROM verdicts WHERE changed ORDER BY priority, length(txt) DESC, doc_id, cfg LIMIT 15")

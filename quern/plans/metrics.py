@@ -77,6 +77,34 @@ def determinism_check(spark, sf):
     return counts.join(first, "mode", "left").select("mode", "compared", "different", F.coalesce("first_ids", F.lit("")).alias("first_ids"))
 
 
+@PLANS.query(
+    "series_quality",
+    """WITH m AS (SELECT user_id AS id, event_type AS mode, max(floor(value / 40)) AS hyp FROM events GROUP BY 1, 2), b AS (SELECT id, hyp FROM m WHERE mode = 'view'),
+d AS (SELECT count(DISTINCT mode) AS compared_modes, count(DISTINCT mode) FILTER (WHERE m.hyp <> b.hyp) AS different_modes, count(*) FILTER (WHERE m.hyp <> b.hyp) AS different_files FROM m JOIN b USING (id) WHERE mode <> 'view'),
+q AS (SELECT count(*) AS files, count(*) FILTER (WHERE value > 50) AS found, count(*) FILTER (WHERE floor(value) = value) AS exact FROM events WHERE event_type = 'view'),
+e AS (SELECT count(*) AS expected_files, count(*) FILTER (WHERE value > 50) AS expected_found FROM events WHERE event_type = 'click')
+SELECT CAST(files AS BIGINT) AS files, CAST(found AS BIGINT) AS found, round(found / nullif(files, 0), 6) AS found_accuracy, CAST(exact AS BIGINT) AS exact, round(exact / nullif(files, 0), 6) AS exact_accuracy, CAST(expected_files AS BIGINT) AS expected_files, CAST(expected_found AS BIGINT) AS expected_found,
+ files = expected_files AND found = expected_found AS matches_expected, CAST(compared_modes AS BIGINT) AS compared_modes, CAST(different_modes AS BIGINT) AS different_modes, CAST(different_files AS BIGINT) AS different_files, different_files = 0 AS deterministic FROM q, e, d""",
+)
+def series_quality(spark, sf):
+    """The quality block of a series, against what another run gave, and whether all modes decode alike."""
+    events, value = load(spark, sf, "events"), F.col("value")
+    mode = lambda name: F.col("event_type") == name
+    quality = events.agg(
+        F.count_if(mode("view")).alias("files"), F.count_if(mode("view") & (value > 50)).alias("found"), F.count_if(mode("view") & (F.floor(value) == value)).alias("exact"),
+        F.count_if(mode("click")).alias("expected_files"), F.count_if(mode("click") & (value > 50)).alias("expected_found"),
+    )
+    said = events.groupBy(F.col("user_id").alias("id"), F.col("event_type").alias("mode")).agg(F.max(F.floor(value / 40)).alias("hyp"))
+    both = said.where("mode <> 'view'").join(said.where("mode = 'view'").select("id", F.col("hyp").alias("base")), "id")
+    modes = both.groupBy("mode").agg(F.count_if(F.col("hyp") != F.col("base")).alias("off"))
+    alike = modes.agg(F.count(F.lit(1)).alias("compared_modes"), F.count_if(F.col("off") > 0).alias("different_modes"), F.coalesce(F.sum("off"), F.lit(0)).alias("different_files"))
+    share = lambda c: F.round(F.try_divide(F.col(c).cast("double"), F.col("files").cast("double")), 6).alias(f"{c}_accuracy")
+    matches = (F.col("files") == F.col("expected_files")) & (F.col("found") == F.col("expected_found"))
+    return quality.join(F.broadcast(alike)).select(  # one row and one row
+        "files", "found", share("found"), "exact", share("exact"), "expected_files", "expected_found", matches.alias("matches_expected"), "compared_modes", "different_modes", "different_files", (F.col("different_files") == 0).alias("deterministic")
+    )
+
+
 TIMES = "SELECT l_returnflag, CASE WHEN l_linenumber < 7 THEN l_linenumber END AS threads, round(avg(l_discount + l_tax), 2) AS latency FROM lineitem GROUP BY 1, 2"
 
 
@@ -180,3 +208,38 @@ def street_metrics(spark, sf):
 @PLANS.query("token_change_ratio")
 def token_change_ratio(spark, sf):
     return answer_pairs(spark, sf).select("doc_id", "place", F.round(metrics.change_ratio("reference", "hypothesis"), 6).alias("changed"))
+
+
+#: What is compared with what it was, and how much of it is left.
+STRUCTURES, WEIGHTS = ("words", "stems"), (0.5, 0.7, 0.9)
+SENTENCES = r"SELECT doc_id, lang, k - 1 AS place, t FROM (SELECT doc_id, lang, k, regexp_extract_all(lower(s[k]), '\p{L}+') AS t FROM (SELECT doc_id, lang, s, unnest(range(1, len(s) + 1)) AS k FROM (SELECT doc_id, lang, regexp_split_to_array(text, '[.\n]') AS s FROM documents))) WHERE len(t) > 0"
+SWEEP = f"""WITH x AS ({SENTENCES}), c AS (SELECT doc_id, place, structure, weight, len(t) AS n, CAST(ceil(len(t) * weight) AS BIGINT) AS m FROM x CROSS JOIN (VALUES ('words'), ('stems')) a(structure) CROSS JOIN (VALUES (CAST(0.5 AS DOUBLE)), (0.7), (0.9)) b(weight)),
+r AS (SELECT *, round(1 - 2.0 * m / (n + m), 3) AS ratio FROM c)"""
+
+
+def sweep(spark, sf):
+    """Each sentence of each document against its first words (or their first four letters), and the share of tokens that differ."""
+    rows = answer_pairs(spark, sf).select("doc_id", "place", F.split("reference", " ").alias("t"))
+    wide = rows.withColumn("structure", F.explode(F.array(*map(F.lit, STRUCTURES)))).withColumn("weight", F.explode(F.array(*map(F.lit, WEIGHTS))))
+    t = F.when(F.col("structure") == "stems", F.transform("t", lambda w: F.left(w, F.lit(4)))).otherwise(F.col("t"))
+    wide = wide.select("doc_id", "place", "structure", "weight", t.alias("t"))
+    kept = F.slice("t", F.lit(1), F.ceil(F.size("t") * F.col("weight")).cast("int"))
+    texts = wide.select("doc_id", "place", "structure", "weight", F.array_join("t", " ").alias("a"), F.array_join(kept, " ").alias("b"))
+    return texts.withColumn("ratio", F.round(metrics.change_ratio("b", "a"), 3))
+
+
+@PLANS.query("change_counters", f"{SWEEP} SELECT structure, weight, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE m < n) AS BIGINT) AS changed, CAST(count(*) FILTER (WHERE ratio > 0.3) AS BIGINT) AS changed_gt30pct, CAST(count(*) FILTER (WHERE m = n) AS BIGINT) AS unchanged FROM r GROUP BY structure, weight")
+def change_counters(spark, sf):
+    """How many are changed, and by more than 30 %, for each structure and weight. The SQL knows the ratio as what is left is the beginning of what was."""
+    rows = sweep(spark, sf)
+    return rows.groupBy("structure", "weight").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("changed"), F.count_if(F.col("ratio") > 0.3).alias("changed_gt30pct"), F.count_if(F.col("a") == F.col("b")).alias("unchanged"))
+
+
+@PLANS.query("change_examples", f"{SWEEP}, o AS (SELECT *, row_number() OVER (PARTITION BY structure, weight ORDER BY ratio DESC, doc_id, place) AS rank FROM r WHERE m < n) SELECT structure, weight, CAST(rank AS INTEGER) AS rank, doc_id, CAST(place AS INTEGER) AS place, ratio FROM o WHERE rank <= 15")
+def change_examples(spark, sf):
+    """The report's fifteen most changed ones of each structure and weight; cut within parts of a group first, so that no task orders a whole group."""
+    order = [F.desc("ratio"), "doc_id", "place"]
+    rows = sweep(spark, sf).where("a <> b").select("structure", "weight", "doc_id", "place", "ratio", F.pmod(F.xxhash64("doc_id", "place"), F.lit(256)).alias("part"))
+    near = rows.withColumn("rank", F.row_number().over(W.partitionBy("structure", "weight", "part").orderBy(*order))).where("rank <= 15")
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("structure", "weight").orderBy(*order))).where("rank <= 15")
+    return ranked.select("structure", "weight", "rank", "doc_id", "place", "ratio")
