@@ -3,7 +3,7 @@
 Arrow string columns are handled as one byte buffer with offsets, so words are
 found, lower-cased and hashed by whole-array numpy steps rather than per row.
 Range hashes are two polynomials modulo the prime 2**31 - 1, each with a random
-base and random codes, mixed to 64 bits: two different ranges of n bytes agree
+base, mixed to 64 bits: two different ranges of n bytes agree
 with a probability of about (n / 2**31)**2 over the bases, whatever they hold
 (modulo a power of two there are texts that agree for every base), and random
 ones with 2**-62. No caller needs it to be zero except where it says so.
@@ -20,18 +20,25 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RNG = np.random.Generator(np.random.PCG64(20261127))
-BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PRIME = np.uint64(2**31 - 1)
 BASES = [int(x) for x in _RNG.integers(2**20, 2**31 - 2, 2)]
 #: Powers of each base and of its inverse.
 _POWERS = [np.ones((2, 1), np.uint64), np.ones((2, 1), np.uint64)]
 
 
+def folded(x: np.ndarray) -> np.ndarray:
+    """x, a fresh array, in place to less than PRIME + 12 with the same remainder."""
+    for _ in range(2):
+        high = x >> np.uint64(31)
+        x &= PRIME
+        x += high
+    return x
+
+
 def reduced(x: np.ndarray) -> np.ndarray:
-    """x modulo PRIME, below 2**63, without a division."""
-    x = (x & PRIME) + (x >> np.uint64(31))
-    x = (x & PRIME) + (x >> np.uint64(31))
-    return np.where(x >= PRIME, x - PRIME, x)
+    """x, a fresh array, in place modulo PRIME, without a division."""
+    x = folded(x)
+    return np.subtract(x, PRIME, out=x, where=x >= PRIME)
 
 
 def powers(k: int, n: int) -> np.ndarray:
@@ -57,23 +64,45 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def running_sums(codes: np.ndarray) -> np.ndarray:
-    """For each base running sums s with s[j] - s[i] = sum of codes[x] * base**x for i <= x < j; the bases take different bits of a code."""
+    """For each base running sums s with s[j] - s[i] = sum of codes[x] * base**x for i <= x < j, up to multiples of PRIME; the bases take different bits of a code of 64 bits."""
     out = np.zeros((2, len(codes) + 1), np.uint64)
     for k, part in enumerate((codes & PRIME, codes >> np.uint64(33))):
-        terms = part * powers(k, len(codes))[0, : len(codes)]
-        out[k, 1:] = reduced(np.cumsum((terms & PRIME) + (terms >> np.uint64(31))))
+        part *= powers(k, len(codes))[0, : len(codes)]
+        np.cumsum(folded(part), out=out[k, 1:])
+        folded(out[k])
     return out
 
 
+#: Bytes whose sums of powers fit into 64 bits without a fold.
+_FOLD_FREE = 1 << 24
+
+
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
-    """Running sums over the codes of bytes."""
-    return running_sums(BYTE_CODE[buf])
+    """Running sums over bytes, each counted from 1."""
+    if len(buf) > _FOLD_FREE:
+        return running_sums((buf.astype(np.uint64) + np.uint64(1)) * np.uint64(1 + (1 << 33)))
+    out, codes = np.zeros((2, len(buf) + 1), np.uint64), buf.astype(np.uint64)
+    codes += np.uint64(1)
+    for k in range(2):
+        np.cumsum(codes * powers(k, len(buf))[0, : len(buf)], out=out[k, 1:])
+        folded(out[k])
+    return out
 
 
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each range of what was summed, independent of where it stands."""
-    first, second = (reduced((sums[k][end] + PRIME - sums[k][start]) * powers(k, sums.shape[1])[1][start]) for k in range(2))
-    return mix((first << np.uint64(33)) + second + (end - start).astype(np.uint64))
+    parts = []
+    for k in range(2):
+        d = sums[k][end]
+        d += np.uint64(2) * PRIME
+        d -= sums[k][start]
+        d *= powers(k, sums.shape[1])[1][start]
+        parts.append(reduced(d))
+    first, second = parts
+    first <<= np.uint64(33)
+    first += second
+    first += (end - start).astype(np.uint64)
+    return mix(first)
 
 
 def string_slices(column: pa.Array, most_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

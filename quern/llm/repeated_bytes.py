@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.bytetext import BYTE_CODE, find_words, prefix_sums, range_hash, running_sums, string_slices
+from quern.llm.bytetext import find_words, prefix_sums, range_hash, running_sums, string_slices
 from quern.llm.common import by_batch, lean, settled, staged, table
 from quern.llm.spots import key_filter
 
@@ -70,11 +70,13 @@ class Units(NamedTuple):
     ends: np.ndarray | None
 
 
-def units_of(buf: np.ndarray, offsets: np.ndarray, words: bool) -> Units:
+def units_of(buf: np.ndarray, offsets: np.ndarray, words: bool, sums: np.ndarray | None = None) -> Units:
+    """sums are the running sums of the bytes, where these are known."""
+    sums = prefix_sums(buf) if sums is None else sums
     if not words:
-        return Units(running_sums(BYTE_CODE[buf]), offsets, None, None)
+        return Units(sums, offsets, None, None)
     starts, ends, first = find_words(buf, offsets)
-    codes = range_hash(prefix_sums(buf), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    codes = range_hash(sums, starts, ends) if len(starts) else np.zeros(0, np.uint64)
     return Units(running_sums(codes), first, starts, ends)
 
 
@@ -144,7 +146,8 @@ def anchored(docs: DataFrame, depths: tuple[Depth, ...]) -> DataFrame:
                 data = buf[a:b].tobytes()
                 nodes.append(text_key(data))
                 digests.append(hashlib.sha256(data).hexdigest())
-            units = {words: units_of(buf, offsets, words) for words in {True, *(d.words for d in depths)}}
+            sums = prefix_sums(buf)
+            units = {words: units_of(buf, offsets, words, sums) for words in {True, *(d.words for d in depths)}}
             found = [runs_of(units[d.words], k, d.length, d.gram) for k, d in enumerate(depths)]
             sizes = np.stack([np.bincount(x[0], minlength=count) for x in found], axis=1)
             owner = np.concatenate([x[0] for x in found])
