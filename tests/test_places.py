@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import matching, metrics, planning, positions
+from quern.operators import audit, matching, metrics, planning, positions
 
 
 def test_positions_of_a_large_table(spark, tmp_path):
@@ -143,3 +143,17 @@ def test_detection_by_the_rarest_token(spark, limit):
             own = form.split(" ")
             wanted += [(i, f, p, len(own)) for p in range(len(words) - len(own) + 1) if form and words[p : p + len(own)] == own]
     assert sorted(tuple(r) for r in got.collect()) == sorted(wanted)
+
+
+@pytest.mark.parametrize("span", [3, audit.LEAK_SPAN])
+def test_leaks_across_spans(spark, span):
+    """A value in most rows, one of a single split, null, and one that comes back much later."""
+    rng = random.Random(5)
+    rows = [(k, rng.choice(["hot", "hot", "hot", "x", None]), rng.choice(["train", "test"])) for k in range(200)] + [(1000, "x", "train"), (2000, "x", "test"), (2001, "pure", "test"), (2005, "pure", "test")]
+    seen, wanted = {}, []
+    for k, v, s in rows:
+        if v is not None and seen.get(v, s) != s:
+            wanted.append((k, s, seen[v]))
+        seen[v] = s
+    got = audit.leakage(spark.createDataFrame(rows, "k long, v string, split string"), F.col("v"), "split", "k", span)
+    assert sorted((r.k, r.split, r.before) for r in got.collect()) == wanted
