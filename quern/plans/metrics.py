@@ -105,14 +105,14 @@ def series_quality(spark, sf):
     )
 
 
-TIMES = "SELECT l_returnflag, CASE WHEN l_linenumber < 7 THEN l_linenumber END AS threads, round(avg(l_discount + l_tax), 2) AS latency FROM lineitem GROUP BY 1, 2"
+TIMES = "SELECT l_returnflag, CASE WHEN l_linenumber < 7 THEN l_linenumber END AS threads, round(avg(l_discount + l_tax), 6) AS latency FROM lineitem GROUP BY 1, 2"
 
 
 @PLANS.query("best_mode", f"WITH t AS ({TIMES}) SELECT l_returnflag, min_by(threads, (latency, coalesce(threads, 0))) FILTER (WHERE threads IS NOT NULL) AS threads, min(latency) AS latency, arg_min(coalesce(threads, 0), (latency, coalesce(threads, 0))) AS fewest FROM t GROUP BY l_returnflag")
 def best_mode(spark, sf):
     """The lowest mean latency; of equal ones that with fewest threads, where no number counts as 0."""
     line, many = F.col("l_linenumber"), F.coalesce("threads", F.lit(0))
-    times = load(spark, sf, "lineitem").groupBy("l_returnflag", F.when(line < 7, line).alias("threads")).agg(F.round(F.avg(F.col("l_discount") + F.col("l_tax")), 2).alias("latency"))
+    times = load(spark, sf, "lineitem").groupBy("l_returnflag", F.when(line < 7, line).alias("threads")).agg(F.round(F.avg(F.col("l_discount") + F.col("l_tax")), 6).alias("latency"))
     by = F.struct("latency", many.alias("many"))
     return times.groupBy("l_returnflag").agg(F.min_by("threads", F.when(F.col("threads").isNotNull(), by)).alias("threads"), F.min("latency").alias("latency"), F.min_by(many, by).alias("fewest"))
 
