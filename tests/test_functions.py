@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import numbers
 from quern.functions import text as tx
-from quern.operators import audit, metrics, positions
+from quern.operators import metrics, positions
 from quern.sources import readers, writers
 from quern.streaming.speech import FRESH, Limits, advance, segments
 
