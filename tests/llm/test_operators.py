@@ -292,6 +292,29 @@ def test_exact_topk(spark):
     assert got == sorted(want, key=str)
 
 
+def test_exact_topk_broadcasts_no_product(spark, monkeypatch):
+    """Queries are broadcast in parts of a fixed size, never once for each block of the table."""
+    monkeypatch.setattr(exact_topk, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(exact_topk, "QUERY_ROWS", 4)
+    vectors = np.random.Generator(np.random.PCG64(6)).normal(0, 0.2, (3000, 64)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(3)
+    whole = np.floor(256 * vectors.astype(np.float64)).astype(int)
+    scores = whole[::50] @ whole.T
+    want = [(q, k + 1, i, s) for q, own in zip(range(0, 3000, 50), scores, strict=True) for k, (s, i) in enumerate(sorted(((s, i) for i, s in enumerate(own.tolist()) if i != q), key=lambda x: (-x[0], x[1]))[:5])]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")
+    try:
+        assert sorted(map(tuple, exact_topk.search(frame, frame.where("vec_id % 50 = 0")).collect())) == want
+        monkeypatch.setattr(exact_topk.search, "__defaults__", (exact_topk.BEST, 4000))
+        assert sorted(map(tuple, exact_topk.search(frame, frame.where("vec_id % 50 = 0")).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    # a large block, whose rows are pruned by bounds
+    index = exact_topk.Index(np.arange(3000), whole)
+    for floor in (np.full(60, exact_topk.NO_SCORE), np.array([x[3] for x in want[4::5]])):
+        ids, found = index.best(np.arange(0, 3000, 50), whole[::50], 5, floor)
+        assert [(i, s) for i, s in zip(ids.ravel().tolist(), found.ravel().tolist(), strict=True)] == [x[2:] for x in want]
+
+
 def test_sentence_pieces(spark):
     got = {r.doc_id: r for r in sentence_pieces.encode_documents(cases.documents(spark)).collect()}
     reference = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
