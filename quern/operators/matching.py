@@ -16,6 +16,8 @@ from quern.scratch import staged
 
 #: An index is broadcast up to this size of its forms; beyond, it is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Places of a text that are looked up together.
+PIECE = 64
 
 
 def _bytes(forms: DataFrame, *words: str) -> int:
@@ -25,8 +27,8 @@ def _bytes(forms: DataFrame, *words: str) -> int:
 
 
 def words_of(texts: DataFrame) -> DataFrame:
-    """(id, words) of texts(id, norm), or of texts(id, words) as they are."""
-    return texts.select("id", "words") if "words" in texts.columns else texts.select("id", F.split("norm", " ").alias("words"))
+    """(id, words) and any further columns of texts(id, norm), or of texts(id, words) as they are; but for `norm`."""
+    return texts.drop("norm") if "words" in texts.columns else texts.withColumn("words", F.split("norm", " ")).drop("norm")
 
 
 def form_index(words: DataFrame, forms: DataFrame) -> DataFrame:
@@ -45,12 +47,14 @@ def positions(texts: DataFrame, forms: DataFrame, broadcast_bytes: int = BROADCA
     With an index of up to broadcast_bytes a text's words never leave their task,
     and each hit is verified on the tokens beside it; beyond that words and
     anchors meet by word, and texts by id. `extra` are further columns made from
-    (text's tokens, form's tokens) for each hit.
+    (text's tokens, form's tokens) and columns of texts for each hit; of
+    expressions that are compiled, as a text's hits are gathered before one that isn't,
+    each with all tokens of the text.
     """
     words = words_of(texts)
     index = form_index(words, forms)
     if _bytes(index, "form_words") <= broadcast_bytes:
-        found = words.select("id", "words", F.posexplode("words").alias("at", "word")).join(F.broadcast(index), F.col("word") == F.col("anchor"))
+        found = words.select("*", F.posexplode("words").alias("at", "word")).join(F.broadcast(index), F.col("word") == F.col("anchor"))
     else:
         met = words.select("id", F.posexplode("words").alias("at", "word")).join(index, F.col("word") == F.col("anchor")).where(F.col("at") >= F.col("offset"))
         found = met.join(words, "id")
@@ -59,26 +63,42 @@ def positions(texts: DataFrame, forms: DataFrame, broadcast_bytes: int = BROADCA
     return found.select("id", "form_id", pos.alias("pos"), size.alias("size"), *[make(F.col("words"), F.col("form_words")).alias(name) for name, make in extra.items()])
 
 
-def tolerant_positions(texts: DataFrame, forms: DataFrame, **extra) -> DataFrame:
-    """Like positions(), by tokens_match() of token after token, so that a name is found in any inflection.
+def tolerant_positions(texts: DataFrame, forms: DataFrame) -> DataFrame:
+    """(id, form_id, pos, size, n) like positions(), by tokens_match() of token after token, so that a name is found in any inflection; n is the text's number of tokens.
 
     A name is looked up by its longest token, which few words of a text resemble.
+    What may be a name is verified on a piece of the text around it, whose size
+    depends on the longest name and not on the text.
     """
     wanted = forms.where("form <> ''").select("form_id", F.split("form", " ").alias("form_words")).withColumn("anchor", tx.longest_token(F.col("form_words")))
-    short = not wanted.where(F.length("anchor") < 3).isEmpty()
+    wanted = wanted.withColumn("offset", (F.array_position("form_words", F.col("anchor")) - 1).cast("int"))
+    least, back, ahead = wanted.agg(F.min(F.length("anchor")), F.max("offset"), F.max(F.size("form_words") - F.col("offset"))).first()
+    short, back, ahead = (least or 0) < 3, back or 0, ahead or 1
     few = _bytes(wanted, "form_words") <= BROADCAST_BYTES
-    wanted = wanted.select("form_id", "form_words", "anchor", (F.array_position("form_words", F.col("anchor")) - 1).cast("int").alias("offset"), F.explode(tx.stem_keys(F.col("anchor"), True)).alias("key"))
-    words = words_of(texts)
-    starts = words.select("id", *(["words"] if few else []), F.posexplode("words").alias("at", "word"))
+    wanted = wanted.select("form_id", "form_words", "anchor", "offset", F.explode(tx.stem_keys(F.col("anchor"), True)).alias("key"))
+    # of PIECE places, more where names are longer, with all that a name at one of them can cover
+    step = max(PIECE, back + ahead)
+    first = lambda start: F.greatest(start - back, F.lit(0))
+    cut = lambda start: F.struct(start.alias("start"), first(start).alias("first"), F.slice("words", first(start) + 1, F.lit(back + step + ahead)).alias("piece"))
+    pieces = words_of(texts).select("id", "words", F.size("words").alias("n")).where("n > 0")
+    pieces = pieces.select("id", "n", F.explode_outer(F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(step)), cut)).alias("p")).select("id", "n", "p.*")
+    starts = pieces.select("id", "n", "start", *(["first", "piece"] if few else []), F.posexplode_outer(F.slice("piece", F.col("start") - F.col("first") + 1, F.lit(step))).alias("k", "word"))
+    starts = starts.withColumn("at", F.col("start") + F.col("k")).drop("k")
     word = F.col("word")
     # without names of short words each word of a text has one key
     keys = F.explode(tx.stem_keys(word, False)) if short else F.when(F.length(word) >= 3, F.concat(F.lit("3"), F.left(word, F.lit(3)))).otherwise(F.concat(F.lit("a"), F.length(word).cast("string"), word))
     starts = starts.withColumn("key", keys)
-    found = starts.join(F.broadcast(wanted), "key") if few else starts.join(wanted, "key").join(words, "id")
-    found = found.withColumn("pos", F.col("at") - F.col("offset")).where(tx.tokens_match(word, F.col("anchor")) & (F.col("pos") >= 0) & (F.col("pos") + F.size("form_words") <= F.size("words")))
-    same = lambda k: tx.tokens_match(F.element_at("words", F.col("pos") + k), F.element_at("form_words", k))
-    found = found.where(F.forall(F.sequence(F.lit(1), F.size("form_words")), same))
-    return found.select("id", "form_id", "pos", F.size("form_words").alias("size"), *[make(F.col("words"), F.col("form_words")).alias(name) for name, make in extra.items()])
+    found = starts.join(F.broadcast(wanted), "key") if few else starts.join(wanted, "key")
+    found = found.withColumn("pos", F.col("at") - F.col("offset")).where(tx.tokens_match(word, F.col("anchor")) & (F.col("pos") >= 0) & (F.col("pos") + F.size("form_words") <= F.col("n")))
+    if not few:
+        found = found.join(pieces.drop("n"), ["id", "start"])
+    # the first and last word tell most; the others are exploded, so that only what passes is copied, and only as far as the name goes
+    ends = [tx.tokens_match(F.get("piece", F.col("pos") - F.col("first") + k), F.get("form_words", k)) for k in (F.lit(0), F.size("form_words") - 1)]
+    found = found.where(ends[0] & ends[1])
+    beside = F.explode_outer(F.array(F.slice("piece", F.col("pos") - F.col("first") + 1, F.size("form_words"))))
+    found = found.select("id", "form_id", "pos", "form_words", "n", beside.alias("beside"))
+    found = found.where(F.forall(F.zip_with("beside", "form_words", tx.tokens_match), lambda x: x))
+    return found.select("id", "form_id", "pos", F.size("form_words").alias("size"), "n")
 
 
 def detect(texts: DataFrame, forms: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -44,10 +44,14 @@ def facts(spark, sf):
     return d.select("doc_id", F.array(cfg("full", full), cfg("tail", tail), cfg("same", base)).alias("cfgs"), (tail != full).alias("tail_apart"))
 
 
-def hits(spark, sf, find=matching.positions):
-    """(doc_id, hits): of each item found in a document whether it stands in the baseline and in the tail, and whether the baseline or the greedy text (each second token) knows a word of it."""
-    known = lambda words, form: F.arrays_overlap(form, F.concat(F.slice(words, F.lit(1), F.floor(F.size(words) * 0.6).cast("int")), F.filter(words, lambda w, i: i % 2 == 0)))
-    found = find(matching_texts(spark, sf), forms(spark, sf), n=lambda words, form: F.size(words), known=known)
+def hits(spark, sf, tolerant: bool = False):
+    """(doc_id, hits): of each item found in a document whether it stands in the baseline and in the tail, and, but for tolerant hits, whether the baseline or the greedy text (each second token) knows a word of it."""
+    if tolerant:
+        found = matching.tolerant_positions(matching_texts(spark, sf), forms(spark, sf)).withColumn("known", F.lit(None).cast("boolean"))
+    else:
+        # made once for each text
+        said = F.concat(F.slice("words", F.lit(1), F.floor(F.size("words") * 0.6).cast("int")), F.filter("words", lambda w, i: i % 2 == 0))
+        found = matching.positions(matching_texts(spark, sf).withColumn("said", said), forms(spark, sf), n=lambda words, form: F.size(words), known=lambda words, form: F.arrays_overlap(form, F.col("said")))
     one = found.groupBy("id", "form_id").agg(F.max(F.col("pos") + F.col("size") <= F.floor(F.col("n") * 0.6)).alias("base"), F.max(F.col("pos") >= F.floor(F.col("n") / 2)).alias("tail"), F.max("known").alias("known"))
     return one.groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("form_id", "base", "tail", "known"))).alias("hits"))
 
@@ -65,7 +69,7 @@ def verdicts(spark, sf, tolerant: bool = False):
     d = d.withColumn("item_id", F.coalesce(F.try_element_at("hits", F.lit(1)).form_id, F.col("doc_id") % total))
     d = d.join(forms(spark, sf).select(F.col("form_id").alias("item_id")), "item_id")
     if tolerant:
-        d = d.drop("hits").join(hits(spark, sf, matching.tolerant_positions), "doc_id", "left").withColumn("hits", F.coalesce("hits", none))
+        d = d.drop("hits").join(hits(spark, sf, True), "doc_id", "left").withColumn("hits", F.coalesce("hits", none))
     d = d.withColumn("evaluated", F.exists("hits", lambda h: h.form_id == F.col("item_id")))
     # exploding the numbers, not the array: a condition on an exploded array would be pushed into the scan and make its texts anew
     c = d.select("doc_id", "item_id", "hits", "tail_apart", "evaluated", "cfgs", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k"))

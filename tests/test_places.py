@@ -157,3 +157,28 @@ def test_leaks_across_spans(spark, span):
         seen[v] = s
     got = audit.leakage(spark.createDataFrame(rows, "k long, v string, split string"), F.col("v"), "split", "k", span)
     assert sorted((r.k, r.split, r.before) for r in got.collect()) == wanted
+
+
+def test_tolerant_positions_in_long_texts(spark):
+    """Names at every border of the pieces that a text is cut into; what is verified is a piece and not the text."""
+    import re
+
+
+    match = lambda a, b: min(len(a), len(b)) > 0 and a[: (k := min(min(len(a), len(b)), max(3, min(len(a), len(b)) - 2)))] == b[:k]
+    filler = [("word", "садовой", "улицы")[k % 7 % 3] for k in range(400)]
+    texts = [(1, " ".join(filler)), (2, ""), (3, "садовая"), (4, " ".join("садовой улице" for _ in range(100)))]
+    for k, at in enumerate((62, 63, 64, 65, 126, 127, 128, 398)):
+        words = [f"слово{j}" for j in range(400)]
+        words[at : at + 2] = ["садовой", "улице"]
+        texts.append((10 + k, " ".join(words[:400])))
+    for names in ([(1, "садовая улица"), (2, "улица садовая"), (3, "садовая"), (4, "")], [(1, "садовая улица"), (5, "и я"), (6, " ".join(filler[3:90]))]):
+        got = matching.tolerant_positions(spark.createDataFrame(texts, "id long, norm string"), spark.createDataFrame(names, "form_id long, form string"))
+        want = []
+        for i, text in texts:
+            words = text.split(" ")
+            for f, name in names:
+                form = name.split(" ")
+                want += [(i, f, p, len(form)) for p in range(len(words) - len(form) + 1) if name and all(map(match, words[p : p + len(form)], form))]
+        assert want and sorted((r.id, r.form_id, r.pos, r.size) for r in got.collect()) == sorted(want)
+        tests = [line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in line and "forall" in line]
+        assert tests and not any(re.search(r"(?<!_)words#", line) for line in tests)
