@@ -135,14 +135,17 @@ class Numbers(dict):
 class Words:
     """Ids of words met so far, at most MOST_WORDS from one batch to the next, and whether the reference library agrees on each."""
 
-    def __init__(self, model: Model, core, reference):
-        self.encoder, self.reference, self.prefixed = core, reference, model.dummy_prefix
+    def __init__(self, model: Model, core, reference, decoder=None):
+        self.encoder, self.reference, self.decoder, self.prefixed = core, reference, decoder, model.dummy_prefix
         self.marker = next((i for i, x in enumerate(model.pieces) if x[0] == SPACE), -1)
+        #: A text decodes to its words one after the other: each begins with a marker, which is a piece, and each loses one blank.
+        self.alone = decoder is not None and model.dummy_prefix and not model.charsmap and not model.squeeze and self.marker >= 0
         self.clear()
 
     def clear(self) -> None:
         self.places = Numbers()
         self.flat, self.sizes, self.same, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+        self.back = np.zeros(0, bool)
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after the other, and how many each has."""
@@ -176,15 +179,29 @@ class Words:
             return self.reference.encode(marked, num_threads=1)
         return [ids if x != SPACE else [self.marker] for x, ids in zip(marked, self.reference.encode([x[1:] for x in marked], num_threads=1), strict=True)]
 
+    def _restored(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the word is known to be what its ids decode to.
+
+        WORDS_A_LIST words are decoded at a time: where one doesn't come back, a
+        character of it is missing in all of them. Those are known of none.
+        """
+        ends, out = np.append(0, np.cumsum(sizes)), np.zeros(len(words), bool)
+        firsts = range(0, len(words), WORDS_A_LIST) if self.alone else ()
+        back = self.decoder.decode_batch([ids[ends[k] : ends[min(k + WORDS_A_LIST, len(words))]].tolist() for k in firsts], skip_special_tokens=False) if firsts else []
+        for k, text in zip(firsts, back, strict=True):
+            part = words[k : k + WORDS_A_LIST]
+            out[k : k + WORDS_A_LIST] = all(w[0] == SPACE for w in part) and text == "".join(part)[1:].replace(SPACE, " ")
+        return out
+
     def forget(self) -> None:
         """Keeps the words met most often, half as many as fit, none met once."""
         best = np.argsort(-self.hits, kind="stable")[: MOST_WORDS // 2]
         best = best[self.hits[best] > 1]
         starts, names = np.cumsum(self.sizes) - self.sizes, list(self.places)
-        flat, sizes, same = [self.flat[starts[k] : starts[k] + self.sizes[k]] for k in best], self.sizes[best], self.same[best]
+        flat, sizes, same, back = [self.flat[starts[k] : starts[k] + self.sizes[k]] for k in best], self.sizes[best], self.same[best], self.back[best]
         self.clear()
         self.places.update((names[k], i) for i, k in enumerate(best.tolist()))
-        self.flat, self.sizes, self.same, self.hits = np.concatenate([self.flat, *flat]), sizes, same, np.ones(len(best), np.int64)
+        self.flat, self.sizes, self.same, self.back, self.hits = np.concatenate([self.flat, *flat]), sizes, same, back, np.ones(len(best), np.int64)
 
     def places_of(self, words: list[str]) -> np.ndarray:
         if len(self.places) > MOST_WORDS:
@@ -195,6 +212,7 @@ class Words:
             fresh = list(itertools.islice(places, known, None))
             ids, sizes = self._encoded(fresh)
             self.flat, self.sizes, self.same = np.concatenate([self.flat, ids]), np.append(self.sizes, sizes), np.append(self.same, self._agreed(fresh, ids, sizes))
+            self.back = np.append(self.back, self._restored(fresh, ids, sizes))
             self.hits = np.append(self.hits, np.zeros(len(fresh), np.int64))
         self.hits += np.bincount(at, minlength=len(self.hits))
         return at
@@ -218,14 +236,19 @@ def _loaded(data: bytes) -> Codec:
 
     model = parse_model(data)
     whole, reference = build_tokenizer(model), sentencepiece.SentencePieceProcessor(model_proto=data)
-    words = Words(model, Tokenizer(whole.model), reference) if cuts_at_markers(model) else None
+    words = Words(model, Tokenizer(whole.model), reference, whole) if cuts_at_markers(model) else None
     plain = not model.charsmap and not model.squeeze
     marked = (lambda text: (SPACE if model.dummy_prefix else "") + text.replace(" ", SPACE)) if plain else whole.normalizer.normalize_str
     return Codec(whole, words, marked, reference)
 
 
 def encode_texts(data: bytes, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-    """Ids of each text by the tokenizers library, and whether the reference library gives the same.
+    """Ids of each text by the tokenizers library, and whether the reference library gives the same."""
+    return checked_texts(data, texts)[:2]
+
+
+def checked_texts(data: bytes, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+    """Ids of each text by the tokenizers library, whether the reference library gives the same, and whether all its words are known to decode to themselves.
 
     Where no piece crosses from a letter to a marker, a text's ids are its
     words' ids in a row, so the words not met before are the batch that both
@@ -235,7 +258,7 @@ def encode_texts(data: bytes, texts: list[str]) -> tuple[list[np.ndarray], list[
     if codec.words is None:
         ids = [x.ids if t else [] for x, t in zip(codec.whole.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
         same = [a == b for a, b in zip(ids, codec.reference.encode(texts, num_threads=1), strict=True)]
-        return [np.array(x, np.int32) for x in ids], same
+        return [np.array(x, np.int32) for x in ids], same, [False] * len(texts)
     words = codec.words
     parts = [_MARKED_WORDS.findall(codec.marked(t)) if t else [] for t in texts]
     at = words.places_of([w for part in parts for w in part])
@@ -243,8 +266,8 @@ def encode_texts(data: bytes, texts: list[str]) -> tuple[list[np.ndarray], list[
     ends = np.append(0, np.cumsum(taken))
     ids = words.flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], taken)]
     first = np.cumsum([0, *map(len, parts)])
-    wrong = np.append(0, np.cumsum(~words.same[at]))
-    return [ids[a:b] for a, b in zip(ends[first[:-1]].tolist(), ends[first[1:]].tolist(), strict=True)], (wrong[first[1:]] == wrong[first[:-1]]).tolist()
+    none = lambda flags: (np.diff(np.append(0, np.cumsum(flags))[first]) == 0).tolist()
+    return [ids[a:b] for a, b in zip(ends[first[:-1]].tolist(), ends[first[1:]].tolist(), strict=True)], none(~words.same[at]), none(~words.back[at])
 
 
 def decode_ids(data: bytes, ids: list[list[int]]) -> list[str]:
@@ -269,12 +292,15 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, keep_ids: bool =
                 size += len(texts[last])
                 last += 1
             part = texts[first:last]
-            ids, same = encode_texts(data, part)
-            back = decode_ids(data, [x.tolist() for x in ids])
+            ids, same, restored = checked_texts(data, part)
+            # where a word isn't known to come back, the whole text is decoded
+            rest = [k for k, known in enumerate(restored) if not known]
+            for k, text in zip(rest, decode_ids(data, [ids[k].tolist() for k in rest]), strict=True):
+                restored[k] = text == part[k].replace(SPACE, " ")
             columns = [
                 pa.array(ids_in[first:last], pa.int64()), pa.array(ids if keep_ids else [None] * len(part), pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()),
                 pa.array([int(bytes_at[x].sum()) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]),
-                pa.array(same, pa.bool_()), pa.array([b == t.replace(SPACE, " ") for b, t in zip(back, part, strict=True)], pa.bool_()),
+                pa.array(same, pa.bool_()), pa.array(restored, pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ENCODED.split(", ")])
             first = last

@@ -61,3 +61,15 @@ def test_a_difference_is_reported():
     words = sp.Words(sp.parse_model(data), sp._loaded(data).words.encoder, sentencepiece.SentencePieceProcessor(model_proto=model_file(sp.BPE, LETTERS + [("▁t", -1.0)], 0)))
     at = words.places_of(["▁the", "▁the", "▁q"])
     assert at.tolist() == [0, 0, 1] and not words.same[0] and np.array_equal(words.flat[: words.sizes[0]], sentencepiece.SentencePieceProcessor(model_file=sp.MODEL).encode("the"))
+
+
+def test_words_that_come_back_are_decoded_once():
+    """Texts of known words need no decoding of their own; what is said of each text is what decoding it says."""
+    with open(sp.MODEL, "rb") as f:
+        data = f.read()
+    texts = [*TEXTS, "plain words here", "plain words here again", " two  blanks ", "", "▁marker", "emoji 😀 \x00 é", "a\nb"]
+    for _ in range(2):
+        ids, _, known = sp.checked_texts(data, texts)
+        back = sp.decode_ids(data, [x.tolist() for x in ids])
+        assert all(b == t.replace(sp.SPACE, " ") for b, t, k in zip(back, texts, known, strict=True) if k)
+    assert sp.checked_texts(data, ["plain words here", "here plain words"])[2] == [True, True]
