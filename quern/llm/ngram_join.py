@@ -5,7 +5,8 @@ shingles, as many as a partner within the threshold must share one of; rarity
 comes from counters over all documents. Classes are joined on prefix shingles
 under the length and positional filters and a suffix filter on the parities of
 512 ranges (each differing parity is one shingle of difference), and every pair
-left is verified once on whole sets.
+left is verified once on whole sets. Each round's pairs pass all three filters
+before any set is made or moved for them.
 
 The result is a class per document, so pairs that the links found so far
 already connect need no test. Rounds: first each class is tested against its
@@ -32,6 +33,7 @@ Repeated rows are copies. Extra columns are ignored; an empty table gives none.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -128,6 +130,19 @@ def _may_link_rows(a: dict[str, np.ndarray], b: dict[str, np.ndarray], percent:
     return length & (1 + np.minimum(na - a["pos"], nb - b["pos"]) - 1 >= need - np.minimum(a["pos"], b["pos"]))
 
 
+def _may_link_suffix(a: str, b: str, percent: int):
+    """The suffix filter: as many parities may differ as shingles of two sets of these sizes that link."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.element_at(f"{a}.parity", k).bitwiseXOR(F.element_at(f"{b}.parity", k))) for k in range(2, RANGES // 64 + 1)), F.bit_count(F.element_at(f"{a}.parity", 1).bitwiseXOR(F.element_at(f"{b}.parity", 1))))
+    return apart <= na + nb - 2 * F.floor((percent * (na + nb) + 99 + percent) / (100 + percent))
+
+
+def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the suffix filter on classes(node, n, parity) leaves."""
+    mark = lambda node, name: classes.select(F.col("node").alias(node), F.struct("n", "parity").alias(name))
+    return pairs.join(mark("a", "l"), "a").join(mark("b", "r"), "b").where(_may_link_suffix("l", "r", percent)).select("a", "b")
+
+
 NEIGHBOURS = "a bigint, b bigint, token bigint, n bigint, pos bigint"
 
 
@@ -247,7 +262,11 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     """docs(doc_id, text) to (doc_id, n_shingles, component_id)."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     at = len(staged_here())
-    signed = staged(signed_documents(docs, size, percent, count_shingles(docs, size)), "signed")
+    counts = count_shingles(docs, size)
+    gc.collect()  # Python's cycles hold the counters' frames, and those their shuffles
+    settled(spark)
+    signed = staged(signed_documents(docs, size, percent, counts), "signed")
+    settled(spark)
     scratch = staged_here()[at:]
     own = staged(signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")), "own")
     classes = staged(signed.where("n > 0").groupBy("key", "node", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "classes")
@@ -258,7 +277,7 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     met = staged(neighbours(tokens, ("n", "pos"), NEXT_BY_SIZE, percent, True), "shared")
 
     # the tests by size are all there is for a shingle of few classes; the later rounds see the others
-    tried = staged(_pairs(met.where("b IS NOT NULL").select("a", "b")), "pairs")
+    tried = staged(alike(_pairs(met.where("b IS NOT NULL").select("a", "b")), classes, percent), "pairs")
     settled(spark)
     shared = met.where("b IS NULL").select("token", F.col("a").alias("node"), "n", "pos")
     nodes = shared.select("node").unionAll(tried.select("a")).unionAll(tried.select("b")).distinct()
@@ -278,19 +297,16 @@ def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     settled(spark)
     rows = still_open(known)
     met = neighbours(rows.withColumn("order", F.xxhash64("node")), ("order",), NEXT_BY_HASH, percent, False)
-    more = staged(_pairs(met.select("a", "b")).join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = staged(alike(_pairs(met.select("a", "b")).join(tried, ["a", "b"], "left_anti"), classes, percent), "pairs")
     tried = tried.unionAll(more)
     known = components(stars(known).unionAll(links(more)))
     settled(spark)
     rows = still_open(known)
     largest = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
     rows = rows.join(largest, "token").withColumn("apart", F.col("component") != F.col("main")).drop("main").join(wanted, "node")
-    apart = sum((F.bit_count(F.element_at("l.parity", k).bitwiseXOR(F.element_at("r.parity", k))) for k in range(2, RANGES // 64 + 1)), F.bit_count(F.element_at("l.parity", 1).bitwiseXOR(F.element_at("r.parity", 1))))
-    na, nb = F.col("l.n"), F.col("r.n")
-    suffix = apart <= na + nb - 2 * F.floor((percent * (na + nb) + 99 + percent) / (100 + percent))
     before = lambda x: F.slice(f"{x}.early", F.lit(1), F.least(F.col(f"{x}.pos"), F.lit(EARLY)).cast("int"))
     once = F.col("l.apart") & (~F.col("r.apart") | (F.col("l.node") < F.col("r.node"))) & ~F.arrays_overlap(before("l"), before("r"))
-    met = rows.where("apart").alias("l").join(rows.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.component") != F.col("r.component")) & _may_link("l", "r", percent) & suffix & once)
+    met = rows.where("apart").alias("l").join(rows.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.component") != F.col("r.component")) & _may_link("l", "r", percent) & _may_link_suffix("l", "r", percent) & once)
     last = staged(_pairs(met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))).join(tried, ["a", "b"], "left_anti"), "pairs")
     known = components(stars(known).unionAll(links(last)))
     reps = classes.select("node", "rep")

@@ -1,6 +1,7 @@
 """Each operator against a plain version, a round trip or held-out rows, with nulls, empties, ties, repeats and long texts."""
 
 import hashlib
+import pathlib
 import time
 import zlib
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import chat_perspectives, exact_topk, main_text, media_columns, ngram_join, quality_lm, repeated_bytes, sentence_pieces, source_mix, toxicity_chain
 from quern.llm.bytetext import find_words, shingle_sets
+from quern.llm.common import settled
 from quern.llm.components import components
 
 from . import cases
@@ -48,6 +50,37 @@ def test_ngram_join_in_a_large_group(spark):
     assert rows_of(ngram_join.ngram_components(cases.documents(spark, rows))) == cases.ngram_components([(r[0], r[1]) for r in rows])
 
 
+def test_ngram_join_moves_no_sets_for_pairs_that_parities_refuse(spark, monkeypatch):
+    """Each text shares a third of its shingles with five others of its size; no two link."""
+    fresh = lambda mark: " ".join(f"{mark}w{k}" for k in range(60))
+    rows = [(6 * i + j, f"{fresh(f'r{i}')} {fresh(f'c{j}')}", "en", "a") for i in range(6) for j in range(6)]
+    asked, verified = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *rest: (asked.append(pairs.count()), verified(pairs, *rest))[1])
+    assert rows_of(ngram_join.ngram_components(cases.documents(spark, rows))) == cases.ngram_components([r[:2] for r in rows])
+    assert len(asked) == 3 and not sum(asked)
+
+
+def test_ngram_join_gives_up_its_counters_shuffles(spark, monkeypatch):
+    """When the documents are signed, what the counters were shuffled by is no longer on disk."""
+    local = spark.sparkContext._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())
+    files = lambda: {str(p) for p in pathlib.Path(local).parent.rglob("shuffle_*.data")}
+    before, left, signed = files(), [], ngram_join.signed_documents
+
+    def late(*args):
+        for _ in range(10):  # Spark removes them on another thread
+            settled(spark)
+            time.sleep(0.5)
+            left[:] = files() - before
+            if not left:
+                break
+        return signed(*args)
+
+    monkeypatch.setattr(ngram_join, "signed_documents", late)
+    docs = cases.documents(spark)
+    assert rows_of(ngram_join.ngram_components(docs)) == cases.ngram_components(PAIRS)
+    assert not left
+
+
 def test_words_that_agree_modulo_powers_of_two(spark):
     """Letters by the parity of the bits of their place, and the same with both exchanged: equal under any polynomial modulo 2**64."""
     odd = [bin(k).count("1") % 2 for k in range(1024)]
