@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import ngram_join, quality_lm, repeated_bytes, sentence_pieces, source_mix
 from quern.llm.bytetext import find_words
-from quern.llm.common import by_batch, drop_at_exit, drop_staged, shared_dir, staged, staged_here, table
+from quern.llm.common import by_batch, drop_at_exit, drop_staged, settled, shared_dir, staged, staged_here, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: words of a shingle and percent of similarity. Repeated passages: words.
@@ -87,8 +87,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(docs)
+    at = len(staged_here())
     classes = ngram_join.ngram_components(as_documents(rows), SHINGLE_WORDS, SIMILAR_PERCENT)
-    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("row"))
+    scratch = staged_here()[at:]
+    first = staged(classes.where("doc_id = component_id").select(F.col("doc_id").alias("row")), "first")
+    # sets and prefixes go before whole texts move
+    drop_staged(spark, scratch)
+    settled(spark)
     return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 

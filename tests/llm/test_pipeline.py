@@ -4,6 +4,7 @@ import os
 
 import corpus_pipeline
 from quern.llm import source_mix
+from quern.llm.common import staged_here
 
 from . import cases
 
@@ -43,6 +44,13 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     assert all(cases.WORD.findall(r.text) and r.n_chars == len(r.text) for r in seen[2]) and len(seen[4]) == len(seen[3])
 
 
+def test_near_duplicates_give_up_their_scratch_before_texts_move(spark):
+    before = set(staged_here())
+    kept = corpus_pipeline.near_duplicates(spark, cases.documents(spark), SF)
+    assert [x.rpartition("-")[2] for x in staged_here() if x not in before] == ["rows", "first"]
+    assert kept.count() > 0
+
+
 def test_stages_without_rows(spark, tmp_path):
     docs = cases.documents(spark, [])
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
